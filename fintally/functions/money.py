@@ -25,3 +25,15 @@ def income(amount="amount") -> Column:
 
 def zero() -> Column:
     return F.lit(0).cast(MONEY)
+
+
+def round_double(c, n: int = 2) -> Column:
+    """Round a DOUBLE by scaling, rounding the scaled double, and scaling back.
+
+    Spark's ``round`` on a DOUBLE rounds its shortest decimal text half-up, so 323304.345
+    (stored as 323304.34499999997...) would become .35; rounding the scaled product follows
+    the stored binary value instead, like Python's ``round`` on a float.
+    """
+    x = F.col(c) if isinstance(c, str) else c
+    k = float(10 ** n)
+    return F.round(x * k, 0) / k

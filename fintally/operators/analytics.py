@@ -68,16 +68,16 @@ def category_totals_with_splits(txns: DataFrame, splits: DataFrame, categories:
     """Category spending where split parents are replaced by their split lines.
 
     Non-split expenses contribute |amount| to their category; each split line of an
-    expense parent contributes its own amount to the line's category.
+    expense parent (split flag not required) contributes its stored amount to its category.
     """
     exp = txns.filter(F.col("amount") < 0)
     if year and month:
         exp = exp.filter(month_key(F.col("date")) == f"{year:04d}-{month:02d}")
     plain = (exp.filter(~F.col("is_split"))
              .select("category_id", F.abs("amount").alias("amt"), F.col("id").alias("txn_id")))
-    parents = exp.filter(F.col("is_split")).select(F.col("id").alias("transaction_id"))
+    parents = exp.select(F.col("id").alias("transaction_id"))
     lines = (splits.join(parents, "transaction_id", "left_semi")
-             .select("category_id", F.abs("amount").alias("amt"),
+             .select("category_id", F.col("amount").alias("amt"),
                      F.col("transaction_id").alias("txn_id")))
     agg = (plain.unionByName(lines).groupBy("category_id")
            .agg(F.sum("amt").alias("total"), F.count(F.lit(1)).alias("count")))

@@ -97,7 +97,7 @@ SELECT s_suppkey AS id, s_name AS name,
 FROM supplier""",
     "v_contributions": """
 SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS goal_id,
-       CAST(CAST(o_totalprice AS DECIMAL(18,2)) / 100
+       CAST(CAST((CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) // 100) AS DECIMAL(18,2)) / 100
             * (CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE -1 END) AS DECIMAL(18,2)) AS amount,
        o_orderkey AS transaction_id,
        CAST(o_orderdate AS TIMESTAMP) AS created_at
@@ -124,6 +124,10 @@ SELECT vec_id AS transaction_id, embedding AS vector,
        ['Shopping', 'food & dining'][label % 2 + 1] AS category,
        vec_id * 1.25 AS amount
 FROM embeddings""",
+    "v_log": """
+SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS transaction_id, l_partkey % 14 + 1 AS category_id,
+       l_discount AS confidence, l_returnflag AS explanation, CAST(l_shipdate AS TIMESTAMP) AS created_at
+FROM lineitem""",
 }
 
 # Dependencies between views (CTE order matters).
@@ -147,6 +151,8 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
     body = sql.lstrip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:].lstrip()}"
     return f"WITH {ctes}\n{body}"

@@ -67,8 +67,8 @@ SELECT c.id, c.name, CAST(COALESCE(SUM(u.amt), 0) AS DOUBLE) AS total, COUNT(u.a
 FROM v_categories c LEFT JOIN (
     SELECT category_id, ABS(amount) AS amt FROM v_ledger WHERE amount < 0 AND NOT is_split
     UNION ALL
-    SELECT s.category_id, ABS(s.amount) AS amt FROM v_splits s
-    JOIN v_ledger t ON s.transaction_id = t.id AND t.amount < 0 AND t.is_split
+    SELECT s.category_id, s.amount AS amt FROM v_splits s
+    JOIN v_ledger t ON s.transaction_id = t.id AND t.amount < 0
 ) u ON u.category_id = c.id
 GROUP BY c.id, c.name""")
 def q_category_totals_with_splits(spark, sf):

@@ -29,4 +29,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from fintally.plans import (  # noqa: F401
         q_analytics,
+        q_ledger,
     )

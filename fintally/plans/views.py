@@ -181,8 +181,9 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.select(
                 F.col("o_orderkey").alias("id"),
                 (F.col("o_custkey") % n_goals).alias("goal_id"),
-                (F.col("o_totalprice").cast(MONEY) / 100 * _sign(F.col("o_orderstatus") != "F"))
-                .cast(MONEY).alias("amount"),
+                # o_totalprice / 100, truncated to whole cents
+                (F.expr("(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) div 100)").cast(MONEY) / 100
+                 * _sign(F.col("o_orderstatus") != "F")).cast(MONEY).alias("amount"),
                 F.col("o_orderkey").alias("transaction_id"),
                 F.col("o_orderdate").cast("timestamp").alias("created_at")))
 
@@ -229,3 +230,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(F.lit("Shopping"), F.lit("food & dining")),
                      (F.col("label") % 2 + 1).cast("int")).alias("category"),
         (F.col("vec_id") * 1.25).alias("amount"))
+
+
+def categorization_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_log: categorisation log entries, several per order, from the line items."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+        F.col("l_orderkey").alias("transaction_id"),
+        (F.col("l_partkey") % 14 + 1).alias("category_id"),
+        F.col("l_discount").alias("confidence"),
+        F.col("l_returnflag").alias("explanation"),
+        F.col("l_shipdate").cast("timestamp").alias("created_at"))
