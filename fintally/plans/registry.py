@@ -30,4 +30,5 @@ def load_all() -> None:
     from fintally.plans import (  # noqa: F401
         q_analytics,
         q_ledger,
+        q_detect,
     )
