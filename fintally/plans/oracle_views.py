@@ -127,11 +127,23 @@ FROM embeddings""",
     "v_log": """
 SELECT l_orderkey * 8 + l_linenumber AS id, l_orderkey AS transaction_id, l_partkey % 14 + 1 AS category_id,
        l_discount AS confidence, l_returnflag AS explanation, CAST(l_shipdate AS TIMESTAMP) AS created_at
+FROM lineitem""",
+    "v_batch": """
+SELECT 'export_' || CAST(l.l_linenumber AS VARCHAR) AS file, l.l_orderkey AS line, t.date, t.amount, t.merchant,
+       t.description
+FROM lineitem l JOIN v_ledger t ON l.l_orderkey = t.id""",
+    "v_existing": "SELECT * FROM v_ledger WHERE date < DATE '1998-01-01'",
+    "v_changes": """
+SELECT l_orderkey AS id,
+       CASE WHEN l_linenumber = 7 THEN '__delete__'
+            ELSE ['category_id', 'account_id', 'description', 'merchant'][l_linenumber % 4 + 1] END AS field,
+       CASE WHEN l_linenumber % 4 = 2 THEN l_returnflag || l_linestatus ELSE CAST(l_partkey % 20 AS VARCHAR) END AS value,
+       l_suppkey % 5 AS seq
 FROM lineitem""",
 }
 
 # Dependencies between views (CTE order matters).
-_DEPS = {"v_splits": ["v_ledger"]}
+_DEPS = {"v_splits": ["v_ledger"], "v_batch": ["v_ledger"], "v_existing": ["v_ledger"]}
 
 
 def with_views(sql: str) -> str:

@@ -31,4 +31,5 @@ def load_all() -> None:
         q_analytics,
         q_ledger,
         q_detect,
+        q_changes,
     )

@@ -242,3 +242,31 @@ def categorization_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_discount").alias("confidence"),
         F.col("l_returnflag").alias("explanation"),
         F.col("l_shipdate").cast("timestamp").alias("created_at"))
+
+
+def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_batch: a re-import export with one row per line item carrying its order's ledger key
+    (file = export_<line number>, line = order key): in-batch copies come from multi-line
+    orders, and orders before 1998 are already in the ledger (see ``existing_ledger``)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    led = ledger(spark, sf_dir).select("id", "date", "amount", "merchant", "description")
+    return (li.join(led, li.l_orderkey == led.id)
+            .select(F.concat(F.lit("export_"), F.col("l_linenumber").cast("string")).alias("file"),
+                    F.col("l_orderkey").alias("line"), "date", "amount", "merchant", "description"))
+
+
+def existing_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger(spark, sf_dir).filter(F.col("date") < F.lit(dt.date(1998, 1, 1)))
+
+
+def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_changes: keyed edits of ledger rows, one per line item (the 7th line deletes)."""
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    field = (F.when(n == 7, F.lit("__delete__"))
+             .otherwise(F.element_at(F.array(*[F.lit(x) for x in ["category_id", "account_id", "description", "merchant"]]),
+                                     (n % 4 + 1).cast("int"))))
+    value = (F.when(n % 4 == 2, F.concat(F.col("l_returnflag"), F.col("l_linestatus")))
+             .otherwise((F.col("l_partkey") % 20).cast("string")))
+    return li.select(F.col("l_orderkey").alias("id"), field.alias("field"), value.alias("value"),
+                     (F.col("l_suppkey") % 5).alias("seq"))
