@@ -32,4 +32,5 @@ def load_all() -> None:
         q_ledger,
         q_detect,
         q_changes,
+        q_similarity,
     )
