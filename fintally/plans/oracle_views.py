@@ -27,6 +27,10 @@ _RULES = _values(V.TEST_RULES)
 _SETTINGS = _values(V.TEST_SETTINGS)
 _FREQS = ", ".join(f"'{f}'" for f in V.BILL_FREQUENCIES)
 _STEPS = ", ".join(str(s) for s in V.RECURRING_STEPS)
+from fintally.formats import BANK_FORMATS  # noqa: E402
+
+_FMT_ROWS = [(i, f[2].lower().replace(" ", "_"), f[4]) for i, f in enumerate(BANK_FORMATS)]
+_FORMATS = ", ".join(f"({i}, '{inst}', [{', '.join(repr(h) for h in hs)}])" for i, inst, hs in _FMT_ROWS)
 AS_OF = f"DATE '{V.AS_OF.isoformat()}'"
 AS_OF_TS = f"TIMESTAMP '{V.AS_OF_TS.isoformat(sep=' ')}'"
 
@@ -140,6 +144,36 @@ SELECT l_orderkey AS id,
        CASE WHEN l_linenumber % 4 = 2 THEN l_returnflag || l_linestatus ELSE CAST(l_partkey % 20 AS VARCHAR) END AS value,
        l_suppkey % 5 AS seq
 FROM lineitem""",
+    "v_raw": f"""
+SELECT 'acct_' || CAST(o.o_custkey % 40 AS VARCHAR) || '.csv' AS file, o.o_orderkey AS line,
+       CASE o.o_orderkey % 6 WHEN 0 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d')
+            WHEN 1 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y')
+            WHEN 2 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%y')
+            WHEN 3 THEN strftime(CAST(o.o_orderdate AS DATE), '%d-%b-%Y')
+            WHEN 4 THEN strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y')
+            ELSE CASE WHEN o.o_orderkey % 60 = 5 THEN 'not a date'
+                      ELSE strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d') END END AS raw_date,
+       CASE o.o_orderkey % 5 WHEN 0 THEN CAST(v AS VARCHAR)
+            WHEN 1 THEN '$' || format('{{:,.2f}}', v)
+            WHEN 2 THEN CASE WHEN v < 0 THEN '(' || CAST(CAST(-v AS DECIMAL(18,2)) AS VARCHAR) || ')' ELSE CAST(v AS VARCHAR) END
+            WHEN 3 THEN ' ' || CAST(v AS VARCHAR) || ' '
+            ELSE CASE WHEN o.o_orderkey % 50 = 4 THEN 'n/a' ELSE format('{{:,.2f}}', v) END END AS raw_amount,
+       CASE WHEN o.o_orderkey % 41 = 0 THEN NULL
+            WHEN o.o_custkey % 9 = 8 THEN c.c_name
+            WHEN o.o_custkey % 9 = 4 THEN 'Kroger #' || CAST(o.o_custkey AS VARCHAR)
+            WHEN o.o_custkey % 9 = 5 THEN 'Shell Oil ' || CAST(o.o_custkey AS VARCHAR)
+            ELSE [{", ".join("'" + m + "'" for m in V.RAW_MERCHANTS)}][o.o_custkey % 9 + 1] END AS raw_merchant,
+       o.o_orderpriority AS raw_description,
+       CASE WHEN v < 0 THEN CAST(CAST(-v AS DECIMAL(18,2)) AS VARCHAR) ELSE '' END AS raw_debit,
+       CASE WHEN v > 0 THEN CAST(v AS VARCHAR) ELSE '' END AS raw_credit
+FROM (SELECT *, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * (CASE WHEN o_orderstatus = 'P' THEN 1 ELSE -1 END)
+                     AS DECIMAL(18,2)) AS v FROM orders) o
+JOIN customer c ON o.o_custkey = c.c_custkey""",
+    "v_file_headers": f"""
+SELECT 'export_' || CAST(c_custkey AS VARCHAR)
+       || CASE WHEN c_custkey % 3 = 0 THEN '_' || f.inst ELSE '' END || '.csv' AS file,
+       CAST(generate_subscripts(f.headers, 1) - 1 AS INTEGER) AS position, unnest(f.headers) AS "column"
+FROM customer JOIN (VALUES {_FORMATS}) f(idx, inst, headers) ON c_custkey % {len(_FMT_ROWS)} = f.idx""",
 }
 
 # Dependencies between views (CTE order matters).

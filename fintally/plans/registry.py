@@ -33,4 +33,5 @@ def load_all() -> None:
         q_detect,
         q_changes,
         q_similarity,
+        q_import,
     )

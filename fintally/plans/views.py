@@ -270,3 +270,56 @@ def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise((F.col("l_partkey") % 20).cast("string")))
     return li.select(F.col("l_orderkey").alias("id"), field.alias("field"), value.alias("value"),
                      (F.col("l_suppkey") % 5).alias("seq"))
+
+
+RAW_MERCHANTS = ["NETFLIX.COM", "Payroll ACME Corp", "Spotify USA", "Direct Deposit Employer", "Kroger #",
+                 "Shell Oil ", "Amazon Mktp", "Rent Payment Landlord"]
+
+
+def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_raw: one exported text row per order, with dates and amounts spelled in the formats
+    banks use (and some junk), spread over 40 files by customer."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("o_orderkey")
+    d = F.col("o_orderdate").cast("date")
+    v = (F.col("o_totalprice").cast(MONEY) * _sign(F.col("o_orderstatus") == "P")).cast(MONEY)
+    vs = v.cast("string")
+    fmt = [F.date_format(d, p) for p in ["yyyy-MM-dd", "MM/dd/yyyy", "MM/dd/yy", "dd-MMM-yyyy", "dd/MM/yyyy"]]
+    raw_date = (F.when(k % 6 == 0, fmt[0]).when(k % 6 == 1, fmt[1]).when(k % 6 == 2, fmt[2])
+                .when(k % 6 == 3, fmt[3]).when(k % 6 == 4, fmt[4])
+                .when(k % 60 == 5, F.lit("not a date")).otherwise(F.date_format(d, "yyyy/MM/dd")))
+    commas = F.format_number(v, 2)
+    raw_amount = (F.when(k % 5 == 0, vs).when(k % 5 == 1, F.concat(F.lit("$"), commas))
+                  .when(k % 5 == 2, F.when(v < 0, F.concat(F.lit("("), (-v).cast(MONEY).cast("string"), F.lit(")")))
+                        .otherwise(vs))
+                  .when(k % 5 == 3, F.concat(F.lit(" "), vs, F.lit(" ")))
+                  .when(k % 50 == 4, F.lit("n/a")).otherwise(commas))
+    ck = F.col("o_custkey")
+    names = F.array(*[F.lit(m) for m in RAW_MERCHANTS])
+    merchant = (F.when(k % 41 == 0, F.lit(None).cast("string"))
+                .when(ck % 9 == 8, F.col("c_name"))
+                .when(ck % 9 == 4, F.concat(F.lit("Kroger #"), ck.cast("string")))
+                .when(ck % 9 == 5, F.concat(F.lit("Shell Oil "), ck.cast("string")))
+                .otherwise(F.element_at(names, (ck % 9 + 1).cast("int"))))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+            .select(F.concat(F.lit("acct_"), (ck % 40).cast("string"), F.lit(".csv")).alias("file"),
+                    k.alias("line"), raw_date.alias("raw_date"), raw_amount.alias("raw_amount"),
+                    merchant.alias("raw_merchant"), F.col("o_orderpriority").alias("raw_description"),
+                    F.when(v < 0, (-v).cast(MONEY).cast("string")).otherwise(F.lit("")).alias("raw_debit"),
+                    F.when(v > 0, vs).otherwise(F.lit("")).alias("raw_credit")))
+
+
+def file_headers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_file_headers: one export file per customer using the header of format c_custkey % 24;
+    every third file name carries the institution."""
+    from fintally.formats import BANK_FORMATS
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    idx = (k % len(BANK_FORMATS) + 1).cast("int")
+    heads = F.array(*[F.array(*[F.lit(h) for h in f[4]]) for f in BANK_FORMATS])
+    insts = F.array(*[F.lit(f[2].lower().replace(" ", "_")) for f in BANK_FORMATS])
+    fname = F.concat(F.lit("export_"), k.cast("string"),
+                     F.when(k % 3 == 0, F.concat(F.lit("_"), F.element_at(insts, idx))).otherwise(F.lit("")),
+                     F.lit(".csv"))
+    return c.select(fname.alias("file"), F.posexplode(F.element_at(heads, idx)).alias("position", "column"))
