@@ -219,7 +219,7 @@ def norm_row(rows: DataFrame, mapping: DataFrame):
     date and amount; rejected rows carry a ``status`` (missing_date, bad_date, missing_amount,
     bad_amount)."""
     j = rows.join(mapping, "file")
-    get = lambda c: F.when(F.col(c).isNotNull(), F.element_at(F.col("row"), F.col(c)))
+    get = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col("row"), F.col(c)))
     raw_d, raw_a = get("date_column"), get("amount_column")
     raw_d = F.when(F.length(raw_d) > 0, raw_d)
     raw_a = F.when(F.length(raw_a) > 0, raw_a)
@@ -243,7 +243,7 @@ def norm_onboarding_row(rows: DataFrame, mapping: DataFrame):
     from fintally.functions.normalize import norm_date_first_token, onboarding_amount
 
     j = rows.join(mapping, "file")
-    get = lambda c: F.element_at(F.col("row"), F.col(c))
+    get = lambda c: F.try_element_at(F.col("row"), F.col(c))
     amt = onboarding_amount(get("amount_column"))
     merchant = F.trim(F.coalesce(get("description_column"), F.lit("")))
     d = norm_date_first_token(get("date_column"), ONBOARDING_DATE_PATTERNS)
@@ -262,7 +262,7 @@ def file_amounts(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """(file, blk, pos, amount, merchant_l, date) as the analysis reads them: the amount column,
     else credit - debit (credit non-zero) or -|debit|."""
     j = rows.join(mapping, "file")
-    get = lambda c: F.when(F.col(c).isNotNull(), F.element_at(F.col("row"), F.col(c)))
+    get = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col("row"), F.col(c)))
     amt = F.when(F.col("amount_column").isNotNull(), norm_amount(get("amount_column"))) \
         .when(F.col("debit_column").isNotNull() | F.col("credit_column").isNotNull(),
               norm_split_amount_analysis(get("debit_column"), get("credit_column")))

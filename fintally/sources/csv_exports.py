@@ -3,8 +3,8 @@
 Files are read line by line (splittable), so a large export is spread over tasks. A line's
 position in its file is (split start offset, increasing id inside the split); only the
 first split of each file is searched for the header line, among its first 20 lines.
-Every data line is parsed with ``from_csv`` into a fixed-width string array and paired
-with its file's header as a ``map<string,string>``.
+Every data line is split into fields by a quote-aware regular expression (JVM-side, no
+Python) and paired with its file's header as a ``map<string,string>``.
 
 Limits: quoted fields that contain line breaks are not supported (bank exports do not
 use them); Excel files must be converted to CSV upstream.
@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from fintally.formats import HEADER_WORDS
 
-MAX_COLUMNS = 64
 HEADER_SCAN_LINES = 20
 
 
+# a comma outside double quotes: followed by an even number of quote characters
+_SPLIT_RE = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_QUOTED_RE = r'^\s*"(.*)"\s*$'
+
+
 def _csv_fields(line):
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-    parsed = F.from_csv(line, schema, {"mode": "PERMISSIVE"})
-    return F.array(*[parsed[f"c{i}"] for i in range(MAX_COLUMNS)])
+    """RFC-4180 style fields of one line: split on commas outside quotes, unquote, un-double."""
+    parts = F.split(line, _SPLIT_RE, -1)
+    return F.transform(parts, lambda p: F.when(
+        p.rlike(_QUOTED_RE), F.regexp_replace(F.regexp_extract(p, _QUOTED_RE, 1), '""', '"')).otherwise(p))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +65,7 @@ def src_csv_exports(spark: SparkSession, path: str) -> DataFrame:
     lines = read_lines(spark, path)
     heads = header_lines(lines).select(
         "file", "hpos",
-        F.transform(F.filter(_csv_fields(F.col("hline")), lambda x: x.isNotNull()), lambda x: F.trim(x))
-        .alias("header"))
+        F.transform(_csv_fields(F.col("hline")), lambda x: F.trim(x)).alias("header"))
     data = (lines.join(heads, "file")
             .filter((F.col("blk") > 0) | (F.col("pos") > F.col("hpos")))
             .filter(F.length(F.trim("line")) > 0))
