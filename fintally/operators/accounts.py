@@ -90,12 +90,16 @@ def available_credit(balances: DataFrame) -> DataFrame:
 
 
 def net_worth(status: DataFrame) -> DataFrame:
-    """Assets minus credit debt, the plain sum of balances, and total available credit."""
+    """Assets minus credit debt, the plain sum of balances, and total available credit.
+
+    Balances are cents-exact, so they are summed as DECIMAL (order-independent) and only
+    the totals are returned as DOUBLE.
+    """
     is_credit = F.col("account_type") == "credit"
-    b = F.coalesce(F.col("balance"), F.lit(0.0))
+    b = F.coalesce(F.col("balance").cast(MONEY), M.zero())
+    avail = F.coalesce(F.col("available_credit").cast(MONEY), M.zero())
     return status.agg(
-        (F.sum(F.when(~is_credit, b).otherwise(F.lit(0.0)))
-         - F.sum(F.when(is_credit, b).otherwise(F.lit(0.0)))).alias("net_worth"),
-        F.sum(b).alias("total_balance"),
-        F.sum(F.when(is_credit, F.coalesce("available_credit", F.lit(0.0))).otherwise(F.lit(0.0)))
-        .alias("total_available_credit"))
+        M.out(F.sum(F.when(~is_credit, b).otherwise(M.zero()))
+              - F.sum(F.when(is_credit, b).otherwise(M.zero()))).alias("net_worth"),
+        M.out(F.sum(b)).alias("total_balance"),
+        M.out(F.sum(F.when(is_credit, avail).otherwise(M.zero()))).alias("total_available_credit"))

@@ -132,11 +132,15 @@ def q_anomaly_iqr(spark, sf):
         "id", "above", "below", M.out("lower_bound").alias("lower_bound"), M.out("upper_bound").alias("upper_bound"))
 
 
-_NEWM_SQL = """
-SELECT t.id, (SELECT MEDIAN(ABS(amount)) FROM v_ledger) * 3 AS threshold
+_MEDIAN_SQL = """(SELECT SUM(a) * (CASE WHEN MAX(n) % 2 = 1 THEN 1 ELSE 0.5 END) FROM (
+    SELECT ABS(amount) AS a, row_number() OVER (ORDER BY ABS(amount)) - 1 AS pos, COUNT(*) OVER () AS n
+    FROM v_ledger) WHERE pos = (n - 1) // 2 OR pos = n // 2)"""
+
+_NEWM_SQL = f"""
+SELECT t.id, {_MEDIAN_SQL} * 3 AS threshold
 FROM v_ledger t WHERE t.merchant IN (SELECT merchant FROM v_ledger GROUP BY merchant HAVING COUNT(*) = 1)
-  AND ABS(t.amount) > (SELECT MEDIAN(ABS(amount)) FROM v_ledger) * 3
-  AND (SELECT MEDIAN(ABS(amount)) FROM v_ledger) * 3 > 0"""
+  AND ABS(t.amount) > {_MEDIAN_SQL} * 3
+  AND {_MEDIAN_SQL} * 3 > 0"""
 
 
 @register("anomaly_new_merchant", f"SELECT id, CAST(threshold AS DOUBLE) AS threshold FROM ({_NEWM_SQL})")
@@ -144,7 +148,7 @@ def q_anomaly_new_merchant(spark, sf):
     return AN.anomaly_new_merchant(V.ledger(spark, sf)).select("id", M.out("threshold").alias("threshold"))
 
 
-@register("global_median", "SELECT CAST(MEDIAN(ABS(amount)) AS DOUBLE) AS median FROM v_ledger")
+@register("global_median", f"SELECT CAST({_MEDIAN_SQL} AS DOUBLE) AS median")
 def q_global_median(spark, sf):
     return AN.global_median_abs(V.ledger(spark, sf)).select(M.out("median").alias("median"))
 
