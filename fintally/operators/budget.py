@@ -175,3 +175,46 @@ def allocation_percent(blended: DataFrame, incomes: DataFrame) -> DataFrame:
                     F.when(F.col("monthly_income") != 0,
                            F.floor(F.col("allocated") / F.col("monthly_income") * 100 + 0.5))
                     .otherwise(F.lit(0)).cast("long").alias("allocated_percent")))
+
+
+def insight_cards(summary: DataFrame, category_status: DataFrame, overview: DataFrame) -> DataFrame:
+    """Dashboard insight cards as rows (card, subject, value, count): monthly summary, open
+    categorisation work, worst over-budget category, closest to its limit (80-100 %), top
+    spending category, number of healthy budgets (< 50 %), activity, and the discretionary
+    budget state. Each card is a filter plus a top-1 (``max_by``), combined by union."""
+    s = summary
+    cs = category_status
+    budgeted = F.col("budget_amount") > 0
+    pct = F.col("budget_percent")
+    net = s.select(F.lit("Monthly Summary").alias("card"),
+                   F.when(F.col("net") >= 0, F.lit("net savings")).otherwise(F.lit("net deficit")).alias("subject"),
+                   F.abs("net").alias("value"), F.lit(None).cast("long").alias("count"))
+    uncat = s.filter(F.col("uncategorized") > 0).select(
+        F.lit("Action Required").alias("card"), F.lit("uncategorized").alias("subject"),
+        F.lit(None).cast("double").alias("value"), F.col("uncategorized").alias("count"))
+
+    def top1(df, card, value_col, order_col):
+        g = df.agg(F.max_by(F.struct(F.col("name"), F.col(value_col).alias("v")),
+                            F.struct(F.col(order_col), -F.col("id"))).alias("t"))
+        return g.filter(F.col("t").isNotNull()).select(F.lit(card).alias("card"), F.col("t.name").alias("subject"),
+                                                       F.col("t.v").alias("value"), F.lit(None).cast("long").alias("count"))
+
+    over = top1(cs.filter(budgeted & (pct >= 100)), "Budget Alert", "budget_percent", "budget_percent")
+    near = top1(cs.filter(budgeted & (pct >= 80) & (pct < 100)), "Budget Warning", "budget_percent", "budget_percent")
+    top = top1(cs.filter(F.col("spent") > 0), "Top Spending", "spent", "spent")
+    healthy = (cs.filter(budgeted & (pct < 50)).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
+               .select(F.lit("On Track").alias("card"), F.lit("healthy budgets").alias("subject"),
+                       F.lit(None).cast("double").alias("value"), F.col("n").alias("count")))
+    activity = s.select(F.lit("Activity").alias("card"), F.lit("total transactions").alias("subject"),
+                        F.lit(None).cast("double").alias("value"), F.col("total_transactions").alias("count"))
+    o = overview.filter(F.col("income_is_set"))
+    disc = o.select(
+        F.when(F.col("is_over"), F.lit("Spending Alert"))
+        .when(F.col("percent_used") >= 80, F.lit("Budget Warning"))
+        .when((F.col("discretionary_budget") > 0) & (F.col("percent_used") < 50), F.lit("Budget Status"))
+        .alias("card"),
+        F.lit("discretionary").alias("subject"),
+        F.when(F.col("is_over"), F.col("total_spent")).otherwise(F.col("percent_used")).alias("value"),
+        F.lit(None).cast("long").alias("count")).filter(F.col("card").isNotNull())
+    return (net.unionByName(uncat).unionByName(over).unionByName(near).unionByName(top)
+            .unionByName(healthy).unionByName(activity).unionByName(disc))

@@ -139,7 +139,7 @@ def q_bulk_categorize(spark, sf):
     return out.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("soft_delete_accounts", """
+@register("soft_delete", """
 SELECT a.id, a.is_active AND a.id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AS is_active
 FROM v_accounts a""")
 def q_soft_delete(spark, sf):
@@ -147,7 +147,7 @@ def q_soft_delete(spark, sf):
     return CH.soft_delete(V.accounts(spark, sf), keys).select("id", "is_active")
 
 
-@register("hard_delete_goals", """
+@register("hard_delete", """
 SELECT 'goals' AS tbl, COUNT(*) AS n FROM v_goals WHERE target_amount <> 0
 UNION ALL
 SELECT 'contributions', COUNT(*) FROM v_contributions

@@ -39,7 +39,7 @@ def q_norm_date(spark, sf):
     return r.select("line", "raw_date", N.norm_date("raw_date").alias("date"))
 
 
-@register("norm_date_wizard", f"""
+@register("norm_date_variants", f"""
 SELECT line, raw_date, COALESCE(
   CASE WHEN regexp_full_match({_S}, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(try_strptime({_S}, '%Y-%m-%d') AS DATE) END,
   CASE WHEN regexp_full_match({_S}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN CAST(try_strptime({_S}, '%m/%d/%Y') AS DATE) END,

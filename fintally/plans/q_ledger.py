@@ -29,7 +29,7 @@ _TXN_SQL = "id, date, merchant, description, category_id, account_id, CAST(amoun
 # --- §2.4 selection ----------------------------------------------------------
 
 
-@register("txn_list_page", f"""
+@register("txn_list", f"""
 SELECT {_TXN_SQL} FROM v_ledger
 WHERE (contains(lower(merchant), 'customer#00000012') OR contains(lower(coalesce(description, '')), 'customer#00000012'))
 ORDER BY amount DESC, id LIMIT 50 OFFSET 10""")
@@ -68,7 +68,7 @@ def q_txn_by_category(spark, sf):
     return _txn_out(S.txn_by_keys(V.ledger(spark, sf), keys, "category_id"))
 
 
-@register("txn_by_account_recent", f"""
+@register("txn_by_account", f"""
 SELECT {_TXN_SQL}, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY date DESC, id) AS rank FROM v_ledger
   WHERE account_id IS NOT NULL) WHERE rank <= 100""")
@@ -256,7 +256,7 @@ def q_fixed_costs(spark, sf):
     return BU.fixed_costs(V.bills(spark, sf), V.categories(spark))
 
 
-@register("fixed_cost_bills", f"""
+@register("bill_monthly_equivalent", f"""
 WITH fb AS ({_FIXED_BILLS_SQL})
 SELECT id, name, frequency, category_name, CAST(ROUND(monthly, 2) AS DOUBLE) AS monthly_equivalent FROM fb""")
 def q_fixed_cost_bills(spark, sf):
@@ -562,7 +562,7 @@ def q_mark_paid_payments(spark, sf):
     return pay.select("id", "recurring_id", M.out("amount_paid").alias("amount_paid"), "due_date", "paid_date")
 
 
-@register("bill_mark_paid_bills", f"""
+@register("bill_mark_paid", f"""
 WITH RECURSIVE lp AS (SELECT recurring_id AS id, MAX(paid_date) AS last_paid FROM ({_FEED_SQL}) f
                       WHERE recurring_id IN (SELECT id FROM v_bills) GROUP BY recurring_id),
 {_steps_sql("SELECT lp.id, b.frequency AS freq, lp.last_paid AS start FROM lp JOIN v_bills b ON lp.id = b.id")}

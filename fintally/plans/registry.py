@@ -34,4 +34,5 @@ def load_all() -> None:
         q_changes,
         q_similarity,
         q_import,
+        q_extra,
     )

@@ -59,3 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def env_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint location for one run's intermediate files."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/fintally-scratch/{name}-{uuid.uuid4().hex[:12]}"

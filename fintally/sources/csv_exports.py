@@ -55,7 +55,7 @@ def header_lines(lines: DataFrame) -> DataFrame:
                  F.min_by("line", F.when(is_header, F.col("n")).otherwise(F.col("n") + 1000)).alias("hline")))
 
 
-def src_csv_exports(spark: SparkSession, path: str) -> DataFrame:
+def src_csv_exports(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
     """One row per data line of every export under ``path``:
     (file, blk, pos, header array, values array, row map<string,string>).
 
@@ -73,7 +73,7 @@ def src_csv_exports(spark: SparkSession, path: str) -> DataFrame:
     out = data.select("file", "blk", "pos", "header",
                       F.slice(vals, 1, F.size("header")).alias("values"))
     out = out.withColumn("row", F.map_from_arrays("header", "values"))
-    return src_clean_rows(out)
+    return src_clean_rows(out) if clean else out
 
 
 def src_clean_rows(rows: DataFrame) -> DataFrame:

@@ -66,8 +66,9 @@ def stream_rules(stream: DataFrame, rules: DataFrame, categories: DataFrame) ->
 
 
 def stream_daily_spending(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """|expense| per calendar day, emitted once the day is past the watermark (append mode).
-    Rows later than the watermark are dropped by Spark."""
+    """|expense| per calendar day, emitted once the watermark (latest event time minus the
+    delay, over all rows) has moved past the day's end (append mode). Rows later than the
+    watermark are dropped by Spark."""
     s = with_event_time(stream).withWatermark("event_time", watermark)
     return (s.filter(F.col("amount") < 0)
             .groupBy(F.window("event_time", "1 day"))
