@@ -14,7 +14,7 @@ from fintally.operators import analytics as A
 from fintally.operators import budget as BU
 from fintally.operators import changes as CH
 from fintally.operators import profile as P
-from fintally.plans import q_changes, q_detect, q_ledger, q_similarity  # noqa: F401  (aliases below)
+from fintally.plans import q_analytics, q_changes, q_detect, q_ledger, q_similarity  # noqa: F401  (aliases below)
 from fintally.plans import views as V
 from fintally.plans.exports import export_name, write_exports
 from fintally.plans.registry import ORACLE, QUERIES, register
