@@ -221,17 +221,21 @@ def norm_row(rows: DataFrame, mapping: DataFrame):
     j = rows.join(mapping, "file")
     get = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col("row"), F.col(c)))
     raw_d, raw_a = get("date_column"), get("amount_column")
-    raw_d = F.when(F.length(raw_d) > 0, raw_d)
-    raw_a = F.when(F.length(raw_a) > 0, raw_a)
-    d, a = norm_date(raw_d), norm_amount(raw_a)
-    status = (F.when(raw_d.isNull(), F.lit("missing_date")).when(raw_a.isNull(), F.lit("missing_amount"))
-              .when(d.isNull(), F.lit("bad_date")).when(a.isNull(), F.lit("bad_amount")).otherwise(F.lit("ok")))
-    m = get("merchant_column")
-    desc = get("description_column")
-    out = j.select("file", "blk", "pos", d.alias("date"), a.alias("amount"),
-                   norm_merchant(F.when(F.length(m) > 0, m)).alias("merchant"),
-                   norm_description(F.when(F.length(desc) > 0, desc)).alias("description"),
-                   status.alias("status"))
+    m, desc = get("merchant_column"), get("description_column")
+    # parse once; the status and the outputs reuse the parsed columns (one codegen unit each)
+    raw = j.select("file", "blk", "pos", F.when(F.length(raw_d) > 0, raw_d).alias("raw_date"),
+                   F.when(F.length(raw_a) > 0, raw_a).alias("raw_amount"),
+                   F.when(F.length(m) > 0, m).alias("raw_merchant"),
+                   F.when(F.length(desc) > 0, desc).alias("raw_description"))
+    parsed = raw.select("*", norm_date(F.col("raw_date")).alias("date"), norm_amount(F.col("raw_amount")).alias("amount"))
+    status = (F.when(F.col("raw_date").isNull(), F.lit("missing_date"))
+              .when(F.col("raw_amount").isNull(), F.lit("missing_amount"))
+              .when(F.col("date").isNull(), F.lit("bad_date"))
+              .when(F.col("amount").isNull(), F.lit("bad_amount")).otherwise(F.lit("ok")))
+    out = parsed.select("file", "blk", "pos", "date", "amount",
+                        norm_merchant(F.col("raw_merchant")).alias("merchant"),
+                        norm_description(F.col("raw_description")).alias("description"),
+                        status.alias("status"))
     return out.filter(F.col("status") == "ok").drop("status"), out.filter(F.col("status") != "ok")
 
 

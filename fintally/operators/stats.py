@@ -23,10 +23,16 @@ def kth_smallest(values: DataFrame, keys: list[str], value: str, targets: DataFr
     order (duplicates counted). ``value`` must be a non-negative integral column below
     2^42; ranks outside [0, n) give no row.
     """
+    from fintally.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(values.sparkSession)
     vals = values.select(*keys, F.col(value).cast("long").alias("_v"))
+    # The per-target state is tiny (one row per group and rank) but every level reads it
+    # twice; checkpointing it to the shared checkpoint folder keeps the plan linear in the
+    # number of levels and makes each level restartable on its own.
     state = targets.select(*keys, "tag", F.col("rank").cast("long").alias("rank"),
                            F.lit(0).cast("long").alias("_prefix"),
-                           F.col("rank").cast("long").alias("_rem"))
+                           F.col("rank").cast("long").alias("_rem")).checkpoint()
     for level in range(LEVELS):
         shift = DIGIT_BITS * (LEVELS - 1 - level)
         parent = F.shiftright(F.col("_v"), shift + DIGIT_BITS)
@@ -43,5 +49,5 @@ def kth_smallest(values: DataFrame, keys: list[str], value: str, targets: DataFr
                  .filter((F.col("_lo") <= F.col("_rem")) & (F.col("_rem") < F.col("_hi")))
                  .select(*keys, "tag", "rank",
                          (F.shiftleft(F.col("_prefix"), DIGIT_BITS) + F.col("_digit")).alias("_prefix"),
-                         (F.col("_rem") - F.col("_lo")).alias("_rem")))
+                         (F.col("_rem") - F.col("_lo")).alias("_rem"))).checkpoint()
     return state.select(*keys, "tag", "rank", F.col("_prefix").alias("kth"))
