@@ -90,7 +90,8 @@ def anomaly_report(txns: DataFrame) -> DataFrame:
     nm = anomaly_new_merchant(txns).select("id", F.lit(True).alias("new_merchant"), "threshold")
     flagged = iqr.join(nm, "id", "full_outer")
     a = F.abs("amount")
-    money = lambda c: F.format_string("%.2f", c)
+    # two-decimal text of an exact value (DECIMAL keeps '%.2f' free of binary noise)
+    money = lambda c: F.round(c.cast("decimal(30,6)"), 2).cast("decimal(30,2)").cast("string")
     reason = F.concat_ws(
         "; ",
         F.when(F.col("above"), F.concat(F.lit("Amount $"), money(a), F.lit(" exceeds category normal range (max $"),
