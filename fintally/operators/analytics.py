@@ -172,7 +172,8 @@ def category_share(category_totals_df: DataFrame) -> DataFrame:
     The grand total is a global aggregate joined back as a scalar, not a window over one
     partition.
     """
-    grand = category_totals_df.select(F.sum("total")).scalar()
+    # totals are cents-exact: summing them as DECIMAL keeps the grand total order-independent
+    grand = category_totals_df.select(F.sum(F.col("total").cast("decimal(20,2)")).cast("double")).scalar()
     return category_totals_df.select(
         "id", "name", "total",
         F.when(grand > 0, F.col("total") / grand * 100).otherwise(F.lit(0.0)).alias("share_pct"))

@@ -161,7 +161,8 @@ WITH ct AS (
   FROM v_categories c LEFT JOIN v_ledger t ON t.category_id = c.id AND t.amount < 0
   GROUP BY c.id, c.name)
 SELECT id, name, total,
-       CASE WHEN (SELECT SUM(total) FROM ct) > 0 THEN total / (SELECT SUM(total) FROM ct) * 100 ELSE 0.0 END AS share_pct
+       CASE WHEN (SELECT CAST(SUM(CAST(total AS DECIMAL(20,2))) AS DOUBLE) FROM ct) > 0
+            THEN total / (SELECT CAST(SUM(CAST(total AS DECIMAL(20,2))) AS DOUBLE) FROM ct) * 100 ELSE 0.0 END AS share_pct
 FROM ct""")
 def q_category_share(spark, sf):
     ct = A.category_totals(V.ledger(spark, sf), V.categories(spark)).select("id", "name", "total")
