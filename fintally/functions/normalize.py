@@ -20,11 +20,21 @@ def _c(c) -> Column:
 
 
 def _try_date(s: Column, pattern: str) -> Column:
-    d = F.try_to_timestamp(s, F.lit(pattern)).cast("date")
     if "yy" in pattern and "yyyy" not in pattern:
-        # two-digit years: 69..99 belong to the 1900s (Spark's base year is 2000)
-        d = F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
-    return d
+        # two-digit years as Python reads them (69..99 -> 19xx, 00..68 -> 20xx): widen the
+        # trailing two-digit year to four digits, then parse with a four-digit pattern
+        tail = pattern.replace("yy", "")
+        sep = re_escape_tail(tail)
+        s = F.regexp_replace(s, rf"^(.*{sep})(69|[7-9][0-9])$", "$119$2")
+        s = F.regexp_replace(s, rf"^(.*{sep})([0-5][0-9]|6[0-8])$", "$120$2")
+        pattern = pattern.replace("yy", "yyyy")
+    return F.try_to_timestamp(s, F.lit(pattern)).cast("date")
+
+
+def re_escape_tail(tail: str) -> str:
+    """Regex for the literal separator right before the year field of a pattern."""
+    import re
+    return re.escape(tail[-1]) if tail else ""
 
 
 def norm_date(col, patterns=DEFAULT_DATE_PATTERNS, fallback: bool = True) -> Column:

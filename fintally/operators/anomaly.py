@@ -22,18 +22,46 @@ def _categorised(txns: DataFrame) -> DataFrame:
     return txns.filter(F.col("category_id").isNotNull() & (F.col("category_id") != 0))
 
 
-def category_stats(txns: DataFrame) -> DataFrame:
-    """Per category: n, mean and sample stdev of |amount| (stdev 0 when n = 1), and the index
-    quartiles q1 = sorted[n//4], q3 = sorted[3n//4]."""
-    cat = _categorised(txns)
-    base = cat.groupBy("category_id").agg(
+def _category_base(txns: DataFrame) -> DataFrame:
+    return _categorised(txns).groupBy("category_id").agg(
         F.count(F.lit(1)).alias("n"),
         (F.sum(F.abs("amount")).cast("double") / F.count(F.lit(1))).alias("mean"),
         F.coalesce(F.stddev_samp(F.abs("amount").cast("double")), F.lit(0.0)).alias("std"))
-    targets = (base.select("category_id", F.lit("q1").alias("tag"), F.floor(F.col("n") / 4).alias("rank"))
-               .unionByName(base.select("category_id", F.lit("q3").alias("tag"),
-                                        F.floor(F.col("n") * 3 / 4).alias("rank"))))
-    q = kth_smallest(cat.select("category_id", _cents().alias("c")), ["category_id"], "c", targets)
+
+
+def order_statistics(txns: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Category quartile ranks and the global median ranks resolved in one radix select.
+
+    Returns (kind, category_id, tag, kth cents): kind 1 rows are per category (tags q1, q3),
+    the kind 0 row group is the whole ledger (tags lo, hi = the two middle positions).
+    """
+    base = base if base is not None else _category_base(txns)
+    n_all = txns.agg(F.count(F.lit(1)).alias("n"))
+    targets = (base.select(F.lit(1).alias("kind"), "category_id", F.lit("q1").alias("tag"),
+                           F.floor(F.col("n") / 4).alias("rank"))
+               .unionByName(base.select(F.lit(1).alias("kind"), "category_id", F.lit("q3").alias("tag"),
+                                        F.floor(F.col("n") * 3 / 4).alias("rank")))
+               .unionByName(n_all.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("category_id"),
+                                         F.lit("lo").alias("tag"), F.floor((F.col("n") - 1) / 2).alias("rank")))
+               .unionByName(n_all.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("category_id"),
+                                         F.lit("hi").alias("tag"), F.floor(F.col("n") / 2).alias("rank"))))
+    vals = (_categorised(txns).select(F.lit(1).alias("kind"), "category_id", _cents().alias("c"))
+            .unionByName(txns.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("category_id"),
+                                     _cents().alias("c"))))
+    return kth_smallest(vals, ["kind", "category_id"], "c", targets)
+
+
+def category_stats(txns: DataFrame, _order: DataFrame | None = None) -> DataFrame:
+    """Per category: n, mean and sample stdev of |amount| (stdev 0 when n = 1), and the index
+    quartiles q1 = sorted[n//4], q3 = sorted[3n//4]."""
+    base = _category_base(txns)
+    if _order is None:
+        targets = (base.select("category_id", F.lit("q1").alias("tag"), F.floor(F.col("n") / 4).alias("rank"))
+                   .unionByName(base.select("category_id", F.lit("q3").alias("tag"),
+                                            F.floor(F.col("n") * 3 / 4).alias("rank"))))
+        q = kth_smallest(_categorised(txns).select("category_id", _cents().alias("c")), ["category_id"], "c", targets)
+    else:
+        q = _order.filter(F.col("kind") == 1).select("category_id", "tag", "kth")
     qs = q.groupBy("category_id").agg(
         (F.max(F.when(F.col("tag") == "q1", F.col("kth"))).cast(MONEY) / 100).cast(MONEY).alias("q1"),
         (F.max(F.when(F.col("tag") == "q3", F.col("kth"))).cast(MONEY) / 100).cast(MONEY).alias("q3"))
@@ -54,9 +82,9 @@ def iqr_bounds(stats: DataFrame, k: float = ANOMALY_IQR_MULTIPLIER) -> DataFrame
             .select("category_id", "q1", "q3", lower.alias("lower_bound"), upper.alias("upper_bound")))
 
 
-def anomaly_iqr(txns: DataFrame, k: float = ANOMALY_IQR_MULTIPLIER) -> DataFrame:
+def anomaly_iqr(txns: DataFrame, k: float = ANOMALY_IQR_MULTIPLIER, _order: DataFrame | None = None) -> DataFrame:
     """Categorised rows with |amount| above the upper bound, or below a positive lower bound."""
-    b = iqr_bounds(category_stats(txns), k)
+    b = iqr_bounds(category_stats(txns, _order), k)
     a = F.abs("amount")
     return (_categorised(txns).join(b, "category_id")
             .withColumn("above", a > F.col("upper_bound"))
@@ -65,29 +93,36 @@ def anomaly_iqr(txns: DataFrame, k: float = ANOMALY_IQR_MULTIPLIER) -> DataFrame
             .filter(F.col("above") | F.col("below")))
 
 
-def global_median_abs(txns: DataFrame) -> DataFrame:
+def global_median_abs(txns: DataFrame, _order: DataFrame | None = None) -> DataFrame:
     """One row with the exact median of |amount| (mean of the two middle values when even)."""
-    n = txns.agg(F.count(F.lit(1)).alias("n"))
-    targets = (n.select(F.lit("lo").alias("tag"), F.floor((F.col("n") - 1) / 2).alias("rank"))
-               .unionByName(n.select(F.lit("hi").alias("tag"), F.floor(F.col("n") / 2).alias("rank"))))
-    q = kth_smallest(txns.select(_cents().alias("c")), [], "c", targets)
+    if _order is None:
+        n = txns.agg(F.count(F.lit(1)).alias("n"))
+        targets = (n.select(F.lit("lo").alias("tag"), F.floor((F.col("n") - 1) / 2).alias("rank"))
+                   .unionByName(n.select(F.lit("hi").alias("tag"), F.floor(F.col("n") / 2).alias("rank"))))
+        q = kth_smallest(txns.select(_cents().alias("c")), [], "c", targets)
+    else:
+        q = _order.filter(F.col("kind") == 0).select("tag", "kth")
     return q.agg(((F.sum("kth") / 2).cast("decimal(20,3)") / 100).cast("decimal(20,5)").alias("median"))
 
 
-def anomaly_new_merchant(txns: DataFrame, k: float = ANOMALY_MEDIAN_MULTIPLIER) -> DataFrame:
+def anomaly_new_merchant(txns: DataFrame, k: float = ANOMALY_MEDIAN_MULTIPLIER,
+                         _order: DataFrame | None = None) -> DataFrame:
     """Rows of merchants seen exactly once whose |amount| exceeds k x the global median
     (and the threshold is positive). Merchant counts are a partial aggregate, then a semi-join."""
     once = txns.groupBy("merchant").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("merchant")
-    threshold = global_median_abs(txns).select((F.col("median") * k).alias("t")).scalar()
+    threshold = global_median_abs(txns, _order).select((F.col("median") * k).alias("t")).scalar()
     return (txns.join(once, "merchant", "left_semi")
             .withColumn("threshold", threshold)
             .filter((F.abs("amount") > F.col("threshold")) & (F.col("threshold") > 0)))
 
 
 def anomaly_report(txns: DataFrame) -> DataFrame:
-    """One row per flagged transaction with both checks and a '; '-joined reason text."""
-    iqr = anomaly_iqr(txns).select("id", "above", "below", "lower_bound", "upper_bound")
-    nm = anomaly_new_merchant(txns).select("id", F.lit(True).alias("new_merchant"), "threshold")
+    """One row per flagged transaction with both checks and a '; '-joined reason text.
+
+    Quartiles and the median come from one shared radix select (``order_statistics``)."""
+    order = order_statistics(txns)
+    iqr = anomaly_iqr(txns, _order=order).select("id", "above", "below", "lower_bound", "upper_bound")
+    nm = anomaly_new_merchant(txns, _order=order).select("id", F.lit(True).alias("new_merchant"), "threshold")
     flagged = iqr.join(nm, "id", "full_outer")
     a = F.abs("amount")
     # two-decimal text of an exact value (DECIMAL keeps '%.2f' free of binary noise)

@@ -3,9 +3,9 @@ name and by value profiles, per-file totals, subscription/income hints, account
 the onboarding spending analysis.
 
 Inputs are long-form frames: ``headers`` (file, position, column) and ``cells``
-(file, blk, pos, position, column, value). Substring tests against the fixed format and
-alias tables are turned into equi-joins by exploding every substring of the (short)
-header names, so no file x format pairs are enumerated.
+(file, blk, pos, position, column, value). Substring tests against the fixed format table
+are a ``filter`` over a literal array per distinct header, so no file x format pairs are
+joined or shuffled.
 """
 from __future__ import annotations
 
@@ -18,38 +18,46 @@ from fintally.functions.normalize import (norm_amount, norm_date, norm_descripti
                                           norm_split_amount_analysis)
 
 
-def _substrings(col):
-    """All non-empty substrings of a string (header names and file names are short)."""
-    n = F.length(col)
-    return F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(F.sequence(i, F.greatest(n, F.lit(1))), lambda j: F.substring(col, i, j - i + 1))))
+def _format_column_array():
+    """Fixed (format_id, lower-case column, weight) entries of every non-generic format."""
+    from fintally.formats import BANK_FORMATS
+    entries = []
+    for f, _n, _inst, _at, headers, sigs, _m in BANK_FORMATS:
+        if f == "generic":
+            continue
+        entries += [(f, c.lower(), 3) for c in sigs] + [(f, c.lower(), 1) for c in headers]
+    return F.array(*[F.struct(F.lit(f).alias("format_id"), F.lit(c).alias("col"), F.lit(w).alias("weight"))
+                     for f, c, w in entries])
 
 
-def _format_columns(formats: DataFrame) -> DataFrame:
-    sig = formats.select("format_id", F.explode("signature_columns").alias("col"), F.lit(3).alias("weight"))
-    hdr = formats.select("format_id", F.explode("headers").alias("col"), F.lit(1).alias("weight"))
-    return (sig.unionByName(hdr).filter(F.col("format_id") != "generic")
-            .select("format_id", F.lower("col").alias("col"), "weight"))
+def _institution_array():
+    from fintally.formats import BANK_FORMATS
+    return F.array(*[F.struct(F.lit(f).alias("format_id"), F.lit(inst.lower()).alias("inst"))
+                     for f, _n, inst, *_ in BANK_FORMATS if f != "generic" and inst])
 
 
 def detect_format(headers: DataFrame, formats: DataFrame, file_names: DataFrame | None = None) -> DataFrame:
     """Best bank format per file: +3 per signature column and +1 per expected header that
     equals or is contained in a file header (case-insensitive), +5 when the institution
     name is contained in the file name. Highest score wins, earlier formats win ties; a
-    file with no positive score is 'generic'. Returns (file, format_id, score)."""
-    fc = _format_columns(formats)
-    subs = (headers.select("file", F.lower(F.trim("column")).alias("h")).distinct()
-            .select("file", F.explode(_substrings(F.col("h"))).alias("col")).distinct())
-    matched = subs.join(F.broadcast(fc), "col").select("file", "format_id", "col", "weight").distinct()
+    file with no positive score is 'generic'. Returns (file, format_id, score).
+
+    The format table is a fixed list of about 150 names, so each distinct header is tested
+    against it with one ``filter`` over a literal array (no join, no shuffle of pairs).
+    """
+    hs = headers.select("file", F.lower(F.trim("column")).alias("h")).distinct()
+    matched = (hs.select("file", F.explode(F.filter(_format_column_array(),
+                                                    lambda e: F.contains(F.col("h"), e["col"]))).alias("e"))
+               .select("file", F.col("e.format_id").alias("format_id"), F.col("e.col").alias("col"),
+                       F.col("e.weight").alias("weight"))
+               .distinct())
     score = matched.groupBy("file", "format_id").agg(F.sum("weight").alias("score"))
     if file_names is not None:
-        inst = formats.filter(F.col("format_id") != "generic").select(
-            "format_id", F.lower("institution").alias("frag")).filter(F.length("frag") > 0)
-        fn = (file_names.select("file", F.lower(F.col("file_name")).alias("fname"))
-              .select("file", F.explode(F.array_distinct(_substrings(F.col("fname")))).alias("frag")))
-        bonus = fn.join(F.broadcast(inst), "frag").select("file", "format_id").distinct() \
-            .withColumn("score", F.lit(5))
+        fn = file_names.select("file", F.lower(F.col("file_name")).alias("fname"))
+        bonus = (fn.select("file", F.explode(F.filter(_institution_array(),
+                                                      lambda e: F.contains(F.col("fname"), e["inst"]))).alias("e"))
+                 .select("file", F.col("e.format_id").alias("format_id")).distinct()
+                 .withColumn("score", F.lit(5).cast("long")))
         score = score.unionByName(bonus).groupBy("file", "format_id").agg(F.sum("score").alias("score"))
     pos = formats.select("format_id", "position")
     best = (score.filter(F.col("score") > 0).join(F.broadcast(pos), "format_id")
