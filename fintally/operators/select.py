@@ -99,18 +99,20 @@ def category_budgets(categories: DataFrame) -> DataFrame:
     return categories.filter(F.col("budget_amount") > 0).orderBy(F.desc("budget_amount"), F.asc("id"))
 
 
-def latest_log(log: DataFrame) -> DataFrame:
-    """Latest categorisation log row per transaction (ties by id)."""
-    w = Window.partitionBy("transaction_id").orderBy(F.desc("created_at"), F.desc("id"))
-    return log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+def latest_log(log: DataFrame, order=("created_at", "id")) -> DataFrame:
+    """Latest categorisation log row per transaction (newest ``created_at``, then highest id).
 
+    A ``max(struct(order..., row))`` aggregate: combined map-side, so a transaction with a
+    very long log is never gathered into one task.
+    """
+    rest = [c for c in log.columns if c not in ("transaction_id", *order)]
+    latest = log.groupBy("transaction_id").agg(F.max(F.struct(*order, *rest)).alias("_l"))
+    return latest.select("transaction_id", *[F.col(f"_l.{c}").alias(c) for c in (*order, *rest)])
 
-def settings_typed(settings: DataFrame) -> DataFrame:
-    """Key/value text settings as one typed row: float if the text has '.', else int, else text.
 
-    Each key becomes three columns' worth of parsing folded into one typed struct field;
-    the typed value columns are ``<key>`` (double), and ``<key>_text`` keeps the raw text.
-    """
+def settings_typed(settings: DataFrame) -> DataFrame:
+    """Typed key/value settings: a value containing '.' is a float, else an int when it
+    parses as one, else text. Returns (key, value_text, value_num, value_type)."""
     v = F.col("value")
     as_num = F.when(F.contains(v, F.lit(".")), F.expr("try_cast(value AS DOUBLE)")) \
         .otherwise(F.expr("try_cast(try_cast(value AS BIGINT) AS DOUBLE)"))

@@ -86,15 +86,30 @@ def _hashed_vector(text: str, dim: int) -> np.ndarray:
 # --- exact kNN ----------------------------------------------------------------
 
 
+BLOCK_ROWS = 4096
+
+
+def block_counts(queries: DataFrame, base: DataFrame, block_rows: int = BLOCK_ROWS):
+    """Blocks of about ``block_rows`` vectors on each side (two count jobs)."""
+    nq, nb = queries.count(), base.count()
+    return max(1, -(-nq // block_rows)), max(1, -(-nb // block_rows))
+
+
 def knn_exact(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, query_id: str = "query_id",
               base_id: str = "transaction_id", vector: str = "vector", exclude_self: bool = False,
-              query_blocks: int = 4, base_blocks: int = 8) -> DataFrame:
+              query_blocks: int | None = None, base_blocks: int | None = None) -> DataFrame:
     """k nearest base vectors per query by squared L2 distance (ties by base id).
 
     Returns (query_id, rank 1..k, neighbor_id, distance). ``exclude_self`` drops pairs with
-    equal ids (leave-one-out over one table). Block counts set the parallelism: each cell
-    holds ~|Q|/query_blocks queries and ~|B|/base_blocks base vectors.
+    equal ids (leave-one-out over one table). Each cell holds ~|Q|/query_blocks queries and
+    ~|B|/base_blocks base vectors; by default both are sized to about ``BLOCK_ROWS`` vectors
+    per block, so a cell's distance matrix stays bounded however large the tables grow
+    (queries are replicated base_blocks times, base vectors query_blocks times).
     """
+    if query_blocks is None or base_blocks is None:
+        auto_q, auto_b = block_counts(queries, base)
+        query_blocks = query_blocks or auto_q
+        base_blocks = base_blocks or auto_b
     qb, bb = int(query_blocks), int(base_blocks)
     q = (queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("qv"))
          .withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int"))
@@ -286,7 +301,7 @@ def text_matches(queries: DataFrame, txns: DataFrame, query_id: str = "query_id"
 
 def hybrid_search(queries: DataFrame, txns: DataFrame, vectors: DataFrame, k: int = TOP_K_SIMILAR,
                   query_id: str = "query_id", text: str = "text", vector: str = "vector",
-                  query_blocks: int = 4, base_blocks: int = 8) -> DataFrame:
+                  query_blocks: int | None = None, base_blocks: int | None = None) -> DataFrame:
     """Per query: up to k text hits (score 1.0, newest first), then the nearest vectors not
     already returned (score exp(-distance)), k results in total when enough exist.
 

@@ -146,14 +146,10 @@ SELECT transaction_id, id, category_id, confidence, explanation FROM (
                                ORDER BY created_at DESC, id DESC, category_id DESC, confidence DESC, explanation DESC) AS rn
   FROM v_log) WHERE rn = 1""")
 def q_latest_log(spark, sf):
-    from pyspark.sql import Window
     log = V.categorization_log(spark, sf)
-    # the generic operator orders by (created_at, id); the test log repeats (created_at, id)
-    # pairs, so this registered form adds the remaining columns as tie-breakers
-    w = Window.partitionBy("transaction_id").orderBy(
-        F.desc("created_at"), F.desc("id"), F.desc("category_id"), F.desc("confidence"), F.desc("explanation"))
-    return (log.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-            .select("transaction_id", "id", "category_id", "confidence", "explanation"))
+    # the test log repeats (created_at, id) pairs, so the remaining columns break ties
+    latest = S.latest_log(log, order=("created_at", "id", "category_id", "confidence", "explanation"))
+    return latest.select("transaction_id", "id", "category_id", "confidence", "explanation")
 
 
 @register("settings_typed", """
