@@ -20,7 +20,7 @@ def q_monthly_totals(spark, sf):
     return A.monthly_totals(V.ledger(spark, sf), V.AS_OF, 12)
 
 
-@register("summary_totals", """
+SUMMARY_TOTALS_SQL = """
 SELECT COUNT(*) AS total_transactions,
        CAST(COALESCE(SUM(CASE WHEN amount > 0 THEN amount ELSE 0 END), 0) AS DOUBLE) AS total_income,
        CAST(COALESCE(SUM(CASE WHEN amount < 0 THEN -amount ELSE 0 END), 0) AS DOUBLE) AS total_expenses,
@@ -30,7 +30,10 @@ SELECT COUNT(*) AS total_transactions,
        CAST(COALESCE(SUM(CASE WHEN is_recurring THEN ABS(amount) END), 0) AS DOUBLE) AS estimated_monthly_recurring,
        COUNT(*) FILTER (WHERE is_anomaly) AS anomalies,
        COUNT(*) FILTER (WHERE category_id IS NULL OR category_id = 0) AS uncategorized
-FROM v_ledger""")
+FROM v_ledger"""
+
+
+@register("summary_totals", SUMMARY_TOTALS_SQL)
 def q_summary_totals(spark, sf):
     return A.summary_totals(V.ledger(spark, sf))
 
@@ -140,7 +143,7 @@ def q_category_spending(spark, sf):
     return A.category_spending(V.ledger(spark, sf), 2001, 7)
 
 
-@register("category_status", """
+CATEGORY_STATUS_SQL = """
 SELECT c.id, c.name, CAST(c.budget_amount AS DOUBLE) AS budget_amount,
        COALESCE(a.transaction_count, 0) AS transaction_count,
        CAST(COALESCE(a.spent, 0) AS DOUBLE) AS spent,
@@ -150,7 +153,10 @@ SELECT c.id, c.name, CAST(c.budget_amount AS DOUBLE) AS budget_amount,
 FROM v_categories c LEFT JOIN (
     SELECT category_id, COUNT(*) AS transaction_count,
            SUM(CASE WHEN amount < 0 AND strftime(date, '%Y-%m') = '2001-07' THEN ABS(amount) END) AS spent
-    FROM v_ledger WHERE category_id IS NOT NULL GROUP BY category_id) a ON a.category_id = c.id""")
+    FROM v_ledger WHERE category_id IS NOT NULL GROUP BY category_id) a ON a.category_id = c.id"""
+
+
+@register("category_status", CATEGORY_STATUS_SQL)
 def q_category_status(spark, sf):
     return A.category_status(V.ledger(spark, sf), V.categories(spark), 2001, 7)
 

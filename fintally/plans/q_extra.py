@@ -112,26 +112,42 @@ def q_detect_description_balance(spark, sf):
     return m.select("file", "description_column", "balance_column")
 
 
-@register("detect_confidence")
+def _confidence_sql():
+    from fintally.plans import q_import as QI
+    return f"""
+WITH {QI._formats_values_sql()}, {QI._FMT_SCORE_SQL},
+det AS (SELECT f.file, COALESCE(b.format_id, 'generic') AS format_id
+        FROM (SELECT DISTINCT file FROM v_file_headers) f LEFT JOIN (
+          SELECT file, arg_min(sc.format_id, (-score, x.position)) AS format_id
+          FROM sc JOIN fmts x ON sc.format_id = x.format_id WHERE score > 0 GROUP BY file) b ON f.file = b.file),
+{QI._aliases_sql()},
+lc AS (SELECT file, lower("column") AS alias, arg_max("column", position) AS "column" FROM v_file_headers GROUP BY 1, 2),
+c AS (SELECT lc.file, al.field, lc."column", al.rank FROM lc JOIN al ON lc.alias = al.alias
+      WHERE al.field IN ('date', 'amount', 'merchant', 'description')),
+f1 AS (SELECT file, field, arg_min("column", rank) AS "column" FROM c WHERE field <> 'description' GROUP BY 1, 2),
+mm AS (SELECT file, "column" AS m FROM f1 WHERE field = 'merchant'),
+d1 AS (SELECT c.file, c.field FROM c LEFT JOIN mm ON c.file = mm.file
+       WHERE c.field = 'description' AND (mm.m IS NULL OR c."column" <> mm.m) GROUP BY 1, 2),
+n AS (SELECT file, COUNT(*) AS n FROM (SELECT file, field FROM f1 UNION ALL SELECT file, field FROM d1) GROUP BY file)
+SELECT det.file, CASE WHEN det.format_id = 'generic' THEN 'low' WHEN COALESCE(n.n, 0) >= 4 THEN 'high'
+                      WHEN COALESCE(n.n, 0) >= 2 THEN 'medium' ELSE 'low' END AS confidence
+FROM det LEFT JOIN n ON det.file = n.file"""
+
+
+@register("detect_confidence", _confidence_sql())
 def q_detect_confidence(spark, sf):
     h = V.file_headers_view(spark, sf)
     names = h.select("file", F.col("file").alias("file_name")).distinct()
     ff = P.detect_format(h, formats_df(spark), names)
     by_name = P.detect_columns_by_name(h, aliases_df(spark))
     wide = by_name.groupBy("file").pivot("field", ["date", "amount", "merchant", "description"]).agg(F.first("column"))
-    mapping = wide.select("file", *[F.col(c).alias(f"{c}_column") for c in ["date", "amount", "merchant", "description"]],
-                          *[F.lit(None).cast("string").alias(c) for c in ["debit_column", "credit_column", "balance_column"]])
+    files = h.select("file").distinct()
+    mapping = files.join(wide, "file", "left").select(
+        "file", *[F.col(c).alias(f"{c}_column") for c in ["date", "amount", "merchant", "description"]],
+        *[F.lit(None).cast("string").alias(c) for c in ["debit_column", "credit_column", "balance_column"]])
     return P.detect_confidence(ff, mapping)
 
 
-@register("norm_onboarding_row")
-def q_norm_onboarding_row(spark, sf):
-    from fintally.plans.q_import import _raw_mapping, _raw_rows_map
-    mapping = _raw_mapping(spark, sf).withColumn("description_column", F.lit("Merchant"))
-    good, skipped = P.norm_onboarding_row(_raw_rows_map(spark, sf), mapping)
-    return good.select("file", "pos", "amount", "merchant", "description", "date_text")
-
-
 _LEDGER_MONTHS = "SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS n FROM v_ledger GROUP BY 1"
 
 
@@ -168,7 +184,10 @@ def q_src_vectors(spark, sf):
     return v.agg(F.count(F.lit(1)).alias("n"), F.count_if("dim_ok").alias("dim_ok"))
 
 
-@register("sink_append_log")
+@register("sink_append_log", f"""
+{q_similarity._AUTO_J.rstrip()},
+ids AS (SELECT qid, COUNT(*) AS n_similar FROM nn GROUP BY qid)
+SELECT j.qid AS transaction_id, j.cid AS category_id, ids.n_similar FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
 def q_sink_append_log(spark, sf):
     from fintally.operators import similarity as SI
     led = V.ledger(spark, sf)
@@ -178,7 +197,7 @@ def q_sink_append_log(spark, sf):
     path = scratch_dir(spark, "log")
     IO.sink_append_log(log, path)
     back = spark.read.parquet(path)
-    return back.select("transaction_id", "category_id", F.size("similar_transaction_ids").alias("n_similar"))
+    return back.select("transaction_id", "category_id", F.size("similar_transaction_ids").cast("long").alias("n_similar"))
 
 
 # --- remaining functions ------------------------------------------------------------
@@ -222,7 +241,32 @@ def q_dedupe_key(spark, sf):
     return V.ledger(spark, sf).select("id", CH.dedupe_key().alias("dedupe_key"))
 
 
-@register("insight_cards")
+def _cards_sql():
+    from fintally.plans import q_analytics as QA
+    from fintally.plans import q_ledger as QL
+    status, summary = QA.CATEGORY_STATUS_SQL, QA.SUMMARY_TOTALS_SQL
+    overview = QL._OVERVIEW_SQL.replace("WITH fb AS", "WITH fb2 AS", 1).replace("FROM fb)", "FROM fb2)")
+    return f"""
+WITH st AS ({status}), sm AS ({summary}), ov AS ({overview})
+SELECT 'Monthly Summary' AS card, CASE WHEN net >= 0 THEN 'net savings' ELSE 'net deficit' END AS subject,
+       ABS(net) AS value, CAST(NULL AS BIGINT) AS count FROM sm
+UNION ALL SELECT 'Action Required', 'uncategorized', NULL, uncategorized FROM sm WHERE uncategorized > 0
+UNION ALL SELECT 'Budget Alert', arg_max(name, (budget_percent, -id)), arg_max(budget_percent, (budget_percent, -id)), NULL
+  FROM st WHERE budget_amount > 0 AND budget_percent >= 100 HAVING COUNT(*) > 0
+UNION ALL SELECT 'Budget Warning', arg_max(name, (budget_percent, -id)), arg_max(budget_percent, (budget_percent, -id)), NULL
+  FROM st WHERE budget_amount > 0 AND budget_percent >= 80 AND budget_percent < 100 HAVING COUNT(*) > 0
+UNION ALL SELECT 'Top Spending', arg_max(name, (spent, -id)), arg_max(spent, (spent, -id)), NULL
+  FROM st WHERE spent > 0 HAVING COUNT(*) > 0
+UNION ALL SELECT 'On Track', 'healthy budgets', NULL, COUNT(*) FROM st
+  WHERE budget_amount > 0 AND budget_percent < 50 HAVING COUNT(*) > 0
+UNION ALL SELECT 'Activity', 'total transactions', NULL, total_transactions FROM sm
+UNION ALL SELECT CASE WHEN is_over THEN 'Spending Alert' WHEN percent_used >= 80 THEN 'Budget Warning'
+                      ELSE 'Budget Status' END, 'discretionary',
+                 CASE WHEN is_over THEN total_spent ELSE percent_used END, NULL
+  FROM ov WHERE income_is_set AND (is_over OR percent_used >= 80 OR (discretionary_budget > 0 AND percent_used < 50))"""
+
+
+@register("insight_cards", _cards_sql())
 def q_insight_cards(spark, sf):
     led = V.ledger(spark, sf)
     cats = V.categories(spark)

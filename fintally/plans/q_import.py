@@ -331,10 +331,71 @@ def q_detect_split_amounts(spark, sf):
     return P.detect_split_amounts(V.file_headers_view(spark, sf))
 
 
-@register("detect_account_type")
+_ACCT_FORMATS = ["chase_credit", "pnc", "generic", "marcus"]
+
+
+@register("detect_account_type", f"""
+WITH st AS (SELECT file, COUNT(amount) AS total, COUNT(*) FILTER (WHERE amount > 0) AS pos,
+                   COUNT(*) FILTER (WHERE amount < 0) AS neg,
+                   COUNT(*) FILTER (WHERE regexp_matches(merchant_l, 'payment|thank you')) AS payments,
+                   COUNT(*) FILTER (WHERE regexp_matches(merchant_l, 'direct dep|payroll|salary')) AS payroll
+            FROM ({_AMOUNTS_SQL}) GROUP BY file),
+ff AS (SELECT file, [{", ".join(repr(x) for x in _ACCT_FORMATS)}][CAST(regexp_extract(file, 'acct_([0-9]+)', 1) AS INTEGER) % 4 + 1]
+              AS format_id FROM st),
+ft AS (SELECT * FROM (VALUES ('chase_credit', 'credit_card', 'Chase Credit Card'), ('pnc', 'checking', 'PNC Bank'),
+                             ('generic', 'unknown', 'Generic Format'), ('marcus', 'savings', 'Marcus by Goldman Sachs'))
+       x(format_id, fmt_type, fmt_name)),
+j AS (SELECT st.*, ft.fmt_type, ft.fmt_name, st.total > 0 AS has_amounts,
+             st.neg > st.total * 0.7 AS credit,
+             NOT (st.neg > st.total * 0.7) AND st.pos > st.total * 0.1 AND st.neg > st.total * 0.3 AS checking,
+             NOT (st.neg > st.total * 0.7) AND NOT (st.pos > st.total * 0.1 AND st.neg > st.total * 0.3)
+               AND st.pos > st.total * 0.5 AS savings
+      FROM st JOIN ff ON st.file = ff.file JOIN ft ON ff.format_id = ft.format_id),
+k AS (SELECT *, CASE WHEN has_amounts AND credit THEN 'credit_card' WHEN has_amounts AND checking THEN 'checking'
+                     WHEN has_amounts AND savings THEN 'savings' ELSE fmt_type END AS t0,
+                CASE WHEN has_amounts AND credit THEN CASE WHEN payments >= 1 THEN 'high' ELSE 'medium' END
+                     WHEN has_amounts AND checking THEN CASE WHEN payroll >= 1 THEN 'high' ELSE 'medium' END
+                     WHEN has_amounts AND savings THEN 'medium' ELSE 'low' END AS c0,
+                has_amounts AND fmt_type IN ('credit_card', 'checking', 'savings') AS override
+      FROM j)
+SELECT file, CASE WHEN override THEN fmt_type ELSE t0 END AS type,
+       CASE WHEN override AND c0 = 'low' THEN 'medium' ELSE c0 END AS confidence,
+       array_to_string(list_filter([
+         CASE WHEN has_amounts AND credit THEN 'Mostly expenses (typical for credit card)' END,
+         CASE WHEN has_amounts AND credit AND payments >= 1 THEN 'Found payment transactions' END,
+         CASE WHEN has_amounts AND checking AND payroll >= 1 THEN 'Found direct deposit transactions' END,
+         CASE WHEN has_amounts AND checking AND payroll < 1 THEN 'Mix of income and expenses' END,
+         CASE WHEN has_amounts AND savings THEN 'Mostly deposits' END,
+         CASE WHEN override THEN 'Format signature: ' || fmt_name END], lambda x: x IS NOT NULL), '; ') AS hints
+FROM k""")
 def q_detect_account_type(spark, sf):
     amounts = _amounts(spark, sf)
     files = V.raw_rows(spark, sf).select("file").distinct()
-    ff = files.select("file", F.element_at(F.array(*[F.lit(x) for x in ["chase_credit", "pnc", "generic", "marcus"]]),
-                                           (F.abs(F.hash("file")) % 4 + 1).cast("int")).alias("format_id"))
+    idx = F.regexp_extract("file", r"acct_([0-9]+)", 1).cast("int") % 4 + 1
+    ff = files.select("file", F.element_at(F.array(*[F.lit(x) for x in _ACCT_FORMATS]), idx).alias("format_id"))
     return P.detect_account_type(amounts, ff, formats_df(spark), _raw_mapping(spark, sf))
+
+
+@register("norm_onboarding_row", f"""
+SELECT file, pos, amount, trim(coalesce(raw_merchant, '')) AS merchant,
+       substr(trim(coalesce(raw_merchant, '')), 1, 100) AS description,
+       COALESCE(strftime(date, '%Y-%m-%d'), trim(coalesce(raw_date, ''))) AS date_text
+FROM (
+  SELECT file, line AS pos, raw_merchant, raw_date,
+         CASE WHEN starts_with(t, '(') AND ends_with(t, ')')
+              THEN CASE WHEN regexp_full_match(trim(substr(t, 2, length(t) - 2)), '{_NUM}')
+                        THEN -TRY_CAST(trim(substr(t, 2, length(t) - 2)) AS DOUBLE) END
+              WHEN regexp_full_match(t, '{_NUM}') THEN TRY_CAST(t AS DOUBLE) END AS amount,
+         COALESCE(
+           CASE WHEN regexp_full_match(tok, '\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}') THEN CAST(try_strptime(tok, '%Y-%m-%d') AS DATE) END,
+           CASE WHEN regexp_full_match(tok, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN CAST(try_strptime(tok, '%m/%d/%Y') AS DATE) END,
+           CASE WHEN regexp_full_match(tok, '\\d{{1,2}}-\\d{{1,2}}-\\d{{4}}') THEN CAST(try_strptime(tok, '%m-%d-%Y') AS DATE) END,
+           CASE WHEN regexp_full_match(tok, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN CAST(try_strptime(tok, '%d/%m/%Y') AS DATE) END,
+           CASE WHEN regexp_full_match(tok, '\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}') THEN CAST(try_strptime(tok, '%Y/%m/%d') AS DATE) END) AS date
+  FROM (SELECT *, trim(regexp_replace(raw_amount, '[$,]', '', 'g')) AS t,
+               string_split_regex(trim(raw_date), '\\s+')[1] AS tok FROM v_raw))
+WHERE amount IS NOT NULL AND amount <> 0""")
+def q_norm_onboarding_row(spark, sf):
+    mapping = _raw_mapping(spark, sf).withColumn("description_column", F.lit("Merchant"))
+    good, _ = P.norm_onboarding_row(_raw_rows_map(spark, sf), mapping)
+    return good.select("file", "pos", "amount", "merchant", "description", "date_text")

@@ -71,7 +71,7 @@ def q_category_votes(spark, sf):
                     F.col("position").cast("long").alias("position"))
 
 
-@register("auto_categorize", f"""
+_AUTO_SQL = f"""
 WITH {_DIST_SQL.format(k=_K)}, {_VOTES_SQL},
 tot AS (SELECT qid, COUNT(*) AS n_similar FROM nn GROUP BY qid),
 top AS (SELECT qid, category AS top_category, votes AS top_votes FROM pos WHERE position = 1),
@@ -87,12 +87,22 @@ SELECT qid AS query_id, n_similar, top_category, top_votes,
        CASE WHEN auto THEN cid END AS category_id,
        CASE WHEN auto THEN top_votes / n_similar ELSE 0.0 END AS confidence,
        CASE WHEN NOT auto THEN suggestions END AS suggestions
-FROM j""")
+FROM j"""
+
+
+@register("auto_categorize", _AUTO_SQL)
 def q_auto_categorize(spark, sf):
     return SI.auto_categorize(_loo(spark, sf), V.vectors(spark, sf), V.categories(spark))
 
 
-@register("auto_categorize_apply")
+_AUTO_J = _AUTO_SQL[:_AUTO_SQL.index("SELECT qid AS query_id, n_similar")]
+
+
+@register("auto_categorize_apply", f"""
+{_AUTO_J.rstrip()},
+ids AS (SELECT qid, string_agg(CAST(bid AS VARCHAR), ',' ORDER BY rank) AS similar_ids FROM nn GROUP BY qid)
+SELECT j.qid AS transaction_id, j.cid AS category_id, j.top_votes / j.n_similar AS confidence, ids.similar_ids
+FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
 def q_auto_categorize_apply(spark, sf):
     led = V.ledger(spark, sf)
     nn = _loo(spark, sf)
