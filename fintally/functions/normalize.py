@@ -19,6 +19,39 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def pattern_shape(pattern: str) -> str:
+    """A regular expression for the text shapes a datetime pattern can parse.
+
+    Used as a guard: parsing is only attempted when the shape matches, because every failed
+    parse attempt costs a Java exception inside ``try_to_timestamp``.
+    """
+    import re
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "'":
+            j = pattern.index("'", i + 1)
+            out.append(re.escape(pattern[i + 1:j]))
+            i = j + 1
+            continue
+        j = i
+        while j < len(pattern) and pattern[j] == ch:
+            j += 1
+        run = j - i
+        if ch == "y":
+            out.append(r"\d{4}" if run >= 4 else r"\d{2}")
+        elif ch == "M" and run >= 4:
+            out.append(r"[A-Za-z]+")
+        elif ch == "M" and run == 3:
+            out.append(r"[A-Za-z]{3}")
+        elif ch in "MdHms":
+            out.append(r"\d{2}" if run == 2 else r"\d{1,2}")
+        else:
+            out.append(re.escape(pattern[i:j]))
+        i = j
+    return "^" + "".join(out) + "$"
+
+
 def _try_date(s: Column, pattern: str) -> Column:
     if "yy" in pattern and "yyyy" not in pattern:
         # two-digit years as Python reads them (69..99 -> 19xx, 00..68 -> 20xx): widen the
@@ -28,7 +61,7 @@ def _try_date(s: Column, pattern: str) -> Column:
         s = F.regexp_replace(s, rf"^(.*{sep})(69|[7-9][0-9])$", "$119$2")
         s = F.regexp_replace(s, rf"^(.*{sep})([0-5][0-9]|6[0-8])$", "$120$2")
         pattern = pattern.replace("yy", "yyyy")
-    return F.try_to_timestamp(s, F.lit(pattern)).cast("date")
+    return F.when(s.rlike(pattern_shape(pattern)), F.try_to_timestamp(s, F.lit(pattern)).cast("date"))
 
 
 def re_escape_tail(tail: str) -> str:

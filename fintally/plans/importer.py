@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from fintally.formats import aliases_df, formats_df
 from fintally.operators import changes as CH
 from fintally.operators import profile as P
-from fintally.sources.csv_exports import file_headers, src_csv_exports
+from fintally.sources.csv_exports import src_csv_exports, src_csv_headers
 
 _FIELDS = ["date", "amount", "merchant", "description"]
 
@@ -37,7 +37,7 @@ def fixed_mapping(headers: DataFrame, mapping: dict) -> DataFrame:
 def parse_exports(spark: SparkSession, path: str, column_mapping: dict | None = None):
     """(good, rejected) normalised rows of every export under ``path``."""
     rows = src_csv_exports(spark, path)
-    headers = file_headers(rows)
+    headers = src_csv_headers(spark, path)
     mapping = fixed_mapping(headers, column_mapping) if column_mapping else name_mapping(headers, spark)
     return P.norm_row(rows, mapping)
 
@@ -49,7 +49,7 @@ def analyze_exports(spark: SparkSession, path: str) -> DataFrame:
     steps reuse them many times, and recomputing means re-reading every export.
     """
     rows = src_csv_exports(spark, path).persist()
-    headers = file_headers(rows).persist()
+    headers = src_csv_headers(spark, path).persist()
     fmts = formats_df(spark)
     names = headers.select("file").distinct().select(
         "file", F.element_at(F.split("file", "/"), -1).alias("file_name"))

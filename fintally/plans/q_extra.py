@@ -20,7 +20,7 @@ from fintally.plans.exports import export_name, write_exports
 from fintally.plans.registry import ORACLE, QUERIES, register
 from fintally.session import scratch_dir
 from fintally.sources import ledger_io as IO
-from fintally.sources.csv_exports import file_headers, src_csv_exports, src_sample_rows
+from fintally.sources.csv_exports import src_csv_exports, src_csv_headers, src_sample_rows
 from fintally.streaming import ledger_streams as ST
 
 # --- join shapes, exercised through the operators that use them --------------------
@@ -71,8 +71,9 @@ def q_src_sample_rows(spark, sf):
 
 
 def _export_profile(spark, sf):
-    rows = src_csv_exports(spark, write_exports(spark, sf)).persist()
-    headers = file_headers(rows).persist()
+    path = write_exports(spark, sf)
+    rows = src_csv_exports(spark, path).persist()
+    headers = src_csv_headers(spark, path).persist()
     prof = P.column_profiles(P.cells(rows)).persist()
     return rows, headers, prof
 

@@ -55,6 +55,17 @@ def header_lines(lines: DataFrame) -> DataFrame:
                  F.min_by("line", F.when(is_header, F.col("n")).otherwise(F.col("n") + 1000)).alias("hline")))
 
 
+def _headers(lines: DataFrame) -> DataFrame:
+    return header_lines(lines).select(
+        "file", "hpos", F.transform(_csv_fields(F.col("hline")), lambda x: F.trim(x)).alias("header"))
+
+
+def src_csv_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(file, position, column) of every export's header, from the header search alone."""
+    heads = _headers(read_lines(spark, path))
+    return heads.select("file", F.posexplode("header").alias("position", "column"))
+
+
 def src_csv_exports(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
     """One row per data line of every export under ``path``:
     (file, blk, pos, header array, values array, row map<string,string>).
@@ -63,9 +74,7 @@ def src_csv_exports(spark: SparkSession, path: str, clean: bool = True) -> DataF
     dropped (``src_clean_rows``).
     """
     lines = read_lines(spark, path)
-    heads = header_lines(lines).select(
-        "file", "hpos",
-        F.transform(_csv_fields(F.col("hline")), lambda x: F.trim(x)).alias("header"))
+    heads = _headers(lines)
     data = (lines.join(heads, "file")
             .filter((F.col("blk") > 0) | (F.col("pos") > F.col("hpos")))
             .filter(F.length(F.trim("line")) > 0))
@@ -91,6 +100,7 @@ def src_sample_rows(rows: DataFrame, n: int = 5) -> DataFrame:
 
 
 def file_headers(rows: DataFrame) -> DataFrame:
-    """(file, position, header) long form: one row per header column of every file."""
+    """(file, position, column) long form from already-parsed rows (prefer
+    ``src_csv_headers``, which does not scan the data rows)."""
     return (rows.select("file", "header").dropDuplicates(["file"])
             .select("file", F.posexplode("header").alias("position", "column")))
