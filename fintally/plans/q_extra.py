@@ -88,19 +88,46 @@ def q_detect_columns(spark, sf):
     return m.withColumn("file", export_name())
 
 
-@register("profile_date_col")
+def _profiles_sql() -> str:
+    from fintally.plans import q_import as QI
+    date_v = QI._DATE_SQL.replace("raw_date", "value")
+    amt_v = QI._amount_sql("value")
+    return f"""
+cells AS (SELECT file, line, 0 AS position, 'Date' AS col, raw_date AS value FROM v_raw
+          UNION ALL SELECT file, line, 1, 'Amount', raw_amount FROM v_raw
+          UNION ALL SELECT file, line, 2, 'Merchant', raw_merchant FROM v_raw
+          UNION ALL SELECT file, line, 3, 'Description', raw_description FROM v_raw),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, position ORDER BY line) AS k
+                       FROM cells WHERE value IS NOT NULL AND length(value) > 0) WHERE k <= 20),
+prof AS (SELECT file, position, col, COUNT(*) FILTER (WHERE k <= 10) AS n10,
+                COUNT(*) FILTER (WHERE k <= 10 AND ({date_v}) IS NOT NULL) AS dates10, COUNT(*) AS n20,
+                COUNT(*) FILTER (WHERE ({amt_v}) IS NOT NULL) AS nums20,
+                COUNT(DISTINCT value) AS distinct20, AVG(length(value)) AS avglen20
+         FROM top GROUP BY 1, 2, 3)"""
+
+
+@register("profile_date_col", f"""
+WITH {_profiles_sql()}
+SELECT file, arg_min(col, position) AS date_column FROM prof WHERE n10 > 0 AND dates10 >= n10 * 0.7 GROUP BY file""")
 def q_profile_date_col(spark, sf):
     _, _, prof = _export_profile(spark, sf)
     return P.profile_date_col(prof).withColumn("file", export_name())
 
 
-@register("profile_amount_col")
+@register("profile_amount_col", f"""
+WITH {_profiles_sql()}
+SELECT file, arg_min(col, position) AS amount_column FROM prof
+WHERE n20 > 0 AND nums20 >= n20 * 0.8 AND NOT contains(lower(col), 'balance') AND NOT contains(lower(col), 'running')
+GROUP BY file""")
 def q_profile_amount_col(spark, sf):
     _, _, prof = _export_profile(spark, sf)
     return P.profile_amount_col(prof).withColumn("file", export_name())
 
 
-@register("profile_merchant_col")
+@register("profile_merchant_col", f"""
+WITH {_profiles_sql()}
+SELECT file, arg_min(col, position) AS merchant_column FROM prof
+WHERE col NOT IN ('Date', 'Amount') AND n20 >= 5 AND distinct20 / n20 > 0.5 AND avglen20 > 5 GROUP BY file""")
 def q_profile_merchant_col(spark, sf):
     _, headers, prof = _export_profile(spark, sf)
     used = headers.filter(F.col("column").isin("Date", "Amount")).select("file", "column")
