@@ -78,16 +78,6 @@ def _export_profile(spark, sf):
     return rows, headers, prof
 
 
-@register("detect_columns")
-def q_detect_columns(spark, sf):
-    rows, headers, prof = _export_profile(spark, sf)
-    fmts = formats_df(spark)
-    names = headers.select("file").distinct().select("file", export_name().alias("file_name"))
-    ff = P.detect_format(headers, fmts, names)
-    m = P.detect_columns(headers, prof, fmts, aliases_df(spark), ff)
-    return m.withColumn("file", export_name())
-
-
 def _profiles_sql() -> str:
     from fintally.plans import q_import as QI
     date_v = QI._DATE_SQL.replace("raw_date", "value")
@@ -106,6 +96,83 @@ prof AS (SELECT file, position, col, COUNT(*) FILTER (WHERE k <= 10) AS n10,
          FROM top GROUP BY 1, 2, 3)"""
 
 
+def _detect_columns_sql() -> str:
+    from fintally.formats import BANK_FORMATS
+    from fintally.plans import q_import as QI
+
+    def q(v):
+        return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    maps = ", ".join(f"('{f}', {', '.join(q(x) for x in m)})" for f, _n, _i, _a, _h, _s, m in BANK_FORMATS)
+    return f"""
+WITH {QI._formats_values_sql()},
+hdr AS (SELECT f.file, h.position, h."column" FROM (SELECT DISTINCT file FROM v_raw) f,
+        (VALUES (0, 'Date'), (1, 'Amount'), (2, 'Merchant'), (3, 'Description')) h(position, "column")),
+{QI._FMT_SCORE_SQL.replace("v_file_headers", "hdr")},
+det AS (SELECT f.file, COALESCE(b.format_id, 'generic') AS format_id FROM (SELECT DISTINCT file FROM hdr) f
+        LEFT JOIN (SELECT file, arg_min(sc.format_id, (-score, x.position)) AS format_id
+                   FROM sc JOIN fmts x ON sc.format_id = x.format_id WHERE score > 0 GROUP BY file) b ON f.file = b.file),
+mp AS (SELECT * FROM (VALUES {maps}) m(format_id, map_date, map_merchant, map_amount, map_description, map_debit, map_credit)),
+fm AS (SELECT d.file,
+              CASE WHEN mp.map_date IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_date END AS map_date,
+              CASE WHEN mp.map_merchant IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_merchant END AS map_merchant,
+              CASE WHEN mp.map_amount IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_amount END AS map_amount,
+              CASE WHEN mp.map_description IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_description END AS map_description,
+              CASE WHEN mp.map_debit IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_debit END AS map_debit,
+              CASE WHEN mp.map_credit IN (SELECT "column" FROM hdr h WHERE h.file = d.file) THEN mp.map_credit END AS map_credit
+       FROM det d LEFT JOIN mp ON d.format_id = mp.format_id),
+{QI._aliases_sql()},
+bn AS (SELECT lc.file, al.field, lc."column", al.rank FROM (
+         SELECT file, lower("column") AS alias, arg_max("column", position) AS "column" FROM hdr GROUP BY 1, 2) lc
+       JOIN al ON lc.alias = al.alias),
+nm AS (SELECT file, field, arg_min("column", rank) AS "column" FROM bn GROUP BY 1, 2),
+{_profiles_sql()},
+pdate AS (SELECT file, arg_min(col, position) AS c FROM prof WHERE n10 > 0 AND dates10 >= n10 * 0.7 GROUP BY file),
+pamt AS (SELECT file, arg_min(col, position) AS c FROM prof WHERE n20 > 0 AND nums20 >= n20 * 0.8
+         AND NOT contains(lower(col), 'balance') AND NOT contains(lower(col), 'running') GROUP BY file),
+j AS (SELECT fm.*, (SELECT "column" FROM nm WHERE nm.file = fm.file AND field = 'date') AS n_date,
+             (SELECT "column" FROM nm WHERE nm.file = fm.file AND field = 'amount') AS n_amount,
+             (SELECT "column" FROM nm WHERE nm.file = fm.file AND field = 'debit') AS n_debit,
+             (SELECT "column" FROM nm WHERE nm.file = fm.file AND field = 'credit') AS n_credit,
+             (SELECT c FROM pdate WHERE pdate.file = fm.file) AS p_date,
+             (SELECT c FROM pamt WHERE pamt.file = fm.file) AS p_amount
+      FROM fm),
+s1 AS (SELECT file, COALESCE(map_date, n_date, p_date) AS date_column,
+              CASE WHEN map_amount IS NULL AND map_debit IS NULL
+                   THEN COALESCE(CASE WHEN n_debit IS NULL AND n_credit IS NULL THEN n_amount END,
+                                 CASE WHEN n_debit IS NULL THEN p_amount END)
+                   ELSE map_amount END AS amount_column,
+              CASE WHEN map_amount IS NULL AND map_debit IS NULL THEN COALESCE(n_debit, map_debit) ELSE map_debit END AS debit_column,
+              CASE WHEN map_amount IS NULL AND map_debit IS NULL THEN COALESCE(n_credit, map_credit) ELSE map_credit END AS credit_column,
+              map_merchant AS merchant_column, map_description AS description_column FROM j),
+u1 AS (SELECT file, unnest(list_filter([date_column, amount_column, debit_column, credit_column, merchant_column,
+                                        description_column], lambda x: x IS NOT NULL)) AS c FROM s1),
+s2 AS (SELECT s1.* REPLACE (COALESCE(merchant_column,
+         (SELECT arg_min(bn."column", bn.rank) FROM bn WHERE bn.file = s1.file AND bn.field = 'merchant'
+            AND bn."column" NOT IN (SELECT c FROM u1 WHERE u1.file = s1.file)),
+         (SELECT arg_min(col, position) FROM prof WHERE prof.file = s1.file
+            AND col NOT IN (SELECT c FROM u1 WHERE u1.file = s1.file)
+            AND n20 >= 5 AND distinct20 / n20 > 0.5 AND avglen20 > 5)) AS merchant_column) FROM s1),
+u2 AS (SELECT file, unnest(list_filter([date_column, amount_column, debit_column, credit_column, merchant_column,
+                                        description_column], lambda x: x IS NOT NULL)) AS c FROM s2)
+SELECT file, date_column, amount_column, merchant_column,
+       COALESCE(description_column,
+         (SELECT arg_min(bn."column", bn.rank) FROM bn WHERE bn.file = s2.file AND bn.field = 'description'
+            AND bn."column" NOT IN (SELECT c FROM u2 WHERE u2.file = s2.file))) AS description_column,
+       debit_column, credit_column,
+       (SELECT arg_min(bn."column", bn.rank) FROM bn WHERE bn.file = s2.file AND bn.field = 'balance') AS balance_column
+FROM s2"""
+
+
+@register("detect_columns", _detect_columns_sql())
+def q_detect_columns(spark, sf):
+    rows, headers, prof = _export_profile(spark, sf)
+    fmts = formats_df(spark)
+    names = headers.select("file").distinct().select("file", export_name().alias("file_name"))
+    ff = P.detect_format(headers, fmts, names)
+    m = P.detect_columns(headers, prof, fmts, aliases_df(spark), ff)
+    return m.withColumn("file", export_name())
+
+
 @register("profile_date_col", f"""
 WITH {_profiles_sql()}
 SELECT file, arg_min(col, position) AS date_column FROM prof WHERE n10 > 0 AND dates10 >= n10 * 0.7 GROUP BY file""")
@@ -134,7 +201,8 @@ def q_profile_merchant_col(spark, sf):
     return P.profile_merchant_col(prof, used).withColumn("file", export_name())
 
 
-@register("detect_description_balance")
+@register("detect_description_balance",
+          f"SELECT file, description_column, balance_column FROM ({_detect_columns_sql()})")
 def q_detect_description_balance(spark, sf):
     m = q_detect_columns(spark, sf)
     return m.select("file", "description_column", "balance_column")
