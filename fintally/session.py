@@ -14,6 +14,13 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # partition sizing for large inputs: AQE starts from many shuffle partitions and
+    # coalesces them to ~256 MB; scans read ~256 MB splits; a skewed join partition is split
+    # once it is 5x the median and over 512 MB
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
