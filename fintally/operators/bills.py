@@ -32,13 +32,18 @@ def bills_overdue(bills, categories, accounts, as_of) -> DataFrame:
 
 def bills_due_soon(bills, categories, accounts, as_of_ts: dt.datetime, days: int = 7) -> DataFrame:
     """Due within ``days``: status overdue / due_soon (within 3 days) / upcoming and the
-    fractional days until due, measured from the as-of timestamp."""
-    today = F.to_date(F.lit(as_of_ts))
+    fractional days until due, measured from the as-of timestamp.
+
+    Computed from the calendar date and the time of day of ``as_of_ts`` (no time-zone
+    conversion), so the result does not depend on the session time zone.
+    """
+    today = F.lit(as_of_ts.date())
+    secs = as_of_ts.hour * 3600 + as_of_ts.minute * 60 + as_of_ts.second
     due = F.col("next_due_date")
     b = bills.filter(F.col("is_active") & due.isNotNull() & (due <= F.date_add(today, days)))
     status = (F.when(due < today, F.lit("overdue"))
               .when(due <= F.date_add(today, 3), F.lit("due_soon")).otherwise(F.lit("upcoming")))
-    days_until = (F.unix_seconds(F.to_timestamp(due)) - F.unix_seconds(F.lit(as_of_ts))) / 86400.0
+    days_until = (F.datediff(due, today).cast("long") * 86400 - secs) / 86400.0
     return _with_dims(b, categories, accounts).select(
         "id", "name", "next_due_date", "category_name", "account_name",
         status.alias("status"), days_until.alias("days_until_due"))

@@ -79,7 +79,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(None).cast("long").alias("recurring_group_id"),
                 (k % 97 == 0).alias("is_anomaly"),
                 (k % 50 == 1).alias("is_split"),
-                F.col("o_orderdate").cast("timestamp").alias("created_at"),
+                F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
             ))
 
 
@@ -139,7 +139,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_sub(paid, (F.col("o_orderkey") % 5).cast("int")).alias("due_date"),
         paid.alias("paid_date"),
         F.col("o_orderkey").alias("transaction_id"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"))
 
 
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +185,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 (F.expr("(CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) div 100)").cast(MONEY) / 100
                  * _sign(F.col("o_orderstatus") != "F")).cast(MONEY).alias("amount"),
                 F.col("o_orderkey").alias("transaction_id"),
-                F.col("o_orderdate").cast("timestamp").alias("created_at")))
+                F.col("o_orderdate").cast("timestamp_ntz").alias("created_at")))
 
 
 def recurring_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def categorization_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 14 + 1).alias("category_id"),
         F.col("l_discount").alias("confidence"),
         F.col("l_returnflag").alias("explanation"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"))
+        F.col("l_shipdate").cast("timestamp_ntz").alias("created_at"))
 
 
 def import_batch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,9 @@ def read_transactions_stream(spark: SparkSession, path: str, schema: T.StructTyp
 
 
 def with_event_time(stream: DataFrame) -> DataFrame:
-    """Event time of a ledger row: its date at midnight UTC."""
-    return stream.withColumn("event_time", F.col("date").cast("timestamp"))
+    """Event time of a ledger row: its date at midnight UTC (independent of the session
+    time zone, so day windows are calendar days)."""
+    return stream.withColumn("event_time", F.timestamp_seconds(F.unix_date("date").cast("long") * 86400))
 
 
 def stream_ingest_dedupe(stream: DataFrame, history_path: str, watermark: str = "30 days",
@@ -73,7 +74,8 @@ def stream_daily_spending(stream: DataFrame, watermark: str = "2 days") -> DataF
     return (s.filter(F.col("amount") < 0)
             .groupBy(F.window("event_time", "1 day"))
             .agg(F.sum(F.abs("amount")).alias("total"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("window.start").cast("date").alias("date"), M.out("total").alias("total"), "n"))
+            .select(F.date_from_unix_date((F.unix_seconds(F.col("window.start")) / 86400).cast("int")).alias("date"),
+                    M.out("total").alias("total"), "n"))
 
 
 def stream_running_balance(stream: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -92,7 +94,7 @@ def stream_running_balance(stream: DataFrame, accounts: DataFrame) -> DataFrame:
 GOAL_EVENT_SCHEMA = T.StructType([
     T.StructField("goal_id", T.LongType()),
     T.StructField("current_amount", T.DoubleType()),
-    T.StructField("completed_at", T.TimestampType()),
+    T.StructField("completed_at", T.TimestampNTZType()),
     T.StructField("completing_contribution_id", T.LongType()),
 ])
 _GOAL_STATE = T.StructType([
