@@ -15,10 +15,17 @@ from fintally.schema import MONEY
 DEDUPE_KEYS = ("date", "amount", "merchant")
 
 
+def _py_money_text(c) -> F.Column:
+    """The text Python's str(float) gives for a cents-exact amount: the 2-decimal text with
+    one trailing zero dropped ('100.00' -> '100.0', '-45.90' -> '-45.9', '-45.99' stays),
+    in plain (not scientific) notation for any size."""
+    t = F.col(c).cast("decimal(20,2)").cast("string")
+    return F.regexp_replace(t, "0$", "")
+
+
 def dedupe_key(*cols) -> F.Column:
-    """sha256 of 'date|amount|merchant' (amount as text of its DOUBLE value)."""
-    parts = [F.col(c).cast("double").cast("string") if c == "amount" else F.col(c).cast("string")
-             for c in (cols or DEDUPE_KEYS)]
+    """sha256 of 'date|amount|merchant' with the amount spelled as Python prints a float."""
+    parts = [_py_money_text(c) if c == "amount" else F.col(c).cast("string") for c in (cols or DEDUPE_KEYS)]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
