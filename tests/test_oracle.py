@@ -7,12 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from fintally.plans import registry
 from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-ORACLE = E.oracle_sql()
-QUERIES = E.queries()
+registry.load_all()
+ORACLE = registry.ORACLE  # the corpus queries have tests of their own
+QUERIES = registry.QUERIES
 
 
 def _norm(v):
