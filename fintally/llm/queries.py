@@ -5,24 +5,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fintally.llm import exact_dedup, piece_model, token_count
+from fintally.llm import decontaminate, exact_dedup, html_extract, license_scan, piece_model, sentence_spans, simhash_bktree, token_count
 from fintally.llm.common import table
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 32k piece model."""
     return token_count.token_counts(table(spark, sf_dir, "documents"), piece_model.model_bytes())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds, up to edits."""
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy group and the owner of every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_token_counts": op3_token_counts,
-    "op9_exact_dedup": op9_exact_dedup,
-}
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated sentence spans."""
+    return sentence_spans.remove_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_html_extraction, op2_license_scan, op3_token_counts, op6_decontamination, op7_simhash_dedup, op9_exact_dedup, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": """
