@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fintally.session import ensure_checkpoint_dir
+from fintally.session import ensure_checkpoint_dir, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder and read from there: survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Written as a table in the shared folder and read from there: work behind it is done once, and
+    lost executors don't undo it."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fintally.llm import decontaminate, exact_dedup, html_extract, license_scan, piece_model, sentence_spans, simhash_bktree, token_count
+from fintally.llm import decontaminate, exact_dedup, html_extract, license_scan, piece_model, quality_mil, sentence_spans, simhash_bktree, suffix_dedup, token_count
 from fintally.llm.common import table
 
 
@@ -24,6 +25,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), piece_model.model_bytes())
 
 
+def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document holds, up to edits."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -34,6 +40,12 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its repeated 200-byte strings, as a digest."""
+    out = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy group and the owner of every document."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -45,7 +57,8 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_html_extraction, op2_license_scan, op3_token_counts, op6_decontamination, op7_simhash_dedup, op9_exact_dedup, op10_sentence_spans)}
+    op1_html_extraction, op2_license_scan, op3_token_counts, op4_quality_mil, op6_decontamination, op7_simhash_dedup,
+    op8_suffix_dedup, op9_exact_dedup, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": """
