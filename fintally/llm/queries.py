@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fintally.llm import decontaminate, exact_dedup, html_extract, license_scan, piece_model, quality_mil, sentence_spans, simhash_bktree, suffix_dedup, token_count
+from fintally.llm import decontaminate, exact_dedup, html_extract, license_scan, piece_lattice, piece_model, quality_mil, sentence_spans, simhash_bktree, suffix_dedup, token_count
 from fintally.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op4_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the 32k piece model, and whether they decode to its text."""
+    return piece_lattice.token_digests(table(spark, sf_dir, "documents"), piece_model.model_bytes())
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that every document holds, up to edits."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -57,8 +62,8 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_html_extraction, op2_license_scan, op3_token_counts, op4_quality_mil, op6_decontamination, op7_simhash_dedup,
-    op8_suffix_dedup, op9_exact_dedup, op10_sentence_spans)}
+    op1_html_extraction, op2_license_scan, op3_token_counts, op4_quality_mil, op5_sentencepiece, op6_decontamination,
+    op7_simhash_dedup, op8_suffix_dedup, op9_exact_dedup, op10_sentence_spans)}
 
 ORACLE: dict[str, str] = {
     "op9_exact_dedup": """
