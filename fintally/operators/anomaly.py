@@ -145,7 +145,7 @@ def anomaly_report(txns: DataFrame) -> DataFrame:
 
 def mark_anomalies(txns: DataFrame, report: DataFrame) -> DataFrame:
     """Set is_anomaly for reported rows (the flag is only ever switched on)."""
-    ids = report.select(F.col("transaction_id").alias("id"), F.lit(True).alias("_flag"))
+    ids = report.select(F.col("transaction_id").alias("id")).distinct().withColumn("_flag", F.lit(True))
     return (txns.join(ids, "id", "left")
             .withColumn("is_anomaly", F.col("is_anomaly") | F.coalesce("_flag", F.lit(False)))
             .drop("_flag"))

@@ -140,8 +140,11 @@ def bill_mark_paid(bills: DataFrame, paid: DataFrame, as_of):
 
 def bill_reschedule(bills: DataFrame, changes: DataFrame, as_of) -> DataFrame:
     """Apply (id, frequency, start_date) changes; bills whose frequency or start changed get
-    their next due date recomputed from the (new) start date."""
-    c = changes.select(F.col("id"), F.col("frequency").alias("new_freq"), F.col("start_date").alias("new_start"))
+    their next due date recomputed from the (new) start date. Of several changes of a bill and field
+    the one with the highest ``seq`` (if the column is there), then the largest value, counts."""
+    order = ["seq"] if "seq" in changes.columns else []
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct(*order, c)))[c]
+    c = changes.groupBy("id").agg(last("frequency").alias("new_freq"), last("start_date").alias("new_start"))
     j = bills.join(c, "id", "left")
     freq = F.coalesce("new_freq", "frequency")
     start = F.coalesce("new_start", "start_date")

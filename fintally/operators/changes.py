@@ -67,17 +67,33 @@ def import_report(batch: DataFrame, new: DataFrame, rejected: DataFrame | None =
                       F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
+def latest_changes(base: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
+    """(key, field, value, ok): per (key, field) the value of the highest ``seq`` (of equal seqs the
+    larger value). A NULL value means "unchanged" and never wins; a field that is not in ``allowed``
+    is left out. ``ok`` is false for a value that the column's type does not take."""
+    dtypes = dict(base.dtypes)
+    ch = changes.filter((F.col("field").isin(*allowed) & F.col("value").isNotNull()) | (F.col("field") == "__delete__"))
+    latest = (ch.groupBy(key, "field").agg(F.max(F.struct("seq", "value")).alias("_w"))
+              .select(key, "field", F.col("_w.value").alias("value")))
+    casts = F.coalesce(*[F.when(F.col("field") == c, F.expr(f"try_cast(value AS {dtypes[c]})").isNotNull()) for c in allowed if c in dtypes], F.lit(True))
+    return latest.withColumn("ok", casts)
+
+
+def rejected_changes(base: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
+    """(key, field, value, error) of changes that are not applied: 'field' is not in ``allowed``, or the
+    'value' does not cast to the column's type."""
+    bad = latest_changes(base, changes, key, allowed).filter(~F.col("ok")).select(key, "field", "value", F.lit("value").alias("error"))
+    other = changes.filter(~F.coalesce(F.col("field").isin(*allowed, "__delete__"), F.lit(False)))
+    return bad.unionByName(other.select(key, "field", "value", F.lit("field").alias("error")))
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
     """Apply a long-form change feed (key, field, value, seq) to ``base``.
 
-    Only whitelisted fields are applied; per (key, field) the highest ``seq`` wins; values
-    arrive as text and are cast to the column's type (a NULL-valued change is ignored, i.e.
-    "absent = unchanged"). A ``field`` of '__delete__' removes the key.
+    The winning values of ``latest_changes`` are cast to the columns' types; those of
+    ``rejected_changes`` leave the column as it is. A ``field`` of '__delete__' removes the key.
     """
-    ch = changes.filter(F.col("field").isin(*allowed, "__delete__"))
-    # highest seq wins; equal seqs fall back to the larger value so the result is deterministic
-    latest = (ch.groupBy(key, "field").agg(F.max(F.struct("seq", "value")).alias("_w"))
-              .select(key, "field", F.col("_w.value").alias("value")))
+    latest = latest_changes(base, changes, key, allowed).filter("ok")
     deletes = latest.filter(F.col("field") == "__delete__").select(key)
     wide = (latest.filter(F.col("field") != "__delete__").groupBy(key)
             .pivot("field", allowed).agg(F.first("value")))
@@ -96,14 +112,15 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: str, allowed: list[s
 def bulk_categorize(txns: DataFrame, assignments: DataFrame, categories: DataFrame):
     """Assign (id, category_id) pairs; returns (txns', report) with success/failed per id.
 
-    Failures: unknown transaction id or unknown category.
+    Failures: unknown transaction id or unknown category. An id that is assigned more than once
+    counts once: with the highest ``seq`` if the column is there, else the largest category id.
     """
     cats = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_cat_ok"))
     ids = txns.select("id", F.lit(True).alias("_txn_ok"))
-    a = (assignments.groupBy("id").agg(F.max(F.struct("seq", "category_id")).alias("_w"))
-         .select("id", F.col("_w.category_id").alias("category_id"))
-         if "seq" in assignments.columns else assignments.select("id", "category_id"))
-    rep = (a.join(ids, "id", "left").join(F.broadcast(cats), "category_id", "left")
+    order = ["seq", "category_id"] if "seq" in assignments.columns else ["category_id"]
+    a = (assignments.groupBy("id").agg(F.max(F.struct(*order)).alias("_w"))
+         .select("id", F.col("_w.category_id").alias("category_id")))
+    rep = (a.join(ids, "id", "left").join(cats, "category_id", "left")
            .select("id", "category_id",
                    (F.coalesce("_txn_ok", F.lit(False)) & F.coalesce("_cat_ok", F.lit(False))).alias("success")))
     ok = rep.filter("success").select("id", F.col("category_id").alias("_new_cat"))
@@ -156,14 +173,15 @@ def duplicate_names(df: DataFrame, name: str = "name") -> F.Column:
 
 
 def mark_flags(txns: DataFrame, recurring: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Set is_recurring / recurring_group_id from (id, group_id) and is_anomaly from (id)."""
-    r = recurring.select("id", F.col("group_id").alias("_gid"))
-    a = anomalies.select("id", F.lit(True).alias("_anom"))
+    """Set is_recurring / recurring_group_id from (id, group_id) and is_anomaly from (id). Repeated ids
+    count once (the largest group id)."""
+    r = recurring.groupBy("id").agg(F.max("group_id").alias("_gid"), F.lit(True).alias("_rec"))
+    a = anomalies.select("id").distinct().withColumn("_anom", F.lit(True))
     return (txns.join(r, "id", "left").join(a, "id", "left")
-            .withColumn("is_recurring", F.col("is_recurring") | F.col("_gid").isNotNull())
+            .withColumn("is_recurring", F.col("is_recurring") | F.coalesce("_rec", F.lit(False)))
             .withColumn("recurring_group_id", F.coalesce("_gid", "recurring_group_id"))
             .withColumn("is_anomaly", F.col("is_anomaly") | F.coalesce("_anom", F.lit(False)))
-            .drop("_gid", "_anom"))
+            .drop("_gid", "_rec", "_anom"))
 
 
 def split_validate(txns: DataFrame, splits: DataFrame) -> DataFrame:
@@ -229,9 +247,13 @@ def template_upsert(categories: DataFrame, template: DataFrame) -> DataFrame:
     j = categories.join(t, "name", "full_outer")
     max_id = categories.select(F.coalesce(F.max("id"), F.lit(0))).scalar()
     new_rows = j.filter(F.col("id").isNull())
-    # new categories: few (a template), so a global ordering of just these rows is small
-    w = Window.orderBy("position")
-    numbered = new_rows.withColumn("id", max_id + F.row_number().over(w))
+    # numbered in blocks of positions: a row's number is its place in its block behind all earlier blocks
+    blk = F.floor(F.col("position") / 4096)
+    blocks = new_rows.groupBy(blk.alias("_blk")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = F.coalesce(F.sum("_rows").over(Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = (new_rows.withColumn("_blk", blk).join(blocks.select("_blk", earlier.alias("_before")), "_blk")
+                .withColumn("id", max_id + F.col("_before") + F.row_number().over(Window.partitionBy("_blk").orderBy("position")))
+                .drop("_blk", "_before"))
     old_rows = j.filter(F.col("id").isNotNull())
     both = old_rows.unionByName(numbered)
     return both.select(

@@ -271,14 +271,17 @@ def norm_onboarding_row(rows: DataFrame, mapping: DataFrame):
 
 
 def file_amounts(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """(file, blk, pos, amount, merchant_l, date) as the analysis reads them: the amount column,
-    else credit - debit (credit non-zero) or -|debit|."""
+    """(file, blk, pos, amount, signed_amount, merchant_l, date) as the analysis reads them: the amount
+    column, else credit - debit (credit non-zero) or -|debit|. ``signed_amount``, for the account
+    type, is -debit in the last case, whatever the debit's sign, and never missing."""
     j = rows.join(mapping, "file")
     get = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col("row"), F.col(c)))
     amt = F.when(F.col("amount_column").isNotNull(), norm_amount(get("amount_column"))) \
         .when(F.col("debit_column").isNotNull() | F.col("credit_column").isNotNull(),
               norm_split_amount_analysis(get("debit_column"), get("credit_column")))
-    return j.select("file", "blk", "pos", amt.alias("amount"),
+    signed = F.when(F.col("amount_column").isNull() & (F.col("debit_column").isNotNull() | F.col("credit_column").isNotNull()),
+                    norm_split_amount_analysis(get("debit_column"), get("credit_column"), account_type_variant=True)).otherwise(amt)
+    return j.select("file", "blk", "pos", amt.alias("amount"), signed.alias("signed_amount"),
                     F.lower(F.trim(get("merchant_column"))).alias("merchant_l"),
                     norm_date(get("date_column")).alias("date"))
 
@@ -311,25 +314,31 @@ def _any_regex(col, patterns):
     return col.rlike("(?i)(" + "|".join(patterns) + ")")
 
 
+def title_case(c):
+    """A letter behind anything but a letter is upper case, all others lower case."""
+    runs = F.split(F.lower(c), r"(?<=[^\p{L}])(?=\p{L})", -1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substr(r, F.lit(2)))), "")
+
+
 def potential_subscriptions(amounts: DataFrame, top: int = 20, min_count: int = 2) -> DataFrame:
     """Among each file's ``top`` most frequent merchants, those seen at least twice that match a
     subscription pattern (title-cased)."""
     t = _top_merchants(amounts, top)
     return (t.filter((F.col("count") >= min_count) & _any_regex(F.col("merchant_l"), SUBSCRIPTION_PATTERNS))
-            .select("file", "rank", F.initcap("merchant_l").alias("merchant")))
+            .select("file", "rank", title_case(F.col("merchant_l")).alias("merchant")))
 
 
 def potential_income_sources(amounts: DataFrame, top: int = 20) -> DataFrame:
     t = _top_merchants(amounts, top)
     return (t.filter(_any_regex(F.col("merchant_l"), INCOME_PATTERNS))
-            .select("file", "rank", F.initcap("merchant_l").alias("merchant")))
+            .select("file", "rank", title_case(F.col("merchant_l")).alias("merchant")))
 
 
 def detect_account_type(amounts: DataFrame, file_formats: DataFrame, formats: DataFrame,
                         mapping: DataFrame) -> DataFrame:
     """Account type per file from the sign mix of amounts, payment/payroll merchants, a
     balance column and the format's own type. Returns (file, type, confidence, hints)."""
-    a = F.col("amount")
+    a = F.col("signed_amount")
     stats = amounts.groupBy("file").agg(
         F.count(a).alias("total"), F.count_if(a > 0).alias("pos"), F.count_if(a < 0).alias("neg"),
         F.count_if(F.col("merchant_l").rlike("payment|thank you")).alias("payments"),

@@ -4,19 +4,20 @@ Rule kinds (patterns compared lower-cased): merchant_contains, merchant_exact,
 description_contains, and amount_range "min,max" (inclusive, on |amount|; a pattern that
 does not split into two numbers never matches). Order: priority desc, created_at asc, id.
 
-Rules are a small, user-authored dimension. Up to ``MAX_INLINE_RULES`` they are compiled
-into one ``CASE WHEN`` projection — no join and no shuffle, fully inside whole-stage
-codegen. Larger rule sets take the vectorised path: rules are broadcast once and every
-partition is matched with Aho-Corasick automata in ``mapInPandas``.
+Rules are matched by one path whatever their number: blocks of at most ``RULE_BLOCK`` rules, in rank
+order, each broadcast once and matched with an Aho-Corasick automaton per text column and
+vectorised ranges. Transactions pass through as Arrow batches; their columns are not converted.
 """
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_INLINE_RULES = 500
+RULE_BLOCK = 20_000
 
 
 def parse_range(pattern: str):
@@ -33,51 +34,96 @@ def parse_range(pattern: str):
 def ordered_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
     """Active rules whose category exists, with their match rank (0 = first tried)."""
     cats = categories.select(F.col("id").alias("category_id"))
-    return (rules.filter(F.col("is_active")).join(F.broadcast(cats), "category_id")
+    return (rules.filter(F.col("is_active")).join(cats, "category_id")
             .select("id", "rule_type", "pattern", "category_id", "priority", "created_at"))
 
 
-def _rule_predicate(rule_type: str, pattern: str, merchant, description, amount):
-    p = pattern.lower()
-    if rule_type == "merchant_contains":
-        return F.contains(F.lower(merchant), F.lit(p))
-    if rule_type == "merchant_exact":
-        return F.lower(merchant) == F.lit(p)
-    if rule_type == "description_contains":
-        return F.contains(F.lower(F.coalesce(description, F.lit(""))), F.lit(p))
-    if rule_type == "amount_range":
-        rng = parse_range(pattern)
-        if rng is None:
-            return None
-        a = F.abs(amount).cast("double")
-        return (a >= F.lit(rng[0])) & (a <= F.lit(rng[1]))
-    return None
+class RuleBlock:
+    """Matches texts and amounts against rules (id, rule_type, pattern, category_id) in rank order."""
 
+    def __init__(self, rules: list[tuple]):
+        import ahocorasick
 
-def _fetch_rules(rules: DataFrame, categories: DataFrame):
-    """The ordered rule list, bounded: at most MAX_INLINE_RULES + 1 rows reach the driver."""
-    o = ordered_rules(rules, categories).orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id"))
-    return o.limit(MAX_INLINE_RULES + 1).collect()
+        self.rules = rules
+        self.exact: dict[str, int] = {}
+        self.always: dict[str, int] = {}  # rank of an empty pattern: every text holds it
+        self.ranges: list[tuple[int, float, float]] = []
+        words: dict[str, dict[str, int]] = {"merchant_contains": {}, "description_contains": {}}
+        for rank, (_, kind, pattern, _) in enumerate(rules):
+            p = pattern.lower()
+            if kind in words:
+                (words[kind] if p else self.always).setdefault(p or kind, rank)
+            elif kind == "merchant_exact":
+                self.exact.setdefault(p, rank)
+            elif kind == "amount_range" and (rng := parse_range(pattern)):
+                self.ranges.append((rank, *rng))
+        self.words = {}
+        for kind, ranks in words.items():
+            automaton = ahocorasick.Automaton()
+            for p, rank in ranks.items():
+                automaton.add_word(p, rank)
+            if ranks:
+                automaton.make_automaton()
+                self.words[kind] = automaton
+
+    def contained(self, kind: str, text: str) -> int:
+        best = self.always.get(kind, len(self.rules))
+        if kind in self.words and text:
+            for _, rank in self.words[kind].iter(text):
+                best = min(best, rank)
+        return best
+
+    def ranks(self, merchants: list, descriptions: list, amounts: np.ndarray) -> np.ndarray:
+        """Rank of the first matching rule per row; the number of rules if there is none."""
+        none, seen_m, seen_d = len(self.rules), {None: len(self.rules)}, {}
+        out = np.full(len(merchants), none)
+        for i, (m, d) in enumerate(zip(merchants, descriptions)):
+            if m not in seen_m:
+                seen_m[m] = min(self.contained("merchant_contains", m), self.exact.get(m, none))
+            if d not in seen_d:
+                seen_d[d] = self.contained("description_contains", d)
+            out[i] = min(seen_m[m], seen_d[d])
+        for rank, lo, hi in self.ranges:
+            out[(lo <= amounts) & (amounts <= hi) & (rank < out)] = rank
+        return out
+
+
+def _blocks(rules: DataFrame, categories: DataFrame):
+    """The ordered rules, at most RULE_BLOCK of them on the driver at a time."""
+    ordered = ordered_rules(rules, categories).orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id"))
+    rows = ((r["id"], r["rule_type"], r["pattern"], r["category_id"]) for r in ordered.toLocalIterator())
+    while block := list(itertools.islice(rows, RULE_BLOCK)):
+        yield block
 
 
 def rules_match(txns: DataFrame, rules: DataFrame, categories: DataFrame,
                 out: str = "rule_category_id") -> DataFrame:
-    """Add ``out`` (matched category id or NULL) and ``rule_id`` to every transaction."""
-    fetched = _fetch_rules(rules, categories)
-    if len(fetched) > MAX_INLINE_RULES:
-        return _rules_match_vectorised(txns, rules, categories, out)
-    cat_expr = None
-    id_expr = None
-    m, d, a = F.col("merchant"), F.col("description"), F.col("amount")
-    for r in fetched:
-        pred = _rule_predicate(r["rule_type"], r["pattern"], m, d, a)
-        if pred is None:
-            continue
-        cat_expr = F.when(pred, F.lit(r["category_id"])) if cat_expr is None else cat_expr.when(pred, F.lit(r["category_id"]))
-        id_expr = F.when(pred, F.lit(r["id"])) if id_expr is None else id_expr.when(pred, F.lit(r["id"]))
-    if cat_expr is None:
-        return txns.withColumn(out, F.lit(None).cast("long")).withColumn("rule_id", F.lit(None).cast("long"))
-    return txns.withColumn(out, cat_expr.cast("long")).withColumn("rule_id", id_expr.cast("long"))
+    """Add ``out`` (matched category id or NULL) and ``rule_id`` to every transaction. A missing
+    merchant matches no merchant rule; a missing description counts as empty text."""
+    names = txns.columns
+    df = txns.select("*", F.lit(None).cast("long").alias(out), F.lit(None).cast("long").alias("rule_id"),
+                     F.lower("merchant").alias("_rule_m"), F.lower(F.coalesce("description", F.lit(""))).alias("_rule_d"),
+                     F.abs("amount").cast("double").alias("_rule_a"))
+    n = len(names)
+    for block in _blocks(rules, categories):
+        shared = txns.sparkSession.sparkContext.broadcast(block)
+
+        def match(batches, shared=shared):
+            matcher = RuleBlock(shared.value)
+            category = np.array([r[3] for r in matcher.rules] + [0], np.int64)
+            rule = np.array([r[0] for r in matcher.rules] + [0], np.int64)
+            for b in batches:
+                amounts = b.column(n + 4).to_numpy(zero_copy_only=False).astype(float)
+                rank = matcher.ranks(b.column(n + 2).to_pylist(), b.column(n + 3).to_pylist(), amounts)
+                missed = rank == len(matcher.rules)
+                columns = list(b.columns)
+                for at, values in ((n, category), (n + 1, rule)):  # an earlier block's match stands
+                    columns[at] = pa.array([old if old is not None else None if miss else int(v) for old, miss, v in
+                                            zip(b.column(at).to_pylist(), missed, values[rank])], pa.int64())
+                yield pa.record_batch(columns, schema=b.schema)
+
+        df = df.mapInArrow(match, df.schema)
+    return df.drop("_rule_m", "_rule_d", "_rule_a")
 
 
 def rules_apply_uncategorized(txns: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
@@ -87,77 +133,3 @@ def rules_apply_uncategorized(txns: DataFrame, rules: DataFrame, categories: Dat
     return (matched.withColumn("rule_applied", applied)
             .withColumn("category_id", F.when(applied, F.col("rule_category_id")).otherwise(F.col("category_id")))
             .drop("rule_category_id", "rule_id"))
-
-
-def _rules_match_vectorised(txns: DataFrame, rules: DataFrame, categories: DataFrame, out: str) -> DataFrame:
-    """Large rule sets: broadcast the ordered rules and match batches with Aho-Corasick."""
-    import ahocorasick
-
-    ordered = ordered_rules(rules, categories).orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id"))
-    # the rule table is a dimension; it is shipped once per executor as a broadcast variable
-    rule_rows = [(r["id"], r["rule_type"], r["pattern"], r["category_id"]) for r in ordered.toLocalIterator()]
-    sc = txns.sparkSession.sparkContext
-    bc = sc.broadcast(rule_rows)
-
-    def build():
-        rows = bc.value
-        autos = {}
-        exact: dict[str, int] = {}
-        ranges = []
-        for rank, (rid, kind, pattern, cat) in enumerate(rows):
-            p = pattern.lower()
-            if kind in ("merchant_contains", "description_contains"):
-                A = autos.setdefault(kind, ahocorasick.Automaton())
-                prev = A.get(p, None)
-                if prev is None or rank < prev:
-                    A.add_word(p, rank)
-            elif kind == "merchant_exact":
-                exact.setdefault(p, rank)
-            elif kind == "amount_range":
-                rng = parse_range(pattern)
-                if rng is not None:
-                    ranges.append((rank, rng[0], rng[1]))
-        for A in autos.values():
-            A.make_automaton()
-        return rows, autos, exact, ranges
-
-    schema = T.StructType(txns.schema.fields + [T.StructField(out, T.LongType()),
-                                                T.StructField("rule_id", T.LongType())])
-
-    def best_contains(A, text: str):
-        best = None
-        if A is None or not text:
-            return None
-        for _end, rank in A.iter(text):
-            if best is None or rank < best:
-                best = rank
-        return best
-
-    def fn(batches):
-        rows, autos, exact, ranges = build()
-        for pdf in batches:
-            merch = pdf["merchant"].fillna("").str.lower()
-            desc = pdf["description"].fillna("").str.lower()
-            amt = pdf["amount"].astype(float).abs()
-            cats, ids = [], []
-            for mm, dd, aa in zip(merch, desc, amt):
-                cands = [best_contains(autos.get("merchant_contains"), mm),
-                         best_contains(autos.get("description_contains"), dd),
-                         exact.get(mm)]
-                for rank, lo, hi in ranges:
-                    if lo <= aa <= hi:
-                        cands.append(rank)
-                        break
-                cands = [c for c in cands if c is not None]
-                if cands:
-                    r = rows[min(cands)]
-                    cats.append(r[3])
-                    ids.append(r[0])
-                else:
-                    cats.append(None)
-                    ids.append(None)
-            pdf[out] = pd.array(cats, dtype="Int64")
-            pdf["rule_id"] = pd.array(ids, dtype="Int64")
-            yield pdf
-
-    return txns.mapInPandas(fn, schema)

@@ -305,9 +305,10 @@ def hybrid_search(queries: DataFrame, txns: DataFrame, vectors: DataFrame, k: in
     """Per query: up to k text hits (score 1.0, newest first), then the nearest vectors not
     already returned (score exp(-distance)), k results in total when enough exist.
 
-    Vector hits are the 2k nearest neighbours minus the text hits (at most k are removed,
-    so k remain), restricted to ledger rows that exist.
+    Vectors without a ledger row are left out before the search, so stale ones take no place. Vector
+    hits are the 2k nearest neighbours minus the text hits (at most k are removed, so k remain).
     """
+    vectors = vectors.join(txns.select(F.col("id").alias("transaction_id")), "transaction_id", "left_semi")
     th = text_matches(queries, txns, query_id, text).join(txns.select("id", "date"), "id")
     wt = Window.partitionBy(query_id).orderBy(F.desc("date"), F.asc("id"))
     text_hits = (th.withColumn("pos", F.row_number().over(wt)).filter(F.col("pos") <= k)
@@ -315,7 +316,6 @@ def hybrid_search(queries: DataFrame, txns: DataFrame, vectors: DataFrame, k: in
     nn = knn_exact(queries.select(query_id, vector), vectors, 2 * k, query_id=query_id,
                    query_blocks=query_blocks, base_blocks=base_blocks)
     nn = (nn.select(query_id, F.col("neighbor_id").alias("id"), "rank", "distance")
-          .join(txns.select("id"), "id", "left_semi")
           .join(text_hits.select(query_id, "id"), [query_id, "id"], "left_anti"))
     wv = Window.partitionBy(query_id).orderBy("rank")
     n_text = text_hits.groupBy(query_id).agg(F.count(F.lit(1)).alias("n_text"))

@@ -1,53 +1,50 @@
 """Exact order statistics per group without sorting a whole group in one task.
 
-``kth_smallest`` is a radix select: the value's bits are resolved 14 at a time. Each pass
-counts rows per (group, next digit) with a partial aggregate — a hot group is combined
-map-side, never gathered — and a window over at most 2^14 digit counts per target locates
-the digit holding the wanted rank. Three passes cover values below 2^42 (cents up to
-about 4.4e10 currency units).
+``kth_smallest`` counts equal values first (a partial aggregate: a hot group is combined map-side),
+then finds the bucket that holds the wanted rank, then the value inside the bucket. Buckets are
+floating-point like (the position of the leading bit and the ``BUCKET_BITS`` bits behind it), so a
+group has at most 64 * 2^BUCKET_BITS of them and any non-negative 64-bit integer is covered.
+Everything is lazy: one plan, no job while it is built.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIGIT_BITS = 14
-LEVELS = 3
-_MASK = (1 << DIGIT_BITS) - 1
-MAX_VALUE = 1 << (DIGIT_BITS * LEVELS)
+BUCKET_BITS = 10
+
+
+def _bucket(v: Column) -> Column:
+    """A number that never falls as ``v`` grows: leading-bit position, then the next bits."""
+    top = F.length(F.bin(v)) - 1
+    drop = F.greatest(top - BUCKET_BITS, F.lit(0))
+    high = F.call_function("shiftright", v, drop)
+    return top.cast("long") * F.lit(1 << (BUCKET_BITS + 1)) + high
 
 
 def kth_smallest(values: DataFrame, keys: list[str], value: str, targets: DataFrame) -> DataFrame:
     """For each target row (keys..., tag, rank) return (keys..., tag, rank, kth) where
     ``kth`` is the value at 0-based position ``rank`` of the group's values in ascending
-    order (duplicates counted). ``value`` must be a non-negative integral column below
-    2^42; ranks outside [0, n) give no row.
+    order (duplicates counted). ``value`` must be a non-negative integral column; ranks outside
+    [0, n) give no row.
     """
-    from fintally.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(values.sparkSession)
-    vals = values.select(*keys, F.col(value).cast("long").alias("_v"))
-    # The per-target state is tiny (one row per group and rank) but every level reads it
-    # twice; checkpointing it to the shared checkpoint folder keeps the plan linear in the
-    # number of levels and makes each level restartable on its own.
-    state = targets.select(*keys, "tag", F.col("rank").cast("long").alias("rank"),
-                           F.lit(0).cast("long").alias("_prefix"),
-                           F.col("rank").cast("long").alias("_rem")).checkpoint()
-    for level in range(LEVELS):
-        shift = DIGIT_BITS * (LEVELS - 1 - level)
-        parent = F.shiftright(F.col("_v"), shift + DIGIT_BITS)
-        digit = F.shiftright(F.col("_v"), shift).bitwiseAND(F.lit(_MASK))
-        wanted = state.select(*keys, "_prefix").distinct()
-        counts = (vals.withColumn("_prefix", parent)
-                  .join(wanted, [*keys, "_prefix"], "left_semi")
-                  .groupBy(*keys, "_prefix", digit.alias("_digit"))
-                  .agg(F.count(F.lit(1)).alias("_n")))
-        w = Window.partitionBy(*keys, "_prefix").orderBy("_digit")
-        cum = (counts.withColumn("_hi", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("_lo", F.col("_hi") - F.col("_n")))
-        state = (state.join(cum, [*keys, "_prefix"])
-                 .filter((F.col("_lo") <= F.col("_rem")) & (F.col("_rem") < F.col("_hi")))
-                 .select(*keys, "tag", "rank",
-                         (F.shiftleft(F.col("_prefix"), DIGIT_BITS) + F.col("_digit")).alias("_prefix"),
-                         (F.col("_rem") - F.col("_lo")).alias("_rem"))).checkpoint()
-    return state.select(*keys, "tag", "rank", F.col("_prefix").alias("kth"))
+    counts = (values.select(*keys, F.col(value).cast("long").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_bucket", _bucket(F.col("_v"))))
+
+    def running(df: DataFrame, group: list[str], order: str) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn("_hi", F.sum("_n").over(w)).withColumn("_lo", F.col("_hi") - F.col("_n"))
+
+    buckets = running(counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_n")), keys, "_bucket")
+    wanted = targets.select(*keys, "tag", F.col("rank").cast("long").alias("rank"))
+    inside = (F.col("_lo") <= F.col("_rank")) & (F.col("_rank") < F.col("_hi"))
+    # without keys all targets belong to one group
+    lit_key = [] if keys else ["_all"]
+    if lit_key:
+        wanted, buckets, counts = (d.withColumn("_all", F.lit(0)) for d in (wanted, buckets, counts))
+    group = [*keys, *lit_key]
+    found = (wanted.withColumn("_rank", F.col("rank")).join(buckets.drop("_n"), group).filter(inside)
+             .select(*group, "tag", "rank", "_bucket", (F.col("_rank") - F.col("_lo")).alias("_rank")))
+    near = counts.join(found.select(*group, "_bucket").distinct(), [*group, "_bucket"], "left_semi")
+    return (found.join(running(near, [*group, "_bucket"], "_v"), [*group, "_bucket"]).filter(inside)
+            .select(*keys, "tag", "rank", F.col("_v").alias("kth")))

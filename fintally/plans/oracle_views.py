@@ -122,6 +122,20 @@ SELECT CAST(id AS BIGINT) AS id, name, rule_type, pattern, CAST(category_id AS B
        TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST(m AS BIGINT)) AS created_at
 FROM (VALUES {_RULES}) t(id, name, rule_type, pattern, category_id, priority, is_active, m)""",
     "v_settings": f"SELECT key, value FROM (VALUES {_SETTINGS}) t(key, value)",
+    "v_part_rules": """
+SELECT p_partkey AS id, 'Rule ' || CAST(p_partkey AS VARCHAR) AS name,
+       ['merchant_contains', 'merchant_exact', 'description_contains', 'amount_range'][p_partkey % 4 + 1] AS rule_type,
+       CASE WHEN p_partkey % 4 = 3 THEN CAST(p_size AS VARCHAR) || ',' || CAST(p_size AS VARCHAR) || '00' ELSE p_name END AS pattern,
+       p_partkey % 17 + 1 AS category_id, CAST(p_size AS BIGINT) AS priority, p_partkey % 7 <> 0 AS is_active
+FROM part""",
+    "v_supplier_categories": """
+SELECT s_suppkey AS id, s_name AS name, CAST(s_acctbal AS DECIMAL(18,2)) AS budget_amount FROM supplier""",
+    "v_customer_settings": """
+SELECT c_name AS key, CASE c_custkey % 3 WHEN 0 THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)
+       WHEN 1 THEN CAST(c_custkey AS VARCHAR) ELSE c_mktsegment END AS value FROM customer""",
+    "v_template": """
+SELECT COALESCE(s_name, p_name || ' ' || CAST(p_partkey AS VARCHAR)) AS name, p_type AS keywords, p_retailprice AS budget_amount,
+       p_partkey AS position FROM part LEFT JOIN supplier ON s_suppkey * 3 = p_partkey""",
     "v_vectors": """
 SELECT vec_id AS transaction_id, embedding AS vector,
        'Merchant ' || CAST(vec_id % 37 AS VARCHAR) AS merchant,

@@ -214,13 +214,18 @@ _VALID_PARENTS = """vp AS (SELECT s.transaction_id AS id FROM (SELECT transactio
    JOIN v_ledger t ON t.id = s.transaction_id WHERE ABS(s.st - ABS(t.amount)) <= 0.01)"""
 
 
+def _old_splits(spark, sf):
+    """Lines that every split parent had before: replaced only where the new ones are valid."""
+    return V.splits(spark, sf).withColumn("id", F.col("id") + 1_000_000_000)
+
+
 @register("split_apply", f"""
 WITH {_VALID_PARENTS}
 SELECT t.id, t.is_split OR t.id IN (SELECT id FROM vp) AS is_split,
        CASE WHEN t.id IN (SELECT id FROM vp) THEN NULL ELSE t.category_id END AS category_id
 FROM v_ledger t""")
 def q_split_apply(spark, sf):
-    old = V.splits(spark, sf).limit(0)
+    old = _old_splits(spark, sf)
     t, _ = CH.split_apply(V.ledger(spark, sf), old, V.splits(spark, sf))
     return t.select("id", "is_split", "category_id")
 
@@ -228,9 +233,11 @@ def q_split_apply(spark, sf):
 @register("split_apply_lines", f"""
 WITH {_VALID_PARENTS}
 SELECT id, transaction_id, category_id, CAST(ABS(amount) AS DOUBLE) AS amount FROM v_splits
-WHERE transaction_id IN (SELECT id FROM vp)""")
+WHERE transaction_id IN (SELECT id FROM vp)
+UNION ALL SELECT id + 1000000000, transaction_id, category_id, CAST(amount AS DOUBLE) FROM v_splits
+WHERE transaction_id NOT IN (SELECT id FROM vp)""")
 def q_split_apply_lines(spark, sf):
-    old = V.splits(spark, sf).limit(0)
+    old = _old_splits(spark, sf)
     _, s = CH.split_apply(V.ledger(spark, sf), old, V.splits(spark, sf))
     return s.select("id", "transaction_id", "category_id", M.out("amount").alias("amount"))
 
@@ -246,33 +253,25 @@ def q_split_remaining(spark, sf):
                     M.out("last_filled").alias("last_filled"))
 
 
-def _template_rows():
-    return [(n, k, round(30000000.0 * (p / 100), 2), i)
-            for i, (m, n, t, p, k) in enumerate(METHOD_TEMPLATES) if m == "fifty_thirty_twenty"]
-
-
-@register("template_upsert", f"""
-WITH tpl AS (SELECT * FROM (VALUES {_values(_template_rows())}) x(name, kw, budget, position)),
-j AS (SELECT c.id, COALESCE(c.name, tpl.name) AS name, c.budget_amount, tpl.kw, tpl.budget, tpl.position
-      FROM v_categories c FULL OUTER JOIN tpl ON c.name = tpl.name)
-SELECT COALESCE(id, 14 + row_number() OVER (PARTITION BY id IS NULL ORDER BY position)) AS id, name,
-       CAST(COALESCE(CAST(budget AS DECIMAL(18,2)), budget_amount, 0) AS DOUBLE) AS budget_amount
+@register("template_upsert", """
+WITH j AS (SELECT c.id, COALESCE(c.name, t.name) AS name, c.budget_amount, t.budget_amount AS budget, t.position
+           FROM v_supplier_categories c FULL OUTER JOIN v_template t ON c.name = t.name)
+SELECT COALESCE(id, (SELECT MAX(id) FROM v_supplier_categories) + row_number() OVER (PARTITION BY id IS NULL ORDER BY position)) AS id,
+       name, CAST(COALESCE(CAST(budget AS DECIMAL(18,2)), budget_amount, 0) AS DOUBLE) AS budget_amount
 FROM j""")
 def q_template_upsert(spark, sf):
-    tpl = spark.createDataFrame(_template_rows(), "name string, keywords string, budget_amount double, position int")
-    out = CH.template_upsert(V.categories(spark), tpl)
+    out = CH.template_upsert(V.supplier_categories(spark, sf), V.template_parts(spark, sf))
     return out.select("id", "name", M.out("budget_amount").alias("budget_amount"))
 
 
 @register("mark_flags", """
-SELECT COUNT(*) FILTER (WHERE is_anomaly OR id % 89 = 0) AS anomalies,
-       COUNT(*) FILTER (WHERE customer_group IS NOT NULL) AS recurring
-FROM (SELECT t.*, CASE WHEN t.merchant IN (SELECT merchant FROM v_ledger GROUP BY 1 HAVING COUNT(*) >= 20)
-                       THEN 1 END AS customer_group FROM v_ledger t)""")
+SELECT t.id, t.is_anomaly OR t.id % 89 = 0 AS is_anomaly, t.is_recurring OR b.g IS NOT NULL AS is_recurring,
+       b.g AS recurring_group_id
+FROM v_ledger t LEFT JOIN (SELECT merchant, MIN(id) AS g FROM v_ledger GROUP BY 1 HAVING COUNT(*) >= 20) b ON t.merchant = b.merchant""")
 def q_mark_flags(spark, sf):
     led = V.ledger(spark, sf)
-    busy = led.groupBy("merchant").agg(F.count(F.lit(1)).alias("n")).filter("n >= 20")
-    rec = led.join(busy, "merchant", "left_semi").select("id", F.xxhash64("merchant").alias("group_id"))
+    busy = led.groupBy("merchant").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("group_id")).filter("n >= 20")
+    rec = led.select("id", "merchant").join(busy, "merchant").select("id", "group_id")
     anom = led.filter(F.col("id") % 89 == 0).select("id")
-    out = CH.mark_flags(led, rec, anom)
-    return out.agg(F.count_if("is_anomaly").alias("anomalies"), F.count_if("is_recurring").alias("recurring"))
+    out = CH.mark_flags(led, rec, anom.unionByName(anom))  # repeated ids count once
+    return out.select("id", "is_anomaly", "is_recurring", "recurring_group_id")

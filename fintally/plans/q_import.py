@@ -161,8 +161,9 @@ top AS (SELECT file, merchant_l, cnt, row_number() OVER (PARTITION BY file ORDER
 
 
 def _title(col: str) -> str:
-    # initcap: first letter of each space-separated word upper-cased, the rest lower-cased
-    return f"array_to_string(list_transform(string_split({col}, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ')"
+    # Python's str.title(): the first letter of every run of letters in upper case, the rest lower case
+    return (f"array_to_string(list_transform(regexp_extract_all(lower({col}), '\\p{{L}}+|\\P{{L}}+'), "
+            "lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '')")
 
 
 @register("potential_subscriptions", f"""

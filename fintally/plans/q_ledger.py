@@ -119,9 +119,9 @@ def q_active_accounts(spark, sf):
 
 @register("active_rules", """
 SELECT r.id, r.name, r.rule_type, r.pattern, r.category_id, r.priority, c.name AS category_name
-FROM v_rules r JOIN v_categories c ON r.category_id = c.id WHERE r.is_active""")
+FROM v_part_rules r JOIN v_categories c ON r.category_id = c.id WHERE r.is_active""")
 def q_active_rules(spark, sf):
-    return S.active_rules(V.rules(spark), V.categories(spark)).select(
+    return S.active_rules(V.part_rules(spark, sf), V.categories(spark)).select(
         "id", "name", "rule_type", "pattern", "category_id", "priority", "category_name")
 
 
@@ -135,9 +135,9 @@ def q_active_bills(spark, sf):
 
 
 @register("category_budgets", """
-SELECT id, name, CAST(budget_amount AS DOUBLE) AS budget_amount FROM v_categories WHERE budget_amount > 0""")
+SELECT id, name, CAST(budget_amount AS DOUBLE) AS budget_amount FROM v_supplier_categories WHERE budget_amount > 0""")
 def q_category_budgets(spark, sf):
-    return S.category_budgets(V.categories(spark)).select("id", "name", M.out("budget_amount").alias("budget_amount"))
+    return S.category_budgets(V.supplier_categories(spark, sf)).select("id", "name", M.out("budget_amount").alias("budget_amount"))
 
 
 @register("latest_log", """
@@ -158,9 +158,9 @@ SELECT key, value AS value_text,
             ELSE CAST(TRY_CAST(value AS BIGINT) AS DOUBLE) END AS value_num,
        CASE WHEN contains(value, '.') THEN 'float' WHEN TRY_CAST(value AS BIGINT) IS NOT NULL THEN 'int'
             ELSE 'text' END AS value_type
-FROM v_settings""")
+FROM v_customer_settings""")
 def q_settings_typed(spark, sf):
-    return S.settings_typed(V.settings(spark))
+    return S.settings_typed(V.customer_settings(spark, sf))
 
 
 # --- accounts ----------------------------------------------------------------
@@ -539,14 +539,13 @@ def q_next_due_date(spark, sf):
 
 
 def _paid_feed(spark, sf):
-    p = V.payments(spark, sf).filter(F.col("paid_date") >= F.lit(dt.date(2001, 7, 1)))
-    return p.select("id", "recurring_id", "paid_date",
+    return V.payments(spark, sf).select("id", "recurring_id", "paid_date",
                     F.when(F.col("id") % 3 == 0, F.lit(None).cast("decimal(18,2)"))
                     .otherwise(F.col("amount_paid")).alias("amount_paid"))
 
 
 _FEED_SQL = """SELECT id, recurring_id, paid_date, CASE WHEN id % 3 = 0 THEN NULL ELSE amount_paid END AS amount_paid
-FROM v_payments WHERE paid_date >= DATE '2001-07-01'"""
+FROM v_payments"""
 
 
 @register("bill_mark_paid_payments", f"""

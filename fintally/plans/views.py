@@ -220,6 +220,43 @@ def settings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TEST_SETTINGS, "key string, value string")
 
 
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_part_rules: a rule per part, with every rule kind; some inactive, some of no known category."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("merchant_contains", "merchant_exact", "description_contains", "amount_range")]), (k % 4 + 1).cast("int"))
+    size = F.col("p_size").cast("string")
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), F.concat(F.lit("Rule "), k.cast("string")).alias("name"), kind.alias("rule_type"),
+        F.when(k % 4 == 3, F.concat(size, F.lit(","), size, F.lit("00"))).otherwise(F.col("p_name")).alias("pattern"),
+        (k % 17 + 1).alias("category_id"), F.col("p_size").cast("long").alias("priority"), (k % 7 != 0).alias("is_active"),
+        F.lit(dt.datetime(2024, 1, 1)).alias("created_at"))
+
+
+def supplier_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_supplier_categories: a user category per supplier; some budgets are negative."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.array().cast("array<string>").alias("keywords"),
+        F.col("s_acctbal").cast(MONEY).alias("budget_amount"), F.lit(None).cast("string").alias("color"))
+
+
+def customer_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_customer_settings: a setting per customer: an amount, a whole number or a word."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_name").alias("key"), F.when(k % 3 == 0, F.col("c_acctbal").cast(MONEY).cast("string"))
+        .when(k % 3 == 1, k.cast("string")).otherwise(F.col("c_mktsegment")).alias("value"))
+
+
+def template_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_template: a template line per part: every third names a supplier's category, the others are new."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part")
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("p_partkey"), "s_name")
+    return p.join(s, "p_partkey", "left").select(
+        F.coalesce("s_name", F.concat(F.col("p_name"), F.lit(" "), k.cast("string"))).alias("name"), F.col("p_type").alias("keywords"),
+        F.col("p_retailprice").alias("budget_amount"), k.alias("position"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """v_vectors: the driver's embeddings as labelled transaction vectors."""
     e = table(spark, sf_dir, "embeddings")

@@ -6,17 +6,14 @@ on a cluster), so a lost executor or a restarted query resumes without double co
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fintally.functions import money as M
 from fintally.operators.changes import dedupe_key
+from fintally.operators.goals import goal_state
 from fintally.operators.rules import rules_match
-from fintally.schema import MONEY
 
 
 def read_transactions_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -28,37 +25,38 @@ def read_transactions_stream(spark: SparkSession, path: str, schema: T.StructTyp
     return r.load(path)
 
 
-def with_event_time(stream: DataFrame) -> DataFrame:
-    """Event time of a ledger row: its date at midnight UTC (independent of the session
-    time zone, so day windows are calendar days)."""
-    return stream.withColumn("event_time", F.timestamp_seconds(F.unix_date("date").cast("long") * 86400))
+def _is_table(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to ``path`` (errors of the file system are raised)."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def stream_ingest_dedupe(stream: DataFrame, history_path: str, watermark: str = "30 days",
-                         keys=("date", "amount", "merchant")):
-    """De-duplicate a transaction stream: within the watermark by the dedupe key (state kept
-    by Spark), and against the full history table in each micro-batch (anti-join).
+def stream_ingest_dedupe(stream: DataFrame, history_path: str, keys=("date", "amount", "merchant")):
+    """De-duplicate a transaction stream against itself and the full history table.
 
-    Returns ``(deduped_stream, writer)`` where ``writer(batch_df, batch_id)`` is the
-    ``foreachBatch`` function that anti-joins the batch with ``history_path`` and appends the
-    survivors to it. A re-run of a micro-batch (after a failure) finds the rows it already
-    appended in the history and skips them, so the history never holds a key twice.
+    Returns ``(keyed_stream, writer)`` where ``writer(batch_df, batch_id)`` is the ``foreachBatch``
+    function: it keeps one row per dedupe key of the micro-batch (the smallest), drops keys that
+    the history holds, and writes the rest as the history's part ``batch_id``. No row is too old: there
+    is no watermark and no state beside the history. A micro-batch that is run again replaces its
+    own part and is compared with the other parts alone, so it ends in the same rows.
     """
-    s = (with_event_time(stream).withColumn("dedupe_key", dedupe_key(*keys))
-         .withWatermark("event_time", watermark)
-         .dropDuplicatesWithinWatermark(["dedupe_key"]))
+    keyed = stream.withColumn("dedupe_key", dedupe_key(*keys))
 
     def writer(batch_df: DataFrame, batch_id: int) -> None:
         spark = batch_df.sparkSession
-        batch = batch_df.drop("event_time").withColumn("_batch_id", F.lit(batch_id))
-        try:
-            hist = spark.read.parquet(history_path)
-            new = batch.join(hist.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no history yet
-            new = batch
-        new.write.mode("append").parquet(history_path)
+        rest = [c for c in batch_df.columns if c != "dedupe_key"]
+        new = (batch_df.groupBy("dedupe_key").agg(F.min(F.struct(*rest)).alias("_row"))
+               .select(*[F.col(f"_row.{c}").alias(c) for c in rest], "dedupe_key"))
+        if _is_table(spark, history_path):
+            # the schema is given, so a history without parts yet reads as empty
+            schema = T.StructType([*batch_df.schema.fields, T.StructField("batch", T.LongType())])
+            known = spark.read.schema(schema).parquet(history_path).filter(F.col("batch") != batch_id)
+            new = new.join(known.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
+        (new.withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy("batch").mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(history_path))
 
-    return s, writer
+    return keyed, writer
 
 
 def stream_rules(stream: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
@@ -66,16 +64,12 @@ def stream_rules(stream: DataFrame, rules: DataFrame, categories: DataFrame) ->
     return rules_match(stream, rules, categories)
 
 
-def stream_daily_spending(stream: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """|expense| per calendar day, emitted once the watermark (latest event time minus the
-    delay, over all rows) has moved past the day's end (append mode). Rows later than the
-    watermark are dropped by Spark."""
-    s = with_event_time(stream).withWatermark("event_time", watermark)
-    return (s.filter(F.col("amount") < 0)
-            .groupBy(F.window("event_time", "1 day"))
+def stream_daily_spending(stream: DataFrame) -> DataFrame:
+    """|expense| per calendar day (update mode): the days that a micro-batch changes, with their new
+    totals. State is one row per day, so no row is too late and nothing is held back."""
+    return (stream.filter(F.col("amount") < 0).groupBy("date")
             .agg(F.sum(F.abs("amount")).alias("total"), F.count(F.lit(1)).alias("n"))
-            .select(F.date_from_unix_date((F.unix_seconds(F.col("window.start")) / 86400).cast("int")).alias("date"),
-                    M.out("total").alias("total"), "n"))
+            .select("date", M.out("total").alias("total"), "n"))
 
 
 def stream_running_balance(stream: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -91,52 +85,41 @@ def stream_running_balance(stream: DataFrame, accounts: DataFrame) -> DataFrame:
     return agg.select("account_id", M.out(bal).alias("balance"))
 
 
-GOAL_EVENT_SCHEMA = T.StructType([
+GOAL_STATE_SCHEMA = T.StructType([
     T.StructField("goal_id", T.LongType()),
     T.StructField("current_amount", T.DoubleType()),
     T.StructField("completed_at", T.TimestampNTZType()),
     T.StructField("completing_contribution_id", T.LongType()),
 ])
-_GOAL_STATE = T.StructType([
-    T.StructField("current_cents", T.LongType()),
-    T.StructField("target_cents", T.LongType()),
-    T.StructField("done", T.BooleanType()),
-])
 
 
-def stream_goal_state(stream: DataFrame, goals: DataFrame) -> DataFrame:
-    """Per goal, fold contributions in (created_at, id) order within each micro-batch and
-    emit one event when the running total first reaches the target (append mode).
+def stream_goal_state(stream: DataFrame, contributions_path: str, goals: DataFrame, state_path: str):
+    """Keep the state of every goal up to date from a stream of contributions.
 
-    The running total and a done flag are the group state (``applyInPandasWithState``);
-    money is kept in integer cents so the fold is exact.
+    Returns ``(stream, writer)`` for ``foreachBatch``. A micro-batch is stored as its own part of the
+    contributions table; the goals it touches are then evaluated over all their stored contributions
+    with the batch operator, in order of time, so arrival order does not change an answer.
+    ``state_path`` holds a part per micro-batch; a goal's state is the one of its latest batch
+    (``goal_states``). A micro-batch that is run again replaces its own parts.
     """
-    tgt = goals.select(F.col("id").alias("goal_id"),
-                       (F.col("target_amount") * 100).cast("long").alias("target_cents"))
-    s = (stream.join(tgt, "goal_id")
-         .select("goal_id", "id", "created_at", (F.col("amount").cast(MONEY) * 100).cast("long").alias("cents"),
-                 "target_cents"))
-
-    def fold(key, pdfs: Iterator[pd.DataFrame], state):
-        if state.exists:
-            cur, target, done = state.get
-        else:
-            cur, target, done = 0, None, False
-        events = []
-        parts = [p for p in pdfs]
-        if parts:
-            pdf = pd.concat(parts).sort_values(["created_at", "id"])
-            if target is None:
-                target = int(pdf["target_cents"].iloc[0])
-            for cid, ts, cents in zip(pdf["id"], pdf["created_at"], pdf["cents"]):
-                cur += int(cents)
-                if not done and cur >= target:
-                    done = True
-                    events.append((int(key[0]), cur / 100.0, ts, int(cid)))
-        state.update((cur, target, done))
-        if events:
-            yield pd.DataFrame(events, columns=["goal_id", "current_amount", "completed_at",
-                                                "completing_contribution_id"])
-
-    return s.groupBy("goal_id").applyInPandasWithState(
-        fold, GOAL_EVENT_SCHEMA, _GOAL_STATE, "append", "NoTimeout")
+    def writer(batch_df: DataFrame, batch_id: int) -> None:
+        spark = batch_df.sparkSession
+        tagged = batch_df.withColumn("batch", F.lit(batch_id).cast("long"))
+        tagged.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(contributions_path)
+        stored = spark.read.schema(tagged.schema).parquet(contributions_path)
+        touched = stored.filter(F.col("batch") == batch_id).select("goal_id").distinct()
+        mine = stored.join(touched, "goal_id", "left_semi").drop("batch")
+        state = goal_state(goals.join(touched.withColumnRenamed("goal_id", "id"), "id", "left_semi"), mine)
+        (state.select(F.col("id").alias("goal_id"), F.col("current_amount").cast("double").alias("current_amount"), "completed_at",
+                      "completing_contribution_id", F.lit(batch_id).cast("long").alias("batch"))
+         .write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(state_path))
+
+    return stream, writer
+
+
+def goal_states(spark: SparkSession, state_path: str) -> DataFrame:
+    """The latest state of every goal that the stream has seen."""
+    schema = T.StructType([*GOAL_STATE_SCHEMA.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(schema).parquet(state_path)
+    return (rows.groupBy("goal_id").agg(F.max_by(F.struct("current_amount", "completed_at", "completing_contribution_id"), "batch").alias("s"))
+            .select("goal_id", "s.*"))

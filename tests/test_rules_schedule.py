@@ -1,4 +1,4 @@
-"""Rule matching (inline CASE path vs broadcast Aho-Corasick path) and schedule arithmetic."""
+"""Rule matching and schedule arithmetic."""
 import datetime as dt
 
 from pyspark.sql import functions as F
@@ -9,14 +9,33 @@ from fintally.plans import views as V
 from tests.conftest import SF_SMALL
 
 
-def test_vectorised_rules_equal_inline(spark, monkeypatch):
+RULE_SCHEMA = ("id long, name string, rule_type string, pattern string, category_id long, priority long, "
+               "is_active boolean, created_at timestamp")
+
+
+def test_blocks_do_not_change_the_answer(spark, monkeypatch):
     led = V.ledger(spark, SF_SMALL)
-    inline = {r["id"]: (r["rule_category_id"], r["rule_id"])
-              for r in RU.rules_match(led, V.rules(spark), V.categories(spark)).collect()}
-    monkeypatch.setattr(RU, "MAX_INLINE_RULES", 2)
-    vec = {r["id"]: (r["rule_category_id"], r["rule_id"])
+    one = {r["id"]: (r["rule_category_id"], r["rule_id"])
            for r in RU.rules_match(led, V.rules(spark), V.categories(spark)).collect()}
-    assert inline == vec
+    monkeypatch.setattr(RU, "RULE_BLOCK", 2)
+    many = {r["id"]: (r["rule_category_id"], r["rule_id"])
+            for r in RU.rules_match(led, V.rules(spark), V.categories(spark)).collect()}
+    assert one == many and any(v[0] for v in one.values())
+
+
+def test_many_rules_long_ids_and_empty_patterns(spark):
+    big = 8412345678901234567
+    txns = spark.createDataFrame([(1, "Corner Shop", None, -4.5, big), (2, None, "x", -1.0, None), (3, "shop 700", "y", 2.0, big)],
+                                 "id long, merchant string, description string, amount double, recurring_group_id long")
+    cats = spark.createDataFrame([(n, f"c{n}") for n in range(1, 900)], "id long, name string")
+    when = dt.datetime(2024, 1, 1)
+    rules = [(big - n, f"r{n}", "merchant_contains", f"shop {n}", n, 5, True, when) for n in range(100, 800)]
+    for empty in ("merchant_contains", "description_contains"):
+        all_rules = rules + [(7, "any", empty, "", 1, 1, True, when)]
+        got = {r["id"]: (r["rule_category_id"], r["rule_id"], r["recurring_group_id"])
+               for r in RU.rules_match(txns, spark.createDataFrame(all_rules, RULE_SCHEMA), cats).collect()}
+        # an empty pattern is in every text; a missing merchant is no text, a missing description is empty
+        assert got == {1: (1, 7, big), 2: (1, 7, None) if empty == "description_contains" else (None, None, None), 3: (700, big - 700, big)}
 
 
 def test_rule_kinds(spark):

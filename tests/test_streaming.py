@@ -1,6 +1,7 @@
 """Streaming variants agree with their batch twins."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from fintally.operators import accounts as AC
@@ -25,14 +26,11 @@ def test_daily_spending_stream_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     _write_parts(led, src)
     stream = S.read_transactions_stream(spark, src, led.schema)
-    q = (S.stream_daily_spending(stream, "0 days").writeStream.outputMode("append").format("memory")
+    q = (S.stream_daily_spending(stream).writeStream.outputMode("complete").format("memory")
          .queryName("daily_stream").option("checkpointLocation", os.path.join(tmpdir_path, "ck1")).start())
     _run(q)
     got = {r["date"]: r["total"] for r in spark.sql("select * from daily_stream").collect()}
-    batch = {r["date"]: r["total"] for r in A.daily_spending(led, V.AS_OF, 10000).collect()}
-    # append mode holds back the last open window (past the watermark only when newer data arrives)
-    last = max(batch)
-    assert {d: t for d, t in batch.items() if d != last} == {d: t for d, t in got.items() if d != last}
+    assert got == {r["date"]: r["total"] for r in A.daily_spending(led, V.AS_OF, 10000).collect()}
 
 
 def test_running_balance_stream_equals_batch(spark, tmpdir_path):
@@ -56,27 +54,46 @@ def test_goal_state_stream_equals_batch(spark, tmpdir_path):
     contrib = V.contributions(spark, SF_SMALL)
     goals = V.goals(spark, SF_SMALL)
     src = os.path.join(tmpdir_path, "src")
-    contrib.coalesce(1).write.mode("overwrite").parquet(src)
-    stream = spark.readStream.schema(contrib.schema).parquet(src)
-    q = (S.stream_goal_state(stream, goals).writeStream.outputMode("append").format("memory")
-         .queryName("goal_stream").option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).start())
+    # small files in no order of time: an earlier contribution may come in a later micro-batch
+    contrib.repartition(6, "id").write.mode("overwrite").parquet(src)
+    stored, states = os.path.join(tmpdir_path, "stored"), os.path.join(tmpdir_path, "states")
+    stream = spark.readStream.schema(contrib.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s, writer = S.stream_goal_state(stream, stored, goals, states)
+    q = s.writeStream.foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).start()
     _run(q)
-    got = {r["goal_id"]: r["completing_contribution_id"] for r in spark.sql("select * from goal_stream").collect()}
+    got = {r["goal_id"]: r["completing_contribution_id"] for r in S.goal_states(spark, states).collect()
+           if r["completing_contribution_id"] is not None}
     batch = {r["id"]: r["completing_contribution_id"] for r in GO.goal_state(goals, contrib).collect()
              if r["completing_contribution_id"] is not None}
-    assert got == batch
+    assert got == batch and got
 
 
 def test_ingest_dedupe_stream(spark, tmpdir_path):
     led = V.ledger(spark, SF_SMALL).select("id", "date", "amount", "merchant", "description")
     src = os.path.join(tmpdir_path, "src")
-    # every row twice: the stream must keep one copy per (date, amount, merchant)
+    # every row twice, in files of no order: old rows after new ones are kept too
     _write_parts(led.unionByName(led), src)
     hist = os.path.join(tmpdir_path, "history")
-    stream = S.read_transactions_stream(spark, src, led.schema)
-    deduped, writer = S.stream_ingest_dedupe(stream, hist, "10000 days")
-    q = deduped.writeStream.foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck4")).start()
+    stream = S.read_transactions_stream(spark, src, led.schema, max_files_per_trigger=1)
+    keyed, writer = S.stream_ingest_dedupe(stream, hist)
+    q = keyed.writeStream.foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck4")).start()
     _run(q)
     h = spark.read.parquet(hist)
-    assert h.count() == led.select("date", "amount", "merchant").distinct().count()
+    rows = h.count()
+    assert rows == led.select("date", "amount", "merchant").distinct().count()
     assert h.groupBy("dedupe_key").count().filter(F.col("count") > 1).count() == 0
+    # a micro-batch that is run again replaces its own rows
+    writer(led.withColumn("dedupe_key", F.lit("k")).limit(3).drop("batch"), 99)
+    writer(led.withColumn("dedupe_key", F.lit("k")).limit(3).drop("batch"), 99)
+    assert spark.read.parquet(hist).count() == rows + 1
+
+
+def test_unreadable_history_fails_the_batch(spark, tmpdir_path):
+    hist = os.path.join(tmpdir_path, "history", "batch=0")
+    os.makedirs(hist)
+    with open(os.path.join(hist, "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    led = V.ledger(spark, SF_SMALL).select("id", "date", "amount", "merchant", "description").withColumn("dedupe_key", F.col("id").cast("string"))
+    _, writer = S.stream_ingest_dedupe(led.drop("dedupe_key"), os.path.dirname(hist))
+    with pytest.raises(Exception):
+        writer(led, 1)
