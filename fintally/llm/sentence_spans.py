@@ -19,18 +19,19 @@ from pyspark.sql import types as T
 from fintally.llm import common
 
 MIN_SENTENCES, MIN_WORDS = 2, 16
-#: A sentence ends behind its final mark and white space, at a line end, and before a capitalised
-#: word: a passage pasted into the middle of a sentence starts with one.
-BOUNDARY = re.compile(r"(?<=[.!?…。！？])[\"'”’»)\]]*\s+|\s*\n\s*|(?<=[^\W\d_A-ZÀ-ÖØ-Þ])[,;:]?\s+(?=[^\W\d_a-zß-öø-ÿ]+[a-zß-öø-ÿ])")
-TOKENS = re.compile(r"\S+")
+#: White space ends a sentence behind its final mark (and closing quotes), at a line end, and before a
+#: capitalised word: a passage pasted into the middle of a sentence starts with one.
+FINAL, CLOSING, SMALL, CAPITAL = ".!?…。！？", "\"'”’»)\\]", "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
+BOUNDARY = re.compile(rf"[ \t\n\r\f\v\u00a0\u2028](?:(?<=[{FINAL}].)|(?<=[\n\u2028])|(?<=[{FINAL}][{CLOSING}].)|(?:(?<=[{SMALL}].)|(?<=[{SMALL}][,;:].))(?=[{CAPITAL}][{SMALL}]))", re.S)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of every sentence; white space between sentences belongs to none."""
+    """Start and end of every sentence that holds a word."""
     out, at = [], 0
     for m in BOUNDARY.finditer(text):
-        if text[at:m.start()].strip():
-            out.append((at, m.start()))
+        stop = m.start()
+        if stop > at and not text[at:stop].isspace():
+            out.append((at, stop))
         at = m.end()
     if text[at:].strip():
         out.append((at, len(text)))
@@ -39,7 +40,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
     """(first sentence, sentences, hash) of the run that starts at each sentence, where there is one."""
-    words = [TOKENS.findall(text, a, b) for a, b in sentences(text)]
+    words = [text[a:b].split() for a, b in sentences(text)]
+    plain = [" ".join(w) for w in words]
     out, end, held = [], 0, 0
     for i in range(len(words)):
         end = max(end, i)
@@ -48,7 +50,7 @@ def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int,
             end += 1
         if end - i < min_sentences or held < min_words:
             break
-        h = xxhash.xxh3_64_intdigest("\n".join(" ".join(w) for w in words[i:end]).encode())
+        h = xxhash.xxh3_64_intdigest("\n".join(plain[i:end]))
         out.append((i, end - i, h - (1 << 64) if h >> 63 else h))
         held -= len(words[i])
     return out
@@ -81,21 +83,22 @@ def repeated_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFr
     rows = run_rows(docs, min_sentences, min_words)
     place = F.struct("doc_id", "mark", "first")
     first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "origin")
+    first = common.written(first, "runs")  # as a table, so that the join can split the rows of a frequent run
     later = rows.join(first, "h").where(~place.eqNullSafe(F.col("origin")))
     return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 
-def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the sentences of the spans (with the white space behind them), the number of
-    its sentences and of those removed."""
+def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
+    """The text without the sentences of the spans (with the white space behind them), and the number
+    of sentences removed."""
+    if not spans:
+        return text, 0
     bounds = sentences(text)
     gone = np.zeros(len(bounds) + 1, np.int32)
     for first, n in spans:
         gone[first] += 1
         gone[min(first + n, len(bounds))] -= 1
     gone = np.cumsum(gone)[:-1] > 0
-    if not gone.any():
-        return text, len(bounds), 0
     parts, at = [], 0
     for i, (a, _) in enumerate(bounds):
         stop = bounds[i + 1][0] if i + 1 < len(bounds) else len(text)
@@ -103,24 +106,24 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
             parts.append(text[at:a])
             at = stop
     parts.append(text[at:])
-    return "".join(parts), len(bounds), int(gone.sum())
+    return "".join(parts), int(gone.sum())
 
 
 def remove_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                           min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, n_sentences, n_removed, kept_text for each row.
+    """doc_id, n_removed (sentences), kept_text for each row.
 
-    Null text is empty: no sentences, nothing removed. Rows alike in doc_id and text count as one
+    Null text is empty, and nothing of it is removed. Rows alike in doc_id and text count as one
     document and get the same result; of equal runs the one of the smallest doc_id (null first), then
     the earliest, stays. Other columns are not read; an empty table gives no rows."""
     src = docs.select(F.col(doc_id).alias("doc_id"), common.text_mark(text).alias("mark"), common.whole_text(text).alias("text"))
     found = repeated_runs(src, min_sentences, min_words).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "spans")
     joined = src.join(found, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans")
-    out = T.StructType([common.field(src, "doc_id"), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    out = T.StructType([common.field(src, "doc_id"), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [kept_text(t, [(s["first"], s["n"]) for s in spans or ()]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        kept, total, removed = zip(*rows)
-        return pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], out.names)
+        kept, removed = zip(*rows)
+        return pa.record_batch([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], out.names)
 
     return common.map_arrow(joined, cut, out)
