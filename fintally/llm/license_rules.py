@@ -143,11 +143,11 @@ def rules() -> list[Rule]:
     for elements, words in CC_ELEMENTS.items():
         for version in CC_VERSIONS:
             label, v = f"cc-{elements}-{version}", quoted(version)
-            short = elements.replace("-", "[ -]")
+            short = elements.replace("-", r"[\s-]")
             out.append(Rule(label, "spdx", "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?cc-{quoted(elements)}-{v}(?!\d)"))
             out.append(Rule(label, "url", f"creativecommons.org/licenses/{elements}/{version}", quoted(f"creativecommons.org/licenses/{elements}/{version}")))
-            out.append(Rule(label, "grant", version, gaps(licensed) + rf"cc[ -]{short}[ -]?v?{v}"))
-            out.append(Rule(label, "title", version, rf"cc[ -]{short}[ -]?v?{v}"))
+            out.append(Rule(label, "grant", version, gaps(licensed) + rf"cc[\s-]{short}[\s-]?v?{v}"))
+            out.append(Rule(label, "title", version, rf"cc[\s-]{short}[\s-]?v?{v}"))
             out.append(Rule(label, "title", "creative commons", gaps(rf"creative commons {words},? {v}")))
             out.append(Rule(label, "title", "creative commons", gaps(rf"creative commons {words},? {v}(?: international| unported| generic)? licen[cs]e")))
     out += [Rule(label, "notice", key, gaps(p)) for label, key, p in NOTICES]
