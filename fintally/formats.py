@@ -130,8 +130,6 @@ HEADER_WORDS = ["date", "amount", "merchant", "payee", "description"]
 INCOME_PATTERNS = [r"direct deposit", r"payroll", r"salary", r"wages", r"paycheck", r"ach credit",
                    r"interest payment", r"dividend", r"refund", r"tax refund", r"venmo from", r"zelle from",
                    r"transfer from"]
-EXPENSE_PATTERNS = [r"purchase", r"pos", r"debit card", r"withdrawal", r"payment", r"transfer to",
-                    r"venmo to", r"zelle to", r"atm"]
 SUBSCRIPTION_PATTERNS = [r"netflix", r"spotify", r"hulu", r"disney\+", r"amazon prime", r"apple\.com",
                          r"google\s*(play|storage|one)", r"microsoft", r"adobe", r"dropbox", r"youtube premium",
                          r"hbo\s*max"]

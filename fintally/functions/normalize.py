@@ -10,9 +10,18 @@ from fintally.formats import DEFAULT_DATE_PATTERNS
 # no hex), so that try_cast never accepts text the reference rejects.
 NUMERIC_RE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
-# Fallback shapes tried after the listed patterns (ISO date-times and spelled-out months).
-FALLBACK_PATTERNS = ["yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy-M-d H:m", "MMM d, yyyy", "MMMM d, yyyy",
-                     "d MMM yyyy", "d MMMM yyyy", "yyyyMMdd"]
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_TIME = r"([T ]\s*\d{1,2}:\d{2}(:\d{2}([.,]\d+)?)?\s*([AaPp]\.?[Mm]\.?)?\s*(Z|z|UTC|GMT|[+-]\d{2}:?\d{2})?)?"
+_WEEKDAY = r"(?:(?:[Mm]on|[Tt]ue|[Ww]ed|[Tt]hu|[Ff]ri|[Ss]at|[Ss]un)[a-z]*\.?,?\s+)?"
+_DAY, _MONTH = r"(?:0?[1-9]|[12][0-9]|3[01])", r"(?:0?[1-9]|1[0-2])"
+_NAME = (r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?"
+         r"|nov(?:ember)?|dec(?:ember)?)\.?")
+_ORD = "(?:st|nd|rd|th)?"
+#: Shapes of a date as a general parser reads them, with an optional weekday and time of day.
+_GENERAL = _WEEKDAY + "(?:" + "|".join([
+    rf"\d{{4}}[-/. ]{_MONTH}[-/. ]{_DAY}", rf"{_MONTH}[-/. ]{_DAY}[-/. ](?:\d{{4}}|\d{{2}})", rf"{_DAY}[-/. ]{_MONTH}[-/. ](?:\d{{4}}|\d{{2}})",
+    rf"{_DAY}{_ORD}[-/ ]\s*{_NAME},?[-/ ]\s*(?:\d{{4}}|\d{{2}})", rf"{_NAME}[-/ ]\s*{_DAY}{_ORD},?[-/ ]\s*\d{{4}}", rf"\d{{4}}[-/ ]{_NAME}[-/ ]{_DAY}",
+    r"\d{8}"]) + ")" + _TIME
 
 
 def _c(c) -> Column:
@@ -20,69 +29,48 @@ def _c(c) -> Column:
 
 
 def pattern_shape(pattern: str) -> str:
-    """A regular expression for the text shapes a datetime pattern can parse.
-
-    Used as a guard: parsing is only attempted when the shape matches, because every failed
-    parse attempt costs a Java exception inside ``try_to_timestamp``.
-    """
-    import re
-    out, i = [], 0
-    while i < len(pattern):
-        ch = pattern[i]
-        if ch == "'":
-            j = pattern.index("'", i + 1)
-            out.append(re.escape(pattern[i + 1:j]))
-            i = j + 1
-            continue
-        j = i
-        while j < len(pattern) and pattern[j] == ch:
-            j += 1
-        run = j - i
-        if ch == "y":
-            out.append(r"\d{4}" if run >= 4 else r"\d{2}")
-        elif ch == "M" and run >= 4:
-            out.append(r"[A-Za-z]+")
-        elif ch == "M" and run == 3:
-            out.append(r"[A-Za-z]{3}")
-        elif ch in "MdHms":
-            out.append(r"\d{2}" if run == 2 else r"\d{1,2}")
-        else:
-            out.append(re.escape(pattern[i:j]))
-        i = j
-    return "^" + "".join(out) + "$"
-
-
-def _try_date(s: Column, pattern: str) -> Column:
-    if "yy" in pattern and "yyyy" not in pattern:
-        # two-digit years as Python reads them (69..99 -> 19xx, 00..68 -> 20xx): widen the
-        # trailing two-digit year to four digits, then parse with a four-digit pattern
-        tail = pattern.replace("yy", "")
-        sep = re_escape_tail(tail)
-        s = F.regexp_replace(s, rf"^(.*{sep})(69|[7-9][0-9])$", "$119$2")
-        s = F.regexp_replace(s, rf"^(.*{sep})([0-5][0-9]|6[0-8])$", "$120$2")
-        pattern = pattern.replace("yy", "yyyy")
-    return F.when(s.rlike(pattern_shape(pattern)), F.try_to_timestamp(s, F.lit(pattern)).cast("date"))
-
-
-def re_escape_tail(tail: str) -> str:
-    """Regex for the literal separator right before the year field of a pattern."""
+    """A regular expression for the texts that a datetime pattern (of y, M, d and separators) takes."""
     import re
-    return re.escape(tail[-1]) if tail else ""
+    fields = {"yyyy": r"\d{4}", "yy": r"\d{2}", "MMM": _NAME, "MM": _MONTH, "M": _MONTH, "dd": _DAY, "d": _DAY}
+    return "".join(fields[part] if part in fields else re.escape(part) for part in re.findall(r"y+|M+|d+|[^yMd]", pattern))
+
+
+def _calendar_day(text: Column) -> Column:
+    """The date that a text of one of the known shapes spells: year first if it has four digits, a month
+    by its name, else month before day unless the first number is over 12. Two-digit years as
+    Python reads them (69..99 -> 19xx). A day that does not exist gives NULL. One parse, interpreted
+    as a whole, so generated code stays small however often it is used."""
+    plain = F.regexp_replace(F.regexp_replace(text, "^" + _WEEKDAY, ""), _TIME + "$", "")
+    parts = F.split(F.regexp_replace(plain, r"(\d)(?:st|nd|rd|th)\b", "$1"), "[^0-9A-Za-z]+")
+
+    def spelled(p: Column) -> Column:
+        a, b, c = F.get(p, F.lit(0)), F.get(p, F.lit(1)), F.get(p, F.lit(2))
+        name = lambda x: x.rlike("^[A-Za-z]")
+        number = lambda x: ((F.instr(F.lit(_MONTHS), F.lower(F.substring(x, 1, 3))) + 2) / 3).cast("int").cast("string")
+        year = lambda x: F.when(F.length(x) == 2, F.concat(F.when(x >= "69", F.lit("19")).otherwise(F.lit("20")), x)).otherwise(x)
+        ymd = lambda y, m, d: F.concat_ws("-", year(y), m, d)
+        return (F.when(F.size(p) == 1, F.concat_ws("-", F.substring(a, 1, 4), F.substring(a, 5, 2), F.substring(a, 7, 2)))
+                .when(name(a), ymd(c, number(a), b))
+                .when(name(b), F.when(F.length(a) == 4, ymd(a, number(b), c)).otherwise(ymd(c, number(b), a)))
+                .when(F.length(a) == 4, ymd(a, b, c))
+                .when(a.try_cast("int") <= 12, ymd(c, a, b)).otherwise(ymd(c, b, a)))
+
+    return F.transform(F.array(parts), spelled)[0].try_cast("date")
 
 
 def norm_date(col, patterns=DEFAULT_DATE_PATTERNS, fallback: bool = True) -> Column:
-    """First pattern that parses the trimmed text, as a DATE (NULL when none does)."""
+    """The date of a text that one of ``patterns`` takes or, with ``fallback``, that has a shape a
+    general parser reads (NULL otherwise). Patterns that differ only in the order of month and day
+    are tried month first, as the lists have it."""
     s = F.trim(_c(col).cast("string"))
-    tries = [_try_date(s, p) for p in patterns]
-    if fallback:
-        tries += [_try_date(s, p) for p in FALLBACK_PATTERNS]
-    return F.coalesce(*tries)
+    shapes = [pattern_shape(p) for p in patterns] + ([_GENERAL] if fallback else [])
+    return F.when(s.rlike("^(?:" + "|".join(shapes) + ")$"), _calendar_day(s))
 
 
 def norm_date_first_token(col, patterns) -> Column:
     """Parse only the first whitespace-separated token (onboarding import)."""
     tok = F.split(F.trim(_c(col).cast("string")), r"\s+").getItem(0)
-    return F.coalesce(*[_try_date(tok, p) for p in patterns])
+    return norm_date(tok, patterns, fallback=False)
 
 
 def _clean_amount_text(col) -> Column:

@@ -160,13 +160,19 @@ SELECT l_orderkey AS id,
 FROM lineitem""",
     "v_raw": f"""
 SELECT 'acct_' || CAST(o.o_custkey % 40 AS VARCHAR) || '.csv' AS file, o.o_orderkey AS line,
-       CASE o.o_orderkey % 6 WHEN 0 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d')
+       CASE WHEN o.o_orderkey % 13 = 3 THEN [strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y') || ' 10:30 AM',
+              strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') || 'T10:00:00Z', strftime(CAST(o.o_orderdate AS DATE), '%b %d %Y'),
+              strftime(CAST(o.o_orderdate AS DATE), '%d.%m.%Y'), strftime(CAST(o.o_orderdate AS DATE), '%m-%d-%Y'),
+              strftime(CAST(o.o_orderdate AS DATE), '%d %B %Y'), strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') || ' 23:59',
+              strftime(CAST(o.o_orderdate AS DATE), '%Y%m%d'), strftime(CAST(o.o_orderdate AS DATE), '%B %-d, %Y'),
+              strftime(CAST(o.o_orderdate AS DATE), '%a, %d %b %Y')][(o.o_orderkey // 13) % 10 + 1]
+            ELSE CASE o.o_orderkey % 6 WHEN 0 THEN strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d')
             WHEN 1 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y')
             WHEN 2 THEN strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%y')
             WHEN 3 THEN strftime(CAST(o.o_orderdate AS DATE), '%d-%b-%Y')
             WHEN 4 THEN strftime(CAST(o.o_orderdate AS DATE), '%d/%m/%Y')
             ELSE CASE WHEN o.o_orderkey % 60 = 5 THEN 'not a date'
-                      ELSE strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d') END END AS raw_date,
+                      ELSE strftime(CAST(o.o_orderdate AS DATE), '%Y/%m/%d') END END END AS raw_date,
        CASE o.o_orderkey % 5 WHEN 0 THEN CAST(v AS VARCHAR)
             WHEN 1 THEN '$' || format('{{:,.2f}}', v)
             WHEN 2 THEN CASE WHEN v < 0 THEN '(' || CAST(CAST(-v AS DECIMAL(18,2)) AS VARCHAR) || ')' ELSE CAST(v AS VARCHAR) END

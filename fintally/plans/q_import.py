@@ -17,7 +17,9 @@ _DATE_SQL = f"""COALESCE(
   CASE WHEN regexp_full_match({_S}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{2}}') THEN CAST(try_strptime({_S}, '%m/%d/%y') AS DATE) END,
   CASE WHEN regexp_full_match({_S}, '\\d{{1,2}}-[A-Za-z]{{3}}-\\d{{4}}') THEN CAST(try_strptime({_S}, '%d-%b-%Y') AS DATE) END,
   CASE WHEN regexp_full_match({_S}, '\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}') THEN CAST(try_strptime({_S}, '%d/%m/%Y') AS DATE) END,
-  CASE WHEN regexp_full_match({_S}, '\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}') THEN CAST(try_strptime({_S}, '%Y/%m/%d') AS DATE) END)"""
+  CASE WHEN regexp_full_match({_S}, '\\d{{4}}/\\d{{1,2}}/\\d{{1,2}}') THEN CAST(try_strptime({_S}, '%Y/%m/%d') AS DATE) END,
+  CAST(try_strptime({_S}, ['%m/%d/%Y %I:%M %p', '%Y-%m-%dT%H:%M:%SZ', '%b %d %Y', '%m.%d.%Y', '%d.%m.%Y', '%m-%d-%Y', '%d %B %Y',
+                           '%Y-%m-%d %H:%M', '%Y%m%d', '%B %d, %Y', '%a, %d %b %Y']) AS DATE))"""
 
 _NUM = "[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?"
 

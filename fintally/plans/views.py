@@ -326,6 +326,12 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw_date = (F.when(k % 6 == 0, fmt[0]).when(k % 6 == 1, fmt[1]).when(k % 6 == 2, fmt[2])
                 .when(k % 6 == 3, fmt[3]).when(k % 6 == 4, fmt[4])
                 .when(k % 60 == 5, F.lit("not a date")).otherwise(F.date_format(d, "yyyy/MM/dd")))
+    # every 13th row: a spelling that only a general parser reads
+    other = [F.concat(F.date_format(d, "MM/dd/yyyy"), F.lit(" 10:30 AM")), F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit("T10:00:00Z")),
+             F.date_format(d, "MMM dd yyyy"), F.date_format(d, "dd.MM.yyyy"), F.date_format(d, "MM-dd-yyyy"), F.date_format(d, "dd MMMM yyyy"),
+             F.concat(F.date_format(d, "yyyy-MM-dd"), F.lit(" 23:59")), F.date_format(d, "yyyyMMdd"), F.date_format(d, "MMMM d, yyyy"),
+             F.date_format(d, "EEE, dd MMM yyyy")]
+    raw_date = F.when(k % 13 == 3, F.element_at(F.array(*other), (F.floor(k / 13) % len(other) + 1).cast("int"))).otherwise(raw_date)
     commas = F.format_number(v, 2)
     raw_amount = (F.when(k % 5 == 0, vs).when(k % 5 == 1, F.concat(F.lit("$"), commas))
                   .when(k % 5 == 2, F.when(v < 0, F.concat(F.lit("("), (-v).cast(MONEY).cast("string"), F.lit(")")))
