@@ -2,7 +2,8 @@
 
 ``write_exports`` turns v_raw into one CSV text file per account export, each with a
 two-line preamble and a blank line before the header, occasional blank and all-empty
-lines, and quoted fields where needed. Every file's lines go to one task and are written
+lines, and quoted fields where needed. ``awkward`` exports also hold short rows, quoted line breaks and, in every
+other file, repeated and blank header names. Every file's lines go to one task and are written
 in order.
 """
 from __future__ import annotations
@@ -18,32 +19,42 @@ HEADER = "Date,Amount,Merchant,Description"
 
 def _quote(c):
     c = F.coalesce(c, F.lit(""))
-    needs = F.contains(c, F.lit(",")) | F.contains(c, F.lit('"'))
+    needs = F.contains(c, F.lit(",")) | F.contains(c, F.lit('"')) | F.contains(c, F.lit("\n"))
     return F.when(needs, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
 
 
-def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = V.raw_rows(spark, sf_dir)
+def awkward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw rows with quoted line breaks in every 29th description and no description field in
+    every 31st row."""
+    k = F.col("line")
+    text = F.when(k % 31 == 0, F.lit(None).cast("string")).when(
+        k % 29 == 0, F.concat(F.col("raw_description"), F.lit('\nsecond, "line"'))).otherwise(F.col("raw_description"))
+    return V.raw_rows(spark, sf_dir).withColumn("raw_description", text)
+
+
+def export_lines(spark: SparkSession, sf_dir: str, awkward: bool = False) -> DataFrame:
+    r = awkward_rows(spark, sf_dir) if awkward else V.raw_rows(spark, sf_dir)
+    header = F.when(F.lit(awkward) & F.col("file").rlike("[13579].csv$"), F.lit(HEADER + ",Description,")).otherwise(F.lit(HEADER))
     files = r.select("file").distinct()
     pre = files.select("file", F.explode(F.array(
         F.struct(F.lit(-4).cast("long").alias("seq"), F.concat(F.lit("Statement for "), F.col("file")).alias("text")),
         F.struct(F.lit(-3).cast("long").alias("seq"), F.lit("Account: 1234").alias("text")),
         F.struct(F.lit(-2).cast("long").alias("seq"), F.lit("").alias("text")),
-        F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(HEADER).alias("text")))).alias("l")) \
+        F.struct(F.lit(-1).cast("long").alias("seq"), header.alias("text")))).alias("l")) \
         .select("file", "l.seq", "l.text")
     data = r.select("file", (F.col("line") * 2 + 1).alias("seq"),
-                    F.concat_ws(",", _quote(F.col("raw_date")), _quote(F.col("raw_amount")),
-                                _quote(F.col("raw_merchant")), _quote(F.col("raw_description"))).alias("text"))
+                    F.concat_ws(",", _quote(F.col("raw_date")), _quote(F.col("raw_amount")), _quote(F.col("raw_merchant")),
+                                F.when(F.lit(not awkward) | F.col("raw_description").isNotNull(), _quote(F.col("raw_description")))).alias("text"))
     extra = r.filter(F.col("line") % 53 == 0).select("file", (F.col("line") * 2).alias("seq"),
                                                    F.lit(",,,").alias("text"))
     blank = r.filter(F.col("line") % 37 == 0).select("file", (F.col("line") * 2).alias("seq"), F.lit("").alias("text"))
     return pre.unionByName(data).unionByName(extra).unionByName(blank)
 
 
-def write_exports(spark: SparkSession, sf_dir: str) -> str:
+def write_exports(spark: SparkSession, sf_dir: str, awkward: bool = False) -> str:
     """Write the exports under a new scratch folder; returns the folder."""
     out = scratch_dir(spark, "exports")
-    (export_lines(spark, sf_dir).repartition("file").sortWithinPartitions("file", "seq")
+    (export_lines(spark, sf_dir, awkward).repartition("file").sortWithinPartitions("file", "seq")
      .select("file", F.col("text").alias("value"))
      .write.partitionBy("file").text(out))
     return out

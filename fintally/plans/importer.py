@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fintally.formats import aliases_df, formats_df
 from fintally.operators import changes as CH
 from fintally.operators import profile as P
+from fintally.session import written
 from fintally.sources.csv_exports import src_csv_exports, src_csv_headers
 
 _FIELDS = ["date", "amount", "merchant", "description"]
@@ -45,17 +46,17 @@ def parse_exports(spark: SparkSession, path: str, column_mapping: dict | None =
 def analyze_exports(spark: SparkSession, path: str) -> DataFrame:
     """Per file: format, smart mapping, confidence, account type and totals.
 
-    The parsed rows and the small per-file / per-column frames are persisted: the mapping
-    steps reuse them many times, and recomputing means re-reading every export.
+    The parsed rows and the small per-file / per-column frames are written to the shared scratch folder:
+    the mapping steps reuse them many times, and recomputing means re-reading every export.
     """
-    rows = src_csv_exports(spark, path).persist()
-    headers = src_csv_headers(spark, path).persist()
+    rows = written(src_csv_exports(spark, path), "export-rows")
+    headers = written(src_csv_headers(spark, path), "export-headers")
     fmts = formats_df(spark)
     names = headers.select("file").distinct().select(
         "file", F.element_at(F.split("file", "/"), -1).alias("file_name"))
-    ff = P.detect_format(headers, fmts, names).persist()
-    prof = P.column_profiles(P.cells(rows)).persist()
-    mapping = P.detect_columns(headers, prof, fmts, aliases_df(spark), ff).persist()
+    ff = written(P.detect_format(headers, fmts, names), "formats")
+    prof = written(P.column_profiles(P.cells(rows)), "profiles")
+    mapping = written(P.detect_columns(headers, prof, fmts, aliases_df(spark), ff), "mapping")
     amounts = P.file_amounts(rows, mapping)
     return (ff.join(mapping, "file")
             .join(P.detect_confidence(ff, mapping), "file")

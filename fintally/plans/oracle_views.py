@@ -159,7 +159,7 @@ SELECT l_orderkey AS id,
        l_suppkey % 5 AS seq
 FROM lineitem""",
     "v_raw": f"""
-SELECT 'acct_' || CAST(o.o_custkey % 40 AS VARCHAR) || '.csv' AS file, o.o_orderkey AS line,
+SELECT 'acct_' || CAST(o.o_custkey // 20 AS VARCHAR) || '.csv' AS file, o.o_orderkey AS line,
        CASE WHEN o.o_orderkey % 13 = 3 THEN [strftime(CAST(o.o_orderdate AS DATE), '%m/%d/%Y') || ' 10:30 AM',
               strftime(CAST(o.o_orderdate AS DATE), '%Y-%m-%d') || 'T10:00:00Z', strftime(CAST(o.o_orderdate AS DATE), '%b %d %Y'),
               strftime(CAST(o.o_orderdate AS DATE), '%d.%m.%Y'), strftime(CAST(o.o_orderdate AS DATE), '%m-%d-%Y'),

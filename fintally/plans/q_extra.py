@@ -18,7 +18,7 @@ from fintally.plans import q_analytics, q_changes, q_detect, q_ledger, q_similar
 from fintally.plans import views as V
 from fintally.plans.exports import export_name, write_exports
 from fintally.plans.registry import ORACLE, QUERIES, register
-from fintally.session import scratch_dir
+from fintally.session import scratch_dir, written
 from fintally.sources import ledger_io as IO
 from fintally.sources.csv_exports import src_csv_exports, src_csv_headers, src_sample_rows
 from fintally.streaming import ledger_streams as ST
@@ -43,38 +43,48 @@ for _name, _src in _JOIN_ALIASES.items():
 
 # --- sources and sinks over files derived from the tables --------------------------
 
-_RAW_COUNTS = """
-SELECT file AS export, COUNT(*) + COUNT(*) FILTER (WHERE line % 53 = 0) AS n_rows FROM v_raw GROUP BY file"""
+_CSV_FIELDS = """
+SELECT file AS export, raw_date AS date, raw_amount AS amount, COALESCE(raw_merchant, '') AS merchant,
+       CASE WHEN line % 31 = 0 THEN NULL WHEN line % 29 = 0 THEN raw_description || chr(10) || 'second, "line"'
+            ELSE raw_description END AS description,
+       CASE WHEN regexp_matches(file, '[13579].csv$') THEN 'Date,Amount,Merchant,Description,Description.1,Unnamed: 5'
+            ELSE 'Date,Amount,Merchant,Description' END AS header FROM v_raw"""
 
 
-@register("src_csv_exports", _RAW_COUNTS)
+def _csv_fields(rows):
+    field = lambda c: F.col("row")[c]
+    return rows.select(export_name().alias("export"), field("Date").alias("date"), field("Amount").alias("amount"), field("Merchant").alias("merchant"),
+                       field("Description").alias("description"), F.array_join("header", ",").alias("header"))
+
+
+@register("src_csv_exports", f"""
+{_CSV_FIELDS}
+UNION ALL SELECT export, '', '', '', '', header FROM ({_CSV_FIELDS.replace("FROM v_raw", "FROM v_raw WHERE line % 53 = 0")})""")
 def q_src_csv_exports(spark, sf):
-    rows = src_csv_exports(spark, write_exports(spark, sf), clean=False)
-    return rows.groupBy(export_name().alias("export")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return _csv_fields(src_csv_exports(spark, write_exports(spark, sf, awkward=True), clean=False))
 
 
-@register("src_clean_rows", "SELECT file AS export, COUNT(*) AS n_rows FROM v_raw GROUP BY file")
+@register("src_clean_rows", _CSV_FIELDS)
 def q_src_clean_rows(spark, sf):
-    rows = src_csv_exports(spark, write_exports(spark, sf), clean=True)
-    return rows.groupBy(export_name().alias("export")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return _csv_fields(src_csv_exports(spark, write_exports(spark, sf, awkward=True), clean=True))
 
 
 @register("src_sample_rows", """
-SELECT file AS export, sample_no, raw_date FROM (
-  SELECT file, raw_date, row_number() OVER (PARTITION BY file ORDER BY line) AS sample_no FROM v_raw)
+SELECT file AS export, sample_no, raw_date, raw_amount, COALESCE(raw_merchant, '') AS raw_merchant, raw_description FROM (
+  SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS sample_no FROM v_raw)
 WHERE sample_no <= 5""")
 def q_src_sample_rows(spark, sf):
     rows = src_csv_exports(spark, write_exports(spark, sf))
     s = src_sample_rows(rows, 5)
     return s.select(export_name().alias("export"), F.col("sample_no").cast("long").alias("sample_no"),
-                    F.col("row")["Date"].alias("raw_date"))
+                    *[F.col("row")[c].alias(f"raw_{c.lower()}") for c in ("Date", "Amount", "Merchant", "Description")])
 
 
 def _export_profile(spark, sf):
     path = write_exports(spark, sf)
-    rows = src_csv_exports(spark, path).persist()
-    headers = src_csv_headers(spark, path).persist()
-    prof = P.column_profiles(P.cells(rows)).persist()
+    rows = written(src_csv_exports(spark, path), "export-rows")
+    headers = written(src_csv_headers(spark, path), "export-headers")
+    prof = written(P.column_profiles(P.cells(rows)), "export-profiles")
     return rows, headers, prof
 
 

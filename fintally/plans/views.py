@@ -346,7 +346,7 @@ def raw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(ck % 9 == 5, F.concat(F.lit("Shell Oil "), ck.cast("string")))
                 .otherwise(F.element_at(names, (ck % 9 + 1).cast("int"))))
     return (o.join(c, o.o_custkey == c.c_custkey)
-            .select(F.concat(F.lit("acct_"), (ck % 40).cast("string"), F.lit(".csv")).alias("file"),
+            .select(F.concat(F.lit("acct_"), F.floor(ck / 20).cast("string"), F.lit(".csv")).alias("file"),
                     k.alias("line"), raw_date.alias("raw_date"), raw_amount.alias("raw_amount"),
                     merchant.alias("raw_merchant"), F.col("o_orderpriority").alias("raw_description"),
                     F.when(v < 0, (-v).cast(MONEY).cast("string")).otherwise(F.lit("")).alias("raw_debit"),

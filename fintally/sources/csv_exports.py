@@ -3,11 +3,14 @@
 Files are read line by line (splittable), so a large export is spread over tasks. A line's
 position in its file is (split start offset, increasing id inside the split); only the
 first split of each file is searched for the header line, among its first 20 lines.
-Every data line is split into fields by a quote-aware regular expression (JVM-side, no
-Python) and paired with its file's header as a ``map<string,string>``.
-
-Limits: quoted fields that contain line breaks are not supported (bank exports do not
-use them); Excel files must be converted to CSV upstream.
+Lines inside a quoted field are joined to one record: whether a quote is open before a line follows from
+the quotes of the earlier splits (one number a split) and of the lines before it in its split. Files
+without such lines skip that step. Fields are split by one linear regular expression (JVM-side, no
+Python) and paired with their file's header as a ``map<string,string>``. No file can fail the others:
+missing fields are NULL, surplus ones are left out, blank and repeated header names are numbered, and
+a file whose quotes don't close is read line by line.
+
+Excel files must be converted to CSV upstream.
 """
 from __future__ import annotations
 
@@ -18,17 +21,16 @@ from fintally.formats import HEADER_WORDS
 
 HEADER_SCAN_LINES = 20
 
-
-# a comma outside double quotes: followed by an even number of quote characters
-_SPLIT_RE = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-_QUOTED_RE = r'^\s*"(.*)"\s*$'
+# a field behind its comma: quoted (with doubled quotes inside), or all up to the next comma
+_FIELD_RE = r',(\s*+"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
+_QUOTED_RE = r'(?s)^\s*"(.*)"\s*$'
 
 
-def _csv_fields(line):
-    """RFC-4180 style fields of one line: split on commas outside quotes, unquote, un-double."""
-    parts = F.split(line, _SPLIT_RE, -1)
+def _csv_fields(record):
+    """RFC-4180 style fields of one record: split on commas outside quotes, unquote, un-double."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD_RE), F.lit(1))
     return F.transform(parts, lambda p: F.when(
-        p.rlike(_QUOTED_RE), F.regexp_replace(F.regexp_extract(p, _QUOTED_RE, 1), '""', '"')).otherwise(p))
+        p.rlike(_QUOTED_RE), F.replace(F.regexp_extract(p, _QUOTED_RE, 1), F.lit('""'), F.lit('"'))).otherwise(p))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -40,24 +42,61 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                      F.regexp_replace("value", "\r$", "").alias("line"))
 
 
-def header_lines(lines: DataFrame) -> DataFrame:
-    """Per file: the header line (first of the first 20 non-blank lines that has a comma and a
+def records(lines: DataFrame) -> DataFrame:
+    """(file, blk, pos, line): lines with the further lines of their quoted fields joined by a line break."""
+    quotes = lines.withColumn("q", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
+    # files in which a line holds an odd number of quotes, and quotes close in the end
+    odd = (quotes.groupBy("file").agg(F.count_if(F.col("q") % 2 == 1).alias("n"), F.sum("q").alias("all"))
+           .filter((F.col("n") > 0) & (F.col("all") % 2 == 0)).select("file"))
+    simple = lines.join(odd, "file", "left_anti")
+    inner = quotes.join(odd, "file", "left_semi")
+    before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("file", "blk").orderBy("pos")
+    # one row per split: what the earlier splits of the file add up to
+    splits = inner.groupBy("file", "blk").agg(F.sum("q").alias("s")).withColumn("q0", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    opened = F.col("q0") + F.coalesce(F.sum("q").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = inner.join(splits, ["file", "blk"]).withColumn("start", (opened % 2 == 0).cast("long"))
+    totals = starts.groupBy("file", "blk").agg(F.sum("start").alias("s")).withColumn("r0", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    number = F.col("r0") + F.sum("start").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = starts.join(totals, ["file", "blk"]).withColumn("rec", number)
+    joined = (numbered.groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "line"))).alias("l"))
+              .select("file", F.col("l")[0]["blk"].alias("blk"), F.col("l")[0]["pos"].alias("pos"),
+                      F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("line")))
+    return simple.select("file", "blk", "pos", "line").unionByName(joined)
+
+
+def header_lines(lines: DataFrame, scan: int = HEADER_SCAN_LINES) -> DataFrame:
+    """Per file: the header line (the first of the first ``scan`` lines that has a comma and a
     header word; the first non-blank line when none does) and its position."""
-    first = lines.filter((F.col("blk") == 0) & (F.length(F.trim("line")) > 0))
     w = Window.partitionBy("file").orderBy("pos")
-    head = first.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= HEADER_SCAN_LINES)
+    head = lines.filter(F.col("blk") == 0).withColumn("n", F.row_number().over(w))
     low = F.lower(F.trim("line"))
-    is_header = F.contains(low, F.lit(",")) & F.exists(
+    is_header = (F.col("n") <= scan) & F.contains(low, F.lit(",")) & F.exists(
         F.array(*[F.lit(x) for x in HEADER_WORDS]), lambda wd: F.contains(low, wd))
-    return (head.groupBy("file")
-            .agg(F.coalesce(F.min(F.when(is_header, F.col("n"))), F.lit(1)).alias("hn"),
-                 F.min_by("pos", F.when(is_header, F.col("n")).otherwise(F.col("n") + 1000)).alias("hpos"),
-                 F.min_by("line", F.when(is_header, F.col("n")).otherwise(F.col("n") + 1000)).alias("hline")))
+    place = F.when(is_header, F.struct(F.lit(0).alias("k"), F.col("n"))).when(F.length(low) > 0, F.struct(F.lit(1).alias("k"), F.col("n")))
+    return (head.withColumn("place", place).filter(F.col("place").isNotNull()).groupBy("file")
+            .agg(F.min("n").alias("hn"), F.min_by("pos", "place").alias("hpos"), F.min_by("line", "place").alias("hline")))
+
+
+def header_names(header):
+    """Trimmed names; a blank one is 'Unnamed: <position>', the k-th repeat of a name gets '.<k>'."""
+    named = F.transform(header, lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).otherwise(F.trim(x)))
+
+    def once(names):
+        def numbered(x, i):
+            k = F.size(F.filter(F.slice(names, F.lit(1), i), lambda y: y == x))
+            return F.when(k == 0, x).otherwise(F.concat(x, F.lit("."), k.cast("string")))
+        return F.transform(names, numbered)
+
+    def distinct(names):  # a name may already look like a numbered one
+        return F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(
+            F.transform(names, lambda x, i: F.concat(x, F.lit("."), i.cast("string"))))
+    return F.transform(F.array(named), lambda names: distinct(once(names)))[0]
 
 
 def _headers(lines: DataFrame) -> DataFrame:
     return header_lines(lines).select(
-        "file", "hpos", F.transform(_csv_fields(F.col("hline")), lambda x: F.trim(x)).alias("header"))
+        "file", "hpos", header_names(_csv_fields(F.col("hline"))).alias("header"))
 
 
 def src_csv_headers(spark: SparkSession, path: str) -> DataFrame:
@@ -67,20 +106,20 @@ def src_csv_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def src_csv_exports(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    """One row per data line of every export under ``path``:
+    """One row per record of every export under ``path``:
     (file, blk, pos, header array, values array, row map<string,string>).
 
-    Header names are trimmed; blank lines and lines after which every value is empty are
-    dropped (``src_clean_rows``).
+    Values are padded with NULL to the header; blank records are dropped, and with ``clean`` those whose
+    values are all empty (``src_clean_rows``).
     """
     lines = read_lines(spark, path)
-    heads = _headers(lines)
-    data = (lines.join(heads, "file")
+    # the search for the header reads lines; a line break inside a header name is not looked for
+    data = (records(lines).join(_headers(lines), "file")
             .filter((F.col("blk") > 0) | (F.col("pos") > F.col("hpos")))
             .filter(F.length(F.trim("line")) > 0))
-    vals = _csv_fields(F.col("line"))
-    out = data.select("file", "blk", "pos", "header",
-                      F.slice(vals, 1, F.size("header")).alias("values"))
+    fields = _csv_fields(F.col("line"))
+    values = F.transform(F.array(fields), lambda v: F.transform("header", lambda _, i: F.get(v, i)))[0]
+    out = data.select("file", "blk", "pos", "header", values.alias("values"))
     out = out.withColumn("row", F.map_from_arrays("header", "values"))
     return src_clean_rows(out) if clean else out
 
@@ -97,10 +136,3 @@ def src_sample_rows(rows: DataFrame, n: int = 5) -> DataFrame:
             .select("file", F.col("_n").alias("sample_no"),
                     F.map_from_arrays("header", F.transform("values", lambda v: F.coalesce(v, F.lit(""))))
                     .alias("row")))
-
-
-def file_headers(rows: DataFrame) -> DataFrame:
-    """(file, position, column) long form from already-parsed rows (prefer
-    ``src_csv_headers``, which does not scan the data rows)."""
-    return (rows.select("file", "header").dropDuplicates(["file"])
-            .select("file", F.posexplode("header").alias("position", "column")))
