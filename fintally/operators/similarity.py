@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fintally.schema import (AGREEMENT_THRESHOLD, AMOUNT_BUCKET_TOP, AMOUNT_BUCKETS,
                              MIN_MATCHES_FOR_AUTO, TOP_K_SIMILAR)
@@ -64,7 +65,8 @@ _MODEL_CACHE: dict = {}
 
 
 def _cached_model(loader):
-    key = id(loader)
+    """The loader's model, loaded once per worker; a loader is known by its name."""
+    key = (loader.__module__, loader.__qualname__)
     if key not in _MODEL_CACHE:
         _MODEL_CACHE[key] = loader()
     return _MODEL_CACHE[key]
@@ -95,6 +97,36 @@ def block_counts(queries: DataFrame, base: DataFrame, block_rows: int = BLOCK_RO
     return max(1, -(-nq // block_rows)), max(1, -(-nb // block_rows))
 
 
+def _cell_search(k: int, exclude_self: bool):
+    """The ``k`` nearest base vectors of each query of one cell (squared L2 distance, ties by id)."""
+    def cell(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
+        out_q, out_b, out_d = [], [], []
+        if len(qdf) and len(bdf):
+            Q = np.stack(qdf["qv"].to_numpy()).astype(np.float64)
+            B = np.stack(bdf["bv"].to_numpy()).astype(np.float64)
+            bids, qids = bdf["bid"].to_numpy(), qdf["qid"].to_numpy()
+            norms = np.einsum("bd,bd->b", B, B)
+            step, m = max(1, 4_000_000 // len(B)), min(k, len(B))
+            for s in range(0, len(Q), step):
+                part = Q[s:s + step]
+                near = np.einsum("qd,qd->q", part, part)[:, None] + norms - 2 * (part @ B.T)
+                if exclude_self:
+                    near[qids[s:s + step, None] == bids[None, :]] = np.inf
+                limit = np.partition(near, m - 1, axis=1)[:, m - 1]
+                for i, row in enumerate(near):
+                    # the product rounds: all within its error of the limit are measured exactly
+                    idx = np.flatnonzero(row <= (limit[i] + 1e-6 * (1 + abs(limit[i])) if np.isfinite(limit[i]) else np.finfo(float).max))
+                    diff = B[idx] - part[i]
+                    exact = np.einsum("bd,bd->b", diff, diff)
+                    order = np.lexsort((bids[idx], exact))[:m]
+                    out_q += [qids[s + i]] * len(order)
+                    out_b += bids[idx[order]].tolist()
+                    out_d += exact[order].tolist()
+        return pd.DataFrame({"qid": np.asarray(out_q, dtype="int64"), "bid": np.asarray(out_b, dtype="int64"),
+                             "dist": np.asarray(out_d, dtype="float64")})
+    return cell
+
+
 def knn_exact(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, query_id: str = "query_id",
               base_id: str = "transaction_id", vector: str = "vector", exclude_self: bool = False,
               query_blocks: int | None = None, base_blocks: int | None = None) -> DataFrame:
@@ -119,32 +151,7 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, query
          .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
     kk = int(k) + (1 if exclude_self else 0)
 
-    def cell(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or bdf.empty:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "bid": pd.Series([], dtype="int64"),
-                                 "dist": pd.Series([], dtype="float64")})
-        Q = np.stack(qdf["qv"].to_numpy()).astype(np.float64)
-        B = np.stack(bdf["bv"].to_numpy()).astype(np.float64)
-        bids = bdf["bid"].to_numpy()
-        qids = qdf["qid"].to_numpy()
-        out_q, out_b, out_d = [], [], []
-        step = max(1, int(4_000_000 // max(1, B.shape[0] * B.shape[1])))
-        for s in range(0, Q.shape[0], step):
-            diff = Q[s:s + step, None, :] - B[None, :, :]
-            D = np.einsum("qbd,qbd->qb", diff, diff)
-            if exclude_self:
-                D = np.where(qids[s:s + step, None] == bids[None, :], np.inf, D)
-            m = min(kk, D.shape[1])
-            for i in range(D.shape[0]):
-                row = D[i]
-                idx = np.lexsort((bids, row))[:m]
-                idx = idx[np.isfinite(row[idx])]
-                out_q.extend([qids[s + i]] * len(idx))
-                out_b.extend(bids[idx].tolist())
-                out_d.extend(row[idx].tolist())
-        return pd.DataFrame({"qid": np.asarray(out_q, dtype="int64"), "bid": np.asarray(out_b, dtype="int64"),
-                             "dist": np.asarray(out_d, dtype="float64")})
-
+    cell = _cell_search(kk, exclude_self)
     cand = (q.groupBy("qblk", "bblk").cogroup(b.groupBy("qblk", "bblk"))
             .applyInPandas(cell, "qid long, bid long, dist double"))
     w = Window.partitionBy("qid").orderBy("dist", "bid")
@@ -153,23 +160,76 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, query
                     F.col("dist").alias("distance")))
 
 
-def knn_approx(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, bucket_length: float = 2.0,
-               num_tables: int = 3, max_distance: float = 4.0, query_id: str = "query_id",
+def _centroids(base: DataFrame, vector: str, id_col: str, cells: int, sample_rows: int) -> np.ndarray:
+    """Centres of ``cells`` cells, by k-means on a bounded sample (the rows of the smallest id hashes)."""
+    rows = base.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector).collect()
+    x = np.array([r[0] for r in rows], np.float64)
+    centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)] if len(x) else np.zeros((1, 1))
+    for _ in range(8):
+        if not len(x):
+            break
+        nearest = (np.einsum("cd,cd->c", centres, centres) - 2 * x @ centres.T).argmin(1)
+        for c in np.unique(nearest):
+            centres[c] = x[nearest == c].mean(0)
+    return centres
+
+
+def knn_approx(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, probes: int = 8, cell_rows: int = 1024,
+               max_cells: int = 4096, sample_rows: int = 20_000, exclude_self: bool = False, query_id: str = "query_id",
                base_id: str = "transaction_id", vector: str = "vector") -> DataFrame:
-    """Approximate kNN with random-projection LSH (``BucketedRandomProjectionLSH``): only pairs
-    sharing a hash bucket in some table are compared, then top-k per query. Recall is
-    measured against ``knn_exact``; distances are Euclidean (not squared)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(query_id).alias("qid"), array_to_vector(F.col(vector)).alias("features"))
-    bv = base.select(F.col(base_id).alias("bid"), array_to_vector(F.col(vector)).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=7).fit(bv)
-    pairs = lsh.approxSimilarityJoin(qv, bv, max_distance, distCol="dist").select(
-        F.col("datasetA.qid").alias("qid"), F.col("datasetB.bid").alias("bid"), "dist")
+    """Approximate kNN with a partitioned index: every base vector is put into the cell of its nearest
+    centre, a query searches its ``probes`` nearest cells, and more until they hold ``k`` vectors, so k
+    neighbours are returned whenever the table has them. Distances are exact (squared L2).
+
+    Centres are fitted on at most ``sample_rows`` rows, all rows are indexed. A cell with more than
+    4 * ``cell_rows`` vectors is split into blocks, as are the queries of a cell, so a task's work is
+    bounded. The driver holds at most ``max_cells`` centres and cell sizes.
+    """
+    cells = min(max_cells, max(1, -(-base.count() // cell_rows)))
+    centres = _centroids(base.select(base_id, vector), vector, base_id, cells, sample_rows)
+    norms = np.einsum("cd,cd->c", centres, centres)
+    need, block = int(k) + bool(exclude_self), 4 * cell_rows
+
+    def distances(vectors: pd.Series) -> np.ndarray:
+        return norms - 2 * np.stack(vectors.to_numpy()).astype(np.float64) @ centres.T
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=distances(pdf["bv"]).argmin(1).astype("int32"))
+
+    b = base.select(F.col(base_id).alias("bid"), F.col(vector).alias("bv"))
+    placed = b.mapInPandas(assign, T.StructType([*b.schema.fields, T.StructField("cell", T.IntegerType())]))
+    sizes = np.zeros(len(centres), np.int64)
+    for r in placed.groupBy("cell").count().collect():  # at most max_cells rows
+        sizes[r["cell"]] = r["count"]
+
+    def probe(batches):
+        for pdf in batches:
+            if len(pdf):
+                order = np.argsort(distances(pdf["qv"]), axis=1, kind="stable")
+                held = np.cumsum(sizes[order], axis=1)
+                # cells up to the probes-th, or to the one with which there are enough vectors
+                wanted = np.maximum(probes, (held < need).sum(1) + 1)
+                yield pdf.assign(cells=[o[:n][sizes[o[:n]] > 0].astype("int32").tolist() for o, n in zip(order, wanted)])
+
+    q = queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("qv"))
+    asked = q.mapInPandas(probe, T.StructType([*q.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
+    split = F.array(*[F.lit(int(max(1, -(-n // block)))) for n in sizes]) if len(sizes) <= 64 else None
+    if split is None:  # many cells: the few that are split, as a map
+        large = {i: int(-(-n // block)) for i, n in enumerate(sizes) if n > block}
+        blocks = F.coalesce(F.element_at(F.create_map(*[x for i, n in large.items() for x in (F.lit(i), F.lit(n))]), F.col("cell")), F.lit(1)) if large else F.lit(1)
+    else:
+        blocks = F.get(split, F.col("cell"))
+    q_blocks = max(1, -(-queries.count() * probes // (max(1, len(centres)) * block)))
+    qs = (asked.select("qid", "qv", F.explode("cells").alias("cell"))
+          .withColumn("bblk", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")))
+    bs = (placed.withColumn("bblk", F.pmod(F.xxhash64("bid"), blocks).cast("int"))
+          .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+    found = (qs.groupBy("cell", "bblk", "qblk").cogroup(bs.groupBy("cell", "bblk", "qblk"))
+             .applyInPandas(lambda x, y: _cell_search(need, exclude_self)(x, y), "qid long, bid long, dist double"))
     w = Window.partitionBy("qid").orderBy("dist", "bid")
-    return (pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(query_id), "rank", F.col("bid").alias("neighbor_id"),
                     F.col("dist").alias("distance")))
 
@@ -232,9 +292,10 @@ def auto_categorize(neighbours: DataFrame, vectors: DataFrame, categories: DataF
 
 
 def auto_categorize_apply(result: DataFrame, neighbours: DataFrame, txns: DataFrame, categories: DataFrame,
-                          query_id: str = "query_id"):
+                          query_id: str = "query_id", dim: int = 384, loader=None):
     """Turn decisions into (txns', new_vectors, log): categories of 'auto' rows are written,
-    only categorised rows enter the vector table, and each log row lists the neighbour ids."""
+    only categorised rows enter the vector table (with the vector of their embedding text), and each log
+    row lists the neighbour ids."""
     ok = result.filter(F.col("method") == "auto").select(F.col(query_id).alias("id"), F.col("category_id").alias("_c"))
     t = txns.join(ok, "id", "left").withColumn("category_id", F.coalesce("_c", "category_id")).drop("_c")
     names = categories.select(F.col("id").alias("_c"), F.col("name").alias("category"))
@@ -242,6 +303,7 @@ def auto_categorize_apply(result: DataFrame, neighbours: DataFrame, txns: DataFr
            .select(F.col("id").alias("transaction_id"), "merchant", "category",
                    F.col("amount").cast("double").alias("amount"),
                    embed_text("merchant", "description", "amount").alias("text")))
+    vec = embed_batch(vec, "text", dim=dim, loader=loader)
     ids = (neighbours.groupBy(query_id)
            .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbor_id"))),
                             lambda s: s["neighbor_id"]).alias("similar_transaction_ids")))

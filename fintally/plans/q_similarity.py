@@ -49,11 +49,24 @@ def q_knn_exact(spark, sf):
     return _loo(spark, sf).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id")
 
 
-@register("knn_approx")
-def q_knn_approx(spark, sf):
+def _approx(spark, sf):
     vec = V.vectors(spark, sf)
-    return SI.knn_approx(vec.select(F.col("transaction_id").alias("query_id"), "vector"), vec, _K,
-                         bucket_length=1.0, num_tables=4, max_distance=2.0)
+    return SI.knn_approx(vec.select(F.col("transaction_id").alias("query_id"), "vector"), vec, _K, cell_rows=64, exclude_self=True)
+
+
+@register("knn_approx", f"""
+SELECT transaction_id AS query_id, {_K} AS neighbours, TRUE AS without_itself FROM v_vectors""")
+def q_knn_approx(spark, sf):
+    return _approx(spark, sf).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("neighbours"),
+                                                      F.every(F.col("neighbor_id") != F.col("query_id")).alias("without_itself"))
+
+
+@register("knn_recall", "SELECT TRUE AS recall_of_nine_tenths, COUNT(*) AS queries FROM v_vectors")
+def q_knn_recall(spark, sf):
+    """Recall of the index over all vectors, against the exact answer."""
+    exact, found = (x.select("query_id", "neighbor_id") for x in (_loo(spark, sf), _approx(spark, sf)))
+    hits = exact.join(found.withColumn("hit", F.lit(1)), ["query_id", "neighbor_id"], "left")
+    return hits.agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)) >= 0.9).alias("recall_of_nine_tenths"), F.countDistinct("query_id").alias("queries"))
 
 
 _VOTES_SQL = """
