@@ -80,15 +80,6 @@ def account_status(accounts: DataFrame, txns: DataFrame, as_of, active_only: boo
                     F.when(is_credit, F.lit("Owed")).otherwise(F.lit("Balance")).alias("balance_label")))
 
 
-def available_credit(balances: DataFrame) -> DataFrame:
-    """max(0, limit - owed) for credit accounts, 0 otherwise (needs initial_balance, balance)."""
-    is_credit = F.col("account_type") == "credit"
-    return balances.withColumn(
-        "available_credit",
-        F.when(is_credit, F.greatest(F.lit(0.0), F.col("initial_balance").cast("double") - F.col("balance")))
-        .otherwise(F.lit(0.0)))
-
-
 def net_worth(status: DataFrame) -> DataFrame:
     """Assets minus credit debt, the plain sum of balances, and total available credit.
 

@@ -140,8 +140,17 @@ def method_allocation(templates: DataFrame, incomes: DataFrame) -> DataFrame:
                     .alias("budget_amount")))
 
 
+def method_overrides(allocation: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Amounts given by name replace the template's: ``overrides`` (owner, name, amount); of several for
+    a name the largest counts, names that are not in the template are left out."""
+    o = overrides.groupBy("owner", "name").agg(F.max("amount").alias("_amount"))
+    return (allocation.join(o, ["owner", "name"], "left")
+            .withColumn("budget_amount", F.coalesce("_amount", "budget_amount")).drop("_amount"))
+
+
 def method_totals_by_type(allocation: DataFrame) -> DataFrame:
-    return allocation.groupBy("owner", "type").agg(F.sum("budget_amount").alias("total"))
+    """Per owner and type, the sum of the template amounts (exact cents)."""
+    return allocation.groupBy("owner", "type").agg(F.sum(F.col("budget_amount").cast("decimal(20,2)")).cast("double").alias("total"))
 
 
 def method_blend_actuals(allocation: DataFrame, spend: DataFrame, category_map: DataFrame) -> DataFrame:
@@ -169,7 +178,7 @@ def method_blend_actuals(allocation: DataFrame, spend: DataFrame, category_map:
 
 def allocation_percent(blended: DataFrame, incomes: DataFrame) -> DataFrame:
     """Share of income allocated after blending, as a whole percent (half rounds up)."""
-    tot = blended.groupBy("owner").agg(F.sum("adjusted_amount").alias("allocated"))
+    tot = blended.groupBy("owner").agg(F.sum(F.col("adjusted_amount").cast("decimal(20,2)")).cast("double").alias("allocated"))
     return (tot.join(incomes.select("owner", "monthly_income"), "owner")
             .select("owner", "allocated",
                     F.when(F.col("monthly_income") != 0,

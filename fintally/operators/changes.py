@@ -52,10 +52,14 @@ def ledger_dedupe(existing: DataFrame, batch: DataFrame, keys=DEDUPE_KEYS, order
 
 
 def import_report(batch: DataFrame, new: DataFrame, rejected: DataFrame | None = None, by: str = "file") -> DataFrame:
-    """Per file: rows parsed, added (new), duplicates and errors."""
+    """Per file: rows parsed, added (new), duplicates and errors, and how many of the added rows a rule
+    has categorised if ``new`` went through ``rules_match``."""
     parsed = batch.groupBy(by).agg(F.count(F.lit(1)).alias("parsed"))
     added = new.groupBy(by).agg(F.count(F.lit(1)).alias("added"))
     rep = parsed.join(added, by, "left")
+    if "rule_category_id" in new.columns:
+        done = new.groupBy(by).agg(F.count("rule_category_id").alias("categorized"))
+        rep = rep.join(done, by, "left").withColumn("categorized", F.coalesce("categorized", F.lit(0).cast("long")))
     if rejected is not None:
         errs = rejected.groupBy(by).agg(F.count(F.lit(1)).alias("errors"))
         rep = rep.join(errs, by, "full_outer")
@@ -64,7 +68,7 @@ def import_report(batch: DataFrame, new: DataFrame, rejected: DataFrame | None =
     return rep.select(by, F.coalesce("parsed", F.lit(0)).alias("parsed"),
                       F.coalesce("added", F.lit(0)).alias("added"),
                       (F.coalesce("parsed", F.lit(0)) - F.coalesce("added", F.lit(0))).alias("duplicates"),
-                      F.coalesce("errors", F.lit(0)).alias("errors"))
+                      F.coalesce("errors", F.lit(0)).alias("errors"), *[c for c in ("categorized",) if c in rep.columns])
 
 
 def latest_changes(base: DataFrame, changes: DataFrame, key: str, allowed: list[str]) -> DataFrame:
@@ -167,9 +171,14 @@ def validate_refs(rows: DataFrame, checks: dict) -> DataFrame:
     return rows.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
 
 
-def duplicate_names(df: DataFrame, name: str = "name") -> F.Column:
-    """Marker frame of names used more than once (for ``validate_refs`` via a join)."""
-    return df.groupBy(name).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(name)
+def validate_unique_names(df: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
+    """``df`` with ``errors``: 'missing_name' for a null or blank name, 'duplicate_name' where another
+    row has the same name (without regard to case), and ``valid``."""
+    lower = F.lower(F.trim(name))
+    shared = df.filter(F.length(lower) > 0).groupBy(lower.alias("_name")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    marked = df.withColumn("_key", lower).join(shared.select(F.col("_name").alias("_key"), F.lit(True).alias("_shared")), "_key", "left")
+    return validate_refs(marked, {"missing_name": F.coalesce(F.length("_key"), F.lit(0)) == 0,
+                                  "duplicate_name": F.coalesce("_shared", F.lit(False))}).drop("_key", "_shared")
 
 
 def mark_flags(txns: DataFrame, recurring: DataFrame, anomalies: DataFrame) -> DataFrame:

@@ -79,3 +79,11 @@ def goal_pace(state: DataFrame, goals: DataFrame, as_of) -> DataFrame:
               .otherwise(F.ceil(remaining / (days / 30.0)).cast("double")))
     return j.select("id", "name", "target_date", days.cast("long").alias("days_remaining"),
                     needed.alias("monthly_needed"))
+
+
+def contribution_history(goals: DataFrame, contributions: DataFrame, txns: DataFrame) -> DataFrame:
+    """Every contribution of a known goal with the transaction it came from, if there is one."""
+    t = txns.select(F.col("id").alias("transaction_id"), "merchant", F.col("date").alias("transaction_date"))
+    g = goals.select(F.col("id").alias("goal_id"), F.col("name").alias("goal_name"))
+    return (contributions.join(g, "goal_id").join(t, "transaction_id", "left")
+            .select("id", "goal_id", "goal_name", M.out("amount").alias("amount"), "created_at", "transaction_id", "merchant", "transaction_date"))

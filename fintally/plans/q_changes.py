@@ -7,9 +7,7 @@ from fintally.functions import money as M
 from fintally.operators import changes as CH
 from fintally.operators import rules as RU
 from fintally.plans import views as V
-from fintally.plans.oracle_views import _values
 from fintally.plans.registry import register
-from fintally.templates import METHOD_TEMPLATES
 
 _RULES_RANKED = """
 rr AS (SELECT r.*, row_number() OVER (ORDER BY r.priority DESC, r.created_at, r.id) AS rk,
@@ -92,6 +90,52 @@ def q_import_report(spark, sf):
     return CH.import_report(batch, new)
 
 
+@register("import_categorize", f"""
+WITH {_FRESH_SQL}, {_RULES_RANKED},
+new AS (SELECT arg_min(file, (file, line, description)) AS file, arg_min(line, (file, line, description)) AS line
+        FROM fresh GROUP BY date, amount, merchant),
+p AS (SELECT file, COUNT(*) AS parsed FROM v_batch GROUP BY file),
+a AS (SELECT file, COUNT(*) AS added, COUNT(best.rk) AS categorized FROM new LEFT JOIN best ON best.id = new.line GROUP BY file)
+SELECT p.file, p.parsed, COALESCE(a.added, 0) AS added, p.parsed - COALESCE(a.added, 0) AS duplicates, 0 AS errors,
+       COALESCE(a.categorized, 0) AS categorized
+FROM p LEFT JOIN a ON p.file = a.file""")
+def q_import_categorize(spark, sf):
+    """Import, de-duplicate, categorise by rules, report."""
+    batch = V.import_batch(spark, sf)
+    new, _ = CH.ledger_dedupe(V.existing_ledger(spark, sf), batch)
+    return CH.import_report(batch, RU.rules_match(new, V.rules(spark), V.categories(spark)))
+
+
+@register("split_unsplit", """
+SELECT t.id, t.is_split AND t.id % 2 = 1 AS is_split,
+       (SELECT COUNT(*) FROM v_splits s WHERE s.transaction_id = t.id AND t.id % 2 = 1) AS lines
+FROM (SELECT id, id IN (SELECT transaction_id FROM v_splits) AS is_split FROM v_ledger) t""")
+def q_split_unsplit(spark, sf):
+    splits = V.splits(spark, sf)
+    parents = splits.select(F.col("transaction_id").alias("id"), F.lit(True).alias("_p")).distinct()
+    led = V.ledger(spark, sf).join(parents, "id", "left").withColumn("is_split", F.coalesce("_p", F.lit(False))).drop("_p")
+    t, left = CH.split_unsplit(led, splits, parents.filter(F.col("id") % 2 == 0).select("id"))
+    n = left.groupBy(F.col("transaction_id").alias("id")).agg(F.count(F.lit(1)).alias("lines"))
+    return t.select("id", "is_split").join(n, "id", "left").withColumn("lines", F.coalesce("lines", F.lit(0).cast("long")))
+
+
+@register("validate_unique_names", """
+SELECT p_partkey AS id, COUNT(*) OVER (PARTITION BY lower(trim(p_name))) = 1 AS valid FROM part""")
+def q_validate_unique_names(spark, sf):
+    parts = V.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return CH.validate_unique_names(parts).select("id", "valid")
+
+
+@register("contribution_delete", """
+SELECT goal_id, CAST(SUM(amount) AS DOUBLE) AS current_amount, COUNT(*) AS contributions FROM v_contributions
+WHERE id % 5 <> 0 GROUP BY goal_id""")
+def q_contribution_delete(spark, sf):
+    contrib = V.contributions(spark, sf)
+    gone = contrib.filter(F.col("id") % 5 == 0).select("id")
+    left = CH.hard_delete(contrib, gone.unionByName(gone))
+    return left.groupBy("goal_id").agg(M.out(F.sum("amount")).alias("current_amount"), F.count(F.lit(1)).alias("contributions"))
+
+
 _LATEST_CH = """lc AS (SELECT id, field, arg_max(value, (seq, value)) AS value FROM v_changes
          WHERE field IN ('category_id', 'account_id', 'description', '__delete__') GROUP BY id, field)"""
 

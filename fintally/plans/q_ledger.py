@@ -14,7 +14,7 @@ from fintally.operators import goals as GO
 from fintally.operators import select as S
 from fintally.plans import views as V
 from fintally.plans.oracle_views import AS_OF, AS_OF_TS
-from fintally.plans.registry import register
+from fintally.plans.registry import ORACLE_BODY, register
 from fintally.templates import category_map_df, templates_df
 
 _TXN_COLS = ["id", "date", "merchant", "description", "category_id", "account_id"]
@@ -638,3 +638,44 @@ FROM ({_GOAL_STATE_SQL}) s JOIN v_goals g ON s.id = g.id""")
 def q_goal_pace(spark, sf):
     st = GO.goal_state(V.goals(spark, sf), V.contributions(spark, sf))
     return GO.goal_pace(st, V.goals(spark, sf), V.AS_OF)
+
+
+_BLEND_SQL = ORACLE_BODY["method_blend_actuals"]
+
+
+def _blended(spark, sf):
+    alloc = BU.method_allocation(templates_df(spark), _incomes(spark, sf))
+    return BU.method_blend_actuals(alloc, _spend(spark, sf), category_map_df(spark))
+
+
+@register("method_totals_by_type", f"""
+SELECT owner, type, CAST(SUM(CAST(budget_amount AS DECIMAL(20,2))) AS DOUBLE) AS total FROM ({_ALLOC_SQL}) GROUP BY 1, 2""")
+def q_method_totals_by_type(spark, sf):
+    return BU.method_totals_by_type(BU.method_allocation(templates_df(spark), _incomes(spark, sf)))
+
+
+@register("method_allocated_percent", f"""
+SELECT b.owner, b.allocated, CASE WHEN i.monthly_income <> 0 THEN CAST(FLOOR(b.allocated / i.monthly_income * 100 + 0.5) AS BIGINT)
+       ELSE 0 END AS allocated_percent
+FROM (SELECT owner, CAST(SUM(CAST(adjusted_amount AS DECIMAL(20,2))) AS DOUBLE) AS allocated FROM ({_BLEND_SQL}) GROUP BY owner) b
+JOIN ({_INCOMES_SQL}) i ON i.owner = b.owner""")
+def q_method_allocated_percent(spark, sf):
+    return BU.allocation_percent(_blended(spark, sf), _incomes(spark, sf))
+
+
+@register("method_overrides", f"""
+SELECT a.owner, a.name, CASE WHEN a.position % 3 = 0 THEN a.owner * 100.0 ELSE a.budget_amount END AS budget_amount FROM ({_ALLOC_SQL}) a""")
+def q_method_overrides(spark, sf):
+    alloc = BU.method_allocation(templates_df(spark), _incomes(spark, sf))
+    given = alloc.filter(F.col("position") % 3 == 0).select("owner", "name", (F.col("owner") * 100.0).alias("amount"))
+    unknown = given.withColumn("name", F.lit("No such category"))
+    less = given.withColumn("amount", F.col("amount") - 1)
+    return BU.method_overrides(alloc, given.unionByName(unknown).unionByName(less)).select("owner", "name", "budget_amount")
+
+
+@register("contribution_history", """
+SELECT c.id, c.goal_id, g.name AS goal_name, CAST(c.amount AS DOUBLE) AS amount, c.created_at, c.transaction_id, t.merchant,
+       t.date AS transaction_date
+FROM v_contributions c JOIN v_goals g ON g.id = c.goal_id LEFT JOIN v_ledger t ON t.id = c.transaction_id""")
+def q_contribution_history(spark, sf):
+    return GO.contribution_history(V.goals(spark, sf), V.contributions(spark, sf), V.ledger(spark, sf))

@@ -11,6 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+ORACLE_BODY: dict[str, str] = {}  # without the views, to build other statements from
 
 
 def register(name: str, sql: str | None = None):
@@ -21,6 +22,7 @@ def register(name: str, sql: str | None = None):
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql)
+            ORACLE_BODY[name] = sql
         return fn
     return deco
 

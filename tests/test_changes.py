@@ -5,6 +5,8 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from fintally.operators import changes as CH
+from fintally.operators import bills as BL
+from tests.helpers import ledger
 
 
 def test_dedupe_hot_key_keeps_first_and_counts(spark):
@@ -52,3 +54,33 @@ def test_dedupe_key_matches_python_text(spark):
     want = [hashlib.sha256(f"{d}|{a}|{m}".encode()).hexdigest()
             for d, a, m in [("2024-01-15", -45.9, "NETFLIX"), ("2024-01-16", 12345678.5, "ACME")]]
     assert got == want
+
+
+def test_null_changes_count_as_unchanged_and_bad_values_are_reported(spark):
+    base = spark.createDataFrame([(1, "old", 5), (2, "old", 6)], "id long, name string, n long")
+    feed = spark.createDataFrame([(1, "name", "new", 1), (1, "name", None, 2), (2, "n", "7", 1), (1, "n", "seven", 1), (2, "color", "red", 1)],
+                                 "id long, field string, value string, seq long")
+    got = {r["id"]: (r["name"], r["n"]) for r in CH.apply_changes(base, feed, "id", ["name", "n"]).collect()}
+    assert got == {1: ("new", 5), 2: ("old", 7)}
+    bad = {(r["id"], r["field"], r["value"], r["error"]) for r in CH.rejected_changes(base, feed, "id", ["name", "n"]).collect()}
+    assert bad == {(1, "n", "seven", "value"), (2, "color", "red", "field")}
+
+
+def test_repeated_ids_do_not_multiply_rows(spark):
+    txns = ledger(spark, [(1, "2024-01-01", -5, "A"), (2, "2024-01-02", -6, "B")])
+    cats = spark.createDataFrame([(1, "x"), (2, "y")], "id long, name string")
+    out, report = CH.bulk_categorize(txns, spark.createDataFrame([(1, 1), (1, 2), (9, 1)], "id long, category_id long"), cats)
+    assert {r["id"]: r["category_id"] for r in out.collect()} == {1: 2, 2: None} and out.count() == 2 and report.count() == 2
+    groups = spark.createDataFrame([(1, 10), (1, 11)], "id long, group_id long")
+    ids = spark.createDataFrame([(1,), (1,)], "id long")
+    flagged = CH.mark_flags(txns, groups, ids)
+    assert flagged.count() == 2 and flagged.filter("is_anomaly and is_recurring and recurring_group_id = 11").count() == 1
+    bills = spark.createDataFrame([(1, "monthly", dt.date(2024, 1, 1), dt.date(2024, 2, 1))], "id long, frequency string, start_date date, next_due_date date")
+    change = spark.createDataFrame([(1, "weekly", None, 1), (1, "yearly", None, 2)], "id long, frequency string, start_date date, seq long")
+    assert [r["frequency"] for r in BL.bill_reschedule(bills, change, dt.date(2024, 3, 1)).collect()] == ["yearly"]
+
+
+def test_unique_names(spark):
+    df = spark.createDataFrame([(1, "Food"), (2, "food "), (3, " "), (4, None), (5, "Rent")], "id long, name string")
+    assert {r["id"]: r["errors"] for r in CH.validate_unique_names(df).collect()} == {
+        1: ["duplicate_name"], 2: ["duplicate_name"], 3: ["missing_name"], 4: ["missing_name"], 5: []}
