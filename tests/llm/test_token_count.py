@@ -36,7 +36,7 @@ def test_encoding_equals_the_library_and_decodes(spark):
     rows = [(i, t) for i, (_, t) in enumerate(awkward() + [(0, t) for t in TEXTS])]
     got = {r["doc_id"]: r["ids"] for r in L.encode_documents(frame(spark, rows), model).collect()}
     assert got == {i: sp.encode(t or "") for i, t in rows}
-    back = {r["doc_id"]: r["text"] for r in L.decode(spark.createDataFrame([(i, x) for i, x in got.items()], "doc_id long, ids array<int>"), ["doc_id"], spark, model).collect()}
+    back = {r["doc_id"]: r["text"] for r in L.decode(spark.createDataFrame([(i, x) for i, x in got.items()], "doc_id long, ids array<int>"), model).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in rows}
 
 
