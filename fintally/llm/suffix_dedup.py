@@ -261,8 +261,11 @@ def merge_split(results: DataFrame) -> DataFrame:
         key, runs = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = [(key[0], g, [i, i + 1]) for g, i in merged(runs)]
-            if found:
+            by_run: dict[int, list[int]] = {}
+            for g, i in merged(runs):
+                by_run.setdefault(g, []).extend((i, i + 1))
+            if by_run:
+                found = [(key[0], g, cuts) for g, cuts in by_run.items()]
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int64(), pa.list_(pa.int32())))], out.names)
 
         for batch in batches:
