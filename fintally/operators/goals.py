@@ -34,18 +34,23 @@ def goal_state(goals: DataFrame, contributions: DataFrame) -> DataFrame:
     """Fold contributions in (created_at, id) order: current amount and the time the running
     total first reached the target (``completed_at``; it stays set after later withdrawals).
 
-    Skew-safe: a hot goal is cut into hourly blocks. Running sums inside a block partition by
-    (goal, block); the block summaries (sum, highest running sum) are few per goal, and only
-    the rows of the single crossing block are scanned again.
+    Skew-safe: a hot goal is cut into blocks of at most 4,096 ids of one time, these into hours. Running
+    sums inside a block partition by (goal, time, id block), inside an hour by (goal, hour), so a bulk
+    import that shares one time is split too; an hour's summary is one row per goal, and only the rows
+    of the single crossing block are scanned again.
     """
-    c = contributions.select("id", "goal_id", "amount", "created_at",
-                             F.date_trunc("hour", "created_at").alias("blk"))
-    w_in = (Window.partitionBy("goal_id", "blk").orderBy("created_at", "id")
+    c = contributions.select("id", "goal_id", "amount", "created_at", F.date_trunc("hour", "created_at").alias("hour"),
+                             F.struct("created_at", F.floor(F.col("id") / 4096).alias("part")).alias("blk"))
+    w_in = (Window.partitionBy("goal_id", "blk").orderBy("id")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     c = c.withColumn("run_in", F.sum("amount").over(w_in))
-    blocks = c.groupBy("goal_id", "blk").agg(F.sum("amount").alias("b_sum"), F.max("run_in").alias("b_max"))
-    w_b = Window.partitionBy("goal_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("b_sum").over(w_b), M.zero()))
+    small = c.groupBy("goal_id", "hour", "blk").agg(F.sum("amount").alias("b_sum"), F.max("run_in").alias("b_max"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = F.coalesce(F.sum("b_sum").over(earlier(Window.partitionBy("goal_id", "hour").orderBy("blk"))), M.zero())
+    hours = small.groupBy("goal_id", "hour").agg(F.sum("b_sum").alias("h_sum"))
+    hours = hours.select("goal_id", "hour", F.coalesce(F.sum("h_sum").over(earlier(Window.partitionBy("goal_id").orderBy("hour"))), M.zero()).alias("h_before"))
+    blocks = (small.withColumn("within", within).join(hours, ["goal_id", "hour"])
+              .withColumn("before", F.col("h_before") + F.col("within")))
     tgt = goals.select(F.col("id").alias("goal_id"), "target_amount")
     crossing = (blocks.join(tgt, "goal_id")
                 .filter(F.col("before") + F.col("b_max") >= F.col("target_amount"))

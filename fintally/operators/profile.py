@@ -42,13 +42,13 @@ def detect_format(headers: DataFrame, formats: DataFrame, file_names: DataFrame
     name is contained in the file name. Highest score wins, earlier formats win ties; a
     file with no positive score is 'generic'. Returns (file, format_id, score).
 
-    The format table is a fixed list of about 150 names, so each distinct header is tested
-    against it with one ``filter`` over a literal array (no join, no shuffle of pairs).
+    The format table is a fixed list of about 150 names, so each distinct header name is tested once,
+    with one ``filter`` over a literal array, and only its hits are joined to the files.
     """
     hs = headers.select("file", F.lower(F.trim("column")).alias("h")).distinct()
-    matched = (hs.select("file", F.explode(F.filter(_format_column_array(),
-                                                    lambda e: F.contains(F.col("h"), e["col"]))).alias("e"))
-               .select("file", F.col("e.format_id").alias("format_id"), F.col("e.col").alias("col"),
+    # names repeat over files: each is tested once
+    hits = hs.select("h").distinct().select("h", F.explode(F.filter(_format_column_array(), lambda e: F.contains(F.col("h"), e["col"]))).alias("e"))
+    matched = (hs.join(hits, "h").select("file", F.col("e.format_id").alias("format_id"), F.col("e.col").alias("col"),
                        F.col("e.weight").alias("weight"))
                .distinct())
     score = matched.groupBy("file", "format_id").agg(F.sum("weight").alias("score"))
