@@ -26,10 +26,23 @@ def text_mark(col: str = "text") -> Column:
     return F.xxhash64(whole_text(col))
 
 
+BATCH_ROWS = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of at most BATCH_ROWS rows: Spark's own bound is made for
+    short rows, and a worker would hold it several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str,
               start: Callable[[], object] | None = None) -> DataFrame:
     """mapInArrow with one call of ``fn`` per batch; ``start`` runs once per task and its result,
     if there is one, is the second argument."""
+    short_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start() if start else None
         for batch in batches:

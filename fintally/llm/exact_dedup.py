@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from fintally.llm import common
 
-TRIE_BYTES = 64 << 20
+TRIE_BYTES = 32 << 20
 
 
 class Node:
@@ -173,6 +173,7 @@ def owners(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", trie_byt
                 trie.insert(s, owner, rows, digest)
         yield from batches_of((e for e in trie.ends() if e[1] > 1), types)
 
+    common.short_batches(docs.sparkSession)
     out = T.StructType([src.schema[k] for k in ("owner", "rows", "digest")])
     return src.mapInArrow(gather, src.schema).repartition("len", "h").mapInArrow(settle, out).select(
         F.col("digest").alias("text_sha256"), F.col("owner").alias("keep_id"), F.col("rows").alias("group_size"))
