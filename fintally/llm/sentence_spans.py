@@ -4,9 +4,13 @@ Every run of several consecutive sentences is hashed; runs are joined on the has
 sentences that any repeated run but the first covers are removed. A run starts at every sentence and is
 the shortest one with at least ``min_sentences`` sentences and ``min_words`` words, so runs of very
 short sentences don't meet by chance and passages of any longer length are covered by their runs.
+
+Long sentences are cut further, at words that only the few words around them choose, so that the copies
+of a passage are cut alike whatever stands before and behind them. The parts count as sentences.
 """
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -25,34 +29,89 @@ FINAL, CLOSING, SMALL, CAPITAL = ".!?…。！？", "\"'”’»)\\]", "a-zß-ö
 BOUNDARY = re.compile(rf"[ \t\n\r\f\v\u00a0\u2028](?:(?<=[{FINAL}].)|(?<=[\n\u2028])|(?<=[{FINAL}][{CLOSING}].)|(?:(?<=[{SMALL}].)|(?<=[{SMALL}][,;:].))(?=[{CAPITAL}][{SMALL}]))", re.S)
 
 
+#: A wide final mark ends a sentence without white space, too.
+WIDE = re.compile("[。！？]+[」』”’）】》〉\"'»)\\]]*(?=\\S)")
+#: Han and kana are written without spaces: each character counts as a word.
+UNSPACED = re.compile("[\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+#: A sentence of more than LONG words is cut at the words of smallest hash of any WINDOW words.
+LONG, WINDOW = 12, 8
+SPACED, WHITE, MARK, ALONE = range(4)
+
+
+@functools.cache
+def char_kinds() -> np.ndarray:
+    """By code point: white space, a mark that goes with the word before it, or a word of its own."""
+    kinds = np.zeros(0x40001, np.uint8)
+    kinds[[c for c in range(0x3001) if chr(c).isspace()]] = WHITE
+    for a, b in ((0x3001, 0x3040), (0xFF01, 0xFF10), (0xFF1A, 0xFF21), (0xFF61, 0xFF66)):
+        kinds[a:b] = MARK
+    for a, b in re.findall(r"(.)-(.)", UNSPACED.pattern):
+        kinds[ord(a):ord(b) + 1] = ALONE
+    return kinds
+
+
+def cut_long(text: str, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The bounds with long sentences cut. Any WINDOW words in a row hold the start of a sentence or one
+    of smallest hash (the first of equals): both are places, and the window alone decides."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = char_kinds()[np.minimum(codes, 0x40000)]
+    before = np.concatenate(([WHITE], kinds[:-1]))
+    starts = np.flatnonzero((kinds == ALONE) | ((kinds != WHITE) & (before == WHITE)) | ((kinds == SPACED) & (before >= MARK)))
+    begin, end = np.array(bounds).T
+    first = np.searchsorted(starts, begin)
+    long = np.searchsorted(starts, end) - first > LONG
+    if not long.any():
+        return bounds
+    mixed = codes * np.uint32(0x9E3779B1)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA77)
+    mixed[kinds == WHITE] = 0
+    h = np.add.reduceat(mixed, starts, dtype=np.uint32) * np.uint32(0xC2B2AE3D)
+    h = (h ^ (h >> np.uint32(16))).astype(np.uint64)
+    h[first[first < len(starts)]] = 0
+    least = h << np.uint64(32) | np.arange(len(starts), dtype=np.uint64)
+    for step in (1, 2, 4):  # smallest of 2, 4, then WINDOW words
+        least = np.minimum(least[:-step], least[step:])
+    chosen = np.zeros(len(starts), bool)
+    chosen[least & np.uint64(0xFFFFFFFF)] = True
+    chosen[first[first < len(starts)]] = False
+    places = np.flatnonzero(chosen)
+    places = starts[places[long[np.searchsorted(first, places, "right") - 1]]]
+    return list(zip(np.sort(np.concatenate((begin, places))).tolist(), np.sort(np.concatenate((end, places))).tolist()))
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of every sentence that holds a word."""
+    """Start and end of every sentence, or part of a long one, that holds a word."""
+    marks = [m.span() for m in BOUNDARY.finditer(text)]
+    if not text.isascii():
+        marks = sorted(marks + [(m.end(), m.end()) for m in WIDE.finditer(text)])
     out, at = [], 0
-    for m in BOUNDARY.finditer(text):
-        stop = m.start()
+    for stop, behind in marks:
         if stop > at and not text[at:stop].isspace():
             out.append((at, stop))
-        at = m.end()
+        at = behind
     if text[at:].strip():
         out.append((at, len(text)))
-    return out
+    return cut_long(text, out) if out else out
 
 
 def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
     """(first sentence, sentences, hash) of the run that starts at each sentence, where there is one."""
     words = [text[a:b].split() for a, b in sentences(text)]
     plain = [" ".join(w) for w in words]
+    sizes = [len(w) for w in words]
+    if not text.isascii() and UNSPACED.search(text):
+        sizes = [max(n, len(UNSPACED.findall(p))) for n, p in zip(sizes, plain)]
     out, end, held = [], 0, 0
     for i in range(len(words)):
         end = max(end, i)
         while end < len(words) and (end - i < min_sentences or held < min_words):
-            held += len(words[end])
+            held += sizes[end]
             end += 1
         if end - i < min_sentences or held < min_words:
             break
         h = xxhash.xxh3_64_intdigest("\n".join(plain[i:end]))
         out.append((i, end - i, h - (1 << 64) if h >> 63 else h))
-        held -= len(words[i])
+        held -= sizes[i]
     return out
 
 
@@ -80,7 +139,7 @@ def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
     """doc_id, mark, spans (first sentence, sentences): the runs of each document that stood earlier.
     The first of equal runs is the one with the smallest doc_id, mark and place."""
-    rows = run_rows(docs, min_sentences, min_words)
+    rows = common.written(run_rows(docs, min_sentences, min_words), "places")  # read twice, cut once
     place = F.struct("doc_id", "mark", "first")
     first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "origin")
     first = common.written(first, "runs")  # as a table, so that the join can split the rows of a frequent run

@@ -61,3 +61,45 @@ def test_ids_with_two_texts_and_empty_table(spark):
     got = S.remove_repeated_spans(frame(spark, [(1, text + " A."), (1, text + " B."), (2, text)])).collect()
     assert sorted(r["n_removed"] for r in got) == [0, 2, 2] and [r["n_removed"] for r in got if r["doc_id"] == 2] == [2]
     assert S.remove_repeated_spans(frame(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def planted(rng, kind):
+    """A passage of 50 words, and two texts that hold it between other words of the same sentences."""
+    sizes = {"one sentence": [200], "long": [40], "mixed": [5, 14, 23, 9]}[kind]
+
+    def prose(n):
+        out = []
+        while len(out) < n:
+            some = words(rng, rng.choice(sizes)).split()
+            out += [some[0].capitalize(), *some[1:-1], some[-1] + "."]
+        return out[:n]
+
+    passage = " ".join(prose(50 + rng.randrange(30))[-50:])
+    if kind == "one sentence":
+        passage = passage.lower().replace(".", "")
+    return passage, [" ".join([*prose(rng.randrange(5, 40)), passage, *prose(rng.randrange(5, 40))]) for _ in range(2)]
+
+
+def test_every_planted_repeat_of_50_words_loses_most_of_them(spark):
+    rng = random.Random(23)
+    cases = [planted(rng, k) for k in ("one sentence", "long", "mixed") for _ in range(100)]
+    rows = [(2 * n + k, t) for n, (_, texts) in enumerate(cases) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: r["kept_text"] for r in S.remove_repeated_spans(frame(spark, rows)).collect()}
+    for n, (passage, (a, b)) in enumerate(cases):
+        assert got[2 * n] == a
+        assert len(b.split()) - len(got[2 * n + 1].split()) > 25, passage
+        assert set(b.split()) - set(got[2 * n + 1].split()) <= set(passage.split())
+
+
+def test_sentences_without_spaces(spark):
+    assert [t[a:b] for t in ["一二三。四五！」六七 八。Abc"] for a, b in S.sentences(t)] == ["一二三。", "四五！」", "六七 八。", "Abc"]
+    rng = random.Random(3)
+
+    def han(n):
+        return "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+
+    passages = ["".join(han(rng.randrange(4, 12)) + "。" for _ in range(8)), han(60)]
+    rows = [(n, han(9) + passages[n % 2] + han(9) + "。") for n in range(6)]
+    got = {r["doc_id"]: r["kept_text"] for r in S.remove_repeated_spans(frame(spark, rows)).collect()}
+    for n, t in rows:
+        assert got[n] == t if n < 2 else len(t) - len(got[n]) > len(passages[n % 2]) / 2
