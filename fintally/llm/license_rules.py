@@ -85,7 +85,7 @@ FAMILIES: list[tuple[str, list[str], list[tuple[str, str]], list[str]]] = [
     ("ecl-2.0", ["ecl-2.0"], [("educational community", r"educational community licen[cs]e")], ["opensource.org/licenses/ecl-2.0"]),
     ("vim", ["vim"], [("vim", r"vim licen[cs]e")], ["vimdoc.sourceforge.net/htmldoc/uganda"]),
     ("json", ["json"], [("used for good", r"shall be used for good, not evil")], ["json.org/license"]),
-    ("openrail", ["openrail", "bigscience-openrail-m"], [("openrail", r"(?:creativeml )?open ?rail(?:\+\+)?(?:-m)? licen[cs]e"), ("openrail", r"openrail(?:\+\+)?-m")], ["huggingface.co/spaces/bigscience/license"]),
+    ("openrail", ["openrail", "bigscience-openrail-m"], [("rail", r"(?:creativeml )?open ?rail(?:\+\+)?(?:-m)? licen[cs]e"), ("openrail", r"openrail(?:\+\+)?-m")], ["huggingface.co/spaces/bigscience/license"]),
     ("ogl-uk-3.0", ["ogl-uk-3.0"], [("open government", r"open government licen[cs]e(?:,? v?3\.0)?")], ["nationalarchives.gov.uk/doc/open-government-licence/version/3"]),
 ]
 
@@ -154,5 +154,11 @@ def rules() -> list[Rule]:
     return [Rule(r.label, r.kind, r.keyword, f"{START}(?:{r.regex}){END}") for r in out]
 
 
+def identifiers() -> dict[str, str]:
+    """The label of every SPDX identifier."""
+    suite = [f"cc-{elements}-{version}" for elements in CC_ELEMENTS for version in CC_VERSIONS]
+    return {i: label for label, ids, _, _ in FAMILIES for i in ids} | dict(zip(suite, suite))
+
+
 def base_rules() -> list[Rule]:
     return [Rule(label, "base", words[0], START + G.join(words) + END) for label, words in BASE.items()]

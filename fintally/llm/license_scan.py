@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fintally.llm import common
-from fintally.llm.license_rules import KINDS, WORD, base_rules, rules
+from fintally.llm.license_rules import KINDS, WORD, base_rules, identifiers, rules
 
 WORDS = re.compile(WORD + "+")
+TAG = re.compile(r"spdx-license-identifier:\s*")
+#: The next part of an SPDX expression; inside parentheses it may go on in the next (comment) line.
+PART, INNER = (re.compile(gap + r"([()]|[\w.+:-]+)") for gap in (r"[^\S\n]*", r"\s*(?:[#*/;]+\s*)?"))
 
 
 class Detection(NamedTuple):
@@ -44,6 +47,39 @@ class Scanner:
             self.keywords.add_word(key, ids)
         self.keywords.make_automaton()
 
+        ranks: dict[str, int] = {}
+        for i, (r, _) in enumerate(self.rules):
+            if r.kind == "spdx":
+                ranks.setdefault(r.label, i)
+        self.spdx = {i: (label, ranks[label]) for i, label in identifiers().items()}
+
+    def expressions(self, text: str) -> list[Detection]:
+        """Every known identifier of every SPDX expression, each by its own place: the rules read the
+        first one behind the tag."""
+        out = []
+        for tag in TAG.finditer(text):
+            at, depth, operand = tag.end(), 0, True
+            while part := (INNER if depth else PART).match(text, at):
+                word, at = part[1], part.end()
+                if word in "()":
+                    if (word == "(") != operand:
+                        break  # a bracket that opens behind a name, or closes behind an operator
+                    depth += 1 if word == "(" else -1
+                    if depth < 0:
+                        break
+                elif operand:
+                    ported = re.match(r"cc-[a-z-]+-\d\.\d(?!\d)", word)
+                    name = next((n for n in (word, word.rstrip("."), word.rstrip(".+"), ported and ported[0]) if n in self.spdx), None)
+                    if name:
+                        label, rank = self.spdx[name]
+                        out.append(Detection(part.start(1), part.start(1) + len(name), label, "spdx", rank))
+                    operand = False
+                elif word in ("and", "or", "with"):
+                    operand = True
+                else:
+                    break
+        return out
+
     def candidates(self, text: str) -> set[int]:
         found: set[int] = set()
         for _, ids in self.keywords.iter(text):
@@ -53,7 +89,7 @@ class Scanner:
     def scan(self, text: str) -> tuple[list[Detection], list[tuple[int, str]]]:
         """Detections that stand, by place, and all places (offset, label) of base phrases, of a text
         whose A-Z are lower case."""
-        found, places = [], []
+        found, places = self.expressions(text), []
         for i in sorted(self.candidates(text)):
             if i < len(self.rules):
                 rule, regex = self.rules[i]

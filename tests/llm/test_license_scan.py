@@ -47,3 +47,70 @@ def test_hundreds_of_rules_and_linear_suppression():
     assert len(rules()) > 300
     many = [S.Detection(i, i + 3, "a", "title", 1) for i in range(30_000)] + [S.Detection(0, 10_000, "b", "spdx", 0)]
     assert len(S.resolve(many)) == 1 + sum(1 for i in range(30_000) if i + 3 > 10_000)
+
+
+def variants(regex):
+    """Matches of a regex: every choice of it (an optional part, a branch, a character of a class) taken in
+    turn, the others at their first, then at their last."""
+    def build(tree, pick):
+        out = ""
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "NOT_LITERAL":
+                out += "x"
+            elif name == "IN":
+                if str(arg[0][0]) == "NEGATE":
+                    out += "x"
+                else:
+                    options = [c for kind, v in arg for c in ([chr(v)] if str(kind) == "LITERAL" else " \n" if str(kind) == "CATEGORY" else [chr(v[0]), chr(v[1])])]
+                    out += options[pick(len(options))]
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                low, high, inner = arg
+                for _ in range(low + (pick(2) if high > low else 0)):
+                    out += build(inner, pick)
+            elif name == "SUBPATTERN":
+                out += build(arg[3], pick)
+            elif name == "BRANCH":
+                out += build(arg[1][pick(len(arg[1]))], pick)
+            else:
+                assert name == "ASSERT_NOT", name
+        return out
+
+    tree, found = re._parser.parse(regex), set()
+    for last in (False, True):
+        def run(at=None, value=None):
+            sizes = []
+            def pick(n):
+                sizes.append(n)
+                return value if len(sizes) - 1 == at else n - 1 if last else 0
+            found.add(build(tree, pick))
+            return sizes
+        for at, n in enumerate(run()):
+            for value in range(n):
+                run(at, value)
+    return found
+
+
+def test_the_keyword_filter_drops_no_match_of_a_rule():
+    scan = S.scanner()
+    for i, (rule, regex) in enumerate(scan.rules + scan.base):
+        matches = [t for t in variants(rule.regex) if regex.search(t)]
+        assert matches, rule
+        for text in matches:
+            assert i in scan.candidates(text), (rule, text)
+
+
+def test_open_rail_with_a_space_and_spdx_expressions():
+    for text, want in {
+        "under the CreativeML Open RAIL-M License": "openrail", "CreativeML OpenRAIL-M License": "openrail",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit", "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: (MIT OR (GPL-2.0+ AND CC-BY-4.0)) AND Zlib.": "cc-by,cc-by-4.0,gpl-2.0,mit,zlib",
+        "SPDX-License-Identifier: ((ISC OR MIT) AND\n * Zlib)": "isc,mit,zlib",
+        "SPDX-License-Identifier: Foo-1.0 OR GPL-2.0-only WITH Classpath-exception-2.0": "gpl-2.0",
+        "SPDX-License-Identifier: MIT\nand json or ruby": "mit", "SPDX-License-Identifier: MIT json": "mit", "SPDX-License-Identifier:": "",
+    }.items():
+        n_words, *_, labels, score, spans = S.digest(text, S.scanner())
+        assert labels == want, text
+        assert not want or {d["kind"] for d in spans} <= {"spdx", "title", "grant"}
