@@ -52,6 +52,19 @@ def test_digests_do_not_depend_on_the_dictionary(spark):
     assert L.token_digests(docs.limit(0), model).count() == 0
 
 
+def test_verbatim_is_what_the_library_decodes(spark, monkeypatch):
+    model = M.model_bytes()
+    sp = M.processor(model)
+    rows = list(enumerate([*TEXTS, "a▁b", "▁", "▁ a", "a ▁", "plain text", None, *(t for _, t in awkward())]))
+    got = {r["doc_id"]: r["verbatim"] for r in L.token_digests(frame(spark, rows), model, dictionary=5).collect()}
+    assert got == {i: sp.decode(sp.encode(t or "")) == (t or "") for i, t in rows}
+    assert sorted(t for i, t in rows if not got[i]) == sorted(t for _, t in rows if t and "▁" in t)
+    cut = L.words_of
+    monkeypatch.setattr(L, "words_of", lambda text, pieces: L.F.filter(cut(text, pieces), lambda w: w != "▁text"))
+    lost = L.token_digests(frame(spark, [(1, "plain text"), (2, "plain")]), model).collect()
+    assert {r["doc_id"]: r["verbatim"] for r in lost} == {1: False, 2: True}
+
+
 def brute_viterbi(word, table, longest, unknown):
     best = {0: (0.0, [])}
     for to in range(1, len(word) + 1):
