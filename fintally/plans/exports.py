@@ -2,8 +2,9 @@
 
 ``write_exports`` turns v_raw into one CSV text file per account export, each with a
 two-line preamble and a blank line before the header, occasional blank and all-empty
-lines, and quoted fields where needed. ``awkward`` exports also hold short rows, quoted line breaks and, in every
-other file, repeated and blank header names. Every file's lines go to one task and are written
+lines, and quoted fields where needed. ``awkward`` exports also hold short rows, quoted line breaks, single quotes
+inside unquoted fields, in every third file a last field that never closes and, in every other file, repeated
+and blank header names. Every file's lines go to one task and are written
 in order.
 """
 from __future__ import annotations
@@ -15,6 +16,8 @@ from fintally.plans import views as V
 from fintally.session import scratch_dir
 
 HEADER = "Date,Amount,Merchant,Description"
+#: Last line of some awkward exports: its quote opens a field and never closes.
+UNCLOSED = '1992-01-01,-1.00,Left Open,"never'
 
 
 def _quote(c):
@@ -24,11 +27,12 @@ def _quote(c):
 
 
 def awkward_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw rows with quoted line breaks in every 29th description and no description field in
-    every 31st row."""
+    """The raw rows with quoted line breaks in every 29th description, no description field in every 31st row
+    and an inch mark in every 17th description."""
     k = F.col("line")
     text = F.when(k % 31 == 0, F.lit(None).cast("string")).when(
-        k % 29 == 0, F.concat(F.col("raw_description"), F.lit('\nsecond, "line"'))).otherwise(F.col("raw_description"))
+        k % 29 == 0, F.concat(F.col("raw_description"), F.lit('\nsecond, "line"'))).when(
+        k % 17 == 0, F.concat(F.col("raw_description"), F.lit(' 5" pipe'))).otherwise(F.col("raw_description"))
     return V.raw_rows(spark, sf_dir).withColumn("raw_description", text)
 
 
@@ -42,13 +46,19 @@ def export_lines(spark: SparkSession, sf_dir: str, awkward: bool = False) -> Dat
         F.struct(F.lit(-2).cast("long").alias("seq"), F.lit("").alias("text")),
         F.struct(F.lit(-1).cast("long").alias("seq"), header.alias("text")))).alias("l")) \
         .select("file", "l.seq", "l.text")
+    # an inch mark stands in a field without quotes around it
+    description = F.when(F.col("raw_description").endswith(' 5" pipe'), F.col("raw_description")).otherwise(_quote(F.col("raw_description")))
     data = r.select("file", (F.col("line") * 2 + 1).alias("seq"),
                     F.concat_ws(",", _quote(F.col("raw_date")), _quote(F.col("raw_amount")), _quote(F.col("raw_merchant")),
-                                F.when(F.lit(not awkward) | F.col("raw_description").isNotNull(), _quote(F.col("raw_description")))).alias("text"))
+                                F.when(F.lit(not awkward) | F.col("raw_description").isNotNull(), description)).alias("text"))
     extra = r.filter(F.col("line") % 53 == 0).select("file", (F.col("line") * 2).alias("seq"),
                                                    F.lit(",,,").alias("text"))
     blank = r.filter(F.col("line") % 37 == 0).select("file", (F.col("line") * 2).alias("seq"), F.lit("").alias("text"))
-    return pre.unionByName(data).unionByName(extra).unionByName(blank)
+    out = pre.unionByName(data).unionByName(extra).unionByName(blank)
+    if awkward:
+        last = files.where(F.col("file").rlike("[0369].csv$")).select("file", F.lit(1 << 62).alias("seq"), F.lit(UNCLOSED).alias("text"))
+        out = out.unionByName(last)
+    return out
 
 
 def write_exports(spark: SparkSession, sf_dir: str, awkward: bool = False) -> str:

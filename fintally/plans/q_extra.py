@@ -43,12 +43,17 @@ for _name, _src in _JOIN_ALIASES.items():
 
 # --- sources and sinks over files derived from the tables --------------------------
 
-_CSV_FIELDS = """
+_CSV_HEADER = """CASE WHEN regexp_matches(file, '[13579].csv$') THEN 'Date,Amount,Merchant,Description,Description.1,Unnamed: 5'
+            ELSE 'Date,Amount,Merchant,Description' END AS header"""
+_CSV_FIELDS = f"""
 SELECT file AS export, raw_date AS date, raw_amount AS amount, COALESCE(raw_merchant, '') AS merchant,
        CASE WHEN line % 31 = 0 THEN NULL WHEN line % 29 = 0 THEN raw_description || chr(10) || 'second, "line"'
-            ELSE raw_description END AS description,
-       CASE WHEN regexp_matches(file, '[13579].csv$') THEN 'Date,Amount,Merchant,Description,Description.1,Unnamed: 5'
-            ELSE 'Date,Amount,Merchant,Description' END AS header FROM v_raw"""
+            WHEN line % 17 = 0 THEN raw_description || ' 5" pipe' ELSE raw_description END AS description,
+       {_CSV_HEADER} FROM v_raw"""
+# the last line of every third file, whose quote never closes, is read as it stands
+_CSV_OPEN = f"""
+SELECT DISTINCT file AS export, '1992-01-01' AS date, '-1.00' AS amount, 'Left Open' AS merchant, '"never' AS description,
+       {_CSV_HEADER} FROM v_raw WHERE regexp_matches(file, '[0369].csv$')"""
 
 
 def _csv_fields(rows):
@@ -58,13 +63,13 @@ def _csv_fields(rows):
 
 
 @register("src_csv_exports", f"""
-{_CSV_FIELDS}
+{_CSV_FIELDS} UNION ALL {_CSV_OPEN}
 UNION ALL SELECT export, '', '', '', '', header FROM ({_CSV_FIELDS.replace("FROM v_raw", "FROM v_raw WHERE line % 53 = 0")})""")
 def q_src_csv_exports(spark, sf):
     return _csv_fields(src_csv_exports(spark, write_exports(spark, sf, awkward=True), clean=False))
 
 
-@register("src_clean_rows", _CSV_FIELDS)
+@register("src_clean_rows", f"{_CSV_FIELDS} UNION ALL {_CSV_OPEN}")
 def q_src_clean_rows(spark, sf):
     return _csv_fields(src_csv_exports(spark, write_exports(spark, sf, awkward=True), clean=True))
 

@@ -3,12 +3,15 @@
 Files are read line by line (splittable), so a large export is spread over tasks. A line's
 position in its file is (split start offset, increasing id inside the split); only the
 first split of each file is searched for the header line, among its first 20 lines.
-Lines inside a quoted field are joined to one record: whether a quote is open before a line follows from
-the quotes of the earlier splits (one number a split) and of the lines before it in its split. Files
-without such lines skip that step. Fields are split by one linear regular expression (JVM-side, no
-Python) and paired with their file's header as a ``map<string,string>``. No file can fail the others:
-missing fields are NULL, surplus ones are left out, blank and repeated header names are numbered, and
-a file whose quotes don't close is read line by line.
+A quote opens a field only at the field's start, closes it unless another quote follows, and is a plain
+character elsewhere. Whether a line starts inside a quoted field depends on all lines before it, so lines
+are read as functions: each line takes the state at its start (record start or in quotes) to the state at its
+end. Functions are composed inside every split, then over the splits of a file (one row a split), so each
+split learns the state it starts in without any task reading the file in order. Files in which no line
+opens a field that it does not close skip that step. Fields are split by one linear regular expression
+(JVM-side, no Python) and paired with their file's header as a ``map<string,string>``. No file can fail the
+others: missing fields are NULL, surplus ones are left out, blank and repeated header names are numbered, and
+a field that never closes, or that would be over a million characters long, is read line by line.
 
 Excel files must be converted to CSV upstream.
 """
@@ -21,16 +24,29 @@ from fintally.formats import HEADER_WORDS
 
 HEADER_SCAN_LINES = 20
 
-# a field behind its comma: quoted (with doubled quotes inside), or all up to the next comma
-_FIELD_RE = r',(\s*+"[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
-_QUOTED_RE = r'(?s)^\s*"(.*)"\s*$'
+# a field behind its comma: quoted (with doubled quotes inside, and what follows the closing quote; one that
+# doesn't close goes on to the end), or all up to the next comma
+_FIELD_RE = r',("[^"]*+(?:""[^"]*+)*+"[^,]*+|[^,]*+)'
+_OPEN_FIELD_RE = r',("[^"]*+(?:""[^"]*+)*+(?:"[^,]*+|\z)|[^,]*+)'
+_UNCLOSED_RE = r'^"[^"]*+(?:""[^"]*+)*+\z'
+_QUOTED_RE = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
+
+#: Characters of a record of several lines, at most.
+MAX_RECORD = 1_000_000
 
 
 def _csv_fields(record):
-    """RFC-4180 style fields of one record: split on commas outside quotes, unquote, un-double."""
+    """Fields of one record: split on commas outside quotes, unquote, un-double; what stands behind a
+    closing quote belongs to the field."""
     parts = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(_FIELD_RE), F.lit(1))
-    return F.transform(parts, lambda p: F.when(
-        p.rlike(_QUOTED_RE), F.replace(F.regexp_extract(p, _QUOTED_RE, 1), F.lit('""'), F.lit('"'))).otherwise(p))
+    return F.transform(parts, lambda p: F.when(p.rlike(_QUOTED_RE), F.concat(
+        F.replace(F.regexp_extract(p, _QUOTED_RE, 1), F.lit('""'), F.lit('"')), F.regexp_extract(p, _QUOTED_RE, 2))).otherwise(p))
+
+
+def leaves_open(line):
+    """Whether a line read from a record's start ends inside a quoted field."""
+    parts = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_OPEN_FIELD_RE), F.lit(1))
+    return F.element_at(parts, -1).rlike(_UNCLOSED_RE)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -42,27 +58,57 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
                      F.regexp_replace("value", "\r$", "").alias("line"))
 
 
+def line_functions(lines: DataFrame) -> DataFrame:
+    """``lines`` with from_start and from_quotes: whether the line ends in quotes if it starts at a record's
+    start, and if it starts in quotes (as it would behind an opening quote)."""
+    quoted = F.contains("line", F.lit('"'))
+    return lines.withColumn("from_start", quoted & leaves_open(F.col("line"))).withColumn(
+        "from_quotes", ~quoted | leaves_open(F.concat(F.lit('"'), F.col("line"))))
+
+
+def line_states(lines: DataFrame) -> DataFrame:
+    """``lines`` with in_quotes (the state each line starts in) and ends_open (of its file).
+
+    Of the four functions on two states, constants reset the state and the swap turns it around: the state
+    behind a line is the last constant's, or the split's first state, turned as often as swaps follow. Running
+    sums of swaps give that without a loop: a constant is noted relative to the sum where it stands."""
+    own = Window.partitionBy("file", "blk").orderBy("pos")
+    upto, splits = own.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("file").orderBy("blk")
+    f = line_functions(lines)
+    f = f.withColumn("w", F.sum((F.col("from_start") & ~F.col("from_quotes")).cast("int")).over(upto))
+    fixed = F.when(F.col("from_start") == F.col("from_quotes"), (F.col("from_start").cast("int") + F.col("w")) % 2)
+    f = f.withColumn("c", F.last(fixed, ignorenulls=True).over(upto))
+    # one row a split: its function, composed over the splits before it in the same way
+    ends = f.groupBy("file", "blk").agg(F.max_by(F.struct("w", "c"), "pos").alias("f")).select("file", "blk", "f.*")
+    ends = ends.withColumn("sum", F.sum("w").over(splits))
+    ends = ends.withColumn("last", F.last((F.col("c") + F.col("w") + F.col("sum")) % 2, ignorenulls=True).over(splits.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("after", (F.coalesce("last", F.lit(0)) + F.col("sum")) % 2)
+    ends = ends.select("file", "blk", F.coalesce(F.lag("after").over(splits), F.lit(0)).alias("first"),
+                       (F.last("after").over(splits.rowsBetween(0, Window.unboundedFollowing)) == 1).alias("ends_open"))
+    before = (F.coalesce(F.lag("c").over(own), F.col("first")) + F.coalesce(F.lag("w").over(own), F.lit(0))) % 2
+    return f.join(ends, ["file", "blk"]).withColumn("in_quotes", before == 1).select(*lines.columns, "in_quotes", "ends_open")
+
+
 def records(lines: DataFrame) -> DataFrame:
     """(file, blk, pos, line): lines with the further lines of their quoted fields joined by a line break."""
-    quotes = lines.withColumn("q", F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit(""))))
-    # files in which a line holds an odd number of quotes, and quotes close in the end
-    odd = (quotes.groupBy("file").agg(F.count_if(F.col("q") % 2 == 1).alias("n"), F.sum("q").alias("all"))
-           .filter((F.col("n") > 0) & (F.col("all") % 2 == 0)).select("file"))
-    simple = lines.join(odd, "file", "left_anti")
-    inner = quotes.join(odd, "file", "left_semi")
+    # a file's lines all start a record unless one of them leaves a field open
+    broken = line_functions(lines).groupBy("file").agg(F.max("from_start").alias("any")).where("any").select("file")
+    simple = lines.join(broken, "file", "left_anti")
+    starts = line_states(lines.join(broken, "file", "left_semi")).withColumn("start", (~F.col("in_quotes")).cast("long"))
     before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    own = Window.partitionBy("file", "blk").orderBy("pos")
-    # one row per split: what the earlier splits of the file add up to
-    splits = inner.groupBy("file", "blk").agg(F.sum("q").alias("s")).withColumn("q0", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    opened = F.col("q0") + F.coalesce(F.sum("q").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = inner.join(splits, ["file", "blk"]).withColumn("start", (opened % 2 == 0).cast("long"))
-    totals = starts.groupBy("file", "blk").agg(F.sum("start").alias("s")).withColumn("r0", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    number = F.col("r0") + F.sum("start").over(own.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = starts.join(totals, ["file", "blk"]).withColumn("rec", number)
-    joined = (numbered.groupBy("file", "rec").agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "line"))).alias("l"))
+    own = Window.partitionBy("file", "blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    totals = starts.groupBy("file", "blk").agg(F.sum("start").alias("s")).withColumn("r0", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    totals = totals.withColumn("n", F.sum("s").over(Window.partitionBy("file"))).drop("s")
+    numbered = starts.join(totals, ["file", "blk"]).withColumn("rec", F.col("r0") + F.sum("start").over(own))
+    # the last record of a file that ends in quotes has a quote that never closes
+    lost = F.col("ends_open") & (F.col("rec") == F.col("n"))
+    large = numbered.groupBy("file", "rec").agg(F.sum(F.length("line") + 1).alias("size")).where(F.col("size") > MAX_RECORD).select("file", "rec")
+    single = numbered.where(lost).unionByName(numbered.where(~lost).join(large, ["file", "rec"], "left_semi"), allowMissingColumns=True)
+    joined = (numbered.where(~lost).join(large, ["file", "rec"], "left_anti").groupBy("file", "rec")
+              .agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "line"))).alias("l"))
               .select("file", F.col("l")[0]["blk"].alias("blk"), F.col("l")[0]["pos"].alias("pos"),
                       F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("line")))
-    return simple.select("file", "blk", "pos", "line").unionByName(joined)
+    return simple.select("file", "blk", "pos", "line").unionByName(single.select("file", "blk", "pos", "line")).unionByName(joined)
 
 
 def header_lines(lines: DataFrame, scan: int = HEADER_SCAN_LINES) -> DataFrame:
