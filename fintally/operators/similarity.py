@@ -160,7 +160,7 @@ def knn_exact(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, query
                     F.col("dist").alias("distance")))
 
 
-def _centroids(base: DataFrame, vector: str, id_col: str, cells: int, sample_rows: int) -> np.ndarray:
+def fit_centres(base: DataFrame, vector: str, id_col: str, cells: int, sample_rows: int) -> np.ndarray:
     """Centres of ``cells`` cells, by k-means on a bounded sample (the rows of the smallest id hashes)."""
     rows = base.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(vector).collect()
     x = np.array([r[0] for r in rows], np.float64)
@@ -186,7 +186,7 @@ def knn_approx(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, prob
     bounded. The driver holds at most ``max_cells`` centres and cell sizes.
     """
     cells = min(max_cells, max(1, -(-base.count() // cell_rows)))
-    centres = _centroids(base.select(base_id, vector), vector, base_id, cells, sample_rows)
+    centres = fit_centres(base.select(base_id, vector), vector, base_id, cells, sample_rows)
     norms = np.einsum("cd,cd->c", centres, centres)
     need, block = int(k) + bool(exclude_self), 4 * cell_rows
 
@@ -215,25 +215,34 @@ def knn_approx(queries: DataFrame, base: DataFrame, k: int = TOP_K_SIMILAR, prob
 
     q = queries.select(F.col(query_id).alias("qid"), F.col(vector).alias("qv"))
     asked = q.mapInPandas(probe, T.StructType([*q.schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))]))
-    split = F.array(*[F.lit(int(max(1, -(-n // block)))) for n in sizes]) if len(sizes) <= 64 else None
-    if split is None:  # many cells: the few that are split, as a map
-        large = {i: int(-(-n // block)) for i, n in enumerate(sizes) if n > block}
-        blocks = F.coalesce(F.element_at(F.create_map(*[x for i, n in large.items() for x in (F.lit(i), F.lit(n))]), F.col("cell")), F.lit(1)) if large else F.lit(1)
-    else:
-        blocks = F.get(split, F.col("cell"))
-    q_blocks = max(1, -(-queries.count() * probes // (max(1, len(centres)) * block)))
-    qs = (asked.select("qid", "qv", F.explode("cells").alias("cell"))
-          .withColumn("bblk", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("qblk", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")))
-    bs = (placed.withColumn("bblk", F.pmod(F.xxhash64("bid"), blocks).cast("int"))
-          .withColumn("qblk", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
-    found = (qs.groupBy("cell", "bblk", "qblk").cogroup(bs.groupBy("cell", "bblk", "qblk"))
-             .applyInPandas(lambda x, y: _cell_search(need, exclude_self)(x, y), "qid long, bid long, dist double"))
+    per_cell = {r["cell"]: r["count"] for r in asked.select(F.explode("cells").alias("cell")).groupBy("cell").count().collect()}
+    found = search_cells(asked, placed, {i: int(n) for i, n in enumerate(sizes)}, per_cell, need, exclude_self, block)
     w = Window.partitionBy("qid").orderBy("dist", "bid")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(F.col("qid").alias(query_id), "rank", F.col("bid").alias("neighbor_id"),
                     F.col("dist").alias("distance")))
 
 
+def search_cells(asked: DataFrame, base: DataFrame, base_sizes: dict[int, int], query_sizes: dict[int, int], k: int,
+                 exclude_self: bool, block_rows: int) -> DataFrame:
+    """(qid, bid, dist): the ``k`` nearest of ``base`` (bid, bv, cell) in every cell that a query of ``asked`` (qid,
+    qv, cells) names. The vectors and the queries of a cell are cut into blocks of about ``block_rows`` each,
+    by the cell's own numbers, so no task grows with a popular cell."""
+    def blocks(sizes: dict[int, int]) -> Column:
+        many = {c: -(-n // block_rows) for c, n in sizes.items() if n > block_rows}
+        known = F.create_map(*[F.lit(x) for pair in many.items() for x in pair]) if many else None
+        return F.lit(1) if known is None else F.coalesce(F.element_at(known, F.col("cell")), F.lit(1))
+
+    of_base, of_queries = blocks(base_sizes), blocks(query_sizes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    one = lambda col, n: F.pmod(F.xxhash64(col), n).cast("int")
+    qs = (asked.select("qid", "qv", F.explode("cells").alias("cell")).withColumn("bblk", every(of_base)).withColumn("qblk", one("qid", of_queries)))
+    bs = base.select("bid", "bv", "cell").withColumn("bblk", one("bid", of_base)).withColumn("qblk", every(of_queries))
+    cell = _cell_search(k, exclude_self)
+    return (qs.groupBy("cell", "bblk", "qblk").cogroup(bs.groupBy("cell", "bblk", "qblk"))
+            .applyInPandas(lambda x, y: cell(x, y), "qid long, bid long, dist double"))
+
+
 def vectors_upsert(vectors: DataFrame, changes: DataFrame) -> DataFrame:
     """Latest vector per transaction: ``changes`` (transaction_id, seq, op, vector, category,
     merchant, amount) with op in {'put', 'delete', 'recategorize'}; only the category is
@@ -363,20 +372,31 @@ def text_matches(queries: DataFrame, txns: DataFrame, query_id: str = "query_id"
 
 def hybrid_search(queries: DataFrame, txns: DataFrame, vectors: DataFrame, k: int = TOP_K_SIMILAR,
                   query_id: str = "query_id", text: str = "text", vector: str = "vector",
-                  query_blocks: int | None = None, base_blocks: int | None = None) -> DataFrame:
+                  query_blocks: int | None = None, base_blocks: int | None = None, neighbours: DataFrame | None = None) -> DataFrame:
     """Per query: up to k text hits (score 1.0, newest first), then the nearest vectors not
     already returned (score exp(-distance)), k results in total when enough exist.
 
     Vectors without a ledger row are left out before the search, so stale ones take no place. Vector
     hits are the 2k nearest neighbours minus the text hits (at most k are removed, so k remain).
+    ``neighbours`` (query_id, rank, neighbor_id, distance, 2k per query, of transactions in the ledger) may come from
+    a stored vector table; ``vectors`` is not searched then.
     """
+    if neighbours is None:
+        neighbours = _live_neighbours(queries, txns, vectors, k, query_id, vector, query_blocks, base_blocks)
+    return _hybrid(queries, txns, neighbours, k, query_id, text)
+
+
+def _live_neighbours(queries, txns, vectors, k, query_id, vector, query_blocks, base_blocks) -> DataFrame:
     vectors = vectors.join(txns.select(F.col("id").alias("transaction_id")), "transaction_id", "left_semi")
+    return knn_exact(queries.select(query_id, vector), vectors, 2 * k, query_id=query_id,
+                     query_blocks=query_blocks, base_blocks=base_blocks)
+
+
+def _hybrid(queries: DataFrame, txns: DataFrame, nn: DataFrame, k: int, query_id: str, text: str) -> DataFrame:
     th = text_matches(queries, txns, query_id, text).join(txns.select("id", "date"), "id")
     wt = Window.partitionBy(query_id).orderBy(F.desc("date"), F.asc("id"))
     text_hits = (th.withColumn("pos", F.row_number().over(wt)).filter(F.col("pos") <= k)
                  .select(query_id, "id", F.lit(0).alias("tier"), "pos", F.lit(1.0).alias("score")))
-    nn = knn_exact(queries.select(query_id, vector), vectors, 2 * k, query_id=query_id,
-                   query_blocks=query_blocks, base_blocks=base_blocks)
     nn = (nn.select(query_id, F.col("neighbor_id").alias("id"), "rank", "distance")
           .join(text_hits.select(query_id, "id"), [query_id, "id"], "left_anti"))
     wv = Window.partitionBy(query_id).orderBy("rank")
