@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fintally.functions import money as M
@@ -53,6 +53,30 @@ def account_balance_asof(accounts: DataFrame, txns: DataFrame, as_of: dt.date |
             .select("id", "name", "account_type", M.out(bal).alias("balance")))
 
 
+def account_balances_at(accounts: DataFrame, txns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The balance of every wanted (account_id, as_of), inclusive, as ``account_balance_asof`` gives it for one date.
+
+    An as-of join without a range join: postings, summed by day first, and wanted dates are put in one order per
+    account and month, where a running sum meets each date behind the postings of its day; the months' sums are
+    carried over in a second, short running sum per account. So an account's postings are never gathered
+    in one task, however many it has. Repeated wanted rows are one; unknown accounts and null dates have no row."""
+    acc = accounts.select(F.col("id").alias("account_id"), "account_type", "initial_balance", "balance_as_of_date")
+    posted = (_daily(txns).join(acc.select("account_id", "balance_as_of_date"), "account_id")
+              .filter(F.col("balance_as_of_date").isNull() | (F.col("date") > F.col("balance_as_of_date")))
+              .select("account_id", "date", F.lit(0).alias("asked"), F.col("d_sum").alias("amount")))
+    asked = (wanted.filter(F.col("as_of").isNotNull()).select("account_id", F.col("as_of").alias("date")).distinct()
+             .select("account_id", "date", F.lit(1).alias("asked"), F.lit(None).cast(MONEY).alias("amount")))
+    both = posted.unionByName(asked).withColumn("month", F.trunc("date", "month"))
+    inside = Window.partitionBy("account_id", "month").orderBy("date", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("account_id").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    months = both.groupBy("account_id", "month").agg(F.sum("amount").alias("m_sum")).select("account_id", "month", F.sum("m_sum").over(earlier).alias("carried"))
+    at = (both.withColumn("run", F.sum("amount").over(inside)).filter(F.col("asked") == 1)
+          .join(months, ["account_id", "month"]).join(acc, "account_id"))
+    total = F.coalesce("carried", M.zero()) + F.coalesce("run", M.zero())
+    bal = F.when(F.col("date") < F.col("balance_as_of_date"), F.lit(None).cast(MONEY)).otherwise(_signed(total))
+    return at.select("account_id", F.col("date").alias("as_of"), M.out(bal).alias("balance"))
+
+
 def account_status(accounts: DataFrame, txns: DataFrame, as_of, active_only: bool = True) -> DataFrame:
     """Per account: current balance, transaction count, spending and income in as_of's month,
     and for credit accounts the limit and available credit; plus the balance label."""

@@ -5,8 +5,8 @@ description_contains, and amount_range "min,max" (inclusive, on |amount|; a patt
 does not split into two numbers never matches). Order: priority desc, created_at asc, id.
 
 Rules are matched by one path whatever their number: blocks of at most ``RULE_BLOCK`` rules, in rank
-order, each broadcast once and matched with an Aho-Corasick automaton per text column and
-vectorised ranges. Transactions pass through as Arrow batches; their columns are not converted.
+order, each broadcast once and matched with an Aho-Corasick automaton per text column and, for amounts,
+a table of elementary intervals with the first rule that holds each. Transactions pass through as Arrow batches; their columns are not converted.
 """
 from __future__ import annotations
 
@@ -38,6 +38,38 @@ def ordered_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
             .select("id", "rule_type", "pattern", "category_id", "priority", "created_at"))
 
 
+class Stabbing:
+    """The least rank of the ranges (rank, lo, hi) that hold an amount, ends included.
+
+    The sorted ends cut the line into points and gaps between them, each of which every range holds as a whole
+    or not at all. Ranges take their points and gaps in order of rank, skipping those that are taken, so the
+    table is built in about linear time; an amount is one binary search, whatever the number of ranges."""
+
+    def __init__(self, ranges: list[tuple[int, float, float]], none: int):
+        ranges = [r for r in ranges if r[1] <= r[2]]  # also leaves out NaN
+        self.ends = np.unique(np.array([x for _, lo, hi in ranges for x in (lo, hi)], float))
+        # place 2 i + 1 is end i, place 2 i the gap below it; the last gap is held by no range
+        best = [none] * (2 * len(self.ends) + 1)
+        free = list(range(len(best) + 1))  # the next place that is not taken, from each place on
+
+        def next_free(place: int) -> int:
+            while free[place] != place:
+                free[place] = place = free[free[place]]
+            return place
+
+        for rank, lo, hi in sorted(ranges):
+            first, last = (2 * int(i) + 1 for i in np.searchsorted(self.ends, (lo, hi)))
+            while (first := next_free(first)) <= last:
+                best[first], free[first] = rank, first + 1
+        self.best = np.array(best)
+
+    def ranks(self, amounts: np.ndarray) -> np.ndarray:
+        if not len(self.ends):
+            return np.full(len(amounts), self.best[0])
+        at = np.searchsorted(self.ends, amounts)
+        return self.best[2 * at + (self.ends[np.minimum(at, len(self.ends) - 1)] == amounts)]
+
+
 class RuleBlock:
     """Matches texts and amounts against rules (id, rule_type, pattern, category_id) in rank order."""
 
@@ -47,7 +79,7 @@ class RuleBlock:
         self.rules = rules
         self.exact: dict[str, int] = {}
         self.always: dict[str, int] = {}  # rank of an empty pattern: every text holds it
-        self.ranges: list[tuple[int, float, float]] = []
+        ranges: list[tuple[int, float, float]] = []
         words: dict[str, dict[str, int]] = {"merchant_contains": {}, "description_contains": {}}
         for rank, (_, kind, pattern, _) in enumerate(rules):
             p = pattern.lower()
@@ -56,7 +88,8 @@ class RuleBlock:
             elif kind == "merchant_exact":
                 self.exact.setdefault(p, rank)
             elif kind == "amount_range" and (rng := parse_range(pattern)):
-                self.ranges.append((rank, *rng))
+                ranges.append((rank, *rng))
+        self.ranges = Stabbing(ranges, len(rules))
         self.words = {}
         for kind, ranks in words.items():
             automaton = ahocorasick.Automaton()
@@ -83,9 +116,7 @@ class RuleBlock:
             if d not in seen_d:
                 seen_d[d] = self.contained("description_contains", d)
             out[i] = min(seen_m[m], seen_d[d])
-        for rank, lo, hi in self.ranges:
-            out[(lo <= amounts) & (amounts <= hi) & (rank < out)] = rank
-        return out
+        return np.minimum(out, self.ranges.ranks(amounts))
 
 
 def _blocks(rules: DataFrame, categories: DataFrame):

@@ -61,8 +61,9 @@ def txn_anomalies(txns: DataFrame) -> DataFrame:
 
 
 def merchant_like(txns: DataFrame, merchant: str, limit: int = 50) -> DataFrame:
-    """LOWER(merchant) LIKE '%needle%' (``%``/``_`` in the needle act as wildcards), newest first."""
-    pattern = f"%{merchant.lower()}%"
+    """LOWER(merchant) LIKE '%needle%' (``%``/``_`` in the needle act as wildcards, a backslash is a plain
+    character), newest first."""
+    pattern = "%" + merchant.lower().replace("\\", "\\\\") + "%"
     return (txns.filter(F.lower("merchant").like(pattern))
             .orderBy(F.desc("date"), F.asc("id")).limit(limit))
 

@@ -25,6 +25,19 @@ best AS (SELECT t.id, MIN(rr.rk) AS rk FROM v_ledger t JOIN rr ON
         GROUP BY t.id)"""
 
 
+@register("rules_match_parts", """
+WITH r AS (SELECT r.* FROM v_part_rules r JOIN v_categories c ON c.id = r.category_id WHERE r.is_active),
+best AS (SELECT t.id, r.category_id, r.id AS rule_id FROM v_ledger t JOIN r ON
+    CASE rule_type WHEN 'merchant_contains' THEN contains(lower(t.merchant), lower(pattern)) WHEN 'merchant_exact' THEN lower(t.merchant) = lower(pattern)
+         WHEN 'description_contains' THEN contains(lower(coalesce(t.description, '')), lower(pattern))
+         ELSE abs(t.amount) BETWEEN CAST(split_part(pattern, ',', 1) AS DOUBLE) AND CAST(split_part(pattern, ',', 2) AS DOUBLE) END
+  QUALIFY row_number() OVER (PARTITION BY t.id ORDER BY r.priority DESC, r.id) = 1)
+SELECT t.id, best.category_id AS rule_category_id, best.rule_id FROM v_ledger t LEFT JOIN best ON best.id = t.id""")
+def q_rules_match_parts(spark, sf):
+    """As many rules as there are parts, a quarter of them amount ranges."""
+    return RU.rules_match(V.ledger(spark, sf), V.part_rules(spark, sf), V.categories(spark)).select("id", "rule_category_id", "rule_id")
+
+
 @register("rules_match", f"""
 WITH {_RULES_RANKED}
 SELECT t.id, rr.category_id AS rule_category_id, rr.id AS rule_id

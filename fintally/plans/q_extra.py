@@ -452,12 +452,12 @@ def q_stream_running_balance(spark, sf):
 SELECT id AS goal_id, current_amount AS _c, completed_at, completing_contribution_id FROM ({q_ledger._GOAL_STATE_SQL})
 WHERE completing_contribution_id IS NOT NULL""".replace("current_amount AS _c, ", ""))
 def q_stream_goal_state(spark, sf):
-    path, stored, states = (scratch_dir(spark, n) for n in ("contrib-src", "contrib-table", "goal-states"))
+    path, states = (scratch_dir(spark, n) for n in ("contrib-src", "goal-states"))
     contrib = V.contributions(spark, sf)
     contrib.repartition("id").write.parquet(path)
     source = spark.readStream.schema(contrib.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    s, writer = ST.stream_goal_state(source, stored, V.goals(spark, sf), states)
-    _run_available_now(s, "append", spark, "goals", foreach=lambda b, i, out: writer(b, i))
+    s, writer = ST.stream_goal_state(source, V.goals(spark, sf), states)
+    _run_available_now(s, "update", spark, "goals", foreach=lambda b, i, out: writer(b, i))
     done = ST.goal_states(spark, states).filter(F.col("completing_contribution_id").isNotNull())
     return done.select("goal_id", "completed_at", "completing_contribution_id")
 

@@ -186,6 +186,22 @@ def q_balance_early(spark, sf):
     return AC.account_balance_asof(V.accounts(spark, sf), V.ledger(spark, sf), dt.date(1997, 6, 30))
 
 
+@register("account_balances_monthly", """
+WITH w AS (SELECT a.id AS account_id, last_day(m) AS as_of, a.* EXCLUDE (id) FROM v_accounts a,
+           (SELECT unnest(generate_series(DATE '1997-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS m))
+SELECT w.account_id, w.as_of, CAST(CASE WHEN w.as_of < MIN(w.balance_as_of_date) THEN NULL
+         WHEN MIN(w.account_type) = 'credit' THEN MIN(w.initial_balance) - COALESCE(SUM(t.amount), 0)
+         ELSE MIN(w.initial_balance) + COALESCE(SUM(t.amount), 0) END AS DOUBLE) AS balance
+FROM w LEFT JOIN v_ledger t ON t.account_id = w.account_id AND t.date <= w.as_of AND (w.balance_as_of_date IS NULL OR t.date > w.balance_as_of_date)
+GROUP BY w.account_id, w.as_of""")
+def q_balances_monthly(spark, sf):
+    """Every account's balance at the end of every month of five years."""
+    accounts = V.accounts(spark, sf)
+    months = F.expr("sequence(DATE'1997-01-01', DATE'2001-12-01', INTERVAL 1 MONTH)")
+    wanted = accounts.select(F.col("id").alias("account_id"), F.explode(months).alias("m")).select("account_id", F.last_day("m").alias("as_of"))
+    return AC.account_balances_at(accounts, V.ledger(spark, sf), wanted)
+
+
 _STATUS_SQL = f"""
 SELECT a.id, a.name, a.account_type,
        CAST(CASE WHEN a.account_type = 'credit' THEN a.initial_balance - COALESCE(s.txn_sum, 0)

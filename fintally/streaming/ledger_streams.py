@@ -6,14 +6,17 @@ on a cluster), so a lost executor or a restarted query resumes without double co
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from fintally.functions import money as M
 from fintally.operators.changes import dedupe_key
-from fintally.operators.goals import goal_state
 from fintally.operators.rules import rules_match
+from fintally.session import written
 
 
 def read_transactions_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -32,12 +35,28 @@ def _is_table(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
+#: Folders of a dedupe history, by a hash of the key.
+HISTORY_BUCKETS = 256
+
+
+def _history(spark: SparkSession, path: str, fields: list[T.StructField]) -> DataFrame:
+    # the schema is given, so a history without parts yet reads as empty
+    return spark.read.schema(T.StructType([*fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])).parquet(path)
+
+
+def known_keys(spark: SparkSession, history_path: str, fields: list[T.StructField], buckets: list[int], batch_id: int) -> DataFrame:
+    """The keys of some buckets that other micro-batches have stored; reads these buckets alone."""
+    stored = _history(spark, history_path, fields).filter(F.col("bucket").isin(buckets) & (F.col("batch") != batch_id))
+    return stored.select("dedupe_key").distinct()
+
+
 def stream_ingest_dedupe(stream: DataFrame, history_path: str, keys=("date", "amount", "merchant")):
     """De-duplicate a transaction stream against itself and the full history table.
 
     Returns ``(keyed_stream, writer)`` where ``writer(batch_df, batch_id)`` is the ``foreachBatch``
     function: it keeps one row per dedupe key of the micro-batch (the smallest), drops keys that
-    the history holds, and writes the rest as the history's part ``batch_id``. No row is too old: there
+    the history holds, and writes the rest as the history's part ``batch_id``. The history lies in folders by
+    a hash of the key, and a micro-batch reads only those of its own keys. No row is too old: there
     is no watermark and no state beside the history. A micro-batch that is run again replaces its
     own part and is compared with the other parts alone, so it ends in the same rows.
     """
@@ -47,18 +66,40 @@ def stream_ingest_dedupe(stream: DataFrame, history_path: str, keys=("date", "am
         spark = batch_df.sparkSession
         rest = [c for c in batch_df.columns if c != "dedupe_key"]
         new = (batch_df.groupBy("dedupe_key").agg(F.min(F.struct(*rest)).alias("_row"))
-               .select(*[F.col(f"_row.{c}").alias(c) for c in rest], "dedupe_key"))
+               .select(*[F.col(f"_row.{c}").alias(c) for c in rest], "dedupe_key",
+                       F.pmod(F.xxhash64("dedupe_key"), F.lit(HISTORY_BUCKETS)).cast("int").alias("bucket")))
+        new = written(new, "micro-batch")
         if _is_table(spark, history_path):
-            # the schema is given, so a history without parts yet reads as empty
-            schema = T.StructType([*batch_df.schema.fields, T.StructField("batch", T.LongType())])
-            known = spark.read.schema(schema).parquet(history_path).filter(F.col("batch") != batch_id)
-            new = new.join(known.select("dedupe_key").distinct(), "dedupe_key", "left_anti")
-        (new.withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy("batch").mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").parquet(history_path))
+            buckets = [r[0] for r in new.select("bucket").distinct().collect()]  # at most HISTORY_BUCKETS numbers
+            fields = [batch_df.schema[c] for c in (*rest, "dedupe_key")]
+            new = new.join(known_keys(spark, history_path, fields, buckets, batch_id), "dedupe_key", "left_anti")
+        _write_parts(new.withColumn("batch", F.lit(batch_id).cast("long")), history_path)
 
     return keyed, writer
 
 
+def _write_parts(rows: DataFrame, history_path: str) -> None:
+    (rows.hint("rebalance", "bucket").write.partitionBy("bucket", "batch").mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").parquet(history_path))
+
+
+def compact_history(spark: SparkSession, history_path: str, upto: int) -> None:
+    """Puts the parts of all micro-batches up to ``upto`` together as that one's part, a file or some a bucket. To be run
+    between micro-batches, with an ``upto`` before the last one, which may still be run again. Rows are kept one
+    a key, so a compaction that failed half-way can be run again."""
+    fields = [f for f in spark.read.parquet(history_path).schema if f.name not in ("bucket", "batch")]
+    old = _history(spark, history_path, fields).filter(F.col("batch") <= upto)
+    rest = [f.name for f in fields if f.name != "dedupe_key"]
+    one = old.groupBy("dedupe_key", "bucket").agg(F.min(F.struct(*rest)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in rest], "dedupe_key", "bucket")
+    _write_parts(written(one, "compacted").withColumn("batch", F.lit(upto).cast("long")), history_path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(history_path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{history_path}/bucket=*/batch=*")):
+        if int(status.getPath().getName().partition("=")[2]) < upto:
+            fs.delete(status.getPath(), True)
+
+
 def stream_rules(stream: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
     """Stream-static categorisation: the rule table is compiled once into a projection."""
     return rules_match(stream, rules, categories)
@@ -93,28 +134,80 @@ GOAL_STATE_SCHEMA = T.StructType([
 ])
 
 
-def stream_goal_state(stream: DataFrame, contributions_path: str, goals: DataFrame, state_path: str):
-    """Keep the state of every goal up to date from a stream of contributions.
+_DAY = 86_400_000_000  # microseconds
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _day_of_rows(rows: np.ndarray) -> tuple[bytes, tuple[int, int]]:
+    """A day's contributions (time, id, cents) in order, as bytes, and the day's sum and highest running sum."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    run = np.cumsum(rows[:, 2])
+    return rows.tobytes(), (int(run[-1]), int(run.max()))
 
-    Returns ``(stream, writer)`` for ``foreachBatch``. A micro-batch is stored as its own part of the
-    contributions table; the goals it touches are then evaluated over all their stored contributions
-    with the batch operator, in order of time, so arrival order does not change an answer.
-    ``state_path`` holds a part per micro-batch; a goal's state is the one of its latest batch
-    (``goal_states``). A micro-batch that is run again replaces its own parts.
+
+def _stored_rows(value) -> np.ndarray:
+    return np.frombuffer(value[0], np.int64).reshape(-1, 3) if value is not None else np.empty((0, 3), np.int64)
+
+
+class GoalProcessor(StatefulProcessor):
+    """State of one goal: its contributions by day, and each day's sum and highest running sum.
+
+    A micro-batch reads and writes the days it has contributions for. Which day first reaches the target
+    follows from the days' two numbers in order of time; only that day's contributions are read to name the one
+    that does. So a late contribution moves the answer as it should, and what a batch reads beside its own
+    days is two numbers a day."""
+
+    def init(self, handle) -> None:
+        self.rows = handle.getMapState("rows", "day int", "rows binary")
+        self.days = handle.getMapState("days", "day int", "cents bigint, highest bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        target = None
+        for pdf in rows:
+            new = pdf[["time", "id", "cents"]].to_numpy(np.int64)
+            target = None if pd.isna(pdf["target"].iloc[-1]) else int(pdf["target"].iloc[-1])
+            days = new[:, 0] // _DAY
+            for day in np.unique(days).tolist():
+                had = _stored_rows(self.rows.getValue((day,)))
+                stored, numbers = _day_of_rows(np.concatenate([had, new[days == day]]))
+                self.rows.updateValue((day,), (stored,))
+                self.days.updateValue((day,), numbers)
+        total, at, by = 0, None, None
+        for (day,), (cents, highest) in sorted(self.days.iterator()):
+            if at is None and target is not None and total + highest >= target:
+                there = _stored_rows(self.rows.getValue((day,)))
+                first = int(np.argmax(total + np.cumsum(there[:, 2]) >= target))
+                at, by = int(there[first, 0]), int(there[first, 1])
+            total += cents
+        yield pd.DataFrame({"goal_id": [key[0]], "cents": [total], "at": pd.array([at], "Int64"), "by": pd.array([by], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_goal_state(stream: DataFrame, goals: DataFrame, state_path: str):
+    """Keep the state of every goal up to date from a stream of contributions in any order of time.
+
+    Returns ``(state_stream, writer)``. The stream (update mode) is kept by a stateful operator, see
+    ``GoalProcessor``; no stored contributions are read again. ``writer`` is for ``foreachBatch``:
+    ``state_path`` gets a part per micro-batch; a goal's state is the one of its latest batch (``goal_states``). A
+    micro-batch that is run again replaces its own part.
     """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cents = lambda c: (F.col(c) * 100).cast("long")
+    rows = (stream.select("goal_id", "id", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, created_at)").alias("time"), cents("amount").alias("cents"))
+            .join(goals.select(F.col("id").alias("goal_id"), cents("target_amount").alias("target")), "goal_id", "left"))
+    kept = rows.groupBy("goal_id").transformWithStateInPandas(
+        statefulProcessor=GoalProcessor(), outputStructType="goal_id long, cents long, at long, by long", outputMode="Update", timeMode="None")
+    states = kept.select("goal_id", (F.col("cents") / 100).alias("current_amount"), F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("completed_at"),
+                         F.col("by").alias("completing_contribution_id"))
+
     def writer(batch_df: DataFrame, batch_id: int) -> None:
-        spark = batch_df.sparkSession
-        tagged = batch_df.withColumn("batch", F.lit(batch_id).cast("long"))
-        tagged.write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(contributions_path)
-        stored = spark.read.schema(tagged.schema).parquet(contributions_path)
-        touched = stored.filter(F.col("batch") == batch_id).select("goal_id").distinct()
-        mine = stored.join(touched, "goal_id", "left_semi").drop("batch")
-        state = goal_state(goals.join(touched.withColumnRenamed("goal_id", "id"), "id", "left_semi"), mine)
-        (state.select(F.col("id").alias("goal_id"), F.col("current_amount").cast("double").alias("current_amount"), "completed_at",
-                      "completing_contribution_id", F.lit(batch_id).cast("long").alias("batch"))
-         .write.partitionBy("batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(state_path))
-
-    return stream, writer
+        (batch_df.withColumn("batch", F.lit(batch_id).cast("long")).write.partitionBy("batch").mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").parquet(state_path))
+
+    return states, writer
 
 
 def goal_states(spark: SparkSession, state_path: str) -> DataFrame:

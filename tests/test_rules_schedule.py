@@ -63,3 +63,32 @@ def test_next_due_month_end_sticks(spark):
     # stays; quarterly 11-30 -> 02-29 -> 05-29; unknown frequency steps monthly
     assert got == [dt.date(2024, 3, 29), dt.date(2024, 3, 20), dt.date(2024, 5, 1),
                    dt.date(2024, 5, 29), dt.date(2024, 3, 29)]
+
+
+def test_stabbing_equals_a_sweep_over_all_ranges():
+    import random
+
+    import numpy as np
+    rng = random.Random(4)
+    for n in (0, 1, 5, 60, 3000):
+        ranges = []
+        for rank in rng.sample(range(10 * n + 1), n):
+            lo = rng.choice([rng.randrange(0, 40), rng.random() * 40, float("-inf")])
+            ranges.append((rank, lo, rng.choice([lo, lo + rng.randrange(0, 9), lo - 1, float("inf"), float("nan"), rng.random() * 40])))
+        amounts = np.array([x for r in ranges for x in r[1:]] + [rng.random() * 45 for _ in range(300)] + [0.0, 40.0, float("nan")])
+        want = np.full(len(amounts), 10 * n + 5)
+        for rank, lo, hi in sorted(ranges, reverse=True):
+            want[(lo <= amounts) & (amounts <= hi)] = rank
+        assert (RU.Stabbing(ranges, 10 * n + 5).ranks(amounts) == want).all()
+
+
+def test_a_hundred_thousand_range_rules_cost_one_search_an_amount():
+    import time
+
+    import numpy as np
+    rules = [(i, "amount_range", f"{i % 1000},{i % 1000 + i % 7}.5", i) for i in range(100_000)]
+    block = RU.RuleBlock(rules)
+    amounts = np.linspace(0, 1010, 200_000)
+    began = time.time()
+    ranks = block.ranges.ranks(amounts)
+    assert time.time() - began < 5 and ranks[0] == 0 and ranks[-1] == len(rules)

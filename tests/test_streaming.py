@@ -1,5 +1,7 @@
 """Streaming variants agree with their batch twins."""
+import datetime as dt
 import os
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,16 +58,35 @@ def test_goal_state_stream_equals_batch(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     # small files in no order of time: an earlier contribution may come in a later micro-batch
     contrib.repartition(6, "id").write.mode("overwrite").parquet(src)
-    stored, states = os.path.join(tmpdir_path, "stored"), os.path.join(tmpdir_path, "states")
+    states = os.path.join(tmpdir_path, "states")
     stream = spark.readStream.schema(contrib.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    s, writer = S.stream_goal_state(stream, stored, goals, states)
-    q = s.writeStream.foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).start()
+    s, writer = S.stream_goal_state(stream, goals, states)
+    q = s.writeStream.outputMode("update").foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck3")).start()
     _run(q)
-    got = {r["goal_id"]: r["completing_contribution_id"] for r in S.goal_states(spark, states).collect()
-           if r["completing_contribution_id"] is not None}
-    batch = {r["id"]: r["completing_contribution_id"] for r in GO.goal_state(goals, contrib).collect()
-             if r["completing_contribution_id"] is not None}
-    assert got == batch and got
+    got = {r["goal_id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in S.goal_states(spark, states).collect()}
+    batch = {r["id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in GO.goal_state(goals, contrib).collect() if r["id"] in got}
+    assert got == batch and sum(by is not None for *_, by in got.values()) > 0
+
+
+def test_goal_stream_takes_late_contributions(spark, tmpdir_path):
+    """Files in reverse order of time, withdrawals, one time for several ids, a goal that is not known."""
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    files = [[(9, 1, "50.00", at(9))], [(5, 1, "60.00", at(5)), (6, 1, "-30.00", at(5)), (7, 2, "10.00", at(5))], [(3, 1, "45.00", at(3, 1)), (4, 1, "45.00", at(3, 1)), (8, 7, "1.00", at(1))], [(1, 1, "-500.00", at(1)), (2, 2, "90.00", at(9))]]
+    schema = "id long, goal_id long, amount decimal(18,2), created_at timestamp_ntz"
+    rows = [[(i, g, Decimal(a), t) for i, g, a, t in f] for f in files]
+    goals = spark.createDataFrame([(1, "trip", Decimal("100.00")), (2, "bike", Decimal("100.00"))], "id long, name string, target_amount decimal(18,2)")
+    src, states = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "states")
+    for n in range(len(rows)):
+        spark.createDataFrame(rows[n], schema).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schema).parquet(src)
+        s, writer = S.stream_goal_state(stream, goals, states)
+        q = s.writeStream.outputMode("update").foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        seen = spark.createDataFrame([r for f in rows[:n + 1] for r in f], schema)
+        want = {r["id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in GO.goal_state(goals, seen).collect()}
+        got = {r["goal_id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in S.goal_states(spark, states).collect()}
+        assert {g: v for g, v in got.items() if g != 7} == {g: want[g] for g in got if g != 7}
+    assert got[7] == (1.0, None, None) and got[2][2] == 2
 
 
 def test_ingest_dedupe_stream(spark, tmpdir_path):
@@ -88,12 +109,42 @@ def test_ingest_dedupe_stream(spark, tmpdir_path):
     assert spark.read.parquet(hist).count() == rows + 1
 
 
+def test_a_batch_reads_the_buckets_of_its_keys(spark, tmpdir_path):
+    led = V.ledger(spark, SF_SMALL).select("id", "date", "amount", "merchant", "description")
+    hist = os.path.join(tmpdir_path, "history")
+    keyed, writer = S.stream_ingest_dedupe(led, hist)
+    writer(keyed, 0)
+    rows = spark.read.parquet(hist).count()
+    one = keyed.orderBy("id").limit(1)
+    writer(one, 1)  # an old statement is found
+    assert spark.read.parquet(hist).count() == rows
+    bucket = one.select(F.pmod(F.xxhash64("dedupe_key"), F.lit(S.HISTORY_BUCKETS))).first()[0]
+    scan = S.known_keys(spark, hist, [keyed.schema[c] for c in keyed.columns], [bucket], 1)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "(bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and f"= {bucket})" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_compaction_keeps_rows_and_leaves_one_part(spark, tmpdir_path):
+    led = V.ledger(spark, SF_SMALL).select("id", "date", "amount", "merchant", "description").filter("id < 400")
+    hist = os.path.join(tmpdir_path, "history")
+    keyed, writer = S.stream_ingest_dedupe(led, hist)
+    for b in range(4):
+        writer(keyed.filter(F.col("id") % 4 <= b), b)
+    before = sorted(map(tuple, spark.read.parquet(hist).select(keyed.columns).collect()))
+    for _ in range(2):
+        S.compact_history(spark, hist, 2)
+        assert sorted(map(tuple, spark.read.parquet(hist).select(keyed.columns).collect())) == before
+    assert {r[0] for r in spark.read.parquet(hist).select("batch").distinct().collect()} <= {2, 3}
+    writer(keyed, 4)
+    assert spark.read.parquet(hist).count() == len(before)
+
+
 def test_unreadable_history_fails_the_batch(spark, tmpdir_path):
-    hist = os.path.join(tmpdir_path, "history", "batch=0")
+    hist = os.path.join(tmpdir_path, "history", "bucket=0", "batch=0")
     os.makedirs(hist)
     with open(os.path.join(hist, "part-0.parquet"), "w") as f:
         f.write("not parquet")
     led = V.ledger(spark, SF_SMALL).select("id", "date", "amount", "merchant", "description").withColumn("dedupe_key", F.col("id").cast("string"))
-    _, writer = S.stream_ingest_dedupe(led.drop("dedupe_key"), os.path.dirname(hist))
+    _, writer = S.stream_ingest_dedupe(led.drop("dedupe_key"), os.path.dirname(os.path.dirname(hist)))
     with pytest.raises(Exception):
         writer(led, 1)
