@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from fintally.llm import common
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*+(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[="'])*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s"'>]+))?""")
 SPACES = re.compile(r"\s+")
 
@@ -38,6 +38,9 @@ FURNITURE_WORDS = frozenset("""ad ads adv advert adverts advertisement advertisi
 commentlist consent cookie cookies disqus disclaimer footer gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices
 overlay pager pagination paywall popup popups promo promoted promotion recommended related remark replies reply respond rss share sharing shoutbox sidebar sidebars
 sidenav signup skip skyscraper social sponsor sponsored sponsors subscribe subscription syndication tags teaser toolbar topbar topnav widget widgets""".split())
+#: Of these, the words that name parts of a layout and so also stand in the class of what holds them all ("has-sidebar").
+LAYOUT_WORDS = frozenset("""banner breadcrumb breadcrumbs footer header hidden login masthead menu menus modal nav navbar navigation overlay pager pagination rss share
+sharing sidebar sidebars sidenav skip social tags toolbar topbar topnav widget widgets""".split())
 CONTENT_WORDS = frozenset("article body content entry hentry main page post story text blog column".split())
 NAME_PARTS = re.compile(r"[^\W_]+(?:-?[^\W_]+)*")
 PARAGRAPHS = frozenset("p pre td blockquote li dd figcaption h2 h3 h4 h5 h6".split())
@@ -46,28 +49,82 @@ BASE_POINTS = {"article": 10, "main": 8, "section": 2, "div": 5, "blockquote": 3
 MIN_PARAGRAPH, DEPTH = 25, 6
 
 
+MARKED, HEADINGS = frozenset(("article", "main")), frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 class Element:
-    __slots__ = ("tag", "parent", "items", "names", "out", "length", "linked", "commas", "points")
+    """``furniture``: "no", "yes", or "layout" (by a word that may also stand on what holds the article); ``out``: whether
+    it is left out; ``marked``: the article or main elements around it, nearest first, three at most."""
+    __slots__ = ("tag", "parent", "items", "names", "furniture", "out", "marked", "length", "linked", "commas", "points")
 
-    def __init__(self, tag: str, parent: Element | None, names: frozenset = frozenset(), out: bool = False):
-        self.tag, self.parent, self.names, self.out = tag, parent, names, out
+    def __init__(self, tag: str, parent: Element | None, names: frozenset = frozenset(), furniture: str = "no"):
+        self.tag, self.parent, self.names, self.furniture, self.out = tag, parent, names, furniture, False
+        self.marked: tuple = () if parent is None else ((parent, *parent.marked) if parent.tag in MARKED else parent.marked)[:3]
         self.items: list = []  # elements and strings, in order
         self.length = self.linked = self.commas = 0
         self.points = 0.0
 
+    @property
+    def is_title(self) -> bool:
+        """The header of an article: its headings stay, all else of it goes."""
+        return self.tag == "header" and bool(self.marked) and self.furniture == "yes"
 
-def describe(tag: str, raw: str) -> tuple[frozenset, bool]:
+
+def describe(tag: str, raw: str) -> tuple[frozenset, str]:
     """The words of class and id, and whether the element is page furniture."""
     if not raw or raw.isspace():
-        return frozenset(), tag in FURNITURE
+        return frozenset(), "yes" if tag in FURNITURE else "no"
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)}
-    names = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = frozenset(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower())) if names != " " else frozenset()
+    names = f"{found.get('class', '')} {found.get('id', '')}"
+    words = frozenset(re.findall(r"[a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
     out = tag in FURNITURE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-    out = out or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if not out and tag not in ("html", "body", "article", "main") and words & FURNITURE_WORDS:
-        out = not (words & {"article", "content", "entry", "post", "story"} and not words & {"comments", "comment", "related", "sidebar", "ad", "ads", "footer", "nav", "menu"})
-    return words, out
+    if out or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return words, "yes"
+    if tag in ("html", "body") or not (said := words & FURNITURE_WORDS):
+        return words, "no"
+    if tag in MARKED:  # a reader's comment can be an article of its own
+        return words, "yes" if words & {"comment", "comments", "reply", "replies", "teaser", "related", "promo", "sponsored"} else "no"
+    if words & {"article", "content", "entry", "post", "story"} and not words & {"comments", "comment", "related", "sidebar", "ad", "ads", "footer", "nav", "menu"}:
+        return words, "no"
+    return words, "layout" if said <= LAYOUT_WORDS else "yes"
+
+
+def settle(root: Element) -> None:
+    """Decides what is left out. An element named like a part of the layout is left out unless it holds most of the
+    page's paragraph text: then it is the layout itself."""
+    order, stack, layouts = [], [root], False
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        layouts = layouts or node.furniture == "layout"
+        stack += [x for x in node.items if isinstance(x, Element) and x.furniture != "yes"]
+    prose: dict[int, int] = {}
+    if layouts:
+        for node in reversed(order):
+            own = sum(len(x.strip()) for x in node.items if isinstance(x, str)) if node.tag in PARAGRAPHS or node.tag in CONTAINERS else 0
+            prose[id(node)] = (own if own >= MIN_PARAGRAPH else 0) + sum(prose.get(id(x), 0) for x in node.items if isinstance(x, Element))
+    most = prose.get(id(root), 0) / 2
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for x in node.items:
+            if isinstance(x, Element):
+                own = x.furniture == "yes" or x.furniture == "layout" and not (most and prose.get(id(x), 0) > most)
+                title = node.out and x.tag in HEADINGS and x.furniture == "no" and in_title(x)
+                x.out = (node.out or own) and not title
+                stack.append(x)
+
+
+def in_title(node: Element) -> bool:
+    """Whether a heading stands in an article's header, at most a few elements deep, and in no other furniture."""
+    up = node.parent
+    for _ in range(DEPTH):
+        if up is None or up.is_title:
+            return up is not None and not up.parent.out
+        if up.furniture != "no":
+            return False
+        up = up.parent
+    return False
 
 
 def parse(page: str) -> Element:
@@ -79,6 +136,7 @@ def parse(page: str) -> Element:
         if m is None:
             if at < len(page):
                 node.items.append(page[at:])
+            settle(root)
             return root
         if m.start() > at:
             node.items.append(page[at:m.start()])
@@ -103,8 +161,7 @@ def parse(page: str) -> Element:
                 at = end.end() if end else len(page)
             continue
         node = made_room(node, tag, root)
-        words, out = describe(tag, m[3])
-        child = Element(tag, node, words, out or node.out)
+        child = Element(tag, node, *describe(tag, m[3]))
         node.items.append(child)
         if tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
             node = child
@@ -153,7 +210,8 @@ def link_density(node: Element) -> float:
 
 
 def is_paragraph(node: Element) -> bool:
-    return node.tag in PARAGRAPHS or node.tag in ("div", "section", "article", "main", "body") and any(isinstance(x, str) and len(x.strip()) >= MIN_PARAGRAPH for x in node.items)
+    # a cell that holds paragraphs is a container of theirs, and no paragraph beside
+    return node.tag in PARAGRAPHS - CONTAINERS or node.tag in CONTAINERS and any(isinstance(x, str) and len(x.strip()) >= MIN_PARAGRAPH for x in node.items)
 
 
 def best_container(root: Element) -> Element | None:
@@ -163,13 +221,19 @@ def best_container(root: Element) -> Element | None:
     for node in order:
         if node.length >= MIN_PARAGRAPH and is_paragraph(node):
             points = 1 + node.commas + min(node.length // 100, 3)
-            up, level = (node.parent if node.tag in PARAGRAPHS else node), 0
-            while up is not None and level < DEPTH:
+            holder = node.parent if node.tag in PARAGRAPHS else node
+            shares, up = [], holder
+            for level in range(DEPTH):
+                if up is not None and up.tag not in MARKED:
+                    shares.append((up, points / (1 if level == 0 else 2 if level == 1 else 3 * level)))
+                up = up.parent if up is not None else None
+            # what the page marks as its article takes its paragraphs' points in full, at any depth
+            shares += [(up, points) for up in ((holder, *holder.marked) if holder.tag in MARKED else holder.marked)]
+            for up, share in shares:
                 if id(up) not in scored:
                     scored[id(up)] = up
                     up.points += BASE_POINTS.get(up.tag, 0) + 25 * bool(up.names & CONTENT_WORDS)
-                up.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-                up, level = up.parent, level + 1
+                up.points += share
     for node in scored.values():
         node.points *= 1 - link_density(node)
     return max(scored.values(), key=lambda n: n.points, default=None)
@@ -181,13 +245,6 @@ def chosen(root: Element) -> list[Element]:
     marked = [n for n in order_of(root) if n.tag in ("article", "main") and not n.out and n.length]
     if best is None:
         return [max(marked, key=lambda n: n.length) if marked else next((x for x in root.items if isinstance(x, Element) and x.tag == "body"), root)]
-    up, whole = best, None
-    while up is not None:
-        if up.tag in ("article", "main") and whole is None:
-            whole = up
-        up = up.parent
-    if whole is not None:  # the page itself marks the article: all of it
-        return [whole]
     if best.parent is None:
         return [best]
     limit = max(10.0, best.points * 0.2)
@@ -195,8 +252,13 @@ def chosen(root: Element) -> list[Element]:
     for x in best.parent.items:
         if not isinstance(x, Element) or x.out:
             continue
-        bonus = best.points * 0.2 if x.names and x.names == best.names else 0
-        if x is best or x.points + bonus >= limit or x.tag in ("p", "h1", "h2", "pre", "blockquote") and x.length and link_density(x) < 0.25:
+        alike = bool(x.names) and x.names == best.names
+        if x is best:
+            kept.append(x)
+        elif best.tag in MARKED:  # beside a marked article, only its further parts
+            if alike and x.tag == best.tag and x.points >= limit:
+                kept.append(x)
+        elif x.points + best.points * 0.2 * alike >= limit or x.tag in ("p", "h1", "h2", "pre", "blockquote") and x.length and link_density(x) < 0.25:
             kept.append(x)
     return kept
 
@@ -206,7 +268,7 @@ def order_of(root: Element):
     while stack:
         node = stack.pop()
         yield node
-        stack += [x for x in node.items if isinstance(x, Element)]
+        stack += [x for x in reversed(node.items) if isinstance(x, Element)]
 
 
 def blocks(nodes: list[Element]) -> list[str]:
@@ -226,6 +288,8 @@ def blocks(nodes: list[Element]) -> list[str]:
             close()
         elif isinstance(x, str):
             current.append(x)
+        elif x.is_title and not x.parent.out:
+            stack += reversed([h for h in order_of(x) if not h.out and h.tag in HEADINGS])
         elif not x.out or x in nodes:
             if x.tag == "br":
                 current.append(" ")
@@ -246,7 +310,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...
     """The key columns, text and n_chars (code points) for each row.
 
     Null or empty html gives an empty text; markup that never ends is read to its end; repeated rows
-    are read each; other columns are not read. Map-only."""
+    are read each; an empty table gives no rows; other columns are not read. Of an article's own header the headings
+    stay; noscript goes, as it stands for what scripts show. Map-only."""
     src = pages.select(*keys, F.coalesce(F.col(html_col), F.lit("")).alias("__html"))
     out = T.StructType([src.schema[k] for k in keys] + [T.StructField("text", T.StringType())])
 

@@ -22,6 +22,64 @@ CASES = [
     ("<div hidden>gone and hidden, all of this, yes</div><div style='display: none'>gone too, all of it, for good</div><p>kept</p>", "kept"),
 ]
 
+TEXT = "Real text, with commas, and of enough length to count as a paragraph here."
+CASES += [
+    # quotes open a value only behind the equals sign
+    ("<p data-x=don't>" + "Kept, all of it, as it should be.</p><p>It's \"here\", too, and of some length.</p>", "Kept, all of it, as it should be.\nIt's \"here\", too, and of some length."),
+    ('<p title = "a > b" x=y"z>q</p><p class="open>never closed', "q"),
+    # words of a layout on what holds the article
+    ("<div class='layout has-sidebar'><div class='sidebar'><p>Links, links and more links that nobody reads.</p></div><div class='text'>" + ARTICLE * 3 + "</div></div>", "\n".join([TEXT] * 3)),
+    ("<div class='page with-nav header-fixed'><article>" + ARTICLE + "</article></div>", TEXT),
+    # an article's header keeps its headings
+    ("<article><header><h1>Title</h1><p>by someone, on some day, in some place</p></header>" + ARTICLE + "</article>", "Title\n" + TEXT),
+    ("<header><h1>Site</h1></header><article><header><div><h2>Title</h2><nav><h3>no</h3></nav></div></header>" + ARTICLE + "</article>", "Title\n" + TEXT),
+    # pages without article or main: the scores choose
+    ("<body><div><h2>Head</h2>" + ARTICLE * 4 + "</div><div><p>Short, but a paragraph.</p></div><p>A paragraph beside the container, of some length.</p></body>", "Head\n" + "\n".join([TEXT] * 4) + "\nA paragraph beside the container, of some length."),
+    ("<table><tr><td><a href=1>one, of many</a> <a href=2>two, of as many</a><td>" + ARTICLE * 2 + "</table>", "\n".join([TEXT] * 2)),
+    # several articles: the best one; a reader's comment can be one too
+    ("<article class=teaser>" + ARTICLE + "</article><article>" + ARTICLE * 3 + "</article><article class='comment'>" + ARTICLE * 5 + "</article>", "\n".join([TEXT] * 3)),
+    # comments longer than the article stay out, whatever they hold
+    ("<div id=main>" + ARTICLE + "</div><div class='comments sidebar'>" + ARTICLE * 9 + "</div>", TEXT),
+    ("<main><div><div><div><div><div><div><div><div>" + ARTICLE + "</div></div></div></div></div></div></div></div><h2>Further down</h2></main>", TEXT + "\nFurther down"),
+]
+
+
+def plain_points(page):
+    """The points of every container by their rule, said once more without the operator's tables."""
+    from fintally.llm import html_extract as X
+    root = X.parse(page)
+    X.measure(root)
+    out = {}
+    for node in X.order_of(root):
+        if node.out or node.length < 25 or not X.is_paragraph(node):
+            continue
+        points = 1 + node.commas + min(node.length // 100, 3)
+        holder = node.parent if node.tag in X.PARAGRAPHS else node
+        line, up = [], holder
+        while up is not None:
+            line.append(up)
+            up = up.parent
+        for level, up in enumerate(line):
+            if up.tag in ("article", "main"):
+                share = points
+            elif level < 6:
+                share = points / [1, 2, 6, 9, 12, 15][level]
+            else:
+                continue
+            out.setdefault(id(up), [up, X.BASE_POINTS.get(up.tag, 0) + 25 * bool(up.names & X.CONTENT_WORDS)])[1] += share
+    return {(n.tag, round(p * (1 - X.link_density(n)), 6)) for n, p in out.values()}
+
+
+def test_points_by_their_rule():
+    from fintally.llm import html_extract as X
+    for page, _ in CASES:
+        root = X.parse(page)
+        best = X.best_container(root)
+        want = plain_points(page)
+        assert best is None or {(n.tag, round(n.points, 6)) for n in X.order_of(root) if n.points} <= want
+        if best is not None:
+            assert round(best.points, 6) == max(p for _, p in want)
+
 
 @pytest.mark.parametrize("page,want", CASES)
 def test_cases(page, want):
