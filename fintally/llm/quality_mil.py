@@ -153,14 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     texts are made on the executors; the driver gets these alone."""
     known = (labels.where(F.col(label).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__y"))
              .orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))
-    sample = docs.select(F.col(doc_id).alias("__id"), common.whole_text(text).alias("__text")).join(F.broadcast(known), "__id").select(F.col("__id").cast("string").alias("i"), F.col("__y").cast("double").alias("y"), "__text")
-    out = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.BinaryType())])
+    sample = docs.select(F.col(doc_id).alias("__id"), common.whole_text(text).alias("__text")).join(F.broadcast(known), "__id").select(F.col("__id").cast("string").alias("i"), F.col("__y").cast("double").alias("y"), "__text", common.text_mark("__text").alias("mark"))
+    out = T.StructType([T.StructField("i", T.StringType()), T.StructField("y", T.DoubleType()), T.StructField("x", T.BinaryType()), T.StructField("mark", T.LongType())])
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array([passages(t.as_py()).tobytes() for t in batch.column(2)], pa.binary())], ["i", "y", "x"])
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array([passages(t.as_py()).tobytes() for t in batch.column(2)], pa.binary()), batch.column(3)], out.names)
 
-    # ids can repeat in the table; the sample stays bounded in rows
-    rows = sorted((r["i"], r["y"], bytes(r["x"])) for r in common.map_arrow(sample, encode, out).dropDuplicates(["i"]).limit(sample_rows).collect())
+    # an id can have several texts: the one with the smallest mark counts, whatever the order of rows
+    first = common.map_arrow(sample, encode, out).groupBy("i").agg(F.min(F.struct("mark", "y", "x")).alias("r")).select("i", "r.y", "r.x")
+    rows = sorted((r["i"], r["y"], bytes(r["x"])) for r in first.collect())
     return fit([np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, _, x in rows], np.array([y for _, y, _ in rows]), **options)
 
 
@@ -184,8 +185,8 @@ def scored(docs: DataFrame, model, text: str = "text") -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, **options) -> DataFrame:
     """doc_id, held_out, score, predicted for each row.
 
-    Null and empty texts are one empty passage and get a score too; repeated rows are scored each. With
-    no labels every score is 0.5; with one label only, that label. A null doc_id counts as held out."""
+    Null and empty texts are one empty passage and get a score too; repeated rows are scored each, and of several
+    texts of a labelled id the one with the smallest mark is learned from. An empty table gives no rows. With no labels every score is 0.5; with one label only, that label. A null doc_id counts as held out."""
     model = train(docs, labels, text, doc_id, **options)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     out = scored(src, model)

@@ -97,3 +97,14 @@ def test_gradients():
 def test_passages():
     assert Q.passages("").shape == (1, Q.N_FEATURES) and not Q.passages(" \n").any()
     assert [len(Q.passages("w " * n)) for n in (1, 96, 97, 144, 192, 240)] == [1, 1, 1, 2, 2, 3]
+
+
+def test_several_texts_of_an_id_in_any_order(spark):
+    from fintally.llm import quality_mil as Q
+    rows = [(i, f"text {t} of {i} " * (1 + (i + t) % 5)) for i in range(40) for t in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    scores = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        scores.append(sorted((r["doc_id"], r["score"]) for r in Q.quality_scores(docs, labels, epochs=2).collect()))
+    assert scores[0] == scores[1]
