@@ -124,16 +124,19 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = BLOCKS) -> DataFrame
                 a, b = np.array(out, np.uint64).view(np.int64).T
                 yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-        key, value = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # batches of a shard that may go on
         for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy()))
-            value = np.concatenate((value, batch.column(1).to_numpy().view(np.uint64)))
-            last = int(np.searchsorted(key, key[-1]))  # the last shard may go on in the next batch
-            if last:
+            key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            last = int(np.searchsorted(key, key[-1]))
+            if held and (last or held[-1][0][-1] != key[-1]):
+                held.append((key[:last], value[:last]))
+                yield from found(*map(np.concatenate, zip(*held)))
+                held = []
+            elif last:
                 yield from found(key[:last], value[:last])
-                key, value = key[last:], value[last:]
-        if len(key):
-            yield from found(key, value)
+            held.append((key[last:], value[last:]))
+        if held:
+            yield from found(*map(np.concatenate, zip(*held)))
 
     return dealt.mapInArrow(search, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 

@@ -122,7 +122,20 @@ def test_empty(spark, rows):
     assert S.near_duplicates(docs).count() == 0 and S.drop_near_duplicates(docs).count() == 0
 
 
-def test_contraction_of_chains_stars_and_loops(spark):
+def test_shards_across_batches(spark, rows):
+    """Shards that end, go on or fill whole batches."""
+    docs = frame(spark, rows)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for size in (1, 2, 7):
+        spark.conf.set(key, str(size))
+        assert Counter(map(tuple, S.near_duplicates(docs, blocks=4).collect())) == brute_components(rows)
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("remainder", [0, 50, 1 << 14])
+def test_contraction_of_chains_stars_and_loops(spark, monkeypatch, remainder):
+    monkeypatch.setattr("fintally.llm.components.REMAINDER", remainder)
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5000, 5000), (6000, 6001), (6001, 6000), (None, 3)]
     got = {r["v"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[i] for i in range(301)}) == 1 and len({got[1000 + i] for i in range(200)}) == 1
