@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fintally.llm import common, decontaminate, exact_dedup, piece_lattice, piece_model, quality_mil, simhash_bktree
 
+#: Words in the dictionary that the last stage broadcasts: the driver builds it (16 MB), after all other stages.
+DICTIONARY = 1 << 17
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -32,7 +35,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words, tokens and token digest of every document that is left, and whether its tokens decode to it."""
-    return piece_lattice.token_digests(docs, piece_model.model_bytes())
+    return piece_lattice.token_digests(docs, piece_model.model_bytes(), dictionary=DICTIONARY)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near),
