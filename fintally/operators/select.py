@@ -39,6 +39,39 @@ def txn_list(txns: DataFrame, categories: DataFrame, category: str | None = None
     return page, total
 
 
+#: Ids in a block of the page index' second step.
+PAGE_BLOCK = 1 << 16
+
+
+def _located(rows: DataFrame, key, desc: bool, offset: int, limit: int):
+    """(the rows of the keys that the page's rows have, the rows of the page's first key that come before it, keys
+    left): one count a key, of which the driver holds one number each."""
+    counts = sorted(((r[0], r[1]) for r in rows.groupBy(key.alias("k")).count().collect()), key=lambda c: (c[0] is not None, c[0]) if c[0] is not None else (False, 0), reverse=desc)
+    before, wanted, start = 0, [], 0
+    for k, n in counts:
+        if before + n > offset and before < offset + limit:
+            start = start if wanted else before
+            wanted.append(k)
+        before += n
+    known = [k for k in wanted if k is not None]
+    here = key.isin(known) if known else F.lit(False)
+    return rows.where(here | key.isNull() if None in wanted else here), offset - start, wanted
+
+
+def txn_page(txns: DataFrame, categories: DataFrame, offset: int, limit: int = 50, desc: bool = True,
+             category: str | None = None, search: str | None = None) -> DataFrame:
+    """A page by date (then id) at any depth, as ``txn_list`` gives it, without sorting what comes before.
+
+    Counts per date tell which dates the page's rows have; if that is a single one, counts per block of ids
+    tell which block. Only those rows are sorted. The driver holds a count for each date, then for each
+    ``PAGE_BLOCK`` ids of one date."""
+    rows, rest, dates = _located(txn_filter(txns, categories, category, search), F.col("date"), desc, offset, limit)
+    if len(dates) == 1:
+        rows, rest, _ = _located(rows, F.floor(F.col("id") / PAGE_BLOCK), False, rest, limit)
+    order = [F.col("date").desc() if desc else F.col("date").asc(), F.col("id").asc()]
+    return rows.orderBy(*order).offset(rest).limit(limit)
+
+
 def txn_by_keys(txns: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     """Bulk exact-match filter: rows whose ``on`` value appears in ``keys``."""
     return txns.join(keys.select(on).distinct(), on, "left_semi")

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from fintally.functions import money as M
 from fintally.operators import changes as CH
+from fintally.operators import ledger_store as LS
 from fintally.operators import rules as RU
 from fintally.plans import views as V
 from fintally.plans.registry import register
+from fintally.session import scratch_dir
 
 _RULES_RANKED = """
 rr AS (SELECT r.*, row_number() OVER (ORDER BY r.priority DESC, r.created_at, r.id) AS rk,
@@ -167,6 +169,40 @@ def q_apply_changes(spark, sf):
     return out.select("id", "category_id", "account_id", "description", "merchant")
 
 
+_CHANGED_LEDGER = f"""
+WITH {_LATEST_CH},
+now AS (SELECT t.id, t.date, t.amount, t.merchant,
+               COALESCE(TRY_CAST((SELECT value FROM lc WHERE lc.id = t.id AND field = 'category_id') AS BIGINT), t.category_id) AS category_id,
+               COALESCE(TRY_CAST((SELECT value FROM lc WHERE lc.id = t.id AND field = 'account_id') AS BIGINT), t.account_id) AS account_id,
+               COALESCE((SELECT value FROM lc WHERE lc.id = t.id AND field = 'description'), t.description) AS description
+        FROM v_ledger t WHERE NOT EXISTS (SELECT 1 FROM lc WHERE lc.id = t.id AND lc.field = '__delete__'))"""
+
+
+def _changed_store(spark, sf) -> str:
+    """A stored ledger of two batches, after the change feed has been applied, twice."""
+    path, led = scratch_dir(spark, "ledger-store"), V.ledger(spark, sf)
+    for b in (0, 1):
+        LS.append_batch(led.filter(F.col("id") % 2 == b), path, f"b{b}")
+    for _ in range(2):
+        LS.change_ledger(spark, path, V.change_feed(spark, sf), ["category_id", "account_id", "description"], "f0")
+    return path
+
+
+@register("apply_changes_stored", f"""{_CHANGED_LEDGER}
+SELECT id, date, CAST(amount AS DOUBLE) AS amount, category_id, account_id, description, merchant FROM now""")
+def q_apply_changes_stored(spark, sf):
+    rows = LS.stored_ledger(spark, _changed_store(spark, sf))
+    return rows.select("id", "date", M.out("amount").alias("amount"), "category_id", "account_id", "description", "merchant")
+
+
+@register("rollup_after_changes", f"""{_CHANGED_LEDGER}
+SELECT strftime(date, '%Y-%m') AS month, category_id, CAST(SUM(CASE WHEN amount > 0 THEN amount ELSE 0 END) AS DOUBLE) AS income,
+       CAST(SUM(CASE WHEN amount < 0 THEN -amount ELSE 0 END) AS DOUBLE) AS expenses, COUNT(*) AS n FROM now GROUP BY 1, 2""")
+def q_rollup_after_changes(spark, sf):
+    kept = LS.rollup(spark, _changed_store(spark, sf))
+    return kept.select("month", "category_id", M.out("income").alias("income"), M.out("expenses").alias("expenses"), F.col("rows").alias("n"))
+
+
 def _assignments(spark, sf):
     li = V.table(spark, sf, "lineitem")
     return li.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 16 + 1).alias("category_id"),

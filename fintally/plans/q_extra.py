@@ -262,11 +262,14 @@ def q_detect_confidence(spark, sf):
 _LEDGER_MONTHS = "SELECT strftime(date, '%Y-%m') AS month, COUNT(*) AS n FROM v_ledger GROUP BY 1"
 
 
-@register("sink_append_ledger", _LEDGER_MONTHS)
+@register("sink_append_ledger", """
+SELECT strftime(date, '%Y-%m') AS month, id, date, CAST(amount AS DOUBLE) AS amount, merchant, description, category_id, account_id FROM v_ledger""")
 def q_sink_append_ledger(spark, sf):
-    path = scratch_dir(spark, "ledger")
-    IO.sink_append_ledger(V.ledger(spark, sf), path)
-    return spark.read.parquet(path).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    """Two batches, the second one run twice."""
+    path, led = scratch_dir(spark, "ledger"), V.ledger(spark, sf)
+    for batch in (0, 1, 1):
+        IO.sink_append_ledger(led.filter(F.col("id") % 2 == batch), path, f"b{batch}")
+    return spark.read.parquet(path).select("month", "id", "date", M.out("amount").alias("amount"), "merchant", "description", "category_id", "account_id")
 
 
 @register("src_ledger_scan", """
@@ -279,12 +282,14 @@ def q_src_ledger_scan(spark, sf):
     return df.select("id", "date", M.out("amount").alias("amount"), "merchant")
 
 
-@register("sink_append_vectors", "SELECT COUNT(*) AS n, SUM(len(embedding)) AS floats FROM embeddings")
+@register("sink_append_vectors", """
+SELECT transaction_id, merchant, category, amount, array_to_string(list_transform(vector, lambda x: floor(CAST(x AS DOUBLE) * 1000)::BIGINT), ',') AS vector FROM v_vectors""")
 def q_sink_append_vectors(spark, sf):
     path = scratch_dir(spark, "vectors")
-    IO.sink_append_vectors(V.vectors(spark, sf), path)
-    v = spark.read.parquet(path)
-    return v.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vector")).cast("long").alias("floats"))
+    for _ in range(2):
+        IO.sink_append_vectors(V.vectors(spark, sf), path, "b0")
+    whole = F.transform("vector", lambda x: F.floor(x.cast("double") * 1000).cast("string"))
+    return spark.read.parquet(path).select("transaction_id", "merchant", "category", "amount", F.array_join(whole, ",").alias("vector"))
 
 
 @register("src_vectors", "SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE len(embedding) = 64) AS dim_ok FROM embeddings")
@@ -297,18 +302,21 @@ def q_src_vectors(spark, sf):
 
 @register("sink_append_log", f"""
 {q_similarity._AUTO_J.rstrip()},
-ids AS (SELECT qid, COUNT(*) AS n_similar FROM nn GROUP BY qid)
-SELECT j.qid AS transaction_id, j.cid AS category_id, ids.n_similar FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
+ids AS (SELECT qid, string_agg(CAST(bid AS VARCHAR), ',' ORDER BY rank) AS similar_ids FROM nn GROUP BY qid)
+SELECT j.qid AS transaction_id, j.cid AS category_id, j.top_votes / j.n_similar AS confidence, ids.similar_ids,
+       'Auto-categorized based on ' || j.top_votes || ' similar transactions all categorized as ' || j.top_category || '.' AS explanation
+FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
 def q_sink_append_log(spark, sf):
     from fintally.operators import similarity as SI
     led = V.ledger(spark, sf)
-    nn = q_similarity._loo(spark, sf)
+    nn = written(q_similarity._loo_stored(spark, sf), "neighbours")
     res = SI.auto_categorize(nn, V.vectors(spark, sf), V.categories(spark))
     _, _, log = SI.auto_categorize_apply(res, nn, led, V.categories(spark))
     path = scratch_dir(spark, "log")
-    IO.sink_append_log(log, path)
-    back = spark.read.parquet(path)
-    return back.select("transaction_id", "category_id", F.size("similar_transaction_ids").cast("long").alias("n_similar"))
+    for _ in range(2):
+        IO.sink_append_log(log, path, "b0")
+    similar = F.array_join(F.col("similar_transaction_ids").cast("array<string>"), ",").alias("similar_ids")
+    return spark.read.parquet(path).select("transaction_id", "category_id", "confidence", similar, "explanation")
 
 
 # --- remaining functions ------------------------------------------------------------

@@ -186,6 +186,14 @@ def q_balance_early(spark, sf):
     return AC.account_balance_asof(V.accounts(spark, sf), V.ledger(spark, sf), dt.date(1997, 6, 30))
 
 
+@register("txn_list_deep", """
+SELECT id, date, CAST(amount AS DOUBLE) AS amount, merchant FROM v_ledger ORDER BY date DESC, id LIMIT 60 OFFSET 900""")
+def q_txn_list_deep(spark, sf):
+    """A page far down the list, located by counts."""
+    page = S.txn_page(V.ledger(spark, sf), V.categories(spark), 900, 60)
+    return page.select("id", "date", M.out("amount").alias("amount"), "merchant")
+
+
 @register("account_balances_monthly", """
 WITH w AS (SELECT a.id AS account_id, last_day(m) AS as_of, a.* EXCLUDE (id) FROM v_accounts a,
            (SELECT unnest(generate_series(DATE '1997-01-01', DATE '2001-12-01', INTERVAL 1 MONTH))::DATE AS m))
