@@ -62,10 +62,21 @@ def _store(spark, sf) -> str:
     return path
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _shared_store(spark, sf) -> str:
+    """A store that only searches use: written by the first of them in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        _STORES[key] = _store(spark, sf)
+    return _STORES[key]
+
+
 def _loo_stored(spark, sf, k=_K):
     """The nearest neighbours of every vector but itself, from the cells of a store that can hold them."""
     q = V.vectors(spark, sf).select(F.col("transaction_id").alias("query_id"), "vector")
-    return VS.search_store(spark, _store(spark, sf), q, k, probes=2, exact=True, exclude_self=True)
+    return VS.search_store(spark, _shared_store(spark, sf), q, k, probes=2, exact=True, exclude_self=True)
 
 
 def _approx(spark, sf):
@@ -215,7 +226,7 @@ UNION ALL
 SELECT vh.qid, vh.id, 1, vh.pos, round(exp(-vh.dist), 9) FROM vh LEFT JOIN nt ON nt.qid = vh.qid WHERE vh.pos <= {_HYBRID_K} - COALESCE(nt.n, 0)""")
 def q_hybrid_search(spark, sf):
     q, led = _hybrid_queries(spark, sf), V.ledger(spark, sf)
-    near = VS.search_store(spark, _store(spark, sf), q, 2 * _HYBRID_K, probes=2, exact=True, live=led.select(F.col("id").alias("transaction_id")))
+    near = VS.search_store(spark, _shared_store(spark, sf), q, 2 * _HYBRID_K, probes=2, exact=True, live=led.select(F.col("id").alias("transaction_id")))
     h = SI.hybrid_search(q, led, None, _HYBRID_K, neighbours=near)
     return h.select("query_id", "id", "tier", F.col("pos").cast("long").alias("pos"), F.round("score", 9).alias("score"))
 
