@@ -14,7 +14,7 @@ from fintally.operators import analytics as A
 from fintally.operators import budget as BU
 from fintally.operators import changes as CH
 from fintally.operators import profile as P
-from fintally.plans import q_analytics, q_changes, q_detect, q_ledger, q_similarity  # noqa: F401  (aliases below)
+from fintally.plans import q_analytics, q_changes, q_detect, q_import, q_ledger, q_similarity  # noqa: F401  (aliases below)
 from fintally.plans import views as V
 from fintally.plans.exports import export_name, write_exports
 from fintally.plans.registry import ORACLE, QUERIES, register
@@ -74,6 +74,43 @@ def q_src_clean_rows(spark, sf):
     return _csv_fields(src_csv_exports(spark, write_exports(spark, sf, awkward=True), clean=True))
 
 
+def _import(spark, sf):
+    """The exports, imported into a ledger that already holds the rows of even line numbers."""
+    from fintally.functions.normalize import norm_amount, norm_date, norm_merchant
+    from fintally.plans.importer import import_job
+    raw = V.raw_rows(spark, sf).filter(F.col("line") % 2 == 0)
+    had = raw.select(norm_date(F.col("raw_date")).alias("date"), norm_amount(F.col("raw_amount")).cast("decimal(18,2)").alias("amount"), norm_merchant(F.col("raw_merchant")).alias("merchant"))
+    return import_job(spark, write_exports(spark, sf), had.dropna(subset=["date", "amount"]), V.rules(spark), V.categories(spark))
+
+
+_IMPORT_SQL = f"""
+WITH all_rows AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS n FROM (SELECT r.*, (r.line % 2 = 0) AS had FROM ({q_import._ROW_SQL}) r)),
+good AS (SELECT file, line, n, had, date, CAST(amount AS DECIMAL(18,2)) AS amount, merchant, description FROM all_rows WHERE status = 'ok'),
+fresh AS (SELECT * FROM good g WHERE NOT EXISTS (SELECT 1 FROM good h WHERE h.had AND h.date = g.date AND h.amount = g.amount AND h.merchant = g.merchant)),
+newrows AS (SELECT row_number() OVER () AS id, * FROM (SELECT arg_min(file, (file, line)) AS file, date, amount, merchant, arg_min(coalesce(description, chr(0)), (file, line)) AS d
+            FROM fresh GROUP BY date, amount, merchant)),
+newrow AS (SELECT id, file, date, amount, merchant, CASE WHEN d <> chr(0) THEN d END AS description FROM newrows),
+{q_changes._RULES_RANKED.replace("v_ledger t", "newrow t")},
+bad AS (SELECT file, n, CASE WHEN status = 'bad_amount' OR status = 'bad_date' AND amount IS NULL THEN 'Row ' || n || ': Invalid amount'
+                             WHEN status = 'bad_date' THEN 'Row ' || n || ': Invalid date format' END AS error FROM all_rows WHERE status <> 'ok')"""
+
+
+@register("import_job", f"""{_IMPORT_SQL},
+p AS (SELECT file, COUNT(*) AS parsed FROM good GROUP BY file),
+a AS (SELECT file, COUNT(*) AS added, COUNT(rr.category_id) FILTER (WHERE rr.category_id <> 0) AS by_rule
+      FROM newrow LEFT JOIN best ON best.id = newrow.id LEFT JOIN rr ON rr.rk = best.rk GROUP BY file),
+e AS (SELECT file, COUNT(*) FILTER (WHERE error IS NULL) AS skipped, COUNT(error) AS total_errors,
+             array_to_string(list(error ORDER BY n) FILTER (WHERE error IS NOT NULL)[:10], '; ') AS first_errors FROM bad GROUP BY file)
+SELECT f.file AS export, COALESCE(parsed, 0) AS parsed, COALESCE(skipped, 0) AS skipped, COALESCE(total_errors, 0) AS total_errors, COALESCE(first_errors, '') AS first_errors,
+       COALESCE(added, 0) AS added, COALESCE(parsed, 0) - COALESCE(added, 0) AS duplicates, COALESCE(by_rule, 0) AS by_rule
+FROM (SELECT DISTINCT file FROM v_raw) f LEFT JOIN p USING (file) LEFT JOIN a USING (file) LEFT JOIN e USING (file)""")
+def q_import_job(spark, sf):
+    """The report of an import from files to categorised rows."""
+    rep = _import(spark, sf).report
+    return rep.select(export_name().alias("export"), "parsed", "skipped", "total_errors", F.array_join("first_errors", "; ").alias("first_errors"),
+                      "added", "duplicates", F.col("rule").alias("by_rule"))
+
+
 @register("src_sample_rows", """
 SELECT file AS export, sample_no, raw_date, raw_amount, COALESCE(raw_merchant, '') AS raw_merchant, raw_description FROM (
   SELECT *, row_number() OVER (PARTITION BY file ORDER BY line) AS sample_no FROM v_raw)
