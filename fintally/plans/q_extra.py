@@ -346,7 +346,7 @@ FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
 def q_sink_append_log(spark, sf):
     from fintally.operators import similarity as SI
     led = V.ledger(spark, sf)
-    nn = written(q_similarity._loo_stored(spark, sf), "neighbours")
+    nn = q_similarity._loo_stored(spark, sf)
     res = SI.auto_categorize(nn, V.vectors(spark, sf), V.categories(spark))
     _, _, log = SI.auto_categorize_apply(res, nn, led, V.categories(spark))
     path = scratch_dir(spark, "log")

@@ -58,7 +58,7 @@ def _ranked(neighbours):
 def _store(spark, sf) -> str:
     """A new vector store of the table's vectors."""
     path = scratch_dir(spark, "vector-store")
-    VS.create_store(V.vectors(spark, sf), path, cell_rows=64)
+    VS.create_store(V.vectors(spark, sf), path, cell_rows=128)
     return path
 
 
@@ -76,7 +76,8 @@ def _shared_store(spark, sf) -> str:
 def _loo_stored(spark, sf, k=_K):
     """The nearest neighbours of every vector but itself, from the cells of a store that can hold them."""
     q = V.vectors(spark, sf).select(F.col("transaction_id").alias("query_id"), "vector")
-    return VS.search_store(spark, _shared_store(spark, sf), q, k, probes=2, exact=True, exclude_self=True)
+    found = VS.search_store(spark, _shared_store(spark, sf), q, k, probes=2, exact=True, exclude_self=True)
+    return written(found, "neighbours")  # votes and totals read it several times
 
 
 def _approx(spark, sf):
@@ -147,7 +148,7 @@ SELECT j.qid AS transaction_id, j.cid AS category_id, j.top_votes / j.n_similar
 FROM j JOIN ids ON j.qid = ids.qid WHERE j.auto""")
 def q_auto_categorize_apply(spark, sf):
     led = V.ledger(spark, sf)
-    nn = written(_loo_stored(spark, sf), "neighbours")
+    nn = _loo_stored(spark, sf)
     res = SI.auto_categorize(nn, V.vectors(spark, sf), V.categories(spark))
     _, vec, log = SI.auto_categorize_apply(res, nn, led, V.categories(spark))
     return log.select("transaction_id", "category_id", "confidence",
