@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fintally.schema import MONEY
+from fintally.schema import ACCOUNT_TYPES, MONEY, RULE_TYPES
 
 DEDUPE_KEYS = ("date", "amount", "merchant")
 
@@ -171,6 +171,26 @@ def validate_refs(rows: DataFrame, checks: dict) -> DataFrame:
     return rows.withColumn("errors", errs).withColumn("valid", F.size("errors") == 0)
 
 
+def validate_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
+    """Rules with ``errors``: a type that is not known, a category that does not exist, an amount range whose pattern
+    is not two numbers. A missing value is an error too."""
+    cats = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("_cat"))
+    parts = F.split(F.lower("pattern"), ",")
+    number = lambda i: F.get(parts, F.lit(i)).try_cast("double")
+    numbers = (F.size(parts) == 2) & number(0).isNotNull() & number(1).isNotNull()
+    checked = validate_refs(rules.join(cats, "category_id", "left"), {
+        "invalid_rule_type": ~F.coalesce(F.col("rule_type").isin(*RULE_TYPES), F.lit(False)),
+        "unknown_category": F.col("_cat").isNull(),
+        "invalid_range": (F.col("rule_type") == "amount_range") & ~F.coalesce(numbers, F.lit(False))})
+    return checked.drop("_cat")
+
+
+def validate_accounts(accounts: DataFrame) -> DataFrame:
+    """Accounts with ``errors``: a type that is not known, a blank name."""
+    return validate_refs(accounts, {"invalid_account_type": ~F.coalesce(F.col("account_type").isin(*ACCOUNT_TYPES), F.lit(False)),
+                                    "blank_name": F.length(F.trim(F.coalesce("name", F.lit("")))) == 0})
+
+
 def validate_unique_names(df: DataFrame, name: str = "name", key: str = "id") -> DataFrame:
     """``df`` with ``errors``: 'missing_name' for a null or blank name, 'duplicate_name' where another
     row has the same name (without regard to case), and ``valid``."""

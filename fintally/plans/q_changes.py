@@ -268,6 +268,24 @@ def q_delete_category_guarded(spark, sf):
     return outcome.select("id", "txn_count", "deleted")
 
 
+@register("validate_rules", """
+SELECT r.id, array_to_string(list_filter([
+         CASE WHEN r.rule_type NOT IN ('merchant_contains', 'merchant_exact', 'description_contains', 'amount_range') THEN 'invalid_rule_type' END,
+         CASE WHEN r.category_id NOT IN (SELECT id FROM v_categories) THEN 'unknown_category' END,
+         CASE WHEN r.rule_type = 'amount_range' AND (len(string_split(r.pattern, ',')) <> 2 OR TRY_CAST(split_part(r.pattern, ',', 1) AS DOUBLE) IS NULL
+              OR TRY_CAST(split_part(r.pattern, ',', 2) AS DOUBLE) IS NULL) THEN 'invalid_range' END], lambda x: x IS NOT NULL), ',') AS errors
+FROM v_part_rules r""")
+def q_validate_rules(spark, sf):
+    return CH.validate_rules(V.part_rules(spark, sf), V.categories(spark)).select("id", F.array_join("errors", ",").alias("errors"))
+
+
+@register("validate_accounts", """
+SELECT id, array_to_string(list_filter([CASE WHEN account_type NOT IN ('checking', 'savings', 'credit', 'investment') THEN 'invalid_account_type' END,
+                                        CASE WHEN trim(name) = '' THEN 'blank_name' END], lambda x: x IS NOT NULL), ',') AS errors FROM v_accounts""")
+def q_validate_accounts(spark, sf):
+    return CH.validate_accounts(V.accounts(spark, sf)).select("id", F.array_join("errors", ",").alias("errors"))
+
+
 @register("validate_refs", """
 SELECT b.id, array_to_string(list_filter([
          CASE WHEN b.frequency NOT IN ('daily', 'weekly', 'biweekly', 'monthly', 'quarterly', 'yearly', 'annually')

@@ -84,3 +84,13 @@ def test_unique_names(spark):
     df = spark.createDataFrame([(1, "Food"), (2, "food "), (3, " "), (4, None), (5, "Rent")], "id long, name string")
     assert {r["id"]: r["errors"] for r in CH.validate_unique_names(df).collect()} == {
         1: ["duplicate_name"], 2: ["duplicate_name"], 3: ["missing_name"], 4: ["missing_name"], 5: []}
+
+
+def test_rules_and_accounts_are_validated(spark):
+    cats = spark.createDataFrame([(1, "a")], "id long, name string")
+    rules = spark.createDataFrame([(1, "amount_range", "1, 2.5", 1), (2, "amount_range", "1;2", 1), (3, "amount_range", None, 1), (4, "regex", "x", 9), (5, None, "x", None), (6, "merchant_exact", "a,b,c", 1), (7, "amount_range", "x,2", 1)],
+                                  "id long, rule_type string, pattern string, category_id long")
+    got = {r["id"]: r["errors"] for r in CH.validate_rules(rules, cats).collect()}
+    assert got == {1: [], 2: ["invalid_range"], 3: ["invalid_range"], 4: ["invalid_rule_type", "unknown_category"], 5: ["invalid_rule_type", "unknown_category"], 6: [], 7: ["invalid_range"]}
+    accounts = spark.createDataFrame([(1, "savings", "x"), (2, "wallet", " "), (3, None, None)], "id long, account_type string, name string")
+    assert {r["id"]: r["errors"] for r in CH.validate_accounts(accounts).collect()} == {1: [], 2: ["invalid_account_type", "blank_name"], 3: ["invalid_account_type", "blank_name"]}
