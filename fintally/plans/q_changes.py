@@ -80,16 +80,15 @@ def q_ledger_dedupe(spark, sf):
 WITH {_FRESH_SQL},
 firsts AS (SELECT date, amount, merchant, arg_min(file, (file, line, description)) AS file,
                   arg_min(line, (file, line, description)) AS line FROM fresh GROUP BY 1, 2, 3)
-SELECT dup_reason, COUNT(*) AS n FROM (
-  SELECT 'existing' AS dup_reason FROM v_batch b WHERE EXISTS (
-     SELECT 1 FROM v_existing e WHERE e.date = b.date AND e.amount = b.amount AND e.merchant = b.merchant)
-  UNION ALL
-  SELECT 'in_batch' FROM fresh f WHERE NOT EXISTS (
-     SELECT 1 FROM firsts x WHERE x.date = f.date AND x.amount = f.amount AND x.merchant = f.merchant
-       AND x.file = f.file AND x.line = f.line)) GROUP BY dup_reason""")
+SELECT 'existing' AS dup_reason, file, line, date, CAST(amount AS DOUBLE) AS amount, merchant FROM v_batch b WHERE EXISTS (
+   SELECT 1 FROM v_existing e WHERE e.date = b.date AND e.amount = b.amount AND e.merchant = b.merchant)
+UNION ALL
+SELECT 'in_batch', file, line, date, CAST(amount AS DOUBLE), merchant FROM fresh f WHERE NOT EXISTS (
+   SELECT 1 FROM firsts x WHERE x.date = f.date AND x.amount = f.amount AND x.merchant = f.merchant
+     AND x.file = f.file AND x.line = f.line)""")
 def q_ledger_dedupe_dups(spark, sf):
     _, dups = CH.ledger_dedupe(V.existing_ledger(spark, sf), V.import_batch(spark, sf))
-    return dups.groupBy("dup_reason").agg(F.count(F.lit(1)).alias("n"))
+    return dups.select("dup_reason", "file", "line", "date", M.out("amount").alias("amount"), "merchant")
 
 
 @register("import_report", f"""
@@ -224,12 +223,10 @@ def q_bulk_categorize_report(spark, sf):
 WITH a AS (SELECT l_orderkey AS id, arg_max(l_partkey % 16 + 1, (l_linenumber, l_partkey % 16 + 1)) AS category_id
            FROM lineitem GROUP BY l_orderkey),
 ok AS (SELECT * FROM a WHERE category_id IN (SELECT id FROM v_categories))
-SELECT category_id, COUNT(*) AS n FROM (
-  SELECT COALESCE(ok.category_id, t.category_id) AS category_id FROM v_ledger t LEFT JOIN ok ON t.id = ok.id)
-GROUP BY category_id""")
+SELECT t.id, COALESCE(ok.category_id, t.category_id) AS category_id, t.merchant FROM v_ledger t LEFT JOIN ok ON t.id = ok.id""")
 def q_bulk_categorize(spark, sf):
     out, _ = CH.bulk_categorize(V.ledger(spark, sf), _assignments(spark, sf), V.categories(spark))
-    return out.groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
+    return out.select("id", "category_id", "merchant")
 
 
 @register("soft_delete", """

@@ -162,11 +162,9 @@ def q_anomaly_report(spark, sf):
 
 
 @register("anomaly_mark", f"""
-SELECT COUNT(*) FILTER (WHERE is_anomaly OR id IN (SELECT i.id FROM ({_IQR_SQL}) i UNION SELECT n.id FROM ({_NEWM_SQL}) n))
-         AS anomalies,
-       COUNT(*) AS total
-FROM v_ledger""")
+WITH found AS (SELECT i.id FROM ({_IQR_SQL}) i UNION SELECT n.id FROM ({_NEWM_SQL}) n)
+SELECT t.id, t.is_anomaly OR t.id IN (SELECT id FROM found) AS is_anomaly FROM v_ledger t""")
 def q_anomaly_mark(spark, sf):
     led = V.ledger(spark, sf)
     marked = AN.mark_anomalies(led, AN.anomaly_report(led))
-    return marked.agg(F.count_if("is_anomaly").alias("anomalies"), F.count(F.lit(1)).alias("total"))
+    return marked.select("id", "is_anomaly")
