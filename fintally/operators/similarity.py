@@ -372,18 +372,22 @@ def text_matches(queries: DataFrame, txns: DataFrame, query_id: str = "query_id"
 
 def hybrid_search(queries: DataFrame, txns: DataFrame, vectors: DataFrame, k: int = TOP_K_SIMILAR,
                   query_id: str = "query_id", text: str = "text", vector: str = "vector",
-                  query_blocks: int | None = None, base_blocks: int | None = None, neighbours: DataFrame | None = None) -> DataFrame:
+                  query_blocks: int | None = None, base_blocks: int | None = None, neighbours: DataFrame | None = None,
+                  matches: DataFrame | None = None) -> DataFrame:
     """Per query: up to k text hits (score 1.0, newest first), then the nearest vectors not
     already returned (score exp(-distance)), k results in total when enough exist.
 
     Vectors without a ledger row are left out before the search, so stale ones take no place. Vector
     hits are the 2k nearest neighbours minus the text hits (at most k are removed, so k remain).
     ``neighbours`` (query_id, rank, neighbor_id, distance, 2k per query, of transactions in the ledger) may come from
-    a stored vector table; ``vectors`` is not searched then.
+    a stored vector table; ``vectors`` is not searched then. ``matches`` (query_id, id) may come from a stored gram
+    table; otherwise ``text_matches`` indexes the ledger's strings for this call.
     """
     if neighbours is None:
         neighbours = _live_neighbours(queries, txns, vectors, k, query_id, vector, query_blocks, base_blocks)
-    return _hybrid(queries, txns, neighbours, k, query_id, text)
+    if matches is None:
+        matches = text_matches(queries, txns, query_id, text)
+    return _hybrid(txns, neighbours, matches, k, query_id)
 
 
 def _live_neighbours(queries, txns, vectors, k, query_id, vector, query_blocks, base_blocks) -> DataFrame:
@@ -392,8 +396,8 @@ def _live_neighbours(queries, txns, vectors, k, query_id, vector, query_blocks,
                      query_blocks=query_blocks, base_blocks=base_blocks)
 
 
-def _hybrid(queries: DataFrame, txns: DataFrame, nn: DataFrame, k: int, query_id: str, text: str) -> DataFrame:
-    th = text_matches(queries, txns, query_id, text).join(txns.select("id", "date"), "id")
+def _hybrid(txns: DataFrame, nn: DataFrame, matches: DataFrame, k: int, query_id: str) -> DataFrame:
+    th = matches.join(txns.select("id", "date"), "id")
     wt = Window.partitionBy(query_id).orderBy(F.desc("date"), F.asc("id"))
     text_hits = (th.withColumn("pos", F.row_number().over(wt)).filter(F.col("pos") <= k)
                  .select(query_id, "id", F.lit(0).alias("tier"), "pos", F.lit(1.0).alias("score")))

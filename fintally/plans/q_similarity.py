@@ -4,9 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fintally.operators import similarity as SI
+from fintally.operators import text_store as TS
 from fintally.operators import vector_store as VS
 from fintally.plans import views as V
-from fintally.plans.registry import register
+from fintally.plans.registry import ORACLE_BODY, register
 from fintally.session import scratch_dir, written
 
 _K = 5
@@ -201,6 +202,22 @@ def q_vector_store_search(spark, sf):
     return _ranked(VS.search_store(spark, path, q, _K, probes=2, exact=True))
 
 
+_TEXTS = ["merchant", "description"]
+_TEXT_STORES: dict[tuple[str, str], str] = {}
+
+
+def _shared_texts(spark, sf) -> str:
+    """The ledger's strings in two batches, for all searches of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TEXT_STORES:
+        led, path = V.ledger(spark, sf), scratch_dir(spark, "text-store")
+        early = F.col("date") < F.lit("1996-01-01").cast("date")
+        TS.add_batch(led.where(early), _TEXTS, path, "early")
+        TS.add_batch(led.where(~early), _TEXTS, path, "late")
+        _TEXT_STORES[key] = path
+    return _TEXT_STORES[key]
+
+
 def _hybrid_queries(spark, sf):
     led = V.ledger(spark, sf).select("id", "merchant")
     e = V.table(spark, sf, "embeddings")
@@ -228,7 +245,8 @@ SELECT vh.qid, vh.id, 1, vh.pos, round(exp(-vh.dist), 9) FROM vh LEFT JOIN nt ON
 def q_hybrid_search(spark, sf):
     q, led = _hybrid_queries(spark, sf), V.ledger(spark, sf)
     near = VS.search_store(spark, _shared_store(spark, sf), q, 2 * _HYBRID_K, probes=2, exact=True, live=led.select(F.col("id").alias("transaction_id")))
-    h = SI.hybrid_search(q, led, None, _HYBRID_K, neighbours=near)
+    matches = TS.search_rows(spark, _shared_texts(spark, sf), q, led, _TEXTS)
+    h = SI.hybrid_search(q, led, None, _HYBRID_K, neighbours=near, matches=matches)
     return h.select("query_id", "id", "tier", F.col("pos").cast("long").alias("pos"), F.round("score", 9).alias("score"))
 
 
@@ -238,3 +256,33 @@ SELECT DISTINCT q.qid AS query_id, t.id FROM q JOIN v_ledger t
   ON contains(lower(t.merchant), q.needle) OR contains(lower(coalesce(t.description, '')), q.needle)""")
 def q_text_matches(spark, sf):
     return SI.text_matches(_hybrid_queries(spark, sf), V.ledger(spark, sf))
+
+
+_PATTERNS = """
+p AS (SELECT p_partkey AS query_id, CASE p_partkey % 6
+        WHEN 0 THEN concat('%', substr(p_name, 1, 1), '_', substr(p_name, 3, 1), '%')
+        WHEN 1 THEN substr(p_name, 1, 1)
+        WHEN 2 THEN concat('%', CAST(p_partkey AS VARCHAR), '_')
+        WHEN 3 THEN concat('customer%', CAST(p_partkey AS VARCHAR), '%')
+        WHEN 4 THEN concat('%-', CAST(p_partkey % 100 AS VARCHAR), '__')
+        ELSE concat('_', substr('\\%', 1 + p_partkey % 2, 1), '%', CAST(p_partkey AS VARCHAR)) END AS pattern FROM part)"""
+
+
+@register("text_store_like", f"""
+WITH {_PATTERNS}, s AS (SELECT id, lower(merchant) AS s FROM v_ledger UNION SELECT id, lower(description) FROM v_ledger)
+SELECT DISTINCT query_id, id FROM p JOIN s ON s.s LIKE lower(p.pattern)""")
+def q_text_store_like(spark, sf):
+    """A wildcard pattern for every part, over the stored strings of the ledger."""
+    key, name = F.col("p_partkey"), F.col("p_name")
+    number = key.cast("string")
+    made = F.array(F.concat(F.lit("%"), F.substring(name, 1, 1), F.lit("_"), F.substring(name, 3, 1), F.lit("%")), F.substring(name, 1, 1),
+                   F.concat(F.lit("%"), number, F.lit("_")), F.concat(F.lit("customer%"), number, F.lit("%")),
+                   F.concat(F.lit("%-"), (key % 100).cast("string"), F.lit("__")),
+                   F.concat(F.lit("_"), F.when(key % 2 == 0, F.lit("\\")).otherwise(F.lit("%")), F.lit("%"), number))
+    patterns = V.table(spark, sf, "part").select(key.alias("query_id"), made[(key % 6).cast("int")].alias("text"))
+    return TS.search_rows(spark, _shared_texts(spark, sf), patterns, V.ledger(spark, sf), _TEXTS, wild=True)
+
+
+@register("text_store_matches", ORACLE_BODY["text_matches"])
+def q_text_store_matches(spark, sf):
+    return TS.search_rows(spark, _shared_texts(spark, sf), _hybrid_queries(spark, sf), V.ledger(spark, sf), _TEXTS)
