@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+from fintally.llm.license_texts import GRANTS, MENTIONS, TEXTS
+
 WORD = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]"
 G = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 START, END = f"(?<!{WORD})", f"(?!{WORD})"
 
 #: Confidence and priority by kind of evidence: an identifier outweighs a title, a title a mention.
-KINDS = {"spdx": (1.0, 5), "url": (0.95, 4), "grant": (0.9, 3), "title": (0.8, 2), "notice": (0.6, 1), "base": (0.5, 0)}
+KINDS = {"spdx": (1.0, 5), "url": (0.95, 4), "text": (0.95, 4), "grant": (0.9, 3), "title": (0.8, 2), "mention": (0.7, 2), "notice": (0.6, 1), "base": (0.5, 0)}
 
 
 class Rule(NamedTuple):
@@ -29,7 +31,7 @@ BASE = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserve
 #: label: (SPDX identifiers, names as regexes with their keyword, addresses). Order is rank: of two
 #: rules of one kind that match the same place, the earlier wins.
 FAMILIES: list[tuple[str, list[str], list[tuple[str, str]], list[str]]] = [
-    ("apache-2.0", ["apache-2.0"], [("apache", r"apache(?: software)?(?: license| licence)?,?(?: version| v\.?)? ?2(?:\.0)?"), ("asl", r"asl[ -]?2\.0")], ["apache.org/licenses/license-2.0"]),
+    ("apache-2.0", ["apache-2.0"], [("apache", r"apache(?: software)? licen[cs]e,?(?: version| v\.?)? ?2(?:\.0)?"), ("apache", r"apache[ -]2(?:\.0)? licen[cs]e"), ("asl", r"asl[ -]?2\.0")], ["apache.org/licenses/license-2.0"]),
     ("apache-1.1", ["apache-1.1"], [("apache", r"apache(?: software)? license,?(?: version| v\.?)? ?1\.1")], ["apache.org/licenses/license-1.1"]),
     ("apache-1.0", ["apache-1.0"], [("apache", r"apache(?: software)? license,?(?: version| v\.?)? ?1\.0")], ["apache.org/licenses/license-1.0"]),
     ("mit", ["mit"], [("mit", r"mit licen[cs]e"), ("mit", r"mit[ /-]x11 licen[cs]e"), ("expat", r"expat licen[cs]e")], ["opensource.org/licenses/mit", "opensource.org/license/mit"]),
@@ -131,6 +133,11 @@ def gaps(pattern: str) -> str:
     return pattern.replace(" ", r"\s+").replace(r"\s+?", r"\s*")
 
 
+def phrase(pattern: str) -> str:
+    """Each space of a pattern may be whatever separates two words."""
+    return pattern.replace(" ?", f"(?:{G})?").replace(" ", G)
+
+
 def rules() -> list[Rule]:
     """All rules in rank order; a few hundred."""
     out: list[Rule] = []
@@ -150,6 +157,9 @@ def rules() -> list[Rule]:
             out.append(Rule(label, "title", version, rf"cc[\s-]{short}[\s-]?v?{v}"))
             out.append(Rule(label, "title", "creative commons", gaps(rf"creative commons {words},? {v}")))
             out.append(Rule(label, "title", "creative commons", gaps(rf"creative commons {words},? {v}(?: international| unported| generic)? licen[cs]e")))
+    out += [Rule(label, "text", key, phrase(p)) for label, key, p in TEXTS]
+    out += [Rule(label, "grant", key, gaps(licensed) + rf"(?:an? )?{phrase(p)}") for label, key, p in GRANTS]
+    out += [Rule(label, "mention", key, phrase(p)) for label, key, p in MENTIONS]
     out += [Rule(label, "notice", key, gaps(p)) for label, key, p in NOTICES]
     return [Rule(r.label, r.kind, r.keyword, f"{START}(?:{r.regex}){END}") for r in out]
 

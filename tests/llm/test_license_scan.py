@@ -49,6 +49,18 @@ def test_hundreds_of_rules_and_linear_suppression():
     assert len(S.resolve(many)) == 1 + sum(1 for i in range(30_000) if i + 3 > 10_000)
 
 
+def test_names_without_license_and_texts():
+    for text, want in {
+        "Apache 2 is nice weather": "", "Apache helicopters, 2 of them": "", "licensed under the MIT License and Apache-2.0": "apache-2.0,mit",
+        "BSD-3-Clause": "bsd-3-clause", "LGPL": "lgpl", "released under MIT": "mit", "released under the MIT license": "mit", "licensed under Apache 2": "apache-2.0",
+        "Apache 2.0": "apache-2.0", "Apache 2 License": "apache-2.0", "released under mitigating conditions": "", "GPLv2+ or LGPL-2.1": "gpl-2.0,lgpl-2.1", "dual MIT-0": "mit-0",
+        "use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n * copies of the Software": "mit",
+        "# Redistributions in binary form must reproduce the\n# above copyright notice": "bsd", "The origin of this software must not be misrepresented;": "zlib",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.": "mpl-2.0", "under the same terms as Perl itself": "perl",
+    }.items():
+        assert S.digest(text, S.scanner())[5] == want, text
+
+
 def variants(regex):
     """Matches of a regex: every choice of it (an optional part, a branch, a character of a class) taken in
     turn, the others at their first, then at their last."""
@@ -58,7 +70,7 @@ def variants(regex):
             name = str(op)
             if name == "LITERAL":
                 out += chr(arg)
-            elif name == "NOT_LITERAL":
+            elif name in ("NOT_LITERAL", "ANY"):
                 out += "x"
             elif name == "IN":
                 if str(arg[0][0]) == "NEGATE":
