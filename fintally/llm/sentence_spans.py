@@ -3,7 +3,8 @@
 Every run of several consecutive sentences is hashed; runs are joined on the hash over all documents;
 sentences that any repeated run but the first covers are removed. A run starts at every sentence and is
 the shortest one with at least ``min_sentences`` sentences and ``min_words`` words, so runs of very
-short sentences don't meet by chance and passages of any longer length are covered by their runs.
+short sentences don't meet by chance and passages of any longer length are covered by their runs. The hash has
+96 bits: of 10^13 different runs (100 TB of text) less than one pair is expected to share it.
 
 Long sentences are cut further, at words that only the few words around them choose, so that the copies
 of a passage are cut alike whatever stands before and behind them. The parts count as sentences.
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ UNSPACED = re.compile("[\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf9
 #: A sentence of more than LONG words is cut at the words of smallest hash of any WINDOW words.
 LONG, WINDOW = 12, 8
 SPACED, WHITE, MARK, ALONE = range(4)
+#: A run's hash: the first 96 bits of 128, as a long and an int.
+HASH = struct.Struct("<qi")
 
 
 @functools.cache
@@ -94,8 +98,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return cut_long(text, out) if out else out
 
 
-def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, hash) of the run that starts at each sentence, where there is one."""
+def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(first sentence, sentences, hash in 64 and 32 bits) of the run that starts at each sentence, where there
+    is one."""
     words = [text[a:b].split() for a, b in sentences(text)]
     plain = [" ".join(w) for w in words]
     sizes = [len(w) for w in words]
@@ -109,16 +114,14 @@ def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int,
             end += 1
         if end - i < min_sentences or held < min_words:
             break
-        h = xxhash.xxh3_64_intdigest("\n".join(plain[i:end]))
-        out.append((i, end - i, h - (1 << 64) if h >> 63 else h))
+        out.append((i, end - i, *HASH.unpack(xxhash.xxh3_128_digest("\n".join(plain[i:end]))[:12])))
         held -= sizes[i]
     return out
 
 
 def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """h, doc_id, place for every run; place holds the text's mark (high half), the first sentence and
-    the number of sentences (low half)."""
-    out = T.StructType([T.StructField("h", T.LongType()), common.field(docs, "doc_id"), T.StructField("mark", T.LongType()),
+    """h, g (the hash), doc_id, mark, first sentence and number of sentences of every run."""
+    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), common.field(docs, "doc_id"), T.StructField("mark", T.LongType()),
                         T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -129,9 +132,9 @@ def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
             owner += [i] * len(mine)
         if not found:
             return None
-        first, n, h = zip(*found)
+        first, n, h, g = zip(*found)
         at = pa.array(owner, pa.int32())
-        return pa.record_batch([pa.array(h, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(n, pa.int32())], out.names)
+        return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(n, pa.int32())], out.names)
 
     return common.map_arrow(docs.select("doc_id", "mark", "text"), emit, out)
 
@@ -141,9 +144,9 @@ def repeated_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFr
     The first of equal runs is the one with the smallest doc_id, mark and place."""
     rows = common.written(run_rows(docs, min_sentences, min_words), "places")  # read twice, cut once
     place = F.struct("doc_id", "mark", "first")
-    first = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "origin")
+    first = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "g", "origin")
     first = common.written(first, "runs")  # as a table, so that the join can split the rows of a frequent run
-    later = rows.join(first, "h").where(~place.eqNullSafe(F.col("origin")))
+    later = rows.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("origin")))
     return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 
@@ -168,6 +171,15 @@ def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
     return "".join(parts), int(gone.sum())
 
 
+def marked(src: DataFrame) -> DataFrame:
+    """doc_id, mark, text: the mark tells the different texts of one doc_id apart; a doc_id with a single text has 0, which
+    takes no room in the runs."""
+    marks = src.groupBy("doc_id").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b")
+    several = common.written(marks.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__several")), "several")  # its size is known before the join
+    joined = src.join(several, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return joined.select("doc_id", F.when(F.col("__several"), F.col("mark")).otherwise(F.lit(0).cast("long")).alias("mark"), "text")
+
+
 def remove_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                           min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_removed (sentences), kept_text for each row.
@@ -175,7 +187,7 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "do
     Null text is empty, and nothing of it is removed. Rows alike in doc_id and text count as one
     document and get the same result; of equal runs the one of the smallest doc_id (null first), then
     the earliest, stays. Other columns are not read; an empty table gives no rows."""
-    src = docs.select(F.col(doc_id).alias("doc_id"), common.text_mark(text).alias("mark"), common.whole_text(text).alias("text"))
+    src = marked(docs.select(F.col(doc_id).alias("doc_id"), common.text_mark(text).alias("mark"), common.whole_text(text).alias("text")))
     found = repeated_runs(src, min_sentences, min_words).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), "spans")
     joined = src.join(found, (F.col("mark") == F.col("__mark")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "spans")
     out = T.StructType([common.field(src, "doc_id"), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
