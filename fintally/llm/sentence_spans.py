@@ -4,7 +4,8 @@ Every run of several consecutive sentences is hashed; runs are joined on the has
 sentences that any repeated run but the first covers are removed. A run starts at every sentence and is
 the shortest one with at least ``min_sentences`` sentences and ``min_words`` words, so runs of very
 short sentences don't meet by chance and passages of any longer length are covered by their runs. The hash has
-96 bits: of 10^13 different runs (100 TB of text) less than one pair is expected to share it.
+88 bits, and equal runs have equal numbers of sentences: of 10^13 different runs (100 TB of text) one pair that shares
+both is not expected.
 
 Long sentences are cut further, at words that only the few words around them choose, so that the copies
 of a passage are cut alike whatever stands before and behind them. The parts count as sentences.
@@ -38,8 +39,9 @@ UNSPACED = re.compile("[\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf9
 #: A sentence of more than LONG words is cut at the words of smallest hash of any WINDOW words.
 LONG, WINDOW = 12, 8
 SPACED, WHITE, MARK, ALONE = range(4)
-#: A run's hash: the first 96 bits of 128, as a long and an int.
-HASH = struct.Struct("<qi")
+#: A run's hash: the first 88 bits of 128, 64 of them as ``h``; the others are the low bits of ``g``, below the run's
+#: number of sentences. Both columns travel through two exchanges, so they are as narrow as the size of a corpus allows.
+HASH, LOW_BITS = struct.Struct("<qI"), 24
 
 
 @functools.cache
@@ -98,9 +100,8 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return cut_long(text, out) if out else out
 
 
-def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(first sentence, sentences, hash in 64 and 32 bits) of the run that starts at each sentence, where there
-    is one."""
+def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
+    """(first sentence, h, g) of the run that starts at each sentence, where there is one."""
     words = [text[a:b].split() for a, b in sentences(text)]
     plain = [" ".join(w) for w in words]
     sizes = [len(w) for w in words]
@@ -114,15 +115,16 @@ def runs(text: str, min_sentences: int, min_words: int) -> list[tuple[int, int,
             end += 1
         if end - i < min_sentences or held < min_words:
             break
-        out.append((i, end - i, *HASH.unpack(xxhash.xxh3_128_digest("\n".join(plain[i:end]))[:12])))
+        h, low = HASH.unpack_from(xxhash.xxh3_128_digest("\n".join(plain[i:end])))
+        out.append((i, h, (end - i) << LOW_BITS | low & (1 << LOW_BITS) - 1))
         held -= sizes[i]
     return out
 
 
 def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """h, g (the hash), doc_id, mark, first sentence and number of sentences of every run."""
-    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.IntegerType()), common.field(docs, "doc_id"), T.StructField("mark", T.LongType()),
-                        T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    """h, g (hash and number of sentences), doc_id, mark and first sentence of every run."""
+    out = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), common.field(docs, "doc_id"), T.StructField("mark", T.LongType()),
+                        T.StructField("first", T.IntegerType())])
 
     def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, owner = [], []
@@ -132,9 +134,9 @@ def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
             owner += [i] * len(mine)
         if not found:
             return None
-        first, n, h, g = zip(*found)
+        first, h, g = zip(*found)
         at = pa.array(owner, pa.int32())
-        return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int32()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32()), pa.array(n, pa.int32())], out.names)
+        return pa.record_batch([pa.array(h, pa.int64()), pa.array(g, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(first, pa.int32())], out.names)
 
     return common.map_arrow(docs.select("doc_id", "mark", "text"), emit, out)
 
@@ -147,7 +149,7 @@ def repeated_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFr
     first = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "g", "origin")
     first = common.written(first, "runs")  # as a table, so that the join can split the rows of a frequent run
     later = rows.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("origin")))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", F.shiftright("g", LOW_BITS).cast("int").alias("n"))).alias("spans"))
 
 
 def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
