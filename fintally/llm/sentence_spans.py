@@ -142,14 +142,14 @@ def run_rows(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
-    """doc_id, mark, spans (first sentence, sentences): the runs of each document that stood earlier.
+    """doc_id, mark, spans (first sentence << 32 | sentences): the runs of each document that stood earlier.
     The first of equal runs is the one with the smallest doc_id, mark and place."""
     rows = common.written(run_rows(docs, min_sentences, min_words), "places")  # read twice, cut once
     place = F.struct("doc_id", "mark", "first")
     first = rows.groupBy("h", "g").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1").select("h", "g", "origin")
     first = common.written(first, "runs")  # as a table, so that the join can split the rows of a frequent run
     later = rows.join(first, ["h", "g"]).where(~place.eqNullSafe(F.col("origin")))
-    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("first", F.shiftright("g", LOW_BITS).cast("int").alias("n"))).alias("spans"))
+    return later.groupBy("doc_id", "mark").agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.shiftright("g", LOW_BITS))).alias("spans"))
 
 
 def kept_text(text: str, spans: list[tuple[int, int]]) -> tuple[str, int]:
@@ -195,7 +195,7 @@ def remove_repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "do
     out = T.StructType([common.field(src, "doc_id"), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [kept_text(t, [(s["first"], s["n"]) for s in spans or ()]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        rows = [kept_text(t, [(s >> 32, s & 0xFFFFFFFF) for s in spans or ()]) for t, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         kept, removed = zip(*rows)
         return pa.record_batch([batch.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], out.names)
 
