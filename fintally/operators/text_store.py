@@ -3,13 +3,14 @@
 A store is a folder with three tables, each with a folder a batch:
 
 * ``strings`` (h, s, len): the distinct lower-cased strings, each in the batch that first held it;
-* ``grams`` (g, h, at), below that a folder a hash bucket of g: every place of every run of one to three characters;
+* ``grams`` (g, h, at), below that a folder a hash bucket of g: every place of every run of ``SIZES`` characters;
 * ``freq`` (g, n): how often the batch's new strings hold a gram.
 
-Grams are cut when a batch is added, never by a search. A pattern is cut at its ``%`` into sections; of each
-section the rarest grams without a ``_`` (at most ``PROBES``, of the longest size it has) are looked up, and they must
+Grams are cut when a batch is added, never by a search. A pattern is cut at its ``%`` into sections; of the
+section with the rarest gram the rarest grams without a ``_`` (at most ``PROBES``) are looked up, and they must
 stand at their own distance in the string. That gives all strings that can match, and a few more; the pattern itself
-then decides. A search reads the folders of its grams' buckets. A pattern without any character to look up asks for a
+then decides. Sizes go up by steps, so that a long text has a gram that few of many strings hold; a section that most
+strings hold is not looked up beside a rarer one. A search reads the folders of its grams' buckets. A pattern without any character to look up asks for a
 length only, and meets the strings of the lengths it allows. The driver holds bucket numbers and at most
 ``LISTED`` grams, never strings.
 """
@@ -22,7 +23,9 @@ from fintally.session import written
 
 #: Folders of ``grams`` in a batch.
 BUCKETS = 64
-#: Grams looked up for a section of a pattern.
+#: Characters of a gram.
+SIZES = (1, 2, 3, 5, 8, 16)
+#: Grams looked up for a pattern.
 PROBES = 2
 #: Up to this many grams are named in the scan's filter; beyond it their buckets alone are.
 LISTED = 1000
@@ -41,11 +44,11 @@ def _bucket() -> Column:
 
 
 def _placed_grams(s: Column) -> Column:
-    """(at, g) of every run of one to three characters; places count from 1."""
+    """(at, g) of every run of ``SIZES`` characters; places count from 1."""
     def of(n: int) -> Column:
         runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.struct(i.alias("at"), F.substring(s, i, n).alias("g")))
         return F.filter(runs, lambda x: F.length(x["g"]) == n)
-    return F.concat(of(1), of(2), of(3))
+    return F.concat(*[of(n) for n in SIZES])
 
 
 def _strings(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,32 +77,30 @@ def _has(spark: SparkSession, path: str) -> bool:
 
 
 def _probes(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
-    """(pattern, wild, section, at, g, bucket, probes, sections): the grams to look up, ``probes`` of them in
-    the section; ``sections`` counts the pattern's sections that have some."""
+    """(pattern, wild, at, g, bucket, probes): the grams to look up, ``probes`` of them, all of one section."""
     cut = asked.select("pattern", "wild", F.posexplode(F.when(F.col("wild"), F.split("pattern", "%")).otherwise(F.array("pattern"))).alias("section", "part"))
     grams = cut.select("pattern", "wild", "section", F.explode(_placed_grams(F.col("part"))).alias("x")).select("pattern", "wild", "section", "x.at", "x.g")
     grams = grams.where(~(F.col("wild") & F.contains("g", F.lit("_"))))
-    key = Window.partitionBy("pattern", "wild", "section")
-    grams = grams.withColumn("size", F.length("g")).withColumn("most", F.max("size").over(key)).where("size = most")
     freq = _table(spark, path, "freq").groupBy("g").agg(F.sum("n").alias("n"))
-    ranked = grams.join(freq, "g", "left").withColumn("rank", F.row_number().over(key.orderBy(F.coalesce("n", F.lit(0)), "at"))).where(F.col("rank") <= PROBES)
     whole = Window.partitionBy("pattern", "wild")
-    return ranked.select("pattern", "wild", "section", "at", "g", _bucket().alias("bucket"), F.count(F.lit(1)).over(key).alias("probes"),
-                         F.size(F.collect_set("section").over(whole)).alias("sections"))
+    order = whole.orderBy(F.coalesce("n", F.lit(0)), F.length("g"), "section", "at")
+    ranked = grams.join(freq, "g", "left").withColumn("least", F.first("section").over(order)).where("section = least")
+    ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROBES)
+    return ranked.select("pattern", "wild", "at", "g", _bucket().alias("bucket"), F.count(F.lit(1)).over(whole).alias("probes"))
 
 
 def _candidates(spark: SparkSession, path: str, probes: DataFrame) -> DataFrame:
-    """(pattern, wild, h): strings that hold, for every section, its grams at their distance."""
+    """(pattern, wild, h): strings that hold the grams at their distance."""
     grams = [r["g"] for r in probes.select("g").distinct().limit(LISTED + 1).collect()]
     buckets = sorted(r["bucket"] for r in probes.select("bucket").distinct().collect())
     postings = _table(spark, path, "grams").where(F.col("bucket").isin(buckets))
     if len(grams) <= LISTED:
         postings = postings.where(F.col("g").isin(grams))
     hits = postings.select("g", "h", F.col("at").alias("place")).join(probes.drop("bucket"), "g")
-    found = hits.select("pattern", "wild", "h", "section", (F.col("place") - F.col("at")).alias("start"), "probes", "sections")
+    found = hits.select("pattern", "wild", "h", (F.col("place") - F.col("at")).alias("start"), "probes")
     found = found.repartition("pattern", "wild", "h")  # both groupings below use this one exchange
-    stands = found.groupBy("pattern", "wild", "h", "section", "start", "probes", "sections").agg(F.count(F.lit(1)).alias("n")).where("n >= probes")
-    return stands.groupBy("pattern", "wild", "h", "sections").agg(F.countDistinct("section").alias("n")).where("n = sections").select("pattern", "wild", "h")
+    stands = found.groupBy("pattern", "wild", "h", "start", "probes").agg(F.count(F.lit(1)).alias("n")).where("n >= probes")
+    return stands.select("pattern", "wild", "h").distinct()
 
 
 def search_strings(spark: SparkSession, path: str, patterns: DataFrame) -> DataFrame:

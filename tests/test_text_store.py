@@ -104,3 +104,18 @@ def test_empty_store_and_queries(spark, tmpdir_path):
     assert TS.search_rows(spark, tmpdir_path, _asked(spark, ["a", "%"]), _rows(spark, []), ["merchant"], wild=True).count() == 0
     TS.add_batch(_rows(spark, [("a", None)]), ["merchant"], tmpdir_path, "some")
     assert TS.search_rows(spark, tmpdir_path, _asked(spark, []), _rows(spark, [("a", None)]), ["merchant"]).count() == 0
+
+
+def test_a_long_text_is_looked_up_by_a_gram_that_few_strings_hold(spark, tmpdir_path):
+    rows = _rows(spark, [(f"Customer#{i * 7919:09d}", "1-urgent") for i in range(1, 2000)])
+    TS.add_batch(rows, ["merchant", "description"], tmpdir_path, "one")
+    asked = spark.createDataFrame([("customer#000791900", False), ("customer%7919%", True), ("%7919_", True)], "pattern string, wild boolean")
+    probes = TS._probes(spark, tmpdir_path, asked)
+    freq = TS._table(spark, tmpdir_path, "freq").select("g", "n")
+    least = {r["pattern"]: r["n"] for r in probes.join(freq, "g").groupBy("pattern").agg(F.min("n").alias("n")).collect()}
+    assert least["customer#000791900"] == 1
+    # the section that all strings hold is not looked up beside the rare one
+    assert all(set(r["g"]) <= set("7919") for r in probes.where("wild").collect())
+    assert TS._candidates(spark, tmpdir_path, probes.where("pattern = 'customer%7919%'")).count() < 100
+    got = TS.search_rows(spark, tmpdir_path, _asked(spark, ["customer%7919%"]), rows, ["merchant", "description"], wild=True)
+    assert _found(got) == {(0, i - 1) for i in range(1, 2000) if "7919" in f"{i * 7919:09d}"}
