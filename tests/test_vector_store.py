@@ -123,3 +123,17 @@ def test_search_cells_blocks_by_cell(spark):
     base = spark.createDataFrame([(i, [float(i)], i % 2) for i in range(40)], "bid long, bv array<float>, cell int")
     got = {(r["qid"], r["bid"]) for r in SI.search_cells(asked, base, {0: 20, 1: 20}, {0: 30, 1: 10}, 100, False, 6).collect()}
     assert got == {(q, b) for q in range(30) for b in range(40) if b % 2 == 0 or q % 3 == 0}
+
+
+def test_exact_search_sends_a_query_once_to_a_pack_of_cells(spark, tmpdir_path, monkeypatch):
+    rng = np.random.default_rng(8)  # without groups most cells can hold neighbours
+    vectors = {i: rng.normal(size=16).astype(np.float32).tolist() for i in range(800)}
+    VS.create_store(_frame(spark, vectors), tmpdir_path, cell_rows=20)
+    sent = []
+    inner = SI.search_cells
+    monkeypatch.setattr(SI, "search_cells", lambda asked, *a: sent.append(asked.select(F.sum(F.size("cells"))).first()[0]) or inner(asked, *a))
+    ids = list(range(0, 800, 40))
+    got = _found(VS.search_store(spark, tmpdir_path, _queries(spark, vectors, ids), 5, probes=2, exact=True))
+    assert got == {i: _nearest(vectors, vectors[i], 5) for i in ids}
+    assert sum(sent) <= len(ids)  # all cells fit one pack
+    assert VS.packed(np.array([3, 0, 4, 9, 1, 1]), 8).tolist() == [0, 0, 0, 1, 2, 2]
