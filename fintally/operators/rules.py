@@ -5,19 +5,26 @@ description_contains, and amount_range "min,max" (inclusive, on |amount|; a patt
 does not split into two numbers never matches). Order: priority desc, created_at asc, id.
 
 Rules are matched by one path whatever their number: blocks of at most ``RULE_BLOCK`` rules, in rank
-order, each broadcast once and matched with an Aho-Corasick automaton per text column and, for amounts,
-a table of elementary intervals with the first rule that holds each. Transactions pass through as Arrow batches; their columns are not converted.
+order, each broadcast once (packed) and matched with an Aho-Corasick automaton per text column and, for amounts,
+a table of elementary intervals with the first rule that holds each. One Python worker a task goes through the blocks
+for some rows at a time and has the matcher of one block only; a row that is matched is done. Of rules alike in kind
+and pattern the first alone is asked. Transactions pass through as Arrow batches; their columns are not converted.
 """
 from __future__ import annotations
 
+import functools
 import itertools
+import pickle
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RULE_BLOCK = 20_000
+#: Rows that go through the blocks together.
+HELD_ROWS = 500_000
 
 
 def parse_range(pattern: str):
@@ -106,27 +113,70 @@ class RuleBlock:
                 best = min(best, rank)
         return best
 
-    def ranks(self, merchants: list, descriptions: list, amounts: np.ndarray) -> np.ndarray:
-        """Rank of the first matching rule per row; the number of rules if there is none."""
-        none, seen_m, seen_d = len(self.rules), {None: len(self.rules)}, {}
-        out = np.full(len(merchants), none)
-        for i, (m, d) in enumerate(zip(merchants, descriptions)):
-            if m not in seen_m:
-                seen_m[m] = min(self.contained("merchant_contains", m), self.exact.get(m, none))
-            if d not in seen_d:
-                seen_d[d] = self.contained("description_contains", d)
-            out[i] = min(seen_m[m], seen_d[d])
-        return np.minimum(out, self.ranges.ranks(amounts))
+    def merchant_rank(self, text: str | None) -> int:
+        none = len(self.rules)
+        return none if text is None else min(self.contained("merchant_contains", text), self.exact.get(text, none))
+
+    def description_rank(self, text: str) -> int:
+        return self.contained("description_contains", text)
 
 
 def _blocks(rules: DataFrame, categories: DataFrame):
     """The ordered rules, at most RULE_BLOCK of them on the driver at a time."""
-    ordered = ordered_rules(rules, categories).orderBy(F.desc("priority"), F.asc("created_at"), F.asc("id"))
+    order = [F.desc("priority"), F.asc("created_at"), F.asc("id")]
+    first = F.row_number().over(Window.partitionBy("rule_type", "pattern").orderBy(*order))
+    ordered = ordered_rules(rules, categories).withColumn("_same", first).where("_same = 1").orderBy(*order)
     rows = ((r["id"], r["rule_type"], r["pattern"], r["category_id"]) for r in ordered.toLocalIterator())
     while block := list(itertools.islice(rows, RULE_BLOCK)):
         yield block
 
 
+def _held(batches):
+    """Lists of batches, each of about HELD_ROWS rows."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= HELD_ROWS:
+            yield held
+            held, rows = [], 0
+    if held:
+        yield held
+
+
+def _coded(batches: list[pa.RecordBatch], at: int) -> tuple[list, np.ndarray]:
+    """The distinct texts of a column (null is one) and each row's number in them."""
+    coded = pa.chunked_array([b.column(at) for b in batches]).combine_chunks().dictionary_encode(null_encoding="encode")
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def first_matches(batches: list[pa.RecordBatch], n: int, matchers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Category, rule and whether there is one, for each row; lower-cased merchant and description and the amount
+    are columns ``n`` + 2 to ``n`` + 4. ``matchers`` gives the blocks in order."""
+    merchants, m = _coded(batches, n + 2)
+    descriptions, d = _coded(batches, n + 3)
+    amounts = np.concatenate([b.column(n + 4).to_numpy(zero_copy_only=False).astype(float) for b in batches])
+    category, rule, open_rows = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64), np.arange(len(m))
+
+    def ranks(texts: list, codes: np.ndarray, rank) -> np.ndarray:
+        used, back = np.unique(codes, return_inverse=True)
+        return np.array([rank(texts[i]) for i in used], np.int64)[back]
+
+    for matcher in matchers:
+        if not len(open_rows):
+            break
+        best = np.minimum(ranks(merchants, m[open_rows], matcher.merchant_rank), ranks(descriptions, d[open_rows], matcher.description_rank))
+        best = np.minimum(best, matcher.ranges.ranks(amounts[open_rows]))
+        hit = best < len(matcher.rules)
+        rows, at = open_rows[hit], best[hit]
+        category[rows] = np.array([r[3] for r in matcher.rules], np.int64)[at]
+        rule[rows] = np.array([r[0] for r in matcher.rules], np.int64)[at]
+        open_rows = open_rows[~hit]
+    known = np.ones(len(m), bool)
+    known[open_rows] = False
+    return category, rule, known
+
+
 def rules_match(txns: DataFrame, rules: DataFrame, categories: DataFrame,
                 out: str = "rule_category_id") -> DataFrame:
     """Add ``out`` (matched category id or NULL) and ``rule_id`` to every transaction. A missing
@@ -136,23 +186,22 @@ def rules_match(txns: DataFrame, rules: DataFrame, categories: DataFrame,
                      F.lower("merchant").alias("_rule_m"), F.lower(F.coalesce("description", F.lit(""))).alias("_rule_d"),
                      F.abs("amount").cast("double").alias("_rule_a"))
     n = len(names)
-    for block in _blocks(rules, categories):
-        shared = txns.sparkSession.sparkContext.broadcast(block)
-
-        def match(batches, shared=shared):
-            matcher = RuleBlock(shared.value)
-            category = np.array([r[3] for r in matcher.rules] + [0], np.int64)
-            rule = np.array([r[0] for r in matcher.rules] + [0], np.int64)
-            for b in batches:
-                amounts = b.column(n + 4).to_numpy(zero_copy_only=False).astype(float)
-                rank = matcher.ranks(b.column(n + 2).to_pylist(), b.column(n + 3).to_pylist(), amounts)
-                missed = rank == len(matcher.rules)
+    shared = [txns.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps(block))) for block in _blocks(rules, categories)]
+
+    def match(batches):
+        made = functools.lru_cache(maxsize=1)(lambda i: RuleBlock(pickle.loads(zlib.decompress(shared[i].value))))
+        for held in _held(batches):
+            category, rule, known = first_matches(held, n, map(made, range(len(shared))))
+            at = 0
+            for b in held:
+                part = slice(at, at + b.num_rows)
                 columns = list(b.columns)
-                for at, values in ((n, category), (n + 1, rule)):  # an earlier block's match stands
-                    columns[at] = pa.array([old if old is not None else None if miss else int(v) for old, miss, v in
-                                            zip(b.column(at).to_pylist(), missed, values[rank])], pa.int64())
+                for place, values in ((n, category), (n + 1, rule)):
+                    columns[place] = pa.array(values[part], pa.int64(), mask=~known[part])
                 yield pa.record_batch(columns, schema=b.schema)
+                at += b.num_rows
 
+    if shared:
         df = df.mapInArrow(match, df.schema)
     return df.drop("_rule_m", "_rule_d", "_rule_a")
 

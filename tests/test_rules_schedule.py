@@ -92,3 +92,27 @@ def test_a_hundred_thousand_range_rules_cost_one_search_an_amount():
     began = time.time()
     ranks = block.ranges.ranks(amounts)
     assert time.time() - began < 5 and ranks[0] == 0 and ranks[-1] == len(rules)
+
+
+def test_many_blocks_pass_one_python_step_and_hold_one_matcher(spark, monkeypatch):
+    monkeypatch.setattr(RU, "RULE_BLOCK", 3)
+    monkeypatch.setattr(RU, "HELD_ROWS", 7)
+    when = dt.datetime(2024, 1, 1)
+    txns = spark.createDataFrame([(i, f"Shop {i % 20}" if i % 6 else None, [None, "note x", ""][i % 3], float(i) if i % 5 else None) for i in range(60)],
+                                 "id long, merchant string, description string, amount double").coalesce(1)
+    kinds = [("merchant_contains", "shop 1"), ("merchant_exact", "SHOP 7"), ("description_contains", "x"), ("amount_range", "40,41"), ("merchant_contains", "p 3")]
+    rules = [(i, f"r{i}", *kinds[i % 5], i % 4 + 1, i % 7, True, when) for i in range(40)]
+    cats = spark.createDataFrame([(i, f"c{i}") for i in range(1, 5)], "id long, name string")
+    got = RU.rules_match(txns, spark.createDataFrame(rules, RULE_SCHEMA), cats)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+    def holds(kind, pattern, m, d, a):
+        if kind == "amount_range":
+            return a is not None and 40 <= abs(a) <= 41
+        return pattern.lower() in (d or "").lower() if kind == "description_contains" else m is not None and (
+            m.lower() == pattern.lower() if kind == "merchant_exact" else pattern.lower() in m.lower())
+    order = sorted(rules, key=lambda r: (-r[5], r[0]))
+    want = {i: next(((r[4], r[0]) for r in order if holds(r[2], r[3], m, d, a)), (None, None)) for i, m, d, a in (tuple(t) for t in txns.collect())}
+    assert {r["id"]: (r["rule_category_id"], r["rule_id"]) for r in got.collect()} == want
+    # of rules alike in kind and pattern the first alone is asked
+    assert sum(map(len, RU._blocks(spark.createDataFrame(rules, RULE_SCHEMA), cats))) == 5
