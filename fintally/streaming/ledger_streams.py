@@ -134,52 +134,70 @@ GOAL_STATE_SCHEMA = T.StructType([
 ])
 
 
-_DAY = 86_400_000_000  # microseconds
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
+#: Contributions in a stored block of a goal, at most.
+GOAL_BLOCK = 4096
 
-def _day_of_rows(rows: np.ndarray) -> tuple[bytes, tuple[int, int]]:
-    """A day's contributions (time, id, cents) in order, as bytes, and the day's sum and highest running sum."""
-    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
-    run = np.cumsum(rows[:, 2])
-    return rows.tobytes(), (int(run[-1]), int(run.max()))
 
+def _stored(value, width: int) -> np.ndarray:
+    return np.frombuffer(value[0], np.int64).reshape(-1, width) if value is not None else np.empty((0, width), np.int64)
 
-def _stored_rows(value) -> np.ndarray:
-    return np.frombuffer(value[0], np.int64).reshape(-1, 3) if value is not None else np.empty((0, 3), np.int64)
+
+def _block_of_rows(firsts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The block of each row: the last one whose first contribution is not behind it in (time, id) order, else the first."""
+    both = np.concatenate([firsts, rows[:, :2]])
+    order = np.lexsort((both[:, 1], both[:, 0]))  # stable: a block's first stands before rows equal to it
+    block = np.empty(len(both), np.int64)
+    block[order] = np.cumsum(order < len(firsts)) - 1
+    return np.maximum(block[len(firsts):], 0)
 
 
 class GoalProcessor(StatefulProcessor):
-    """State of one goal: its contributions by day, and each day's sum and highest running sum.
+    """State of one goal: its contributions in (time, id) order, in blocks of at most ``GOAL_BLOCK``, and an index with
+    each block's number, first time and id, sum and highest running sum.
 
-    A micro-batch reads and writes the days it has contributions for. Which day first reaches the target
-    follows from the days' two numbers in order of time; only that day's contributions are read to name the one
-    that does. So a late contribution moves the answer as it should, and what a batch reads beside its own
-    days is two numbers a day."""
+    A micro-batch reads and writes the index once and the blocks it has contributions for; every access to the state is a
+    call out of the Python worker, so their number is what counts. Which block first reaches the target follows
+    from the index; only that block is read to name the contribution that does. So a late contribution moves the answer
+    as it should, and what a batch reads beside its own blocks is five numbers a block."""
 
     def init(self, handle) -> None:
-        self.rows = handle.getMapState("rows", "day int", "rows binary")
-        self.days = handle.getMapState("days", "day int", "cents bigint, highest bigint")
+        self.rows = handle.getMapState("rows", "block int", "rows binary")
+        self.index = handle.getValueState("index", "blocks binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        target = None
+        target, index, held = None, _stored(self.index.get(), 5), (None, None)
         for pdf in rows:
             new = pdf[["time", "id", "cents"]].to_numpy(np.int64)
             target = None if pd.isna(pdf["target"].iloc[-1]) else int(pdf["target"].iloc[-1])
-            days = new[:, 0] // _DAY
-            for day in np.unique(days).tolist():
-                had = _stored_rows(self.rows.getValue((day,)))
-                stored, numbers = _day_of_rows(np.concatenate([had, new[days == day]]))
-                self.rows.updateValue((day,), (stored,))
-                self.days.updateValue((day,), numbers)
-        total, at, by = 0, None, None
-        for (day,), (cents, highest) in sorted(self.days.iterator()):
-            if at is None and target is not None and total + highest >= target:
-                there = _stored_rows(self.rows.getValue((day,)))
-                first = int(np.argmax(total + np.cumsum(there[:, 2]) >= target))
-                at, by = int(there[first, 0]), int(there[first, 1])
-            total += cents
-        yield pd.DataFrame({"goal_id": [key[0]], "cents": [total], "at": pd.array([at], "Int64"), "by": pd.array([by], "Int64")})
+            place = _block_of_rows(index[:, 1:3], new)
+            free = int(index[:, 0].max()) + 1 if len(index) else 0
+            parts, done = [], 0
+            for i in np.unique(place).tolist():
+                had = _stored(self.rows.getValue((int(index[i, 0]),)), 3) if len(index) else index[:, :3]
+                block = np.concatenate([had, new[place == i]])
+                block = block[np.lexsort((block[:, 1], block[:, 0]))]
+                # a block that grew too large is cut into halves of the most, the first of which keeps its number
+                pieces = [block] if len(block) <= GOAL_BLOCK else np.split(block, range(GOAL_BLOCK // 2, len(block), GOAL_BLOCK // 2))
+                parts.append(index[done:i])
+                done = i + 1
+                for k, piece in enumerate(pieces):
+                    number = int(index[i, 0]) if k == 0 and len(index) else free
+                    free += number == free
+                    self.rows.updateValue((number,), (piece.tobytes(),))
+                    run, held = np.cumsum(piece[:, 2]), (number, piece)
+                    parts.append(np.array([[number, piece[0, 0], piece[0, 1], run[-1], run.max()]], np.int64))
+            index = np.concatenate([*parts, index[done:]])
+        self.index.update((index.tobytes(),))
+        before, at, by = np.cumsum(index[:, 3]) - index[:, 3], None, None
+        reached = np.flatnonzero(before + index[:, 4] >= target) if target is not None else ()
+        if len(reached):
+            number = int(index[reached[0], 0])
+            there = held[1] if held[0] == number else _stored(self.rows.getValue((number,)), 3)
+            first = int(np.argmax(before[reached[0]] + np.cumsum(there[:, 2]) >= target))
+            at, by = int(there[first, 0]), int(there[first, 1])
+        yield pd.DataFrame({"goal_id": [key[0]], "cents": [int(index[:, 3].sum())], "at": pd.array([at], "Int64"), "by": pd.array([by], "Int64")})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,8 @@ import datetime as dt
 import os
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,65 @@ def test_unreadable_history_fails_the_batch(spark, tmpdir_path):
     _, writer = S.stream_ingest_dedupe(led.drop("dedupe_key"), os.path.dirname(os.path.dirname(hist)))
     with pytest.raises(Exception):
         writer(led, 1)
+
+
+class _State:
+    """A goal's state in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.maps = 0, {}, {}
+
+    def getValueState(self, name, schema):
+        state = self
+
+        class Value:
+            def get(self):
+                state.calls += 1
+                return state.values.get(name)
+
+            def update(self, value):
+                state.calls += 1
+                state.values[name] = value
+        return Value()
+
+    def getMapState(self, name, key, value):
+        state = self
+
+        class Map:
+            def getValue(self, key):
+                state.calls += 1
+                return state.maps.get((name, key))
+
+            def updateValue(self, key, value):
+                state.calls += 1
+                state.maps[(name, key)] = value
+
+            def iterator(self):
+                state.calls += 1
+                return iter([(k, v) for (n, k), v in state.maps.items() if n == name])
+        return Map()
+
+
+def test_goal_processor_calls_the_state_by_block_not_by_day(monkeypatch):
+    """A batch over 400 days takes some calls to the state; blocks that grow are cut, in any order of arrival."""
+    monkeypatch.setattr(S, "GOAL_BLOCK", 64, raising=False)
+    rng = np.random.default_rng(7)
+    rows = np.stack([rng.integers(0, 300, 3000) * 86_400_000_000, rng.permutation(3000), rng.integers(-400, 500, 3000)], axis=1)
+    state, processor, target = _State(), S.GoalProcessor(), 40_000
+    processor.init(state)
+    for n in range(0, 3000, 500):
+        chunks = [pd.DataFrame(rows[n + k:n + k + 250], columns=["time", "id", "cents"]).assign(target=target) for k in (0, 250)]
+        out = next(iter(processor.handleInputRows((1,), iter(chunks), None))).iloc[0]
+        seen = rows[:n + 500][np.lexsort((rows[:n + 500, 1], rows[:n + 500, 0]))]
+        run = np.cumsum(seen[:, 2])
+        first = np.flatnonzero(run >= target)
+        assert out["cents"] == run[-1]
+        assert (pd.isna(out["by"]) and not len(first)) or (out["at"], out["by"]) == tuple(seen[first[0], :2])
+    assert len(first)
+    stored = [np.frombuffer(v[0], np.int64).reshape(-1, 3) for v in state.maps.values()]
+    assert max(map(len, stored)) <= 64 and sum(map(len, stored)) == 3000
+    monkeypatch.setattr(S, "GOAL_BLOCK", 4096)
+    days = _State()
+    processor.init(days)
+    next(iter(processor.handleInputRows((1,), iter([pd.DataFrame({"time": np.arange(400) * 86_400_000_000, "id": range(400), "cents": 1, "target": 10})]), None)))
+    assert days.calls <= 4
