@@ -19,6 +19,9 @@ HEADER = "Date,Amount,Merchant,Description"
 #: Last line of some awkward exports: its quote opens a field and never closes.
 UNCLOSED = '1992-01-01,-1.00,Left Open,"never'
 
+#: Tasks that write the exports, for each core: files differ in size, so some more than cores.
+TASKS_A_CORE = 4
+
 
 def _quote(c):
     c = F.coalesce(c, F.lit(""))
@@ -48,13 +51,14 @@ def export_lines(spark: SparkSession, sf_dir: str, awkward: bool = False) -> Dat
         .select("file", "l.seq", "l.text")
     # an inch mark stands in a field without quotes around it
     description = F.when(F.col("raw_description").endswith(' 5" pipe'), F.col("raw_description")).otherwise(_quote(F.col("raw_description")))
-    data = r.select("file", (F.col("line") * 2 + 1).alias("seq"),
+    data = r.select("file", "line", (F.col("line") * 2 + 1).alias("seq"),
                     F.concat_ws(",", _quote(F.col("raw_date")), _quote(F.col("raw_amount")), _quote(F.col("raw_merchant")),
                                 F.when(F.lit(not awkward) | F.col("raw_description").isNotNull(), description)).alias("text"))
-    extra = r.filter(F.col("line") % 53 == 0).select("file", (F.col("line") * 2).alias("seq"),
-                                                   F.lit(",,,").alias("text"))
-    blank = r.filter(F.col("line") % 37 == 0).select("file", (F.col("line") * 2).alias("seq"), F.lit("").alias("text"))
-    out = pre.unionByName(data).unionByName(extra).unionByName(blank)
+    # the rows are derived once for their own lines and the empty ones before some of them
+    line = F.col("line")
+    before = F.array_compact(F.array(F.when(line % 53 == 0, F.lit(",,,")), F.when(line % 37 == 0, F.lit(""))))
+    data = data.select("file", F.explode(F.concat(F.array(F.struct("seq", "text")), F.transform(before, lambda t: F.struct((F.col("seq") - 1).alias("seq"), t.alias("text"))))).alias("l")).select("file", "l.*")
+    out = pre.unionByName(data)
     if awkward:
         last = files.where(F.col("file").rlike("[0369].csv$")).select("file", F.lit(1 << 62).alias("seq"), F.lit(UNCLOSED).alias("text"))
         out = out.unionByName(last)
@@ -62,9 +66,12 @@ def export_lines(spark: SparkSession, sf_dir: str, awkward: bool = False) -> Dat
 
 
 def write_exports(spark: SparkSession, sf_dir: str, awkward: bool = False) -> str:
-    """Write the exports under a new scratch folder; returns the folder."""
-    out = scratch_dir(spark, "exports")
-    (export_lines(spark, sf_dir, awkward).repartition("file").sortWithinPartitions("file", "seq")
+    """Write the exports under a new scratch folder; returns the folder.
+
+    A task writes its files one after the other, and there are many small ones: they are dealt to a fixed number of tasks,
+    as the adaptive number follows the bytes alone."""
+    out, tasks = scratch_dir(spark, "exports"), TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    (export_lines(spark, sf_dir, awkward).repartition(tasks, "file").sortWithinPartitions("file", "seq")
      .select("file", F.col("text").alias("value"))
      .write.partitionBy("file").text(out))
     return out

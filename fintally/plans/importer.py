@@ -21,7 +21,7 @@ from fintally.operators import rules as RU
 from fintally.operators import similarity as SI
 from fintally.operators import vector_store as VS
 from fintally.session import written
-from fintally.sources.csv_exports import src_csv_exports, src_csv_headers
+from fintally.sources.csv_exports import src_csv_exports, src_csv_headers, stored_lines
 
 _FIELDS = ["date", "amount", "merchant", "description"]
 
@@ -44,8 +44,9 @@ def fixed_mapping(headers: DataFrame, mapping: dict) -> DataFrame:
 
 def parse_exports(spark: SparkSession, path: str, column_mapping: dict | None = None):
     """(good, rejected) normalised rows of every export under ``path``."""
-    rows = src_csv_exports(spark, path)
-    headers = src_csv_headers(spark, path)
+    lines = stored_lines(spark, path)
+    rows = src_csv_exports(spark, path, lines=lines)
+    headers = src_csv_headers(spark, path, lines)
     mapping = fixed_mapping(headers, column_mapping) if column_mapping else name_mapping(headers, spark)
     return P.norm_row(rows, mapping)
 
@@ -56,8 +57,9 @@ def analyze_exports(spark: SparkSession, path: str) -> DataFrame:
     The parsed rows and the small per-file / per-column frames are written to the shared scratch folder:
     the mapping steps reuse them many times, and recomputing means re-reading every export.
     """
-    rows = written(src_csv_exports(spark, path), "export-rows")
-    headers = written(src_csv_headers(spark, path), "export-headers")
+    lines = stored_lines(spark, path)
+    rows = written(src_csv_exports(spark, path, lines=lines), "export-rows")
+    headers = written(src_csv_headers(spark, path, lines), "export-headers")
     fmts = formats_df(spark)
     names = headers.select("file").distinct().select(
         "file", F.element_at(F.split("file", "/"), -1).alias("file_name"))
@@ -125,8 +127,9 @@ def import_job(spark: SparkSession, path: str, existing: DataFrame, rules: DataF
     ``vector_store``) for their nearest neighbours' votes, if one is given. A row's id follows from its dedupe key, so
     a job that is run again gives the same ids. Nothing is written but scratch tables: append ``rows`` and ``log``, and
     put ``vectors`` into the store by ``change_store``, under the job's batch id."""
-    rows = src_csv_exports(spark, path)
-    headers = src_csv_headers(spark, path)
+    lines = stored_lines(spark, path)
+    rows = src_csv_exports(spark, path, lines=lines)
+    headers = src_csv_headers(spark, path, lines)
     mapping = fixed_mapping(headers, column_mapping) if column_mapping else name_mapping(headers, spark)
     good, rejected = P.norm_row(rows, mapping)
     good = written(good.withColumnRenamed("pos", "line").withColumn("amount", F.col("amount").cast("decimal(18,2)")), "parsed")

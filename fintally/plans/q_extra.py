@@ -20,7 +20,7 @@ from fintally.plans.exports import export_name, write_exports
 from fintally.plans.registry import ORACLE, QUERIES, register
 from fintally.session import scratch_dir, written
 from fintally.sources import ledger_io as IO
-from fintally.sources.csv_exports import src_csv_exports, src_csv_headers, src_sample_rows
+from fintally.sources.csv_exports import src_csv_exports, src_csv_headers, src_sample_rows, stored_lines
 from fintally.streaming import ledger_streams as ST
 
 # --- join shapes, exercised through the operators that use them --------------------
@@ -124,8 +124,9 @@ def q_src_sample_rows(spark, sf):
 
 def _export_profile(spark, sf):
     path = write_exports(spark, sf)
-    rows = written(src_csv_exports(spark, path), "export-rows")
-    headers = written(src_csv_headers(spark, path), "export-headers")
+    lines = stored_lines(spark, path)
+    rows = written(src_csv_exports(spark, path, lines=lines), "export-rows")
+    headers = written(src_csv_headers(spark, path, lines), "export-headers")
     prof = written(P.column_profiles(P.cells(rows)), "export-profiles")
     return rows, headers, prof
 
