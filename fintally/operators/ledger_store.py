@@ -2,7 +2,8 @@
 
 * ``append_batch`` writes a batch's rows to its own folders; run again, it replaces them.
 * ``change_ledger`` applies a change feed to the folders that hold a changed row and to no others: the folders are
-  found by their ids (one column), rewritten, and all other files stay as they are.
+  found by their ids (one column), rewritten, and all other files stay as they are, so a feed that is run again, or
+  names rows without changing them, rewrites nothing.
 * ``rollup`` (month, category_id, income, expenses, rows) is the sum of one part for every batch and every change
   feed. A feed's part is its changed rows as they are, less as they were, so no unchanged row is read for it. The
   part is written once, before the folders: a feed that is run again after a failure finds it and goes on.
@@ -84,12 +85,15 @@ def change_ledger(spark: SparkSession, path: str, changes: DataFrame, allowed: l
         less = _sums(before).select("month", "category_id", *[(-F.col(c)).alias(c) for c in _SUMS])
         part = _sums(after).unionByName(less).groupBy("month", "category_id").agg(*[F.sum(c).alias(c) for c in _SUMS])
         _write_part(part.where(" OR ".join(f"{c} <> 0" for c in _SUMS)), path, f"feed-{name}")
-    folders = sorted(held | names(after))
+    # folders whose rows stay as they are need no rewriting: a feed that is run again finds none
+    folders = sorted(names(before.exceptAll(after)) | names(after.exceptAll(before)))
+    if not folders:
+        return []
     kept = stored.where(_folder().isin(folders)).join(ids, "id", "left_anti").select(*columns)
     types = {f.name: f.dataType for f in stored.schema}
     markers = spark.createDataFrame([(f,) for f in folders], "folder string").select(*[
         (F.element_at(F.split("folder", "/"), 1 if c == "month" else 2) if c in ("month", "batch") else F.lit(None)).cast(types[c]).alias(c) for c in columns])
-    _replace(written(kept.unionByName(after).unionByName(markers), "folders"), path)
+    _replace(written(kept.unionByName(after.where(_folder().isin(folders))).unionByName(markers), "folders"), path)
     return folders
 
 

@@ -81,6 +81,18 @@ def test_changes_rewrite_their_folders_and_the_rollup_follows(spark, store):
     assert LS.change_ledger(spark, path, _feed(spark, [(123456, "amount", "1.00")]), ALLOWED, "f2") == []
 
 
+def test_a_feed_that_changes_nothing_rewrites_no_folder(spark, store):
+    path, led = store
+    feed = _feed(spark, [(3, "category_id", "2"), (4, "__delete__", "x"), (5, "date", "2024-11-30"), (6, "amount", "-78.70")])
+    assert LS.change_ledger(spark, path, feed, ALLOWED, "f0")
+    files = _files(path)
+    for name, rows in (("f0", feed), ("f1", _feed(spark, [(3, "category_id", "2"), (7, "amount", "much")]))):
+        assert LS.change_ledger(spark, path, rows, ALLOWED, name) == [] and _files(path) == files
+    want = CH.apply_changes(led, feed, "id", ALLOWED)
+    assert _plain(LS.stored_ledger(spark, path)) == _plain(want)
+    assert sorted(map(tuple, LS.rollup(spark, path).collect()), key=str) == _recomputed(want)
+
+
 def test_a_feed_that_failed_behind_its_rollup_goes_on(spark, store, monkeypatch):
     path, led = store
     feed = _feed(spark, [(i, "category_id", "1") for i in range(0, 300, 50)])
