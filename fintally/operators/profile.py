@@ -221,11 +221,10 @@ def detect_confidence(file_formats: DataFrame, mapping: DataFrame) -> DataFrame:
 # --- row conversion ------------------------------------------------------------
 
 
-def norm_row(rows: DataFrame, mapping: DataFrame):
+def converted_rows(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Batch-import conversion with a per-file mapping (file, date_column, amount_column,
-    merchant_column, description_column). Returns (good, rejected): good rows have a parsed
-    date and amount; rejected rows carry a ``status`` (missing_date, bad_date, missing_amount,
-    bad_amount)."""
+    merchant_column, description_column). Every row has a ``status``: ok, missing_date, bad_date, missing_amount
+    or bad_amount."""
     j = rows.join(mapping, "file")
     get = lambda c: F.when(F.col(c).isNotNull(), F.try_element_at(F.col("row"), F.col(c)))
     raw_d, raw_a = get("date_column"), get("amount_column")
@@ -240,10 +239,16 @@ def norm_row(rows: DataFrame, mapping: DataFrame):
               .when(F.col("raw_amount").isNull(), F.lit("missing_amount"))
               .when(F.col("date").isNull(), F.lit("bad_date"))
               .when(F.col("amount").isNull(), F.lit("bad_amount")).otherwise(F.lit("ok")))
-    out = parsed.select("file", "blk", "pos", "date", "amount",
-                        norm_merchant(F.col("raw_merchant")).alias("merchant"),
-                        norm_description(F.col("raw_description")).alias("description"),
-                        status.alias("status"))
+    return parsed.select("file", "blk", "pos", "date", "amount",
+                         norm_merchant(F.col("raw_merchant")).alias("merchant"),
+                         norm_description(F.col("raw_description")).alias("description"),
+                         status.alias("status"))
+
+
+def norm_row(rows: DataFrame, mapping: DataFrame):
+    """``converted_rows`` as (good, rejected): good rows have a parsed date and amount; rejected rows keep their
+    ``status``."""
+    out = converted_rows(rows, mapping)
     return out.filter(F.col("status") == "ok").drop("status"), out.filter(F.col("status") != "ok")
 
 

@@ -131,10 +131,11 @@ def import_job(spark: SparkSession, path: str, existing: DataFrame, rules: DataF
     rows = src_csv_exports(spark, path, lines=lines)
     headers = src_csv_headers(spark, path, lines)
     mapping = fixed_mapping(headers, column_mapping) if column_mapping else name_mapping(headers, spark)
-    good, rejected = P.norm_row(rows, mapping)
-    good = written(good.withColumnRenamed("pos", "line").withColumn("amount", F.col("amount").cast("decimal(18,2)")), "parsed")
-    numbered = row_numbers(rows.select("file", "blk", "pos")).select("file", "blk", "pos", "row")
-    errors = written(import_errors(rejected.join(numbered, ["file", "blk", "pos"])), "row-errors")
+    # written, as good rows, rejected ones and the numbers of all rows come from it: the exports are parsed once
+    converted = written(P.converted_rows(rows, mapping), "converted")
+    good = converted.filter(F.col("status") == "ok").drop("status").withColumnRenamed("pos", "line").withColumn("amount", F.col("amount").cast("decimal(18,2)"))
+    numbered = row_numbers(converted.select("file", "blk", "pos", "amount", "status"))
+    errors = written(import_errors(numbered.filter(F.col("status") != "ok")), "row-errors")
     new, duplicates = CH.ledger_dedupe(existing, good, order=("file", "blk", "line"))
     new = new.withColumn("id", F.xxhash64(CH.dedupe_key("date", "amount", "merchant")))
     ruled = written(RU.rules_match(new.select("id", "file", "date", "amount", "merchant", "description"), rules, categories), "ruled")
