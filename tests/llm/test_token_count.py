@@ -1,3 +1,5 @@
+import random
+
 from corpus import awkward, frame
 
 from fintally.llm import piece_lattice as L
@@ -89,3 +91,35 @@ def test_viterbi_and_merge_folds(spark):
     assert got == {w: L.ids_of(brute_viterbi(w, table, pieces.longest, unknown), table, pieces) for w in words}
     got = {r["word"]: r["ids"] for r in L.encode_words(df, spark, model).collect()}
     assert got == {w: L.merge_word(w, table, pieces) for w in words}
+
+
+def test_whole_documents_are_decoded(spark, monkeypatch):
+    model = M.model_bytes()
+    sp = M.processor(model)
+    rows = [(1, "the cat and the cat zzyxq"), (2, "the  ▁ dog"), (3, None), (3, "zzyxq the"), (None, "the cat")]
+    seen, decode = [], L.decode
+    monkeypatch.setattr(L, "decode", lambda ids, *a, **k: seen.append(ids) or decode(ids, *a, **k))
+    got = L.token_digests(frame(spark, rows), model)
+    assert [sorted(r["ids"] for r in x.select("ids").collect()) for x in seen] == [sorted(sp.encode(t or "") for _, t in rows)]
+    assert sorted((r["n_tokens"], r["decoded"], r["verbatim"]) for r in got.collect()) == sorted((len(sp.encode(t or "")), True, "▁" not in (t or "")) for _, t in rows)
+    # ids that stand in another order don't give the text back, though every word's own ids do
+    monkeypatch.setattr(L, "filled", lambda *a, filled=L.filled: filled(*a).withColumn("ids", L.F.reverse("ids")))
+    assert {r["doc_id"]: r["decoded"] for r in L.token_digests(frame(spark, [(1, "the cat"), (2, "the")]), model).collect()} == {1: False, 2: True}
+
+
+def test_merges_in_order_of_score(spark):
+    model = M.model_bytes()
+    pieces = L.load_pieces(model)
+    assert L.merged_in_order(model) == ["▁▁"]
+    table = {p: (i, s) for i, p, s, _ in pieces.rows if p is not None}
+    rng = random.Random(3)
+    words = sorted({"▁" * rng.choice([0, 1, 1, 1, 2, 15, 17]) + "".join(rng.choice("aeinrsthlod龘é") for _ in range(rng.randint(1, 30))) for _ in range(400)})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r["word"]: r["ids"] for r in L.encode_words(df, spark, model).collect()} == {w: L.merge_word(w, table, pieces) for w in words}
+
+
+def test_place_marks_are_sparks(spark):
+    rows = [(0, 5), (1, -7), (70_000, 1 << 62), (3, 0)]
+    want = [r[0] for r in spark.createDataFrame(rows, "p int, h long").select(L.F.xxhash64("p", "h").bitwiseAND(L.F.lit(L.DIGEST))).collect()]
+    p, h = (L.np.array(x, L.np.int64) for x in zip(*rows))
+    assert L.place_marks(p, h).tolist() == want
