@@ -119,3 +119,30 @@ def test_a_long_text_is_looked_up_by_a_gram_that_few_strings_hold(spark, tmpdir_
     assert TS._candidates(spark, tmpdir_path, probes.where("pattern = 'customer%7919%'")).count() < 100
     got = TS.search_rows(spark, tmpdir_path, _asked(spark, ["customer%7919%"]), rows, ["merchant", "description"], wild=True)
     assert _found(got) == {(0, i - 1) for i in range(1, 2000) if "7919" in f"{i * 7919:09d}"}
+
+
+def test_a_place_without_the_characters_beside_the_gram_is_dropped_where_it_is_read(spark, tmpdir_path):
+    texts = [(f"a12345{i:02d}z", None) for i in range(100)] + [(f"a{i:02d}34567z", None) for i in range(100) if i != 12]
+    rows = _rows(spark, texts)
+    TS.add_batch(rows, ["merchant"], tmpdir_path, "one")
+    probes = TS._probes(spark, tmpdir_path, spark.createDataFrame([("%1234567_", True)], "pattern string, wild boolean"))
+    # each gram alone stands in many strings, its place beside the rest of the run in one
+    assert TS._candidates(spark, tmpdir_path, probes.withColumn("probes", F.lit(1).cast("long"))).count() == 1
+    got = TS.search_rows(spark, tmpdir_path, _asked(spark, ["%1234567_"]), rows, ["merchant"], wild=True)
+    assert _found(got) == {(0, 67)}
+
+
+def test_runs_of_all_lengths(spark, tmpdir_path):
+    rng = random.Random(9)
+    texts = [("".join(rng.choice("aab_") for _ in range(rng.randrange(1, 45))), None) for _ in range(60)]
+    rows, needles, patterns = _rows(spark, texts), [], []
+    for n in [*range(1, 36)] * 2:
+        text = rng.choice([t for t, _ in texts if len(t) >= n])
+        at = rng.randrange(len(text) - n + 1)
+        needles.append(text[at:at + n])
+        run = "".join(rng.choice(["_", c, c, c, c, c, c]) for c in needles[-1])
+        patterns.append(rng.choice(["", "%"]) + run[:n // 2] + rng.choice(["", "%"]) + run[n // 2:] + "%")
+    TS.add_batch(rows, ["merchant"], tmpdir_path, "one")
+    for asked, wild in ((needles, False), (patterns, True)):
+        got = TS.search_rows(spark, tmpdir_path, _asked(spark, asked), rows, ["merchant"], wild=wild)
+        assert _found(got) == _expected(texts, asked, wild, (0,))
