@@ -6,8 +6,11 @@ on a cluster), so a lost executor or a restarted query resumes without double co
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,8 +139,16 @@ GOAL_STATE_SCHEMA = T.StructType([
 
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
-#: Contributions in a stored block of a goal, at most.
+#: Groups of goals, by a hash of the goal; a group is one key of the stateful operator.
+GOAL_GROUPS = 1024
+#: Contributions in a stored block of a group, at most.
 GOAL_BLOCK = 4096
+#: Blocks of a group that a worker keeps at hand in a micro-batch, at most.
+GOAL_AT_HAND = 64
+#: Contributions that a task of a micro-batch packs at a time, and those in one of its packs, at most.
+PACKED_AT_ONCE, GOAL_PACK = 1 << 18, 256
+#: Stands for null among whole numbers.
+_NULL = np.iinfo(np.int64).min
 
 
 def _stored(value, width: int) -> np.ndarray:
@@ -145,59 +156,146 @@ def _stored(value, width: int) -> np.ndarray:
 
 
 def _block_of_rows(firsts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """The block of each row: the last one whose first contribution is not behind it in (time, id) order, else the first."""
-    both = np.concatenate([firsts, rows[:, :2]])
-    order = np.lexsort((both[:, 1], both[:, 0]))  # stable: a block's first stands before rows equal to it
+    """The block of each row: the last one whose first contribution is not behind it in (goal, time, id) order, else the first."""
+    both = np.concatenate([firsts, rows[:, :3]])
+    order = np.lexsort((both[:, 2], both[:, 1], both[:, 0]))  # stable: a block's first stands before rows equal to it
     block = np.empty(len(both), np.int64)
     block[order] = np.cumsum(order < len(firsts)) - 1
     return np.maximum(block[len(firsts):], 0)
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+
+
+def _last_targets(rows: np.ndarray) -> np.ndarray:
+    """(goal, target) of each goal in order, as its last row has it."""
+    back = rows[::-1]
+    goals, at = np.unique(back[:, 0], return_index=True)
+    return np.column_stack([goals, back[at, -1]])
+
+
+def _segments(number: int, block: np.ndarray) -> np.ndarray:
+    """A block's rows of the index, one for each of its goals: block number, goal, first time and id, count, sum, highest running sum."""
+    at = _starts(block[:, 0])
+    n, run = np.diff(np.append(at, len(block))), np.cumsum(block[:, 3])
+    run = run - np.repeat(run[at] - block[at, 3], n)
+    return np.column_stack([np.full(len(at), number), block[at, :3], n, run[at + n - 1], np.maximum.reduceat(run, at)])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, rows) of rows that begin with their group: the other columns as whole numbers, row after row, so many rows at
+    once that what follows takes a row a group, not one a contribution."""
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows[:, 0], kind="stable")]
+        at = _starts(rows[:, 0])
+        n = np.diff(np.append(at, len(rows)))
+        at = np.concatenate([np.arange(a, a + k, GOAL_PACK) for a, k in zip(at, n)])
+        width = 8 * (rows.shape[1] - 1)
+        ends = (np.append(at, len(rows)) * width).astype(np.int32)
+        data = pa.py_buffer(np.ascontiguousarray(rows[:, 1:]))
+        return pa.RecordBatch.from_arrays([pa.array(rows[at, 0]), pa.BinaryArray.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends), data])], ["group", "rows"])
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.column_stack([c.fill_null(_NULL).to_numpy(zero_copy_only=False) for c in batch.columns]))
+            n += batch.num_rows
+        if n >= PACKED_AT_ONCE:
+            yield packed(held)
+            held, n = [], 0
+    if held:
+        yield packed(held)
+
+
 class GoalProcessor(StatefulProcessor):
-    """State of one goal: its contributions in (time, id) order, in blocks of at most ``GOAL_BLOCK``, and an index with
-    each block's number, first time and id, sum and highest running sum.
+    """State of a group of goals: their contributions in (goal, time, id) order, in blocks of at most ``GOAL_BLOCK``, and an
+    index with a row for each goal of a block, see ``_segments``.
 
     A micro-batch reads and writes the index once and the blocks it has contributions for; every access to the state is a
-    call out of the Python worker, so their number is what counts. Which block first reaches the target follows
-    from the index; only that block is read to name the contribution that does. So a late contribution moves the answer
-    as it should, and what a batch reads beside its own blocks is five numbers a block."""
+    call out of the Python worker, so their number is what counts: many goals of few contributions share a block, a goal of
+    many has blocks of its own. Which block first reaches the target follows from the index; only that block is read to name the
+    contribution that does. So a late contribution moves the answer as it should, and what a batch reads beside its own
+    blocks is seven numbers for a goal of a block.
+
+    Rows are packs of (goal, time, id, cents, target), see ``_packs``, or, of one goal that is the key itself, columns of these names."""
 
     def init(self, handle) -> None:
         self.rows = handle.getMapState("rows", "block int", "rows binary")
         self.index = handle.getValueState("index", "blocks binary")
 
     def handleInputRows(self, key, rows, timerValues):
-        target, index, held = None, _stored(self.index.get(), 5), (None, None)
+        index, at_hand, asked = _stored(self.index.get(), 7), {}, []
         for pdf in rows:
-            new = pdf[["time", "id", "cents"]].to_numpy(np.int64)
-            target = None if pd.isna(pdf["target"].iloc[-1]) else int(pdf["target"].iloc[-1])
-            place = _block_of_rows(index[:, 1:3], new)
-            free = int(index[:, 0].max()) + 1 if len(index) else 0
-            parts, done = [], 0
-            for i in np.unique(place).tolist():
-                had = _stored(self.rows.getValue((int(index[i, 0]),)), 3) if len(index) else index[:, :3]
-                block = np.concatenate([had, new[place == i]])
-                block = block[np.lexsort((block[:, 1], block[:, 0]))]
-                # a block that grew too large is cut into halves of the most, the first of which keeps its number
-                pieces = [block] if len(block) <= GOAL_BLOCK else np.split(block, range(GOAL_BLOCK // 2, len(block), GOAL_BLOCK // 2))
-                parts.append(index[done:i])
-                done = i + 1
-                for k, piece in enumerate(pieces):
-                    number = int(index[i, 0]) if k == 0 and len(index) else free
-                    free += number == free
-                    self.rows.updateValue((number,), (piece.tobytes(),))
-                    run, held = np.cumsum(piece[:, 2]), (number, piece)
-                    parts.append(np.array([[number, piece[0, 0], piece[0, 1], run[-1], run.max()]], np.int64))
-            index = np.concatenate([*parts, index[done:]])
+            if "rows" in pdf:
+                new = np.concatenate([np.frombuffer(v, np.int64).reshape(-1, 5) for v in pdf["rows"]])
+            else:
+                goal, target = np.full(len(pdf), key[0]), pdf["target"].astype("Int64").fillna(_NULL)
+                new = np.column_stack([goal, pdf[["time", "id", "cents"]].to_numpy(np.int64), target.to_numpy(np.int64)])
+            asked.append(_last_targets(new))
+            index = self._merged(index, new[:, :4], at_hand)
         self.index.update((index.tobytes(),))
-        before, at, by = np.cumsum(index[:, 3]) - index[:, 3], None, None
-        reached = np.flatnonzero(before + index[:, 4] >= target) if target is not None else ()
-        if len(reached):
-            number = int(index[reached[0], 0])
-            there = held[1] if held[0] == number else _stored(self.rows.getValue((number,)), 3)
-            first = int(np.argmax(before[reached[0]] + np.cumsum(there[:, 2]) >= target))
-            at, by = int(there[first, 0]), int(there[first, 1])
-        yield pd.DataFrame({"goal_id": [key[0]], "cents": [int(index[:, 3].sum())], "at": pd.array([at], "Int64"), "by": pd.array([by], "Int64")})
+        goals, cents, at, by = self._reached(index, _last_targets(np.concatenate(asked)), at_hand)
+        yield pd.DataFrame({"goal_id": pd.arrays.IntegerArray(goals, np.full(len(goals), key[0] < 0)), "cents": cents, "at": at, "by": by})
+
+    def _block(self, number: int, at_hand: dict[int, np.ndarray]) -> np.ndarray:
+        return at_hand[number] if number in at_hand else _stored(self.rows.getValue((number,)), 3)
+
+    def _merged(self, index: np.ndarray, new: np.ndarray, at_hand: dict[int, np.ndarray]) -> np.ndarray:
+        """Puts contributions into their blocks; the new index."""
+        starts = _starts(index[:, 0])
+        ends = np.append(starts[1:], len(index))
+        place = _block_of_rows(index[starts, 1:4], new)
+        order = np.argsort(place, kind="stable")
+        free = int(index[:, 0].max()) + 1 if len(index) else 0
+        parts, done = [], 0
+        for of in np.split(order, _starts(place[order])[1:]):
+            block, i = new[of], int(place[of[0]])
+            if len(index):
+                had = index[starts[i]:ends[i]]
+                kept = self._block(int(had[0, 0]), at_hand)
+                block = np.concatenate([np.column_stack([np.repeat(had[:, 1], had[:, 4]), kept]), block])
+                parts.append(index[done:starts[i]])
+                done = ends[i]
+            block = block[np.lexsort((block[:, 2], block[:, 1], block[:, 0]))]
+            # a block that grew too large is cut into halves of the most, the first of which keeps its number
+            pieces = [block] if len(block) <= GOAL_BLOCK else np.split(block, range(GOAL_BLOCK // 2, len(block), GOAL_BLOCK // 2))
+            for k, piece in enumerate(pieces):
+                number = int(index[starts[i], 0]) if k == 0 and len(index) else free
+                free += number == free
+                kept = np.ascontiguousarray(piece[:, 1:])
+                self.rows.updateValue((number,), (kept.tobytes(),))
+                if number in at_hand or len(at_hand) < GOAL_AT_HAND:
+                    at_hand[number] = kept
+                parts.append(_segments(number, piece))
+        return np.concatenate([*parts, index[done:]])
+
+    def _reached(self, index: np.ndarray, asked: np.ndarray, at_hand: dict[int, np.ndarray]):
+        """Goals, their sums, and the time and id of the contribution that first reaches the target, or null."""
+        goals, targets = asked.T
+        offset, blocks = np.cumsum(index[:, 4]) - index[:, 4], _starts(index[:, 0])
+        offset = offset - np.repeat(offset[blocks], np.diff(np.append(blocks, len(index))))
+        mine = np.isin(index[:, 1], goals)
+        index, offset = index[mine], offset[mine]
+        first = _starts(index[:, 1])
+        n = np.diff(np.append(first, len(index)))
+        before = np.cumsum(index[:, 5]) - index[:, 5]
+        before = before - np.repeat(before[first], n)
+        target = np.repeat(targets, n)
+        reached = np.flatnonzero((target != _NULL) & (before + index[:, 6] >= target))
+        found = np.searchsorted(goals, index[reached, 1])
+        found, k = np.unique(found, return_index=True)
+        at, by, number = np.zeros(len(goals), np.int64), np.zeros(len(goals), np.int64), None
+        for g, j in zip(found.tolist(), reached[k].tolist()):
+            if number != index[j, 0]:
+                number = int(index[j, 0])
+                block = self._block(number, at_hand)
+            there = block[offset[j]:offset[j] + index[j, 4]]
+            at[g], by[g] = there[np.argmax(before[j] + np.cumsum(there[:, 2]) >= targets[g]), :2]
+        none = np.isin(np.arange(len(goals)), found, invert=True)
+        return goals, np.add.reduceat(index[:, 5], first), pd.arrays.IntegerArray(at, none), pd.arrays.IntegerArray(by, none)
 
     def close(self) -> None:
         pass
@@ -216,7 +314,9 @@ def stream_goal_state(stream: DataFrame, goals: DataFrame, state_path: str):
     cents = lambda c: (F.col(c) * 100).cast("long")
     rows = (stream.select("goal_id", "id", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, created_at)").alias("time"), cents("amount").alias("cents"))
             .join(goals.select(F.col("id").alias("goal_id"), cents("target_amount").alias("target")), "goal_id", "left"))
-    kept = rows.groupBy("goal_id").transformWithStateInPandas(
+    group = F.when(F.col("goal_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("goal_id"), F.lit(GOAL_GROUPS))).cast("long")
+    packs = rows.select(group.alias("group"), F.col("goal_id").cast("long"), "time", F.col("id").cast("long"), "cents", "target").mapInArrow(_packs, "group long, rows binary")
+    kept = packs.groupBy("group").transformWithStateInPandas(
         statefulProcessor=GoalProcessor(), outputStructType="goal_id long, cents long, at long, by long", outputMode="Update", timeMode="None")
     states = kept.select("goal_id", (F.col("cents") / 100).alias("current_amount"), F.expr(f"timestampadd(MICROSECOND, at, {_EPOCH})").alias("completed_at"),
                          F.col("by").alias("completing_contribution_id"))

@@ -5,6 +5,7 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,3 +213,41 @@ def test_goal_processor_calls_the_state_by_block_not_by_day(monkeypatch):
     processor.init(days)
     next(iter(processor.handleInputRows((1,), iter([pd.DataFrame({"time": np.arange(400) * 86_400_000_000, "id": range(400), "cents": 1, "target": 10})]), None)))
     assert days.calls <= 4
+
+
+def test_goals_share_blocks_so_calls_do_not_grow_with_goals(monkeypatch):
+    """Packs of many goals, in any order of arrival: the answers of each goal by itself, and some calls for all of them."""
+    rng = np.random.default_rng(11)
+    n, goals = 4000, 300
+    goal = np.where(rng.random(n) < 0.3, 5, rng.integers(0, goals, n))
+    rows = np.stack([goal, rng.integers(0, 50, n) * 86_400_000_000, rng.permutation(n), rng.integers(-300, 500, n)], axis=1)
+    targets = rng.integers(0, 3000, goals)
+
+    def packs(some):
+        columns = [pa.array(np.zeros(len(some), np.int64)), *[pa.array(some[:, i]) for i in range(4)], pa.array([None if g % 7 == 0 else int(targets[g]) for g in some[:, 0]], pa.int64())]
+        cut = [pa.RecordBatch.from_arrays([c[i:i + 90] for c in columns], list("abcdef")) for i in range(0, len(some), 90)]
+        return [b.to_pandas() for b in S._packs(iter(cut))]
+
+    def run(processor, some):
+        out = next(iter(processor.handleInputRows((0,), iter(packs(some)), None)))
+        return {r.goal_id: (r.cents, None if pd.isna(r.at) else r.at, None if pd.isna(r.by) else r.by) for r in out.itertuples()}
+
+    def expected(seen, g):
+        mine = seen[seen[:, 0] == g]
+        mine = mine[np.lexsort((mine[:, 2], mine[:, 1]))]
+        total = np.cumsum(mine[:, 3])
+        first = np.flatnonzero(total >= targets[g]) if g % 7 else []
+        return (total[-1], *(mine[first[0], 1:3] if len(first) else (None, None)))
+
+    for block, packed in ((64, 100), (4096, 1 << 18)):
+        monkeypatch.setattr(S, "GOAL_BLOCK", block)
+        monkeypatch.setattr(S, "PACKED_AT_ONCE", packed)
+        monkeypatch.setattr(S, "GOAL_AT_HAND", 3)
+        state, processor = _State(), S.GoalProcessor()
+        processor.init(state)
+        for at in range(0, n, 1000):
+            got = run(processor, rows[at:at + 1000])
+            assert got == {g: expected(rows[:at + 1000], g) for g in np.unique(rows[at:at + 1000, 0]).tolist()}
+        stored = [np.frombuffer(v[0], np.int64).reshape(-1, 3) for v in state.maps.values()]
+        assert max(map(len, stored)) <= block and sum(map(len, stored)) == n
+    assert state.calls <= 4 * 6  # of 300 goals in four micro-batches
