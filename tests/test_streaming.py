@@ -251,3 +251,19 @@ def test_goals_share_blocks_so_calls_do_not_grow_with_goals(monkeypatch):
         stored = [np.frombuffer(v[0], np.int64).reshape(-1, 3) for v in state.maps.values()]
         assert max(map(len, stored)) <= block and sum(map(len, stored)) == n
     assert state.calls <= 4 * 6  # of 300 goals in four micro-batches
+
+
+def test_contributions_of_no_goal_change_no_other(spark, tmpdir_path):
+    schema = "id long, goal_id long, amount decimal(18,2), created_at timestamp_ntz"
+    rows = [(i, None if i % 3 == 0 else i % 5, Decimal(100 * (i % 4 + 1)), dt.datetime(2024, 1, 1 + i % 28)) for i in range(200)]
+    contrib = spark.createDataFrame(rows, schema)
+    goals = spark.createDataFrame([(g, Decimal(3000)) for g in range(5)], "id long, target_amount decimal(18,2)").withColumn("name", F.lit("goal"))
+    src, states = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "states")
+    contrib.repartition(2, "id").write.parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s, writer = S.stream_goal_state(stream, goals, states)
+    s.writeStream.outputMode("update").foreachBatch(writer).option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["goal_id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in S.goal_states(spark, states).collect()}
+    want = {r["id"]: (r["current_amount"], r["completed_at"], r["completing_contribution_id"]) for r in GO.goal_state(goals, contrib.where("goal_id IS NOT NULL")).collect()}
+    assert got.pop(None) == (sum(float(a) for _, g, a, _ in rows if g is None), None, None)
+    assert got == want and all(by is not None for *_, by in want.values())
